@@ -262,4 +262,6 @@ def event_study_fe(
 ) -> FixedEffectsFit:
     """Unit and time effects plus relative-time dummies."""
     keyed = with_relative_key(df, rel, refs)
-    return fe_ols(keyed, y, event_terms(df, rel, refs), [unit, time], weight, cluster or unit)
+    fit = fe_ols(keyed, y, event_terms(df, rel, refs), [unit, time], weight, cluster or unit)
+    fit.names = [n.removeprefix("__") for n in fit.names]
+    return fit

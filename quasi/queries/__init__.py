@@ -4,8 +4,10 @@ from quasi.queries import (  # noqa: F401
     aggregation,
     columns,
     evaluation,
+    modelling,
     scans,
     shaping,
+    weights,
 )
 from quasi.queries.registry import ORACLES, QUERIES
 
