@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quasi.functions.tails import chi2_upper, normal_quantile, normal_two_sided
-from quasi.models.design import crossed, factor, find_levels
+from quasi.models.design import Design, build_design, crossed, factor, find_levels
 from quasi.models.fe import (
-    FixedEffectsFit, event_terms, fe_ols, level_dummies, unit_sums, with_relative_key, _total,
+    FixedEffectsFit, _total, add_level_effects, between_products, fe_ols, level_products, level_slots, unit_profiles,
+    with_relative_key,
 )
 from quasi.models.glm import logit
 from quasi.models.linear import Fit, gram, ols, solve_kept
@@ -347,8 +348,6 @@ def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, se
 
 def _adjusted(base, y, covariates, est, todo, weight):
     """Covariate-adjusted effects from cell moments (and odds-weighted cell moments for 'dr')."""
-    from quasi.models.design import build_design
-
     design = build_design(base, covariates)
     cols = [*design.columns, F.col(y).cast("double")]
     p = len(design.columns)
@@ -482,61 +481,67 @@ def did2s(
     cells = used.groupBy(*keys).agg(
         F.sum("__w0").alias("__w"), F.sum(F.col("__w0") * F.col("__y")).alias("m0"), F.count(F.lit(1)).alias("__n")
     ).persist()
-    untreated = cells.where(F.col(d) == 0)
-    levels = find_levels(untreated, [time])
+    levels = find_levels(cells.where(F.col(d) == 0), [time])
     names = [v for v in find_levels(cells, ["__rel"])["__rel"] if v != "base"]
     names = names if not rel else sorted(names, key=int)
     k, p = len(names), len(levels[time])
-    dummies = level_dummies(levels)
     x2 = [F.when(F.col("__rel") == v, 1.0).otherwise(0.0) for v in names]
-    known_time = F.col(time).cast("string").isin(levels[time])
-    usable = cells.where(known_time)
-    u0 = unit_sums(untreated, unit, dummies, 1)
-    u_all = usable.groupBy(F.col(unit).alias("__unit")).agg(*[F.sum(F.col("__w") * x).alias(f"r{j}") for j, x in enumerate(x2)])
+    slot = level_slots(levels)[time]
+    usable = cells.withColumn("__slot_0", slot).where(F.col("__slot_0") >= 0)
+    untreated = usable.where(F.col(d) == 0)
+    r_cols = [f"r{j}" for j in range(k)]
+    u_all = usable.groupBy(F.col(unit).alias("__unit")).agg(*[F.sum(F.col("__w") * x).alias(r) for r, x in zip(r_cols, x2)])
+    u0 = unit_profiles(untreated, unit, ["__slot_0"], ["m0"])
     units = u0.join(u_all, u0[unit] == u_all["__unit"], "inner").persist()
-    uw = F.col("u_w")
 
     # Time effects of stage one: sweep units out of the untreated normal equations.
-    raw = gram(untreated, [*dummies, F.col("m0") / F.col("__w")], F.col("__w"))
-    cols = [*[F.col(f"u_d{j}") / uw for j in range(p)], F.col("u_m0") / uw, *[F.col(f"r{j}") / uw for j in range(k)]]
-    between = gram(units, cols, uw)
-    system = raw[:p, :p] - between[:p, :p]
-    delta, inverse, _ = solve_kept(system, raw[:p, p] - between[:p, p])
+    raw = level_products(untreated, ["__slot_0"], p, ["m0"])
+    between = between_products(units, p, ["u_m0", *r_cols])
+    delta, inverse, _ = solve_kept(raw[:p, :p] - between[:p, :p], raw[:p, p] - between[:p, p])
     delta = np.nan_to_num(delta)
-
-    # Only units with an untreated row remain; r_t is the treatment design summed by period.
-    side = units.select(
-        F.col(unit).alias("__uid"),
-        ((F.col("u_m0") - _total([F.lit(float(v)) * F.col(f"u_d{j}") for j, v in enumerate(delta)])) / uw).alias("alpha"),
-        *[F.col(f"r{j}").alias(f"r{j}") for j in range(k)], *[F.col(f"u_d{j}") for j in range(p)], "u_w",
+    by_period = np.zeros((p, k))
+    for row in usable.groupBy("__slot_0").agg(*[F.sum(F.col("__w") * x).alias(r) for r, x in zip(r_cols, x2)]).collect():
+        by_period[row["__slot_0"]] = [row[r] for r in r_cols]
+    # Units without an untreated row drop out of the second stage, hence of its period sums.
+    dropped = usable.join(units.select(F.col(unit).alias("__uid")), F.col(unit) == F.col("__uid"), "left_anti")
+    for row in dropped.groupBy("__slot_0").agg(*[F.sum(F.col("__w") * x).alias(r) for r, x in zip(r_cols, x2)]).collect():
+        by_period[row["__slot_0"]] -= [row[r] for r in r_cols]
+    g_t = inverse @ (by_period - between[:p, p + 1:])
+
+    # Unit effects (alpha) and unit parts of the correction (h) from untreated cells.
+    effects = ["delta", *[f"g{j}" for j in range(k)]]
+    table = np.column_stack([delta, g_t])
+    rows = add_level_effects(usable, ["__slot_0"], table, effects)
+    own = F.when(F.col(d) == 0, F.col("__w"))
+    sides = rows.groupBy(F.col(unit).alias("__uid")).agg(
+        F.sum(own).alias("w_own"),
+        (F.sum(F.when(F.col(d) == 0, F.col("m0") - F.col("__w") * F.col("delta"))) / F.sum(own)).alias("alpha"),
+        *[
+            ((F.sum(F.col("__w") * x) - F.sum(own * F.col(f"g{j}"))) / F.sum(own)).alias(f"h{j}")
+            for j, x in enumerate(x2)
+        ],
+    ).where("w_own > 0")
+    joined = rows.join(sides, rows[unit] == sides["__uid"], "inner").withColumn(
+        "ry", F.col("m0") - F.col("__w") * (F.col("alpha") + F.col("delta"))
     )
-    joined = usable.join(side, usable[unit] == side["__uid"], "inner")
-    effect = F.col("alpha") + _total([F.lit(float(v)) * dm for v, dm in zip(delta, dummies)])
-    joined = joined.withColumn("ry", F.col("m0") - F.col("__w") * effect)
-    cross = gram(joined, [*x2, *dummies, F.col("ry") / F.col("__w")], F.col("__w"))
-    xx, xy = cross[:k, :k], cross[:k, -1]
-    coef, bread, _ = solve_kept(xx, xy)
-    beta = np.nan_to_num(coef)
-    r_t = cross[k:k + p, :k]
-    g_t = inverse @ (r_t - between[:p, p + 1:]) if p else np.zeros((0, k))
+    cross = joined.groupBy("__rel").agg(F.sum("__w").alias("w"), F.sum("ry").alias("ry")).collect()
+    weight_of, sum_of = ({r["__rel"]: r[c] for r in cross} for c in ("w", "ry"))
+    bread = np.diag([1.0 / weight_of[v] if v in weight_of else 0.0 for v in names])
+    coef = np.array([sum_of[v] / weight_of[v] if v in weight_of else np.nan for v in names])
 
     # Influence of each cluster: second-stage score less the first-stage correction.
-    fitted = _total([F.lit(float(b)) * x for b, x in zip(beta, x2)])
+    fitted = _total([F.lit(float(b)) * x for b, x in zip(np.nan_to_num(coef), x2)])
     u2 = F.col("ry") - F.col("__w") * fitted
-    scores = []
-    for j in range(k):
-        g_u = (F.col(f"r{j}") - _total([F.lit(float(g_t[i, j])) * F.col(f"u_d{i}") for i in range(p)])) / uw
-        g_here = g_u + _total([F.lit(float(g_t[i, j])) * dm for i, dm in enumerate(dummies)])
-        correction = F.when(F.col(d) == 0, g_here * F.col("ry")).otherwise(0.0)
-        scores.append(F.sum(x2[j] * u2 - correction).alias(f"s{j}"))
+    scores = [
+        F.sum(x * u2 - F.when(F.col(d) == 0, (F.col(f"h{j}") + F.col(f"g{j}")) * F.col("ry")).otherwise(0.0)).alias(f"s{j}")
+        for j, x in enumerate(x2)
+    ]
     per_cluster = joined.groupBy(cluster).agg(*scores, F.sum("__n").alias("n"))
     meat = gram(per_cluster, [*[F.col(f"s{j}") for j in range(k)], F.lit(1.0)])
     n, clusters = float(joined.agg(F.sum("__n")).first()[0]), float(meat[-1, -1])
     vcov = bread @ meat[:k, :k] @ bread
     units.unpersist()
     cells.unpersist()
-    from quasi.models.design import Design
-
     labels = ["D"] if not rel else [f"rel_{v}" for v in names]
     return Fit(Design(labels, x2, [], True), labels, coef, vcov, n, None, {"clusters": clusters})
 

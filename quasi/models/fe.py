@@ -5,17 +5,18 @@ cell keeps the first and second moments of outcome and regressors, which is all
 residual variance and cluster scores need; nothing afterwards reads the rows.
 
 The first fixed effect (usually the unit, with any number of levels) is swept out through its group sums.
-The others are expanded to dummies while they have at most MAX_LEVELS levels; beyond that the cells are
+The others enter as level coefficients while they have at most MAX_LEVELS levels; beyond that the cells are
 demeaned by alternating projections.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,21 +50,91 @@ def second(i: int, j: int) -> Column:
     return F.col(f"q{min(i, j)}_{max(i, j)}")
 
 
-def level_dummies(levels: dict[str, list]) -> list[Column]:
-    return [
-        F.when(F.col(c).cast("string") == F.lit(v), 1.0).otherwise(0.0) for c, values in levels.items() for v in values
-    ]
+def level_slots(levels: dict[str, list]) -> dict[str, Column]:
+    """Position of each effect's level in one joint numbering of all levels."""
+    out, offset = {}, 0
+    for c, values in levels.items():
+        found = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c).cast("string"))
+        out[c] = (found + F.lit(offset - 1)).cast("int")
+        offset += len(values)
+    return out
+
+
+def level_table(spark, values: np.ndarray, names: Sequence[str]) -> DataFrame:
+    """Slot and its coefficients; at most MAX_LEVELS rows, so it may be broadcast."""
+    rows = [(i, *[float(v) for v in row]) for i, row in enumerate(values)]
+    return F.broadcast(spark.createDataFrame(rows, "__slot int, " + ", ".join(f"{n} double" for n in names)))
+
+
+def add_level_effects(cells: DataFrame, slots: Sequence[str], values: np.ndarray, names: Sequence[str]) -> DataFrame:
+    """Add, per cell, the coefficients of its levels summed over the effects."""
+    out = cells
+    for i, slot in enumerate(slots):
+        part = [f"__{n}_{i}" for n in names]
+        side = level_table(cells.sparkSession, values, part)
+        out = out.join(side, out[slot] == side["__slot"], "left").drop("__slot")
+    sums = [_total([F.coalesce(F.col(f"__{n}_{i}"), F.lit(0.0)) for i in range(len(slots))]).alias(n) for n in names]
+    return out.select(*cells.columns, *sums)
+
+
+def level_products(cells: DataFrame, slots: Sequence[str], p: int, moments: Sequence[str]) -> np.ndarray:
+    """Cross-products of level dummies with each other and with moment columns (moment block empty)."""
+    q = len(moments)
+    out = np.zeros((p + q, p + q))
+    for i, a in enumerate(slots):
+        for r in cells.groupBy(a).agg(F.sum("__w").alias("w"), *[F.sum(m).alias(m) for m in moments]).collect():
+            out[r[a], r[a]] = r["w"]
+            for j, m in enumerate(moments):
+                out[r[a], p + j] = out[p + j, r[a]] = r[m]
+        for b in slots[i + 1:]:
+            for r in cells.groupBy(a, b).agg(F.sum("__w").alias("w")).limit(4_000_000).collect():
+                out[r[a], r[b]] = out[r[b], r[a]] = r["w"]
+    return out
+
 
+def unit_profiles(cells: DataFrame, unit: str, slots: Sequence[str], moments: Sequence[str]) -> DataFrame:
+    """Per unit: weight u_w, moment sums u_<m>, and its short list of (slots, weight) pairs.
 
-def unit_sums(cells: DataFrame, unit: str, dummies: Sequence[Column], k: int) -> DataFrame:
-    """Per unit: weight, weight by level of the other effects, first moments."""
-    return cells.groupBy(unit).agg(
-        F.sum("__w").alias("u_w"),
-        *[F.sum(F.col("__w") * d).alias(f"u_d{j}") for j, d in enumerate(dummies)],
-        *[F.sum(f"m{i}").alias(f"u_m{i}") for i in range(k)],
+    Cells are first merged to unit and level, so a list is never longer than the level combinations.
+    """
+    merged = cells.groupBy(unit, *slots).agg(F.sum("__w").alias("__w"), *[F.sum(m).alias(m) for m in moments])
+    ids = F.array(*[F.col(x) for x in slots]) if slots else F.array().cast("array<int>")
+    return merged.groupBy(unit).agg(
+        F.sum("__w").alias("u_w"), *[F.sum(m).alias(f"u_{m}") for m in moments],
+        F.collect_list(F.struct(ids.alias("ids"), F.col("__w").alias("w"))).alias("levels"),
     )
 
 
+def between_products(units: DataFrame, p: int, values: Sequence[str]) -> np.ndarray:
+    """Sum over units of z z' / u_w, where z holds the unit's weight by level and its value sums."""
+    q = len(values)
+    named = units.select(
+        "u_w", F.flatten(F.col("levels.ids")).alias("ids"),
+        F.flatten(F.transform("levels", lambda x: F.array_repeat(x["w"], F.size(x["ids"])))).alias("ws"),
+        F.array(*[F.col(v).cast("double") for v in values]).alias("v"),
+    )
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((p + q, p + q))
+        for batch in batches:
+            for start in range(0, len(batch), 512):
+                part = batch.iloc[start:start + 512]
+                z = np.zeros((len(part), p + q))
+                for i, (ids, ws) in enumerate(zip(part.ids, part.ws)):
+                    np.add.at(z[i], np.asarray(ids, dtype=int), np.asarray(ws, dtype=float))
+                z[:, p:] = np.vstack(part.v.to_numpy())
+                total += (z / part.u_w.to_numpy(dtype=float)[:, None]).T @ z
+        yield pd.DataFrame({"v": [total.ravel()]})
+
+    summed = (
+        named.mapInPandas(partial, "v array<double>").select(F.posexplode("v").alias("pos", "v"))
+        .groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
+    )
+    out = np.zeros((p + q) ** 2)
+    out[summed.pos.to_numpy()] = summed.v.to_numpy()
+    return out.reshape(p + q, p + q)
+
+
 @dataclass
 class FixedEffectsFit(Fit):
     """Slope coefficients; ``stats`` holds sigma2, rss, within R squared, and level counts."""
@@ -125,47 +196,40 @@ def _clustered(fit: FixedEffectsFit, scores: DataFrame, k: int, nested: int) ->
 
 def _absorbed(cells, design, fe, levels, k, cluster):
     unit = fe[0]
-    dummies = level_dummies(levels)
-    p = len(dummies)
+    slots = [f"__slot_{i}" for i in range(len(levels))]
+    p = sum(len(v) for v in levels.values())
     w = F.col("__w")
-    units = unit_sums(cells, unit, dummies, k + 1).persist()
-    raw = gram(cells, [*dummies, *[F.col(f"m{i}") / w for i in range(k + 1)]], w)
+    moments = [f"m{i}" for i in range(k + 1)]
+    cells = cells.withColumns(dict(zip(slots, level_slots(levels).values()))) if slots else cells
+    raw = level_products(cells, slots, p, moments)
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
     totals = cells.agg(*[F.sum(second(i, j)).alias(f"q{i}_{j}") for i, j in pairs], F.sum("__n").alias("n")).first()
     for i, j in pairs:
         raw[p + i, p + j] = raw[p + j, p + i] = totals[f"q{i}_{j}"]
-    uw = F.col("u_w")
-    between = gram(units, [*[F.col(f"u_d{j}") / uw for j in range(p)], *[F.col(f"u_m{i}") / uw for i in range(k + 1)]], uw)
-    within = raw - between
-    dd = within[:p, :p]
+    units = unit_profiles(cells, unit, slots, moments).persist()
+    within = raw - between_products(units, p, [f"u_{m}" for m in moments])
     n_units = units.count()
+    units.unpersist()
     # Slopes on the other effects, then the regressors with those effects taken out.
-    solved, kept_inverse, kept = (solve_kept(dd, within[:p, p]) if p else (np.zeros(0), np.zeros((0, 0)), []))
-    c = kept_inverse @ within[:p, p:] if p else np.zeros((0, k + 1))
-    net = within[p:, p:] - within[p:, :p] @ c if p else within[p:, p:]
+    _, inverse, kept = solve_kept(within[:p, :p], within[:p, p]) if p else (None, np.zeros((0, 0)), [])
+    c = inverse @ within[:p, p:]
+    net = within[p:, p:] - within[p:, :p] @ c
     scale = np.diag(raw)[p:p + k]
     tiny = np.diag(net)[:k] < 1e-10 * np.maximum(scale, 1e-300)
     net[:k][tiny] = 0.0
     net[:, :k][:, tiny] = 0.0
     fit = _finish(design, k, net[:k, :k], net[:k, k], net[k, k], totals["n"], n_units + len(kept), {})
-    beta = np.nan_to_num(fit.coef)
-    delta = c[:, k] - c[:, :k] @ beta if p else np.zeros(0)
-    fit.extra.update({"levels": levels, "delta": delta, "unit": unit, "dummies": dummies})
     if cluster:
-        def at_unit(moment: int, slopes) -> Column:
-            return (F.col(f"u_m{moment}") - _total([F.lit(float(s)) * F.col(f"u_d{j}") for j, s in enumerate(slopes)])) / uw
-
-        sides = units.select(
-            F.col(unit).alias("__unit"),
-            *[at_unit(i, c[:, i]).alias(f"a{i}") for i in range(k + 1)],
+        beta = np.nan_to_num(fit.coef)
+        effects = [f"c{i}" for i in range(k + 1)]
+        rows = add_level_effects(cells, slots, c, effects) if slots else cells.select("*", *[F.lit(0.0).alias(e) for e in effects])
+        sides = rows.groupBy(F.col(unit).alias("__unit")).agg(
+            *[(F.sum(F.col(f"m{i}") - w * F.col(f"c{i}")) / F.sum(w)).alias(f"a{i}") for i in range(k + 1)]
+        )
+        joined = rows.join(sides, rows[unit] == sides["__unit"], "inner").select(
+            cluster, "__w", *moments, *[second(i, j) for i, j in pairs],
+            *[(F.col(f"a{i}") + F.col(f"c{i}")).alias(f"f{i}") for i in range(k + 1)],
         )
-        joined = cells.join(sides, cells[unit] == sides["__unit"], "inner")
-
-        def fitted_effect(i: int) -> Column:
-            return F.col(f"a{i}") + _total([F.lit(float(s)) * d for s, d in zip(c[:, i], dummies)])
-
-        effect = [fitted_effect(i).alias(f"f{i}") for i in range(k + 1)]
-        joined = joined.select(cluster, "__w", *[f"m{i}" for i in range(k + 1)], *[second(i, j) for i, j in pairs], *effect)
 
         def centred(i: int, j: int) -> Column:
             return second(i, j) - F.col(f"f{j}") * F.col(f"m{i}") - F.col(f"f{i}") * F.col(f"m{j}") + F.col(f"f{i}") * F.col(f"f{j}") * w
@@ -178,7 +242,6 @@ def _absorbed(cells, design, fe, levels, k, cluster):
         )
         nested = n_units if cluster == unit else (len(kept) + 1 if cluster in fe else 0)
         fit = _clustered(fit, scores, k, nested)
-    units.unpersist()
     return fit
 
 

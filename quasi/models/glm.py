@@ -75,9 +75,10 @@ def logit(df: DataFrame, y: str, terms: Sequence, weight: str | None = None, pos
 def _inverse(info: np.ndarray, coef: np.ndarray) -> np.ndarray:
     live = [i for i in range(len(coef)) if not np.isnan(coef[i])]
     block = info[np.ix_(live, live)]
-    scale = 1.0 / np.sqrt(np.diag(block))
+    # A diagonal of zero is a separated level: its information is empty and its error unbounded.
+    scale = 1.0 / np.sqrt(np.maximum(np.diag(block), 1e-12))
     out = np.zeros_like(info)
-    out[np.ix_(live, live)] = np.linalg.inv(block * np.outer(scale, scale)) * np.outer(scale, scale)
+    out[np.ix_(live, live)] = np.linalg.pinv(block * np.outer(scale, scale), hermitian=True) * np.outer(scale, scale)
     return out
 
 
@@ -153,37 +154,50 @@ def _inverse_link_fit(source, design, w, ybar, overall, max_iter):
 
 @dataclass
 class Multinomial:
-    """Class probabilities as expressions; the first level's coefficients are zero."""
+    """Class probabilities from the linear predictors of all levels; the first level's are zero.
+
+    The predictors are added as columns first and combined in a second projection, so an expression
+    grows with the number of levels and not with its square.
+    """
 
     design: Design
     levels: list
     coef: np.ndarray
 
-    def probabilities(self) -> dict[object, Column]:
-        eta = [
-            reduce(lambda a, c: a + c, [F.lit(float(b)) * x for b, x in zip(row, self.design.columns)])
-            for row in self.coef
-        ]
-        top = F.greatest(*eta) if len(eta) > 1 else eta[0]
-        raw = [F.exp(e - top) for e in eta]
-        total = reduce(lambda a, b: a + b, raw)
-        return {level: r / total for level, r in zip(self.levels, raw)}
-
-    def observed(self, y: str) -> Column:
+    def _predictors(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        named = {
+            f"__eta{i}": reduce(lambda a, c: a + c, [F.lit(float(b)) * x for b, x in zip(row, self.design.columns)])
+            for i, row in enumerate(self.coef)
+        }
+        return df.withColumns(named), [F.col(n) for n in named]
+
+    def add_probabilities(self, df: DataFrame, prefix: str = "p_") -> DataFrame:
+        """One probability column per level."""
+        wide, eta = self._predictors(df)
+        wide = wide.withColumn("__top", F.greatest(*eta) if len(eta) > 1 else eta[0])
+        total = reduce(lambda a, b: a + b, [F.exp(e - F.col("__top")) for e in eta])
+        wide = wide.withColumn("__total", total)
+        return wide.select(
+            *df.columns, *[(F.exp(e - F.col("__top")) / F.col("__total")).alias(f"{prefix}{v}") for v, e in zip(self.levels, eta)]
+        )
+
+    def add_observed(self, df: DataFrame, y: str, to: str) -> DataFrame:
         """Probability of the level each row actually has, without a join."""
-        out = None
-        for level, p in self.probabilities().items():
-            out = (F if out is None else out).when(F.col(y).cast("string") == F.lit(level), p)
-        return out
-
-    def predicted(self) -> Column:
+        wide, eta = self._predictors(df)
+        own = None
+        for level, e in zip(self.levels, eta):
+            own = (F if own is None else own).when(F.col(y).cast("string") == F.lit(level), e)
+        wide = wide.withColumn("__own", own)
+        return wide.select(*df.columns, (1.0 / reduce(lambda a, b: a + b, [F.exp(e - F.col("__own")) for e in eta])).alias(to))
+
+    def add_predicted(self, df: DataFrame, to: str = "pred") -> DataFrame:
         """Most probable level; ties go to the earlier level."""
-        probs = self.probabilities()
-        best = F.greatest(*probs.values()) if len(probs) > 1 else next(iter(probs.values()))
+        wide, eta = self._predictors(df)
+        wide = wide.withColumn("__top", F.greatest(*eta) if len(eta) > 1 else eta[0])
         out = None
-        for level, p in probs.items():
-            out = (F if out is None else out).when(p == best, F.lit(level))
-        return out
+        for level, e in zip(self.levels, eta):
+            out = (F if out is None else out).when(e == F.col("__top"), F.lit(level))
+        return wide.select(*df.columns, out.alias(to))
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quasi.functions.columns import unit_hash, unit_uniform
-from quasi.operators.skew import hash_rank, null_safe
+from quasi.operators.skew import hash_rank
 
 MAX_PIVOTS = 64
 BLOCK_ROWS = 2048
@@ -42,11 +42,12 @@ def _pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt((gap * gap).sum(-1))
 
 
-def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = False, within: str | None = None) -> DataFrame:
     """The k nearest train rows of every query by Euclidean distance.
 
     Both inputs have columns ``id`` and ``vec`` (array<double>). Result: (query_id, train_id, rank, dist),
-    ties by train id. ``exclude_self`` skips a train row with the query's own id.
+    ties by train id. ``exclude_self`` skips a train row with the query's own id. ``within`` names a
+    small integer column on both sides; only rows with equal values are neighbours.
     """
     wanted = k + 1 if exclude_self else k
     n_train, n_query = train.count(), query.count()
@@ -54,6 +55,7 @@ def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = Fal
     picked = train.select("vec", unit_hash("id", "pivot").alias("h")).orderBy("h").limit(n_pivots).collect()
     pivots = np.array([r["vec"] for r in picked], dtype=float)
     between = _distances(pivots, pivots)
+    part = F.col(within).cast("long") if within else F.lit(0).cast("long")
     id_type = train.schema["id"].dataType.simpleString()
     query_type = query.schema["id"].dataType.simpleString()
 
@@ -63,14 +65,18 @@ def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = Fal
                 continue
             d = _distances(_matrix(batch.vec), pivots)
             cell = d.argmin(1)
-            yield batch.assign(cell=cell.astype(np.int64), dist=d[np.arange(len(d)), cell])
+            joint = batch.part.to_numpy() * n_pivots + cell
+            yield pd.DataFrame({"id": batch.id, "vec": batch.vec, "cell": joint.astype(np.int64), "dist": d[np.arange(len(d)), cell]})
 
-    placed = train.select("id", "vec").mapInPandas(assign, f"id {id_type}, vec array<double>, cell long, dist double").persist()
+    placed = train.select("id", "vec", part.alias("part")).mapInPandas(
+        assign, f"id {id_type}, vec array<double>, cell long, dist double"
+    ).persist()
     sizes = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()}
     w = Window.partitionBy("cell").orderBy("dist", "id")
     closest = placed.select("cell", "dist", "id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= wanted).collect()
     near = {c: np.sort([r["dist"] for r in closest if r["cell"] == c]) for c in sizes}
     cells = sorted(sizes)
+    pivot_of, part_of = np.array(cells) % n_pivots, np.array(cells) // n_pivots
     lo, hi = (np.array([sizes[c][f] for c in cells]) for f in ("lo", "hi"))
     slack = 1e-9 * (1.0 + float(hi.max()))
 
@@ -79,19 +85,23 @@ def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = Fal
             if len(batch) == 0:
                 continue
             d = _distances(_matrix(batch.vec), pivots)
+            mine = batch.part.to_numpy()[:, None] == part_of[None, :]
             # A query's k-th distance is at most the k-th smallest of (distance to pivot + pivot to row).
-            reach = np.concatenate([d[:, [c]] + near[c][None, :] for c in cells], axis=1)
-            bound = np.partition(reach, min(wanted, reach.shape[1]) - 1, axis=1)[:, min(wanted, reach.shape[1]) - 1]
-            dc = d[:, cells]
+            reach = np.concatenate(
+                [np.where(mine[:, [i]], d[:, [pivot_of[i]]] + near[c][None, :], np.inf) for i, c in enumerate(cells)], axis=1
+            )
+            at_rank = min(wanted, reach.shape[1]) - 1
+            bound = np.partition(reach, at_rank, axis=1)[:, at_rank]
+            dc = d[:, pivot_of]
             own = d.argmin(1)
             floor = np.maximum(np.maximum(dc - hi, lo - dc), 0.0)
-            gap = between[own][:, cells]
+            gap = between[own][:, pivot_of]
             plane = np.where(gap > 0, (dc**2 - d.min(1)[:, None] ** 2) / (2 * np.where(gap > 0, gap, 1.0)), 0.0)
-            need = np.maximum(floor, plane) <= bound[:, None] * (1 + 1e-9) + slack
+            need = mine & (np.maximum(floor, plane) <= bound[:, None] * (1 + 1e-9) + slack)
             at, which = np.nonzero(need)
             yield pd.DataFrame({"id": batch.id.to_numpy()[at], "vec": batch.vec.to_numpy()[at], "cell": np.array(cells)[which]})
 
-    routed = query.select("id", "vec").mapInPandas(route, f"id {query_type}, vec array<double>, cell long")
+    routed = query.select("id", "vec", part.alias("part")).mapInPandas(route, f"id {query_type}, vec array<double>, cell long")
     blocks = {c: max(1, math.ceil(sizes[c]["n"] / BLOCK_ROWS)) for c in cells}
     query_blocks = max(1, math.ceil(n_query / BLOCK_ROWS))
     block_count = F.element_at(F.create_map(*[F.lit(v) for c in cells for v in (c, blocks[c])]), F.col("cell"))
@@ -160,28 +170,31 @@ def smote(
     rows = df.select(F.col(key).alias(key), F.col(label).alias(label), vec.alias("vec"))
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()}
     target = math.floor(over_ratio * max(counts.values()))
+    minority = [(level, n, target - n) for level, n in sorted(counts.items(), key=lambda kv: str(kv[0])) if 2 <= n < target]
     out = rows.withColumn("synthetic", F.lit(0))
-    for level, n in sorted(counts.items(), key=lambda kv: str(kv[0])):
-        need = target - n
-        if need <= 0 or n < 2:
-            continue
-        members = rows.where(F.col(label) == F.lit(level)).select(F.col(key).alias("id"), "vec")
-        ties = min(k, n - 1)
-        pairs = nearest(members, members, ties, exclude_self=True)
-        ranked = hash_rank(members, "id", [], seed, "__rank", "__n")
-        copies = F.lit(need // n) + (F.col("__rank") <= need % n).cast("int")
-        plan = ranked.where(copies > 0).select(
-            "id", "vec", F.explode(F.sequence(F.lit(1), copies)).alias("copy")
-        )
-        tag = F.concat_ws(":", F.col("id").cast("string"), F.col("copy"))
-        plan = plan.withColumn("rank", (F.floor(unit_uniform(tag, f"{seed}n") * ties) + 1).cast("int")).withColumn(
-            "gap", unit_uniform(tag, f"{seed}g")
-        )
-        chosen = plan.join(pairs.select(F.col("query_id").alias("id"), "train_id", F.col("rank").cast("int").alias("rank")), ["id", "rank"], "inner")
-        other = members.select(F.col("id").alias("train_id"), F.col("vec").alias("other"))
-        made = chosen.join(other, "train_id", "inner").select(
-            F.col("id").alias(key), F.lit(level).cast(df.schema[label].dataType).alias(label),
-            F.zip_with("vec", "other", lambda a, b: a + (b - a) * F.col("gap")).alias("vec"), F.lit(1).alias("synthetic"),
-        )
-        out = out.unionByName(made)
-    return out
+    if not minority:
+        return out
+    # Class number, copies per row and remainder; the class list was bounded when it was counted.
+    kind = df.schema[label].dataType.simpleString()
+    classes = df.sparkSession.createDataFrame(
+        [(level, i, need // n, need % n, min(k, n - 1)) for i, (level, n, need) in enumerate(minority)],
+        f"{label} {kind}, part int, each int, extra int, ties int",
+    )
+    members = rows.join(F.broadcast(classes), label, "inner").withColumnRenamed(key, "id").persist()
+    pairs = nearest(members, members, k, exclude_self=True, within="part")
+    ranked = hash_rank(members, "id", ["part"], seed, "__rank", "__n")
+    copies = F.col("each") + (F.col("__rank") <= F.col("extra")).cast("int")
+    plan = ranked.where(copies > 0).select("id", label, "vec", "ties", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    tag = F.concat_ws(":", F.col("id").cast("string"), F.col("copy"))
+    plan = plan.withColumn("rank", (F.floor(unit_uniform(tag, f"{seed}n") * F.col("ties")) + 1).cast("int")).withColumn(
+        "gap", unit_uniform(tag, f"{seed}g")
+    )
+    chosen = plan.join(
+        pairs.select(F.col("query_id").alias("id"), "train_id", F.col("rank").cast("int").alias("rank")), ["id", "rank"], "inner"
+    )
+    other = members.select(F.col("id").alias("train_id"), F.col("vec").alias("other"))
+    made = chosen.join(other, "train_id", "inner").select(
+        F.col("id").alias(key), label,
+        F.zip_with("vec", "other", lambda a, b: a + (b - a) * F.col("gap")).alias("vec"), F.lit(1).alias("synthetic"),
+    )
+    return out.unionByName(made)

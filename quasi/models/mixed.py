@@ -21,6 +21,7 @@ from quasi.operators.skew import null_safe
 from quasi.session import cut_lineage
 
 DRIVER_GROUPS = 2000
+INNER_STEPS = 5000
 
 
 @dataclass
@@ -88,11 +89,16 @@ def random_intercept_logit(
             for i, j in pairs:
                 xx[i, j] = xx[j, i] = sums[f"sxx{i}_{j}"].sum()
             xz = sums[[f"sxz{i}" for i in range(p)]].sum().to_numpy()
-            a = xx - (sx / (sw + lam)[:, None]).T @ sx
-            c = xz - sx.T @ (sz / (sw + lam))
-            new = np.linalg.solve(a, c)
-            b = (sz - sx @ new) / (sw + lam)
-            new_variance = float(np.mean(b * b + 1.0 / (sw + lam)))
+            # The working linear mixed model is solved to convergence before the next pass over the data.
+            new_variance = variance
+            for _ in range(INNER_STEPS):
+                lam, last = 1.0 / new_variance, new_variance
+                a = xx - (sx / (sw + lam)[:, None]).T @ sx
+                new = np.linalg.solve(a, xz - sx.T @ (sz / (sw + lam)))
+                b = (sz - sx @ new) / (sw + lam)
+                new_variance = max(float(np.mean(b * b + 1.0 / (sw + lam))), 1e-8)
+                if abs(new_variance - last) < tol * last * 1e-2:
+                    break
             shift = dict(zip(sums.index, b))
         else:
             if effects is None:

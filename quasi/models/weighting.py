@@ -43,8 +43,9 @@ def ipw_binary(df: DataFrame, d: str, den: Sequence, positive: object = 1, to: s
 
 def iptw_multinomial(df: DataFrame, d: str, num: Sequence, den: Sequence, to: str = "weight") -> DataFrame:
     rows = _complete(df, d, num, den)
-    p0, p1 = (multinomial(rows, d, terms).observed(d) for terms in (num, den))
-    return rows.withColumn(to, p0 / p1)
+    both = multinomial(rows, d, num).add_observed(rows, d, "__p0")
+    both = multinomial(rows, d, den).add_observed(both, d, "__p1")
+    return both.withColumn(to, F.col("__p0") / F.col("__p1")).drop("__p0", "__p1")
 
 
 def iptw_gamma(df: DataFrame, y: str, num: Sequence, den: Sequence, link: str = "inverse", shift: float = 1.0, to: str = "weight") -> DataFrame:

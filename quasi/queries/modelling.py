@@ -150,7 +150,7 @@ def m4(spark, sf):
     o = table(spark, sf, "orders")
     model = multinomial(o, "o_orderstatus", [factor("o_orderpriority")])
     cells = o.select("o_orderpriority").distinct()
-    return rounded(cells.select("o_orderpriority", *[p.alias(k) for k, p in model.probabilities().items()]), 4)
+    return rounded(model.add_probabilities(cells, prefix=""), 4)
 
 
 @query(
