@@ -3,6 +3,7 @@
 from quasi.queries import (  # noqa: F401
     aggregation,
     columns,
+    effects,
     evaluation,
     modelling,
     scans,
