@@ -269,7 +269,7 @@ def att_gt(
     table = pd.DataFrame([(g, t) for g, t, _, _ in todo], columns=["g", "t"])
     out = GroupTime(table, cells, contrast, shares, options={"control": control, "periods": periods})
     if covariates:
-        table["att"] = _adjusted(base, y, covariates, est, todo, weight)
+        table["att"] = _adjusted(base, y, covariates, est, todo, weight, panel)
         return out
     table["att"] = contrast @ cells["mean"].to_numpy()
     spread = _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, seed)
@@ -346,7 +346,7 @@ def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, se
     return cross * count / max(count - 1, 1), boot, float(count)
 
 
-def _adjusted(base, y, covariates, est, todo, weight):
+def _adjusted(base, y, covariates, est, todo, weight, panel):
     """Covariate-adjusted effects from cell moments (and odds-weighted cell moments for 'dr')."""
     design = build_design(base, covariates)
     cols = [*design.columns, F.col(y).cast("double")]
@@ -357,7 +357,7 @@ def _adjusted(base, y, covariates, est, todo, weight):
         named = rows.select("__g", "__t", wt.alias("w"), *[c.alias(f"x{i}") for i, c in enumerate(cols)])
         pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
         grouped = named.groupBy("__g", "__t").agg(
-            *[F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs]
+            *[F.expr(f"sum(w * x{i} * x{j})").alias(f"s{i}_{j}") for i, j in pairs]
         )
         out = {}
         for r in grouped.limit(MAX_CELLS).collect():
@@ -386,15 +386,15 @@ def _adjusted(base, y, covariates, est, todo, weight):
             means = plain[g, t][0, p] / plain[g, t][0, 0] - plain[g, b][0, p] / plain[g, b][0, 0]
             effects.append(float(means - xbar @ (beta[t] - beta[b])))
             continue
-        key = (g, pool, t, b) if est == "dr" and "__panel" not in base.columns else (g, pool)
+        # In a panel the covariates are fixed, so one period gives the propensity for all of them.
+        key = (g, pool) if panel else (g, pool, t, b)
         if key not in cache:
-            rows = base.where(F.col("__g").isin(g, *pool) & F.col("__t").isin(t, b)).withColumn(
-                "__d", (F.col("__g") == g).cast("int")
-            )
-            score = logit(rows, "__d", covariates, weight)
+            rows = base.where(F.col("__g").isin(g, *pool)).withColumn("__d", (F.col("__g") == g).cast("int"))
+            if not panel:
+                rows = rows.where(F.col("__t").isin(t, b))
+            score = logit(rows.where(F.col("__t") == b) if panel else rows, "__d", covariates, weight)
             mu = score.mean()
-            odds = mu / (1.0 - mu)
-            cache[key] = moments(rows.where("__d = 0"), w * odds)
+            cache[key] = moments(rows.where("__d = 0"), w * (mu / (1.0 - mu)))
         reweighted = cache[key]
         control = [sum(reweighted[h, s] for h in pool) for s in (t, b)]
         effects.append(float(treated - (residual(control[0], t) - residual(control[1], b))))

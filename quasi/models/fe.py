@@ -38,16 +38,18 @@ def moment_cells(rows: DataFrame, keys: Sequence[str], values: Sequence[Column],
     return named.groupBy(*dict.fromkeys(keys)).agg(
         F.sum("__w").alias("__w"),
         F.count(F.lit(1)).alias("__n"),
-        *[F.sum(F.col("__w") * F.col(f"v{i}")).alias(f"m{i}") for i in range(k)],
-        *[
-            F.sum(F.col("__w") * F.col(f"v{i}") * F.col(f"v{j}")).alias(f"q{i}_{j}")
-            for i in range(k) for j in range(i, k)
-        ],
+        *[F.expr(f"sum(__w * v{i})").alias(f"m{i}") for i in range(k)],
+        *[F.expr(f"sum(__w * v{i} * v{j})").alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)],
     )
 
 
-def second(i: int, j: int) -> Column:
-    return F.col(f"q{min(i, j)}_{max(i, j)}")
+def second(i: int, j: int) -> str:
+    return f"q{min(i, j)}_{max(i, j)}"
+
+
+def combined(names: Sequence[str], beta: np.ndarray) -> str:
+    """SQL text of the last name less the beta-weighted others."""
+    return names[-1] + "".join(f" - ({float(b)!r}D) * {n}" for b, n in zip(beta, names))
 
 
 def level_slots(levels: dict[str, list]) -> dict[str, Column]:
@@ -73,7 +75,7 @@ def add_level_effects(cells: DataFrame, slots: Sequence[str], values: np.ndarray
         part = [f"__{n}_{i}" for n in names]
         side = level_table(cells.sparkSession, values, part)
         out = out.join(side, out[slot] == side["__slot"], "left").drop("__slot")
-    sums = [_total([F.coalesce(F.col(f"__{n}_{i}"), F.lit(0.0)) for i in range(len(slots))]).alias(n) for n in names]
+    sums = [F.expr(" + ".join(f"coalesce(__{n}_{i}, 0D)" for i in range(len(slots)))).alias(n) for n in names]
     return out.select(*cells.columns, *sums)
 
 
@@ -203,7 +205,7 @@ def _absorbed(cells, design, fe, levels, k, cluster):
     cells = cells.withColumns(dict(zip(slots, level_slots(levels).values()))) if slots else cells
     raw = level_products(cells, slots, p, moments)
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-    totals = cells.agg(*[F.sum(second(i, j)).alias(f"q{i}_{j}") for i, j in pairs], F.sum("__n").alias("n")).first()
+    totals = cells.agg(*[F.sum(second(i, j)).alias(second(i, j)) for i, j in pairs], F.sum("__n").alias("n")).first()
     for i, j in pairs:
         raw[p + i, p + j] = raw[p + j, p + i] = totals[f"q{i}_{j}"]
     units = unit_profiles(cells, unit, slots, moments).persist()
@@ -231,12 +233,15 @@ def _absorbed(cells, design, fe, levels, k, cluster):
             *[(F.col(f"a{i}") + F.col(f"c{i}")).alias(f"f{i}") for i in range(k + 1)],
         )
 
-        def centred(i: int, j: int) -> Column:
-            return second(i, j) - F.col(f"f{j}") * F.col(f"m{i}") - F.col(f"f{i}") * F.col(f"m{j}") + F.col(f"f{i}") * F.col(f"f{j}") * w
-
+        # x-tilde times residual of a cell, from its moments and the fitted effects f.
+        joined = joined.withColumns(
+            {"fr": F.expr(combined([f"f{i}" for i in range(k + 1)], beta)), "mr": F.expr(combined(moments, beta))}
+        )
         scores = joined.groupBy(cluster).agg(
             *[
-                F.sum(centred(i, k) - _total([F.lit(float(b)) * centred(i, m) for m, b in enumerate(beta)])).alias(f"s{i}")
+                F.expr(
+                    f"sum({combined([second(i, j) for j in range(k + 1)], beta)} - fr * m{i} - f{i} * mr + f{i} * fr * __w)"
+                ).alias(f"s{i}")
                 for i in range(k)
             ]
         )
@@ -254,7 +259,7 @@ def _alternating(cells, design, fe, k, cluster, tol: float = 1e-10, max_rounds:
     )
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
     inside = cells.agg(
-        *[F.sum(second(i, j) - F.col(f"m{i}") * F.col(f"m{j}") / w).alias(f"q{i}_{j}") for i, j in pairs], F.sum("__n").alias("n")
+        *[F.expr(f"sum({second(i, j)} - m{i} * m{j} / __w)").alias(second(i, j)) for i, j in pairs], F.sum("__n").alias("n")
     ).first()
     zs = [f"z{i}" for i in range(k + 1)]
     for round_ in range(max_rounds):
@@ -282,16 +287,17 @@ def _alternating(cells, design, fe, k, cluster, tol: float = 1e-10, max_rounds:
     fit = _finish(design, k, net[:k, :k], net[:k, k], net[k, k], inside["n"], absorbed, {})
     if cluster:
         beta = np.nan_to_num(fit.coef)
-        base = cells.select(*dict.fromkeys([*fe, cluster]), *[(second(i, j) - F.col(f"m{i}") * F.col(f"m{j}") / w).alias(f"q{i}_{j}") for i, j in pairs])
+        base = cells.select(*dict.fromkeys([*fe, cluster]), *[F.expr(f"{second(i, j)} - m{i} * m{j} / __w").alias(second(i, j)) for i, j in pairs])
         names = list(dict.fromkeys([*fe, cluster]))
         side = base.select(*[F.col(c).alias(f"__{c}") for c in names], *[f"q{i}_{j}" for i, j in pairs])
         joined = state.join(side, null_safe(state, side, [(c, f"__{c}") for c in names]), "inner")
 
-        def centred(i: int, j: int) -> Column:
-            return second(i, j) + w * F.col(f"z{i}") * F.col(f"z{j}")
-
+        joined = joined.withColumn("zr", F.expr(combined(zs, beta)))
         scores = joined.groupBy(cluster).agg(
-            *[F.sum(centred(i, k) - _total([F.lit(float(b)) * centred(i, m) for m, b in enumerate(beta)])).alias(f"s{i}") for i in range(k)]
+            *[
+                F.expr(f"sum({combined([second(i, j) for j in range(k + 1)], beta)} + __w * z{i} * zr)").alias(f"s{i}")
+                for i in range(k)
+            ]
         )
         nested = cells.select(cluster).distinct().count() if cluster in fe else 0
         fit = _clustered(fit, scores, k, nested)

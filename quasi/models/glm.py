@@ -8,11 +8,12 @@ first, so iterations run over the distinct regressor combinations.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -43,7 +44,7 @@ def _spark_glm(source: DataFrame, design: Design, label: Column, weight: Column,
         coef[0] = {"logit": lambda m: np.log(m / (1 - m)), "log": np.log}[link](total)
         return coef, None, kept
     model = GeneralizedLinearRegression(
-        family=family, link=link, maxIter=100, tol=1e-12, labelCol="label", weightCol="weight"
+        family=family, link=link, maxIter=50, tol=1e-8, labelCol="label", weightCol="weight"
     ).fit(data)
     coef[0] = model.intercept
     coef[kept] = model.coefficients.toArray()
@@ -232,10 +233,56 @@ def multinomial(df: DataFrame, y: str, terms: Sequence, weight: str | None = Non
     else:
         data = _assembled(source, design, kept, [F.col("__label").alias("label"), F.col("__w").alias("weight")])
         model = LogisticRegression(
-            family="multinomial", regParam=0.0, maxIter=1000, tol=1e-14, weightCol="weight", standardization=True
+            family="multinomial", regParam=0.0, maxIter=200, tol=1e-8, weightCol="weight", standardization=True
         ).fit(data)
         coef[:, 0] = model.interceptVector.toArray()
         coef[:, kept] = model.coefficientMatrix.toArray()
+        coef = _polish(source, design, coef - coef[0], kept)
     source.unpersist()
     coef = coef - coef[0]
     return Multinomial(design, levels, coef)
+
+
+def _polish(source: DataFrame, design: Design, coef: np.ndarray, kept: Sequence[int], steps: int = 3) -> np.ndarray:
+    """Newton steps from the optimiser's solution, each one pass of gradient and Hessian sums."""
+    used = [0, *kept]
+    k, p = len(coef) - 1, len(used)
+    if k * p > 400:
+        return coef
+    named = source.select("__label", "__w", *[design.columns[i].cast("double").alias(f"x{i}") for i in used])
+
+    def derivatives(beta: np.ndarray):
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            grad, hess = np.zeros((k, p)), np.zeros((k, p, k, p))
+            for batch in batches:
+                label, w, x = batch["__label"].to_numpy(int), batch["__w"].to_numpy(float), batch.iloc[:, 2:].to_numpy(float)
+                eta = np.column_stack([np.zeros(len(x)), x @ beta.T])
+                prob = np.exp(eta - eta.max(1, keepdims=True))
+                prob = (prob / prob.sum(1, keepdims=True))[:, 1:]
+                hit = (label[:, None] == np.arange(1, k + 1)[None, :]).astype(float)
+                grad += (w[:, None] * (hit - prob)).T @ x
+                for a in range(k):
+                    for b in range(k):
+                        curve = w * (prob[:, a] * float(a == b) - prob[:, a] * prob[:, b])
+                        hess[a, :, b, :] += (x * curve[:, None]).T @ x
+            yield pd.DataFrame({"v": [np.concatenate([grad.ravel(), hess.ravel()])]})
+
+        total = (
+            named.mapInPandas(partial, "v array<double>").select(F.posexplode("v").alias("pos", "v"))
+            .groupBy("pos").agg(F.sum("v").alias("v")).toPandas().sort_values("pos").v.to_numpy()
+        )
+        return total[: k * p], total[k * p:].reshape(k * p, k * p)
+
+    beta = coef[1:, used].copy()
+    for _ in range(steps):
+        grad, hess = derivatives(beta)
+        move = np.linalg.lstsq(hess, grad, rcond=1e-10)[0].reshape(k, p)
+        # A separated level has no finite optimum; leave the optimiser's answer.
+        if not np.all(np.isfinite(move)) or np.max(np.abs(move)) > 1.0:
+            break
+        beta = beta + move
+        if np.max(np.abs(move)) < 1e-9:
+            break
+    out = coef.copy()
+    out[1:, used] = beta
+    return out

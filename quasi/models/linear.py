@@ -94,7 +94,7 @@ def gram(df: DataFrame, columns: Sequence[Column], weight: Column | None = None)
     named = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)], w.cast("double").alias("w"))
     out = np.zeros((p, p))
     if len(pairs) <= JVM_SUMS:
-        row = named.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w")).alias(f"s{i}_{j}") for i, j in pairs]).first()
+        row = named.agg(*[F.expr(f"sum(x{i} * x{j} * w)").alias(f"s{i}_{j}") for i, j in pairs]).first()
         values = [v or 0.0 for v in row]
     else:
         upper = np.triu_indices(p)

@@ -69,12 +69,11 @@ def random_intercept_logit(
         parts = state.select(
             "__gkey", (w * curve).alias("v"), (eta + (yb - mu) / curve).alias("z"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(design.columns)]
         )
-        v, z = F.col("v"), F.col("z")
         return parts.groupBy("__gkey").agg(
-            F.sum(v).alias("sw"), F.sum(v * z).alias("sz"),
-            *[F.sum(v * F.col(f"x{i}")).alias(f"sx{i}") for i in range(p)],
-            *[F.sum(v * z * F.col(f"x{i}")).alias(f"sxz{i}") for i in range(p)],
-            *[F.sum(v * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"sxx{i}_{j}") for i, j in pairs],
+            F.expr("sum(v)").alias("sw"), F.expr("sum(v * z)").alias("sz"),
+            *[F.expr(f"sum(v * x{i})").alias(f"sx{i}") for i in range(p)],
+            *[F.expr(f"sum(v * z * x{i})").alias(f"sxz{i}") for i in range(p)],
+            *[F.expr(f"sum(v * x{i} * x{j})").alias(f"sxx{i}_{j}") for i, j in pairs],
         )
 
     used_iterations, vcov = 0, np.zeros((p, p))
