@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quasi.operators.skew import running_totals
+from quasi.operators.skew import null_safe, running_totals
 
 
 def _score_counts(df: DataFrame, truth: str, score: str, positive: object, by: Sequence[str] = ()) -> DataFrame:
@@ -85,22 +85,17 @@ def threshold_sweep(
     slots = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(*by, slot.alias("slot")).agg(
         F.count(F.when(hit, 1)).alias("pos"), F.count(F.when(~hit, 1)).alias("neg")
     )
-    rows = []
-    for i, t in enumerate(grid):
-        above = F.col("slot") > i
-        rows.append(
-            [F.sum(F.when(above, F.col(c)).otherwise(0)).alias(f"{c}_above_{i}") for c in ("pos", "neg")]
-        )
-    wide = slots.groupBy(*by).agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *[a for pair in rows for a in pair]
+    totals = slots.groupBy(*by).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    # A slot counts towards every threshold below it.
+    above = slots.where("slot > 0").select(*by, "pos", "neg", F.explode(F.sequence(F.lit(0), F.col("slot") - 1)).alias("i"))
+    above = above.groupBy(*[F.col(c).alias(f"__o_{c}") for c in by], F.col("i").alias("__i")).agg(
+        F.sum("pos").alias("tp"), F.sum("neg").alias("fp")
     )
-    entries = [
-        F.struct(F.lit(float(t)).alias("threshold"), F.col(f"pos_above_{i}").alias("tp"), F.col(f"neg_above_{i}").alias("fp"))
-        for i, t in enumerate(grid)
-    ]
-    long = wide.select(*by, "pos", "neg", F.explode(F.array(*entries)).alias("e")).select(*by, "pos", "neg", "e.*")
-    tp, fp = F.col("tp"), F.col("fp")
-    return long.select(*by, "threshold", *_rates(tp, fp, F.col("pos") - tp, F.col("neg") - fp))
+    points = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(grid)])
+    wide = totals.select(*by, "pos", "neg", F.explode(points).alias("e")).select(*by, "pos", "neg", "e.*")
+    joined = wide.join(above, null_safe(wide, above, [*[(c, f"__o_{c}") for c in by], ("i", "__i")]), "left")
+    tp, fp = (F.coalesce(F.col(c), F.lit(0)) for c in ("tp", "fp"))
+    return joined.select(*by, "threshold", *_rates(tp, fp, F.col("pos") - tp, F.col("neg") - fp))
 
 
 def regression_metrics(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:

@@ -12,28 +12,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quasi.functions.columns import unit_hash
-from quasi.operators.skew import hash_rank, hash_top
+from quasi.operators.skew import below_cut, hash_cut, hash_rank, hash_top
 
 
 def stratified_split(df: DataFrame, key: str, strata: Sequence[str], prop: float = 0.8, seed: object = 0) -> DataFrame:
-    """Add ``split``: the first floor(prop * n) rows of each stratum in hash order are 'train'."""
-    ranked = hash_rank(df, key, strata, seed, "__rank", "__n")
-    cut = F.floor(F.lit(prop) * F.col("__n"))
-    return ranked.withColumn("split", F.when(F.col("__rank") <= cut, "train").otherwise("test")).drop("__rank", "__n")
+    """Add ``split``: the first floor(prop * n) rows of each stratum in hash order are 'train'.
+
+    Each row compares its own hash with its stratum's cut, so the rows are not shuffled.
+    """
+    cuts = hash_cut(df, key, prop, strata, seed)
+    marked = below_cut(df, key, cuts, strata, seed, "__below")
+    return marked.withColumn("split", F.when(F.col("__below"), "train").otherwise("test")).drop("__below")
 
 
 def mc_cv(df: DataFrame, key: str, times: int = 25, prop: float = 0.75, seed: object = 0) -> DataFrame:
     """Monte-Carlo resamples in long form: (resample_id, row, in_analysis).
 
-    Each repeat is an independent hash ranking, cut exactly at floor(prop * n). The output has
-    times * n rows by definition; repeats are exploded from an array, and ranking is spread by buckets.
+    Each repeat has its own hash order, cut exactly at floor(prop * n). The output has times * n rows by
+    definition; repeats are exploded from an array, and only one cut per repeat is joined back.
     """
-    long = df.withColumn("resample_id", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    # Spread the rows before they are multiplied, so that few input files do not mean few tasks.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = df.repartition(partitions, key).withColumn("resample_id", F.explode(F.sequence(F.lit(1), F.lit(times))))
     long = long.withColumn("__row", F.concat_ws(":", F.col("resample_id"), F.col(key).cast("string")))
-    ranked = hash_rank(long, "__row", ["resample_id"], seed, "__rank", "__n")
-    return ranked.withColumn(
-        "in_analysis", (F.col("__rank") <= F.floor(F.lit(prop) * F.col("__n"))).cast("int")
-    ).drop("__row", "__rank", "__n")
+    cuts = hash_cut(long, "__row", prop, ["resample_id"], seed)
+    marked = below_cut(long, "__row", cuts, ["resample_id"], seed, "__below")
+    return marked.withColumn("in_analysis", F.col("__below").cast("int")).drop("__row", "__below")
 
 
 def vfold_cv(df: DataFrame, key: str, v: int = 10, seed: object = 0) -> DataFrame:

@@ -153,6 +153,59 @@ def hash_rank(
     )
 
 
+def hash_cut(df: DataFrame, key: str, prop: float, by: Sequence[str] = (), seed: object = 0) -> DataFrame:
+    """Per group, the hash below or at which exactly floor(prop * n) rows lie: (by, cut_hash, cut_key).
+
+    Rows are only counted, never shuffled. Counts by the first three hex digits find the bucket that
+    holds the cut, counts by the next three narrow it to one in 16 million of the group, and the few rows
+    left are ranked. Groups with no row below the cut are absent.
+    """
+    by = list(by)
+    hashed = df.select(*by, F.col(key).alias("__key"), unit_hash(key, seed).alias("__h"))
+    along = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+
+    def locate(rows: DataFrame, first: int, target: Column | None) -> DataFrame:
+        """The bucket in which the running count passes the target, and what is left of the target."""
+        counts = rows.groupBy(*by, *([] if target is None else ["__left"]), F.substring("__h", first, 3).alias("__b")).agg(
+            F.count(F.lit(1)).alias("__c")
+        )
+        upto = F.sum("__c").over(along.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0))
+        goal = F.floor(F.lit(prop) * F.sum("__c").over(along)) if target is None else target
+        found = counts.select(*by, "__b", goal.alias("__goal"), upto.alias("__upto"), "__c")
+        hit = found.where((F.col("__upto") >= F.col("__goal")) & (F.col("__upto") - F.col("__c") < F.col("__goal")))
+        return hit.select(
+            *[F.col(c).alias(f"__o_{c}") for c in by], F.col("__b").alias("__bucket"),
+            (F.col("__goal") - (F.col("__upto") - F.col("__c"))).alias("__left"),
+        )
+
+    def inside(rows: DataFrame, first: int, where: DataFrame) -> DataFrame:
+        kept = rows.withColumn("__b", F.substring("__h", first, 3))
+        pairs = [*[(c, f"__o_{c}") for c in by], ("__b", "__bucket")]
+        return kept.join(where, null_safe(kept, where, pairs), "inner").select(*by, "__key", "__h", "__left")
+
+    narrow = inside(hashed, 1, locate(hashed, 1, None))
+    narrower = inside(narrow.drop("__left"), 4, locate(narrow, 4, F.col("__left")))
+    ranked = narrower.withColumn("__r", F.row_number().over(along.orderBy("__h", "__key")))
+    return ranked.where(F.col("__r") == F.col("__left")).select(
+        *by, F.col("__h").alias("cut_hash"), F.col("__key").alias("cut_key")
+    )
+
+
+def below_cut(df: DataFrame, key: str, cuts: DataFrame, by: Sequence[str] = (), seed: object = 0, to: str = "below") -> DataFrame:
+    """Mark rows at or below their group's cut (ties by key); only the cut table moves."""
+    by = list(by)
+    side = cuts.select(*[F.col(c).alias(f"__o_{c}") for c in by], "cut_hash", "cut_key")
+    hashed = df.withColumn("__h", unit_hash(key, seed))
+    joined = (
+        hashed.join(side, null_safe(hashed, side, [(c, f"__o_{c}") for c in by]), "left")
+        if by
+        else hashed.join(F.broadcast(side), F.lit(True), "left")
+    )
+    h, k = F.col("__h"), F.col(key)
+    flag = (h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (k <= F.col("cut_key")))
+    return joined.select(*df.columns, F.coalesce(flag, F.lit(False)).alias(to))
+
+
 def hash_top(df: DataFrame, key: str, n: int, by: Sequence[str] = (), seed: object = 0) -> DataFrame:
     """The n rows of every group that come first by hash; map-side limits keep hot groups small."""
     hashed = df.withColumn("__h", unit_hash(key, seed))
