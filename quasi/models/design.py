@@ -7,7 +7,7 @@ scan over all factor columns together and their number is checked.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -154,9 +154,18 @@ def build_design(df: DataFrame, terms: Sequence, intercept: bool = True) -> Desi
     return Design([n for n, _ in pairs], [c for _, c in pairs], sources, discrete, levels)
 
 
-def dummy_encode(df: DataFrame, columns: Sequence[str], drop_first: bool = True) -> DataFrame:
-    """One 0/1 column per level (first level dropped), original columns removed."""
+def dummy_encode(
+    df: DataFrame, columns: Sequence[str], drop_first: bool = True, order: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """One 0/1 column per level (first level dropped), original columns removed.
+
+    Levels are sorted unless ``order`` lists a column's levels; listed levels that do not occur are kept
+    out.
+    """
     levels = find_levels(df, columns)
+    for c, wanted in (order or {}).items():
+        if c in levels:
+            levels[c] = [v for v in wanted if v in levels[c]] + [v for v in levels[c] if v not in wanted]
     out = [F.col(c) for c in df.columns if c not in columns]
     for c in columns:
         for v in levels[c][1 if drop_first else 0:]:

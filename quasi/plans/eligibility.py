@@ -179,16 +179,27 @@ FEATURES = [
 ]
 
 
+# Level order of labelled features; the first level is the base.
+LEVEL_ORDER = {
+    "disab": list(DISABLED.values()), "gender": list(SEX.values()), "marsta": list(MARITAL.values()),
+    "seeking": list(YES_NO.values()), "children": ["0", "1", "2+"], "i_c": BAND_LABELS, "house_ten": list(SIM_TENURE),
+    "house_resp": list(YES_NO.values()), "caring": list(YES_NO.values()),
+}
+
+
 def model_matrix(rows: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Numeric dummies of the features, first level dropped."""
     keep = ["year", "idhh", "idperson", "uc_receipt", "age", "student", "hours_worked_wk"]
-    return dummy_encode(rows.select(*keep, *features), list(features))
+    return dummy_encode(rows.select(*keep, *features), list(features), order=LEVEL_ORDER)
 
 
 def eligibility_terms() -> list:
     """Main effects and the interactions of gender, children, job tenure, caring and marital status."""
-    gender, children, tenure, marital, caring = (factor(c) for c in ("gender", "children", "emp_len", "marsta", "caring"))
-    mains = ["age", "hours_worked_wk", "student", *[factor(c) for c in FEATURES]]
+    def base(c: str) -> factor:
+        return factor(c, ref=LEVEL_ORDER[c][0]) if c in LEVEL_ORDER else factor(c)
+
+    gender, children, tenure, marital, caring = (base(c) for c in ("gender", "children", "emp_len", "marsta", "caring"))
+    mains = ["age", "hours_worked_wk", "student", *[base(c) for c in FEATURES]]
     return mains + [
         interaction(gender, children), interaction(gender, children, tenure), interaction(children, tenure),
         interaction("student", children), interaction("student", caring), interaction(marital, gender),
