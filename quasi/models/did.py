@@ -26,7 +26,7 @@ from quasi.models.fe import (
 from quasi.models.glm import logit
 from quasi.models.linear import Fit, gram, ols, solve_kept
 from quasi.operators.reshape import cohort_pairs
-from quasi.operators.skew import null_safe
+from quasi.operators.skew import attach_totals
 
 MAX_CELLS = 20_000
 
@@ -190,9 +190,8 @@ def _effects_frame(spark, keys: pd.DataFrame, effects, vcov, draws, level, unifo
 
 def balanced_units(df: DataFrame, unit: str, time: str, n_periods: int) -> DataFrame:
     """Rows of units seen in every period."""
-    seen = df.groupBy(F.col(unit).alias("__u")).agg(F.count_distinct(time).alias("__k"))
-    full = seen.where(F.col("__k") == n_periods).select("__u")
-    return df.join(full, df[unit] == full["__u"], "left_semi")
+    counted = attach_totals(df, [unit], [F.count_distinct(time).alias("__k")])
+    return counted.where(F.col("__k") == n_periods).drop("__k")
 
 
 def _comparisons(cells: pd.DataFrame, control: str) -> tuple[list, list, set]:

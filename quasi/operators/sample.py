@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quasi.functions.columns import unit_hash
-from quasi.operators.skew import below_cut, hash_cut, hash_rank, hash_top
+from quasi.operators.skew import below_cut, hash_rank, hash_top
 
 
 def stratified_split(df: DataFrame, key: str, strata: Sequence[str], prop: float = 0.8, seed: object = 0) -> DataFrame:
@@ -20,8 +20,7 @@ def stratified_split(df: DataFrame, key: str, strata: Sequence[str], prop: float
 
     Each row compares its own hash with its stratum's cut, so the rows are not shuffled.
     """
-    cuts = hash_cut(df, key, prop, strata, seed)
-    marked = below_cut(df, key, cuts, strata, seed, "__below")
+    marked = below_cut(df, key, prop, strata, seed, "__below")
     return marked.withColumn("split", F.when(F.col("__below"), "train").otherwise("test")).drop("__below")
 
 
@@ -35,8 +34,7 @@ def mc_cv(df: DataFrame, key: str, times: int = 25, prop: float = 0.75, seed: ob
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = df.repartition(partitions, key).withColumn("resample_id", F.explode(F.sequence(F.lit(1), F.lit(times))))
     long = long.withColumn("__row", F.concat_ws(":", F.col("resample_id"), F.col(key).cast("string")))
-    cuts = hash_cut(long, "__row", prop, ["resample_id"], seed)
-    marked = below_cut(long, "__row", cuts, ["resample_id"], seed, "__below")
+    marked = below_cut(long, "__row", prop, ["resample_id"], seed, "__below", few=True)
     return marked.withColumn("in_analysis", F.col("__below").cast("int")).drop("__row", "__below")
 
 

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from quasi.functions.columns import unit_hash
 
 HOT_GROUPS = 1000
-BUCKETS = 256
+FEW_GROUPS = 100_000
+MIN_BUCKETS, MAX_BUCKETS = 64, 2048
 
 
 def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -55,7 +56,8 @@ def attach_totals(df: DataFrame, keys: Sequence[str], totals: Sequence[Column])
     first = first.withColumn(
         "__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(1 + F.spark_partition_id())
     )
-    cold = grouped.select(*side_keys, F.lit(0).alias("__cold_salt"), F.struct(*names).alias("__cold"))
+    # The always-true filter keeps both sides on the same aggregate, so its shuffle is reused.
+    cold = grouped.where(F.col("__rows") > 0).select(*side_keys, F.lit(0).alias("__cold_salt"), F.struct(*names).alias("__cold"))
     joined = first.join(
         cold,
         null_safe(first, cold, list(zip(keys, side_keys))) & (first["__salt"] == cold["__cold_salt"]),
@@ -67,14 +69,16 @@ def attach_totals(df: DataFrame, keys: Sequence[str], totals: Sequence[Column])
     )
 
 
-def value_buckets(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
+def value_buckets(df: DataFrame, column: str) -> DataFrame:
     """Number rows by approximate quantile ranges of a numeric column (``__bucket``).
 
-    Any set of boundaries gives exact results later; balanced ones give even work.
+    Any set of boundaries gives exact results later; balanced ones give even work. There are as many
+    buckets as shuffle partitions, within bounds.
     """
+    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     probabilities = [i / buckets for i in range(1, buckets)]
     typed = df.withColumn("__value", F.col(column).cast("double"))
-    inner = sorted(set(typed.approxQuantile("__value", probabilities, 0.002)))
+    inner = sorted(set(typed.approxQuantile("__value", probabilities, 0.25 / buckets)))
     splits = [-float("inf"), *inner, float("inf")]
     return (
         Bucketizer(splits=splits, inputCol="__value", outputCol="__bucket", handleInvalid="keep")
@@ -90,7 +94,7 @@ def running_totals(
 
     ``order`` must be unique within a group (aggregate first). Adds ``<name><suffix>`` inclusive running
     sums and ``<name>_total`` group totals. Two levels: bucket totals are cumulated over at most
-    BUCKETS rows per group, and rows are cumulated inside (group, bucket).
+    MAX_BUCKETS rows per group, and rows are cumulated inside (group, bucket).
     """
     by = list(by)
     bucketed = value_buckets(df, order)
@@ -153,14 +157,28 @@ def hash_rank(
     )
 
 
-def hash_cut(df: DataFrame, key: str, prop: float, by: Sequence[str] = (), seed: object = 0) -> DataFrame:
+def few_groups(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether the grouping columns have at most FEW_GROUPS combinations (reads those columns only)."""
+    return not by or df.select(*by).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+
+
+def sized(side: DataFrame, few: bool) -> DataFrame:
+    """Broadcast a table with one row per group when the number of groups was found small."""
+    return F.broadcast(side) if few else side
+
+
+def hash_cut(
+    df: DataFrame, key: str, prop: float, by: Sequence[str] = (), seed: object = 0, few: bool | None = None
+) -> DataFrame:
     """Per group, the hash below or at which exactly floor(prop * n) rows lie: (by, cut_hash, cut_key).
 
-    Rows are only counted, never shuffled. Counts by the first three hex digits find the bucket that
+    Rows are only counted; with few groups (checked unless the caller knows) they are never shuffled.
+    Counts by the first three hex digits find the bucket that
     holds the cut, counts by the next three narrow it to one in 16 million of the group, and the few rows
     left are ranked. Groups with no row below the cut are absent.
     """
     by = list(by)
+    few = few_groups(df, by) if few is None else few
     hashed = df.select(*by, F.col(key).alias("__key"), unit_hash(key, seed).alias("__h"))
     along = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
@@ -181,7 +199,7 @@ def hash_cut(df: DataFrame, key: str, prop: float, by: Sequence[str] = (), seed:
     def inside(rows: DataFrame, first: int, where: DataFrame) -> DataFrame:
         kept = rows.withColumn("__b", F.substring("__h", first, 3))
         pairs = [*[(c, f"__o_{c}") for c in by], ("__b", "__bucket")]
-        return kept.join(where, null_safe(kept, where, pairs), "inner").select(*by, "__key", "__h", "__left")
+        return kept.join(sized(where, few), null_safe(kept, where, pairs), "inner").select(*by, "__key", "__h", "__left")
 
     narrow = inside(hashed, 1, locate(hashed, 1, None))
     narrower = inside(narrow.drop("__left"), 4, locate(narrow, 4, F.col("__left")))
@@ -191,13 +209,20 @@ def hash_cut(df: DataFrame, key: str, prop: float, by: Sequence[str] = (), seed:
     )
 
 
-def below_cut(df: DataFrame, key: str, cuts: DataFrame, by: Sequence[str] = (), seed: object = 0, to: str = "below") -> DataFrame:
-    """Mark rows at or below their group's cut (ties by key); only the cut table moves."""
+def below_cut(
+    df: DataFrame, key: str, prop: float, by: Sequence[str] = (), seed: object = 0, to: str = "below", few: bool | None = None
+) -> DataFrame:
+    """Mark the first floor(prop * n) rows of each group in hash order (ties by key).
+
+    With few groups only the table of cuts moves.
+    """
     by = list(by)
+    few = few_groups(df, by) if few is None else few
+    cuts = hash_cut(df, key, prop, by, seed, few)
     side = cuts.select(*[F.col(c).alias(f"__o_{c}") for c in by], "cut_hash", "cut_key")
     hashed = df.withColumn("__h", unit_hash(key, seed))
     joined = (
-        hashed.join(side, null_safe(hashed, side, [(c, f"__o_{c}") for c in by]), "left")
+        hashed.join(sized(side, few), null_safe(hashed, side, [(c, f"__o_{c}") for c in by]), "left")
         if by
         else hashed.join(F.broadcast(side), F.lit(True), "left")
     )
