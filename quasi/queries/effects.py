@@ -40,10 +40,20 @@ def t1(spark, sf):
     return rounded(fit.table(spark).where("term = 'treat_1:post_1'").select("term", "estimate"), 3)
 
 
-@query("t1_did_2x2_inference")
+@query(
+    "t1_did_2x2_inference",
+    f"""WITH x AS (SELECT (g > 0)::INT AS a, (t >= 1998)::INT AS p, y FROM {ROWS}), c AS (SELECT a, p, avg(y) AS m, count(*)::DOUBLE AS n, var_pop(y) * count(*) AS ss FROM x GROUP BY 1, 2),
+             s AS (SELECT sum(ss) / (sum(n) - 4) AS s2 FROM c),
+             w AS (SELECT any_value(s2) AS s2, max(m) FILTER (a=0 AND p=0) AS m00, max(m) FILTER (a=1 AND p=0) AS m10, max(m) FILTER (a=0 AND p=1) AS m01, max(m) FILTER (a=1 AND p=1) AS m11,
+                          max(1/n) FILTER (a=0 AND p=0) AS v00, max(1/n) FILTER (a=1 AND p=0) AS v10, max(1/n) FILTER (a=0 AND p=1) AS v01, max(1/n) FILTER (a=1 AND p=1) AS v11 FROM c, s)
+        SELECT '(Intercept)' AS term, round(m00, 3) + 0.0 AS estimate, round(sqrt(s2 * v00), 3) + 0.0 AS std_error FROM w
+        UNION ALL SELECT 'treat_1', round(m10 - m00, 3) + 0.0, round(sqrt(s2 * (v00 + v10)), 3) + 0.0 FROM w
+        UNION ALL SELECT 'post_1', round(m01 - m00, 3) + 0.0, round(sqrt(s2 * (v00 + v01)), 3) + 0.0 FROM w
+        UNION ALL SELECT 'treat_1:post_1', round(m11 - m10 - m01 + m00, 3) + 0.0, round(sqrt(s2 * (v00 + v10 + v01 + v11)), 3) + 0.0 FROM w""",
+)
 def t1_inference(spark, sf):
     rows = order_cohorts(spark, sf).withColumn("treat", (F.col("g") > 0).cast("int")).withColumn("post", (F.col("t") >= 1998).cast("int"))
-    return rounded(T.did_2x2(rows, "y", "treat", "post").table(spark), 4)
+    return rounded(T.did_2x2(rows, "y", "treat", "post").table(spark).select("term", "estimate", "std_error"), 3)
 
 
 @query(
@@ -132,25 +142,34 @@ def t5_cross(spark, sf):
     return _effects(gt, spark)
 
 
-def _adjusted(spark, sf, est):
-    rows = order_cohorts(spark, sf)
-    return T.att_gt(rows, "y", "t", "g", control="never", panel=False, covariates=[factor("c_mktsegment")], est=est)
+_ADJUSTED = """WITH r AS ({rows}), c AS (SELECT g, t, s, avg(y) AS m, count(*) AS n FROM r GROUP BY 1, 2, 3), o AS (SELECT g, t, avg(y) AS m FROM r GROUP BY 1, 2),
+    k AS (SELECT a.g, b.t, CASE WHEN b.t >= a.g THEN a.g - 1 ELSE b.t - 1 END AS b FROM (SELECT DISTINCT g FROM r WHERE g > 1995 AND g <= 2000) a, (SELECT DISTINCT t FROM r WHERE t > 1995) b),
+    m AS (SELECT k.g, k.t, k.b, c.s, sum(c.n) AS n FROM k JOIN c ON c.g = k.g AND c.t IN (k.t, k.b) GROUP BY 1, 2, 3, 4),
+    j AS (SELECT m.g, m.t, any_value(m.b) AS b, sum(m.n * (x.m - z.m)) / sum(m.n) AS adj FROM m JOIN c x ON x.g = 0 AND x.t = m.t AND x.s = m.s JOIN c z ON z.g = 0 AND z.t = m.b AND z.s = m.s GROUP BY 1, 2)
+    SELECT j.g::BIGINT AS g, j.t::BIGINT AS t, round(x.m - z.m - adj, 3) + 0.0 AS att FROM j JOIN o x ON x.g = j.g AND x.t = j.t JOIN o z ON z.g = j.g AND z.t = j.b"""
 
 
-@query("t5_att_gt_regression")
+@query("t5_att_gt_regression", _ADJUSTED.format(rows=f"SELECT g, t, c_mktsegment AS s, y FROM {ROWS}"))
 def t5_reg(spark, sf):
-    return rounded(T.aggregated_frame(T.aggte(_adjusted(spark, sf, "reg"), "dynamic"), spark).select("key", "att"), 3)
+    """Outcome regression on market segment, repeated cross-sections."""
+    gt = T.att_gt(order_cohorts(spark, sf), "y", "t", "g", control="never", panel=False, covariates=[factor("c_mktsegment")], est="reg")
+    return _effects(gt, spark)
+
 
+_SEGMENT_PANEL = f"""SELECT g, t, s, avg(y) AS y FROM (SELECT unit, c_mktsegment AS s, t, g, y FROM {ROWS}) GROUP BY unit, s, t, g
+    QUALIFY count(*) OVER (PARTITION BY unit, s) = 6"""
 
-@query("t5_att_gt_doubly_robust")
+
+@query("t5_att_gt_doubly_robust", _ADJUSTED.format(rows=_SEGMENT_PANEL))
 def t5_dr(spark, sf):
-    """Market segments are constant within customers, so the propensity is fitted once per cohort."""
-    panel = orders_by_customer(spark, sf).where(F.year("o_orderdate") < 2001).groupBy(
-        "c_nationkey", "c_mktsegment", F.year("o_orderdate").alias("t"), timing().alias("g")
-    ).agg(F.avg("o_totalprice").alias("y"))
-    panel = panel.withColumn("unit", F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment"))
-    gt = T.att_gt(panel, "y", "t", "g", "unit", covariates=[factor("c_mktsegment")], est="dr")
-    return rounded(T.aggregated_frame(T.aggte(gt, "group"), spark).select("key", "att"), 3)
+    """Nation-by-segment panel, doubly robust in the segment.
+
+    Segments are fixed within units, so the propensity is fitted once per cohort; with a saturated
+    covariate the estimate equals segment-standardised differences, which is what the SQL computes.
+    """
+    panel = order_cohorts(spark, sf).groupBy("unit", "c_mktsegment", "t", "g").agg(F.avg("y").alias("y"))
+    panel = panel.withColumn("id", F.concat_ws("-", F.col("unit").cast("string"), "c_mktsegment"))
+    return _effects(T.att_gt(panel, "y", "t", "g", "id", covariates=[factor("c_mktsegment")], est="dr"), spark)
 
 
 _SHARES = ", s AS (SELECT g, sum(n)::DOUBLE AS p FROM m GROUP BY 1)"
@@ -191,7 +210,14 @@ def t7(spark, sf):
     return rounded(T.aggregated_frame(T.aggte(gt, "dynamic"), spark, uniform=True), 3)
 
 
-@query("t7_analytic_errors")
+@query(
+    "t7_analytic_errors",
+    f"""WITH p AS (SELECT * FROM {PANEL}), k AS (SELECT a.g, b.t, CASE WHEN b.t >= a.g THEN a.g - 1 ELSE b.t - 1 END AS b FROM (SELECT DISTINCT g FROM p WHERE g > 1995 AND g <= 2000) a, (SELECT DISTINCT t FROM p WHERE t > 1995) b),
+             d AS (SELECT k.g, k.t, x.g AS own, x.y - z.y AS dy FROM k JOIN p x ON x.t = k.t AND x.g IN (0, k.g) JOIN p z ON z.unit = x.unit AND z.t = k.b),
+             m AS (SELECT g, t, own, avg(dy) AS m, var_pop(dy) / count(*) AS v FROM d GROUP BY 1, 2, 3), n AS (SELECT count(DISTINCT unit)::DOUBLE AS n FROM p),
+             e AS (SELECT g, t, sum(CASE WHEN own = 0 THEN -m ELSE m END) AS att, sqrt(sum(v) * any_value(n) / (any_value(n) - 1)) AS se FROM m, n GROUP BY 1, 2)
+        SELECT g::BIGINT AS g, t::BIGINT AS t, round(att, 3) + 0.0 AS att, round(se, 3) + 0.0 AS se, round(att - {NormalDist().inv_cdf(0.975)!r} * se, 3) + 0.0 AS ci_lo, round(att + {NormalDist().inv_cdf(0.975)!r} * se, 3) + 0.0 AS ci_hi FROM e""",
+)
 def t7_analytic(spark, sf):
     gt = T.att_gt(nation_year_panel(spark, sf), "y", "t", "g", "unit")
     return rounded(gt.frame(spark), 3)

@@ -98,12 +98,21 @@ def x6(spark, sf):
     return _by_type(w.withColumn("weight", F.log("weight")))
 
 
-@query("x7_iptw_binned")
+@query(
+    "x7_iptw_binned",
+    f"""WITH o AS (SELECT o_orderpriority AS p, CASE WHEN o_orderkey % 6 = 0 THEN 0 ELSE o_totalprice END AS a FROM orders),
+             q AS (SELECT list_prepend(0.0::DOUBLE, [{", ".join(f"quantile_cont(a, {i}.0/15.0)" for i in range(16))}]) AS cuts FROM o WHERE a <> 0),
+             b AS (SELECT p, greatest(len(list_filter(cuts, lambda x: x < a)) - 1, 0) AS bin FROM o, q),
+             c AS (SELECT bin, p, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY p) AS p1, sum(count(*)) OVER (PARTITION BY bin) / sum(count(*)) OVER () AS p0 FROM b GROUP BY 1, 2)
+        SELECT bin::BIGINT AS bin, sum(n)::BIGINT AS n, round(sum(n * p0 / p1) / sum(n), 3) + 0.0 AS mean FROM c GROUP BY 1""",
+)
 def x7(spark, sf):
-    """Zero bin and 15 quantile bins of line value, by order priority."""
+    """Zero bin and 15 quantile bins of order value, by order priority."""
     o = table(spark, sf, "orders").withColumn("amount", F.when(F.col("o_orderkey") % 6 == 0, 0.0).otherwise(F.col("o_totalprice")))
     w = X.iptw_binned(o, "amount", [], [factor("o_orderpriority")])
-    return rounded(w.groupBy("amount_bin").agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("mean")), 3)
+    return rounded(
+        w.groupBy(F.substring("amount_bin", 1, 2).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("mean")), 3
+    )
 
 
 _RAW_WEIGHT = "CASE WHEN l_tax = 0 THEN 'Infinity'::DOUBLE WHEN l_tax > 0.07 THEN NULL WHEN l_discount = 0 THEN 0 ELSE l_discount / l_tax END"
