@@ -24,7 +24,7 @@ from quasi.models.fe import (
     with_relative_key,
 )
 from quasi.models.glm import logit
-from quasi.models.linear import Fit, gram, ols, solve_kept
+from quasi.models.linear import Fit, _sources, gram, ols, solve_kept
 from quasi.operators.reshape import cohort_pairs
 from quasi.operators.skew import attach_totals
 
@@ -250,6 +250,8 @@ def att_gt(
         n_periods = base.select("__t").distinct().count()
         base = balanced_units(base, unit, "__t", n_periods)
         cluster = cluster or unit
+    needed = [y, *_sources(covariates), *[c for c in (weight, cluster) if c]]
+    base = base.select("__g", "__t", *dict.fromkeys(needed)).persist()
     cells = cell_means(base, y, "__t", "__g", weight)
     check_units(cells)
     todo, periods, _ = _comparisons(cells, control)
@@ -269,10 +271,12 @@ def att_gt(
     out = GroupTime(table, cells, contrast, shares, options={"control": control, "periods": periods})
     if covariates:
         table["att"] = _adjusted(base, y, covariates, est, todo, weight, panel)
+        base.unpersist()
         return out
     table["att"] = contrast @ cells["mean"].to_numpy()
     spread = _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, seed)
     out.vcov, out.draws, out.clusters = spread
+    base.unpersist()
     return out
 
 
@@ -359,7 +363,7 @@ def _adjusted(base, y, covariates, est, todo, weight, panel):
             *[F.expr(f"sum(w * x{i} * x{j})").alias(f"s{i}_{j}") for i, j in pairs]
         )
         out = {}
-        for r in grouped.limit(MAX_CELLS).collect():
+        for r in grouped.collect():
             m = np.zeros((p + 1, p + 1))
             for i, j in pairs:
                 m[i, j] = m[j, i] = r[f"s{i}_{j}"]

@@ -89,7 +89,7 @@ def level_products(cells: DataFrame, slots: Sequence[str], p: int, moments: Sequ
             for j, m in enumerate(moments):
                 out[r[a], p + j] = out[p + j, r[a]] = r[m]
         for b in slots[i + 1:]:
-            for r in cells.groupBy(a, b).agg(F.sum("__w").alias("w")).limit(4_000_000).collect():
+            for r in cells.groupBy(a, b).agg(F.sum("__w").alias("w")).collect():
                 out[r[a], r[b]] = out[r[b], r[a]] = r["w"]
     return out
 

@@ -20,6 +20,7 @@ from quasi.functions.columns import unit_hash, unit_uniform
 from quasi.operators.skew import hash_rank
 
 MAX_PIVOTS = 64
+MAX_CLASSES = 1000
 BLOCK_ROWS = 2048
 
 
@@ -168,7 +169,10 @@ def smote(
     """
     vec = F.transform(F.col(features), lambda v: v.cast("double")) if isinstance(features, str) else feature_array(features)
     rows = df.select(F.col(key).alias(key), F.col(label).alias(label), vec.alias("vec"))
-    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()}
+    counted = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(counted) > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
+    counts = {r[label]: r["n"] for r in counted}
     target = math.floor(over_ratio * max(counts.values()))
     minority = [(level, n, target - n) for level, n in sorted(counts.items(), key=lambda kv: str(kv[0])) if 2 <= n < target]
     out = rows.withColumn("synthetic", F.lit(0))

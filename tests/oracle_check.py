@@ -1,6 +1,8 @@
 """Run registered queries next to their SQL in DuckDB and compare whole results.
 
     python tests/oracle_check.py [prefix ...]      # data folder from QUASI_SF_DIR
+
+QUASI_PLAIN_SESSION=1 uses a session with Spark's own defaults instead of the library's local one.
 """
 
 from __future__ import annotations
@@ -71,7 +73,15 @@ def main(prefixes):
     from quasi.session import local_session
 
     sf_dir = os.environ.get("QUASI_SF_DIR", "/root/testdata/sf0.01")
-    spark, con = local_session("oracle-check", os.environ.get("BENCH_CPUS", "8")), connect(sf_dir)
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    if os.environ.get("QUASI_PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master(f"local[{cpus}]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session("oracle-check", cpus)
+    con = connect(sf_dir)
     sqls, failures = entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
