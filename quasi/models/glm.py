@@ -32,6 +32,15 @@ def _assembled(source: DataFrame, design: Design, keep: Sequence[int], extra: Se
     )
 
 
+ROWS_PER_TASK = 50_000
+
+
+def compact(cells: DataFrame) -> DataFrame:
+    """Persisted cells in as few partitions as their number needs, for the iterations that follow."""
+    kept = cells.persist()
+    return kept.coalesce(kept.count() // ROWS_PER_TASK + 1)
+
+
 def _spark_glm(source: DataFrame, design: Design, label: Column, weight: Column, family: str, link: str):
     """Fit on the independent non-constant columns; returns coefficients and covariance pieces."""
     g = gram(source, design.columns, weight)
@@ -62,14 +71,15 @@ def logit(df: DataFrame, y: str, terms: Sequence, weight: str | None = None, pos
     else:
         source = rows
         label, w = F.col("__y"), (F.col(weight).cast("double") if weight else F.lit(1.0))
-    source = source.persist()
+    held = source.persist()
+    source = compact(held) if design.discrete else held
     coef, _, kept = _spark_glm(source, design, label, w, "binomial", "logit")
     fit = Fit(design, design.names, coef, np.zeros((len(coef), len(coef))), 0.0, None, {}, "binomial")
     mu = fit.mean()
     info = gram(source, [*design.columns], w * mu * (1.0 - mu))
     fit.vcov = _inverse(info, coef)
     fit.n = float(source.agg(F.sum("__n" if design.discrete else F.lit(1))).first()[0])
-    source.unpersist()
+    held.unpersist()
     return fit
 
 
@@ -96,7 +106,8 @@ def gamma_glm(df: DataFrame, y: str, terms: Sequence, link: str = "inverse", max
         F.lit(1.0).alias("__w"), F.col(y).cast("double").alias("__wy"),
         (F.col(y).cast("double") * F.col(y).cast("double")).alias("__wyy"), F.lit(1).alias("__n"),
     )
-    source = source.persist()
+    held = source.persist()
+    source = compact(held) if design.discrete else held
     w, ybar = F.col("__w"), F.col("__wy") / F.col("__w")
     n, total = source.agg(F.sum("__n"), F.sum("__wy")).first()
     overall = float(total) / float(n)
@@ -109,7 +120,7 @@ def gamma_glm(df: DataFrame, y: str, terms: Sequence, link: str = "inverse", max
     working = w if link == "log" else w * mu * mu
     info = gram(source, design.columns, working)
     pearson = source.agg(F.sum((F.col("__wyy") - 2.0 * mu * F.col("__wy") + mu * mu * w) / (mu * mu))).first()[0]
-    source.unpersist()
+    held.unpersist()
     live = int(np.sum(~np.isnan(coef)))
     fit.df_resid = float(n) - live
     dispersion = float(pearson) / fit.df_resid
@@ -224,7 +235,8 @@ def multinomial(df: DataFrame, y: str, terms: Sequence, weight: str | None = Non
         source = source.groupBy(*design.sources, "__label").agg(F.sum(w).alias("__w"))
     else:
         source = source.withColumn("__w", w)
-    source = source.persist()
+    held = source.persist()
+    source = compact(held) if design.discrete else held
     coef = np.zeros((len(levels), len(design.names)))
     kept = [i for i in independent_columns(gram(source, design.columns, F.col("__w"))) if i != 0]
     if not kept:
@@ -238,7 +250,7 @@ def multinomial(df: DataFrame, y: str, terms: Sequence, weight: str | None = Non
         coef[:, 0] = model.interceptVector.toArray()
         coef[:, kept] = model.coefficientMatrix.toArray()
         coef = _polish(source, design, coef - coef[0], kept)
-    source.unpersist()
+    held.unpersist()
     coef = coef - coef[0]
     return Multinomial(design, levels, coef)
 
