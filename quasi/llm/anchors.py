@@ -239,15 +239,25 @@ def repeated(
         union = part(F.col("left") - F.col("high"), F.col("high") - F.col("low") + window)
         cut = cut.withColumn("g", F.xxhash64("g", "lo", "hi", common)).withColumn("c", F.xxhash64("low", "high", union))
         cut = stash(cut.drop("half"), f"{name}_cut")
-        same = cut.groupBy("g", "c").agg(F.sum("n").alias("total"), F.min(F.struct("key", "pos")).alias("first"))
-        marked = cut.join(stash(same, f"{name}_same"), ["g", "c"])
-        is_first = (F.col("key") == F.col("first.key")) & (F.col("pos") == F.col("first.pos"))
-        # What is equal to an earlier item is covered whole; the first stands for it in the groups of this half.
-        covered = marked.where(~is_first if keep_first else F.col("total") > 1)
+        # What equals an earlier item is covered whole; the first stands for it in the groups of this half.
+        first = F.min_by(F.struct("left", "right", "low", "high", "body"), F.struct("key", "pos"))
+        same = cut.groupBy("g", "lo", "hi", "c").agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "pos")).alias("place"), first.alias("first")
+        )
+        same = stash(same, f"{name}_same")
+        many = same.where("m > 1").select("g", "c", F.col("place.key").alias("fkey"), F.col("place.pos").alias("fpos"))
+        covered = cut.select("g", "c", "key", "pos", "low", "high").join(many, ["g", "c"])
+        covered = covered.where("key <> fkey or pos <> fpos").select("key", "pos", "low", "high")
+        if not keep_first:
+            copied = same.where("total > 1").select("place.*", "first.low", "first.high")
+            covered = covered.union(copied)
         spans = spans.union(
             covered.select("key", (F.col("pos") - F.col("high")).alias("a"), (F.col("pos") - F.col("low") + window).alias("b"))
         )
-        items = marked.where(is_first).withColumn("n", F.least("total", F.lit(2)) if not keep_first else F.col("total"))
+        items = same.select(
+            "place.*", "first.left", "first.right", (F.col("total") if keep_first else F.least("total", F.lit(2))).alias("n"),
+            "g", "lo", "hi", "first.body",
+        )
         items = stash(items.select(*ready[0].columns), f"{name}_items")
 
     def task(batches):
