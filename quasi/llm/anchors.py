@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quasi.llm.common import stash
 
-SLICE = 1 << 19
+SLICE = 1 << 18
 GROUP = 256
 BUNDLE = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1

@@ -15,6 +15,7 @@ shared evenly among languages and chosen by a hash of the id, at least LEAST_DOC
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -28,7 +29,8 @@ ORDER = 4
 SAMPLE = 6000
 LEAST_DOCS = 50
 START, END = "\x02", "\x03"
-CACHE_TOKENS = 300_000
+OTHER = re.compile(r"[\W\d_]+")
+CACHE_TOKENS = 250_000
 LONG_TOKEN = 48
 SHORT_TEXT = 60.0
 CONFIDENT = 40.0
@@ -37,9 +39,11 @@ UNKNOWN = "und"
 
 def letters(token: str) -> str:
     """The lower-cased letters of a token."""
-    if token.isalpha():
-        return token.lower()
-    return "".join(c for c in token if c.isalpha()).lower()
+    if not token.isalpha():
+        token = OTHER.sub("", token)
+        if not token.isalpha():
+            token = "".join(c for c in token if c.isalpha())
+    return token.lower()
 
 
 def gram_hash(codes: np.ndarray) -> np.ndarray:
@@ -74,6 +78,10 @@ class Model:
 
     def log_prob(self, codes: np.ndarray) -> np.ndarray:
         """Log probabilities of the last character of each ORDER-gram, by language."""
+        _, first, which = np.unique(gram_hash(codes), return_index=True, return_inverse=True)
+        return self._search(codes[first])[which]
+
+    def _search(self, codes: np.ndarray) -> np.ndarray:
         out = np.full((len(codes), len(self.languages)), self.base)
         for order in range(1, ORDER + 1):
             if order > 1:
@@ -177,8 +185,8 @@ class Scorer:
         rows, totals = [], np.zeros((len(texts), len(self.model.languages) + 1))
         for i, text in enumerate(texts):
             tokens = text.split()
-            long = [t for t in tokens if len(t) > LONG_TOKEN]
-            if long:
+            if len(text) > LONG_TOKEN and max(map(len, tokens), default=0) > LONG_TOKEN:
+                long = [t for t in tokens if len(t) > LONG_TOKEN]
                 totals[i] += self._learn(long).sum(axis=0)
                 tokens = [t for t in tokens if len(t) <= LONG_TOKEN]
             rows.append(tokens)
@@ -204,7 +212,7 @@ def _excess(entropy: np.ndarray, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (entropy - mean) * np.sqrt(n / (n + SHORT_TEXT))
 
 
-def _batches(texts: list, most: int = 1 << 21):
+def _batches(texts: list, most: int = 1 << 20):
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")

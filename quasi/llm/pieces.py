@@ -16,6 +16,7 @@ Decoding gives the text back, except that U+2581 comes back as a space, as the m
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from quasi.llm.anchors import mix
 from quasi.llm.suffix import prefix_order
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(" +[^ ]*|[^ ]+")
-NEW_CHARS = 400_000
-CACHE_UNITS = 400_000
+NEW_CHARS = 300_000
+CACHE_UNITS = 250_000
 LONG_UNIT = 64
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
+PACK = 3
 NORMAL, CONTROL, UNKNOWN, BYTE = 1, 3, 2, 6
 
 
@@ -68,9 +71,23 @@ class Vocabulary:
         self.real = sorted(p for p in self.ids if len(p) == 1 or self.merge(p) == [p])
         self.real_ids = np.array([self.ids[p] for p in self.real], np.int64)
         self.real_sizes = np.array([len(p) for p in self.real], np.int64)
-        self.low = np.array(self.real, f"U{self.longest}")
-        self.high = np.array([p.ljust(self.longest, "\U0010ffff") for p in self.real], f"U{self.longest}")
-        self.pair_keys, self.pair_fits = np.empty(0, np.int64), np.empty(0, bool)
+        # Characters of pieces are numbered from one in code order, all others are zero; PACK of them fit a word.
+        alphabet = sorted(set("".join(self.real)))
+        self.letter = np.zeros(0x110000, np.int64)
+        self.letter[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.width = len(alphabet).bit_length()
+        padded = np.array([[ord(c) for c in p.ljust(self.longest + PACK, "\0")] for p in self.real])
+        self.words = self.pack(self.letter[padded])
+        self._table(1 << 18)
+
+    def pack(self, numbers: np.ndarray) -> np.ndarray:
+        """Words of PACK letters each, along the last axis."""
+        n = numbers.shape[-1] // PACK
+        parts = numbers[..., : n * PACK].reshape(*numbers.shape[:-1], n, PACK)
+        out = np.zeros(parts.shape[:-1], np.int64)
+        for i in range(PACK):
+            out = out << self.width | parts[..., i]
+        return out
 
     def merge(self, text: str) -> list[str]:
         """Best-scored neighbours first, leftmost among equals."""
@@ -129,37 +146,83 @@ class Vocabulary:
         return found
 
     def can_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether pieces can follow others; answers are kept in an open-addressing table."""
         keys = before << 32 | piece
-        at = np.searchsorted(self.pair_keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.pair_keys)
-        known[inside] = self.pair_keys[at[inside]] == keys[inside]
-        if not known.all():
-            new = np.unique(keys[~known])
+        at = self._slots(keys)
+        new = np.unique(keys[self.pair_keys[at] < 0])
+        if len(new):
+            if 2 * (self.pairs + len(new)) > len(self.pair_keys):
+                old = np.flatnonzero(self.pair_keys >= 0)
+                known, fits = self.pair_keys[old], self.pair_fits[old]
+                self._table(4 * (self.pairs + len(new)))
+                self._put(known, fits)
             fits = np.empty(len(new), bool)
             for n, key in enumerate(new.tolist()):
                 a, b = self.strings[key >> 32], self.strings[key & 0xFFFFFFFF]
                 fits[n] = self.merge(a + b) == [a, b]
-            merged = np.concatenate([self.pair_keys, new])
-            order = np.argsort(merged, kind="stable")
-            self.pair_keys, self.pair_fits = merged[order], np.concatenate([self.pair_fits, fits])[order]
-            at = np.searchsorted(self.pair_keys, keys)
+            self._put(new, fits)
+            at = self._slots(keys)
         return self.pair_fits[at]
 
+    def _table(self, size: int):
+        size = 1 << size.bit_length()
+        self.pair_keys, self.pair_fits, self.pairs = np.full(size, -1, np.int64), np.zeros(size, bool), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the free one where the search for it ends."""
+        mask = len(self.pair_keys) - 1
+        at = (mix(keys.astype(np.uint64)) & np.uint64(mask)).astype(np.int64)
+        todo = np.flatnonzero((self.pair_keys[at] != keys) & (self.pair_keys[at] >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & mask
+            found = self.pair_keys[at[todo]]
+            todo = todo[(found != keys[todo]) & (found >= 0)]
+        return at
+
+    def _put(self, keys: np.ndarray, fits: np.ndarray):
+        """Add keys that are not in the table; of those that meet in one slot one is put down a round."""
+        self.pairs += len(keys)
+        while len(keys):
+            at = self._slots(keys)
+            _, first = np.unique(at, return_index=True)
+            self.pair_keys[at[first]], self.pair_fits[at[first]] = keys[first], fits[first]
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, fits = keys[left], fits[left]
+
 
 def piece_edges(vocabulary: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of all pieces in a text (zeros separate units): starts, ends, pieces."""
-    depth = vocabulary.longest
-    order, _ = prefix_order(codes.astype(np.int64), depth)
-    padded = np.concatenate([codes, np.zeros(depth, np.uint32)]).astype(np.uint32)
-    keys = np.lib.stride_tricks.sliding_window_view(padded, depth)[order]
-    keys = np.ascontiguousarray(keys).view(f"U{depth}").ravel()
-    first = np.searchsorted(keys, vocabulary.low)
-    counts = np.searchsorted(keys, vocabulary.high, side="right") - first
-    which = np.repeat(np.arange(len(first)), counts)
-    at = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+    """Occurrences of all pieces in a text (zeros separate units): starts, ends, pieces.
+
+    The range of a piece in suffix order is narrowed word by word: inside the suffixes that share the words so far, the
+    next word is searched from both sides, with free letters lowest and highest.
+    """
+    v = vocabulary
+    letters = v.letter[codes]
+    padded = np.concatenate([letters, np.zeros(v.longest + PACK, np.int64)])
+    four = np.zeros(len(letters), np.int64)
+    for i in range(4):
+        four = four << v.width | padded[i : i + len(letters)]
+    order, _ = prefix_order(four, v.longest, 4)
+    low, high = np.zeros(len(v.real), np.int64), np.full(len(v.real), len(order))
+    ranks = np.zeros(len(order), np.int64)
+    for step in range(-(-v.longest // PACK)):
+        word = np.zeros(len(order), np.int64)
+        for i in range(PACK):
+            word = word << v.width | padded[order + step * PACK + i]
+        keys = ranks << PACK * v.width | word
+        here = np.flatnonzero((v.real_sizes > step * PACK) & (low < high))
+        prefix = ranks[low[here]] << PACK * v.width
+        free = np.maximum(0, (step + 1) * PACK - v.real_sizes[here]) * v.width
+        least = prefix | v.words[here, step]
+        low[here] = np.searchsorted(keys, least)
+        high[here] = np.searchsorted(keys, least | (1 << free) - 1, side="right")
+        ranks = np.cumsum(np.diff(keys, prepend=keys[:1]) != 0)
+    counts = np.maximum(high - low, 0)
+    which = np.repeat(np.arange(len(low)), counts)
+    at = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts - low, counts)
     starts = order[at]
-    return starts, starts + vocabulary.real_sizes[which], vocabulary.real_ids[which]
+    return starts, starts + v.real_sizes[which], v.real_ids[which]
 
 
 def relax(vocabulary: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,9 +240,8 @@ def relax(vocabulary: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndar
     numbers = np.array([vocabulary.number(chr(c)) for c in letters])[which]
     lone = np.flatnonzero(inner & (numbers >= len(vocabulary.pieces)))
     starts, stops, pieces = (np.concatenate(x) for x in ((starts, lone), (stops, lone + 1), (pieces, numbers[lone])))
-    unit = np.searchsorted(ends, starts)
-    offset = stops - begins[unit]
-    order = np.lexsort((starts, stops, offset))
+    offset = stops - np.repeat(begins, sizes + 1)[starts]
+    order = np.argsort(offset.astype(np.uint16) if sizes.max() < 1 << 16 else offset, kind="stable")
     starts, stops, pieces, offset = starts[order], stops[order], pieces[order], offset[order]
     last = np.full(len(codes) + 1, -1, np.int64)
     at_begin = np.zeros(len(codes) + 1, bool)
@@ -234,12 +296,10 @@ class Encoder:
         return out, np.bincount(owner, width, len(counts)).astype(np.int64)
 
     def _learn(self, units: list[str]):
-        """Tokens of units (a leading space is the dummy or real space)."""
+        """Tokens of units, each given without its first space."""
         v = self.vocabulary
-        if len(self.places) + len(units) > CACHE_UNITS:
-            self._clear()
         for at, end in _by_size(units, NEW_CHARS):
-            part = [u.replace(" ", SPACE) for u in units[at:end]]
+            part = [SPACE + u.replace(" ", SPACE) for u in units[at:end]]
             plain = [i for i, u in enumerate(part) if not u.startswith(SPACE * 2)]
             numbers, counts = relax(v, [part[i] for i in plain]) if plain else (np.empty(0, np.int64), np.empty(0, np.int64))
             order = plain
@@ -261,11 +321,12 @@ class Encoder:
         """Ids of all texts one after another, and how many each text has."""
         cut = []
         for text in texts:
-            text = (" " + text).replace(SPACE, " ") if text else ""
-            if "  " in text or text.endswith(" "):
-                cut.append(UNIT.findall(text))
+            # Units without their first space, the dummy one for the first.
+            text = text.replace(SPACE, " ")
+            if "  " in text or text[:1] == " " or text[-1:] == " ":
+                cut.append([u[1:] for u in UNIT.findall(" " + text)])
             else:
-                cut.append([" " + x for x in text[1:].split(" ")] if text else [])
+                cut.append(text.split(" ") if text else [])
         places = self.places
         new = list({u for units in cut for u in units if u not in places})
         if new:
@@ -274,7 +335,7 @@ class Encoder:
                 places = self.places
                 new = list({u for units in cut for u in units})
             self._learn(new)
-        at = np.fromiter((places[u] for units in cut for u in units), np.int64, sum(map(len, cut)))
+        at = np.fromiter(map(places.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         counts = self.counts[at]
         flat = np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         per = np.bincount(np.repeat(np.arange(len(cut)), [len(u) for u in cut]), counts, len(cut)).astype(np.int64)
@@ -282,7 +343,7 @@ class Encoder:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; the dummy space goes, and bytes that are no UTF-8 become U+FFFD."""
-        out = b"".join([self.vocabulary.plain[i] for i in ids])
+        out = b"".join(map(self.vocabulary.plain.__getitem__, ids))
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 

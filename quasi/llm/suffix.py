@@ -33,32 +33,21 @@ def byte_part(start, length):
     return F.substring(F.col("body"), start + 1, length)
 
 
-def prefix_order(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_order(keys: np.ndarray, length: int, depth: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order by the first ``length`` symbols (ties by place), and the rank of each place by that prefix.
 
-    Prefix doubling from eight packed bytes; the last step joins two overlapping ranks, so the depth is exactly
-    ``length``. Symbols must be below 2^31; what lies past the end sorts first.
+    ``keys`` order the places by their first ``depth`` symbols. Prefix doubling goes on from there; the last step joins two
+    overlapping ranks, so the depth is exactly ``length``. What lies past the end sorts first.
     """
-    n = len(text)
-    ranks = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    depth = 1
-    while True:
+    n = len(keys)
+    ranks = np.unique(keys, return_inverse=True)[1].astype(np.int64) + 1
+    while depth < length:
         step = min(depth, length - depth)
-        if step:
-            second = np.zeros(n, np.int64)
-            second[: max(0, n - step)] = ranks[step:]
-            keys = ranks * (n + 2) + second
-        else:
-            keys = ranks
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        fresh = np.ones(n, np.int64)
-        fresh[1:] = sorted_keys[1:] != sorted_keys[:-1]
-        ranks = np.empty(n, np.int64)
-        ranks[order] = np.cumsum(fresh)
+        second = np.zeros(n, np.int64)
+        second[: max(0, n - step)] = ranks[step:]
+        ranks = np.unique(ranks * (n + 2) + second, return_inverse=True)[1].astype(np.int64) + 1
         depth += step
-        if depth >= length:
-            return order, ranks
+    return np.argsort(ranks, kind="stable"), ranks
 
 
 def packed_order(text: np.ndarray, stops: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
