@@ -32,7 +32,8 @@ SEED = 42
 BLOCK = 1024
 TILE_OVER = 4 * BLOCK
 ROUND = 16
-WORDS_AT_ONCE = 1 << 14
+WORDS_AT_ONCE = 1 << 13
+PAIRS_AT_ONCE = 1 << 20
 SHINGLES_AT_ONCE = 1 << 15
 HOT_BROADCAST = 50_000
 
@@ -78,20 +79,21 @@ def simhash(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
-    """Columns ``id`` and fingerprint words ``f0``, ``f1``, ... of whole texts."""
+    """Columns ``id``, ``digest`` (hash of the text) and fingerprint words ``f0``, ``f1``, ... of whole texts."""
     names = [f"f{i}" for i in range(lanes)]
 
     def task(batches):
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             prints = np.zeros((len(texts), lanes), np.uint64)
             for i, text in enumerate(texts):
                 prints[i] = simhash(shingle_hashes(text.as_py(), words), lanes)
             columns = [pa.array(prints[:, j].view(np.int64)) for j in range(lanes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "digest", *names])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(task, "id long, " + ", ".join(f"{n} long" for n in names))
+    text = F.col(text_col).cast("binary").alias("text")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), text)
+    return narrow.mapInArrow(task, "id long, digest long, " + ", ".join(f"{n} long" for n in names))
 
 
 def key_bits(rows: int) -> int:
@@ -143,8 +145,8 @@ def _over(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def close_pairs(prints: np.ndarray, radius: int, split: int = 0) -> np.ndarray:
-    """Index pairs (i < j) at most ``radius`` bits apart; ``split`` > 0 keeps only i < split <= j."""
+def close_pairs(prints: np.ndarray, radius: int, split: int = 0):
+    """Arrays of index pairs (i < j) at most ``radius`` bits apart; ``split`` > 0 keeps only i < split <= j."""
     m, lanes = prints.shape
     bits = 64 * lanes
     padded = np.zeros((-(-m // 64) * 64, lanes), np.uint64)
@@ -158,7 +160,6 @@ def close_pairs(prints: np.ndarray, radius: int, split: int = 0) -> np.ndarray:
     qs = np.repeat(queries, counts)
     ws = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
     width = radius.bit_length()
-    found = []
     for at in range(0, len(qs), WORDS_AT_ONCE):
         q, w = qs[at : at + WORDS_AT_ONCE], ws[at : at + WORDS_AT_ONCE]
         zero = np.zeros(len(q), np.uint64)
@@ -188,22 +189,40 @@ def close_pairs(prints: np.ndarray, radius: int, split: int = 0) -> np.ndarray:
             row, bit = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             i, j = q[row], w[row] * 64 + bit
             keep = (j < m) & ((j >= split) if split else (j > i))
-            found.append(np.stack([i[keep], j[keep]], axis=1))
-    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
-
-
-def spanning(prints: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Kruskal: the nearest links that keep everything connected."""
-    if len(pairs) < 2:
-        return pairs
-    apart = np.bitwise_count(prints[pairs[:, 0]] ^ prints[pairs[:, 1]]).sum(axis=1)
-    forest, kept = Forest(len(prints)), []
-    for n, (a, b) in enumerate(pairs[np.argsort(apart, kind="stable")].tolist()):
-        if forest.join(a, b):
-            kept.append((a, b))
-            if len(kept) == len(prints) - 1:
-                break
-    return np.array(kept, np.int64).reshape(-1, 2)
+            yield np.stack([i[keep], j[keep]], axis=1).astype(np.int32)
+
+
+def kruskal(pairs: np.ndarray, apart: np.ndarray, m: int) -> np.ndarray:
+    """Which of the pairs make a minimum spanning forest of ``m`` nodes."""
+    forest, roots, kept = Forest(m), np.arange(m), []
+    order = np.argsort(apart, kind="stable")
+    for at in range(0, len(order), 1 << 13):
+        part = order[at : at + (1 << 13)]
+        ends = roots[pairs[part]]
+        part = part[ends[:, 0] != ends[:, 1]]
+        new = [n for n, (a, b) in zip(part.tolist(), pairs[part].tolist()) if forest.join(a, b)]
+        if new:
+            kept += new
+            roots = np.fromiter(map(forest.find, range(m)), np.int64, m)
+    return np.array(kept, np.int64)
+
+
+def spanning(prints: np.ndarray, chunks) -> np.ndarray:
+    """The nearest links that keep everything connected, out of arrays of pairs; a forest is kept of those seen so far."""
+    pairs, apart = np.empty((0, 2), np.int32), np.empty(0, np.uint16)
+
+    def reduced(pairs, apart):
+        keep = kruskal(pairs, apart, len(prints))
+        return pairs[keep], apart[keep]
+
+    for chunk in chunks:
+        d = np.zeros(len(chunk), np.uint16)
+        for lane in range(prints.shape[1]):
+            d += np.bitwise_count(prints[chunk[:, 0], lane] ^ prints[chunk[:, 1], lane])
+        pairs, apart = np.concatenate([pairs, chunk]), np.concatenate([apart, d])
+        if len(pairs) > PAIRS_AT_ONCE:
+            pairs, apart = reduced(pairs, apart)
+    return reduced(pairs, apart)[0]
 
 
 def links(nodes: DataFrame, radius: int, tables: list[list[int]], lanes: int) -> DataFrame:
@@ -243,7 +262,7 @@ def links(nodes: DataFrame, radius: int, tables: list[list[int]], lanes: int) ->
         prints = np.ascontiguousarray(pdf[names].to_numpy(np.int64)).view(np.uint64)
         cut = int((pdf["part"] == i).sum()) if i != j else 0
         none = i != j and cut in (0, len(pdf))
-        pairs = np.empty((0, 2), np.int64) if none else spanning(prints, close_pairs(prints, radius, cut))
+        pairs = np.empty((0, 2), np.int32) if none else spanning(prints, close_pairs(prints, radius, cut))
         node = pdf["node"].to_numpy()
         return pd.DataFrame({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
 
@@ -296,19 +315,19 @@ def similar_duplicates(
 
     Fingerprints of 64 * ``lanes`` bits propose links: the expected share of differing bits at the wanted similarity
     gives the radius (plus two standard deviations), sampled tables give blocks. Each proposed link is then confirmed on
-    the exact shingle sets. Texts of equal fingerprint are confirmed against the first of them the same way. Rows of one
-    id count as one document; rows of a null id stand alone, with a null component.
+    the exact shingle sets. Equal texts (by hash and fingerprint) are one node from the start. Rows of one id count
+    as one document; a null id goes with its text.
     """
     bits = 64 * lanes
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
     names = [f"f{i}" for i in range(lanes)]
     prints = stash(fingerprints(docs, id_col, text_col, words, lanes), "fingerprints")
-    nodes = prints.groupBy(*names).agg(F.min("id").alias("node")).where(F.col("node").isNotNull())
+    same = ["digest", *names]
+    nodes = prints.groupBy(*same).agg(F.min("id").alias("node")).where(F.col("node").isNotNull())
     nodes = stash(nodes, "nodes")
-    found = links(nodes, radius, sampled_tables(bits, share, recall, nodes.count()), lanes)
-    same = prints.join(nodes, names).where("id <> node").select(F.col("node").alias("u"), F.col("id").alias("v"))
-    proposed = stash(found.union(same).distinct(), "proposed")
-    roots = components(jaccard_links(docs, proposed, id_col, text_col, words, similarity))
-    out = prints.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("component_id"))
+    found = links(nodes.drop("digest"), radius, sampled_tables(bits, share, recall, nodes.count()), lanes)
+    roots = components(jaccard_links(docs, stash(found, "proposed"), id_col, text_col, words, similarity))
+    named = nodes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("component"))
+    out = prints.join(stash(named, "components"), same, "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))
