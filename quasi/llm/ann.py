@@ -4,8 +4,8 @@ Centroids come from a balanced hierarchical clustering of a bounded sample (SAMP
 at most SAMPLE_BYTES); every vector is indexed. Inner products are searched as distances: a component that levels all
 norms to the largest is appended. A neighbour graph over the centroids, held in memory by every task (at most MOST_LISTS
 centroids), is searched best-first for the lists of a vector. A vector near a border goes to several lists, a query to
-those lists whose distance is within a ratio of the nearest one. Lists longer than PART are cut into parts and their
-queries into blocks, so a task's size is bounded whatever one list holds. Scores are inner products of the original
+those lists whose distance is within a ratio of the nearest one. A task takes a bucket of neighbouring lists, or a part of a
+long one, of at most BUCKET_BYTES of vectors, and QUERIES queries, so its size is bounded whatever one list holds. Scores are inner products of the original
 vectors in double precision.
 """
 
@@ -25,7 +25,7 @@ SAMPLE = 16_384
 SAMPLE_BYTES = 64 << 20
 LIST = 512
 MOST_LISTS = 4096
-PART = 2048
+BUCKET_BYTES = 8 << 20
 QUERIES = 1024
 DEGREE = 16
 BATCH = 512
@@ -177,39 +177,64 @@ def search(
     postings = stash(base.mapInPandas(route(copies, border, False), schema), "postings")
     visits = stash(asked.mapInPandas(route(probes, ratio, True), schema), "visits")
 
-    def parts(df: DataFrame, most: int, name: str) -> DataFrame:
-        """At most MOST_LISTS rows: how many parts each list has."""
-        sizes = df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-        return spark.createDataFrame(sizes.collect(), f"list int, {name} int")
-
-    counts = parts(postings, PART, "np").join(parts(visits, QUERIES, "nq"), "list")
-    counts = F.broadcast(counts)
-
-    def numbered(df: DataFrame, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
-        df = df.join(counts, "list").withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_count)).cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1))).select("list", "p", "q", "id", "v")
-
-    left = numbered(postings, "p", "np", "q", "nq").groupBy("list", "p", "q")
-    right = numbered(visits, "q", "nq", "p", "np").groupBy("list", "p", "q")
+    # At most MOST_LISTS rows: neighbouring lists share a bucket of ``room`` postings, a longer list is cut into parts.
+    room = max(256, BUCKET_BYTES // (8 * dim))
+    sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    places, bucket, filled = [], 0, 0
+    for one in sorted(sizes):
+        if filled and filled + sizes[one] > room:
+            bucket, filled = bucket + 1, 0
+        places.append((one, bucket, -(-sizes[one] // room)))
+        filled += sizes[one]
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(spark.createDataFrame(places, "list int, bucket int, np int")), "list")
+
+    visits = placed(visits)
+    asking = visits.groupBy("bucket").agg(F.ceil(F.count_distinct("id") / QUERIES).cast("int").alias("nq"), F.max("np").alias("bp"))
+    asking = asking.collect()
+
+    def blocked(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(spark.createDataFrame(asking, "bucket int, nq int, bp int")), "bucket")
+
+    vectors = blocked(placed(postings))
+    vectors = vectors.withColumn("p", F.pmod(F.xxhash64("id"), F.col("np")).cast("int"))
+    vectors = vectors.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    visits = blocked(visits).withColumn("q", F.pmod(F.xxhash64("id"), F.col("nq")).cast("int"))
+    visits = visits.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("bp") - 1)))
+
+    def best(asks, ids, scores):
+        """The k best of each query, once each."""
+        order = np.lexsort((ids, -scores, asks))
+        asks, ids, scores = asks[order], ids[order], scores[order]
+        fresh = np.ones(len(asks), bool)
+        fresh[1:] = (asks[1:] != asks[:-1]) | (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+        asks, ids, scores = asks[fresh], ids[fresh], scores[fresh]
+        keep = np.arange(len(asks)) - np.searchsorted(asks, asks) < k
+        return asks[keep], ids[keep], scores[keep]
 
     def scan(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(vectors) or not len(queries):
+        found = []
+        for one, part in queries.groupby("list"):
+            mine = vectors[vectors["list"] == one]
+            if not len(mine):
+                continue
+            v, q = matrix(mine["v"]), matrix(part["v"])
+            ids, asks = mine["id"].to_numpy(), part["id"].to_numpy()
+            scores = q @ v.T
+            scores[asks[:, None] == ids[None, :]] = -np.inf
+            take = min(k, len(ids))
+            cut = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
+            slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0)))
+            # Products of equal vectors may differ in the last bit; those near the cut are scored anew, one by one.
+            i, j = np.nonzero((scores >= (cut - slack)[:, None]) & np.isfinite(scores))
+            found.append(best(asks[i], ids[j], (q[i] * v[j]).sum(axis=1)))
+        if not found:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        v, q = matrix(vectors["v"]), matrix(queries["v"])
-        ids, asks = vectors["id"].to_numpy(), queries["id"].to_numpy()
-        scores = q @ v.T
-        scores[asks[:, None] == ids[None, :]] = -np.inf
-        take = min(k, len(ids))
-        cut = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
-        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(cut), cut, 0)))
-        # Products of equal vectors may differ in the last bit; those near the cut are scored anew, one by one.
-        i, j = np.nonzero((scores >= (cut - slack)[:, None]) & np.isfinite(scores))
-        exact = (q[i] * v[j]).sum(axis=1)
-        order = np.lexsort((ids[j], -exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = place < k
-        return pd.DataFrame({"query_id": asks[i[keep]], "vec_id": ids[j[keep]], "score": exact[keep]})
-
-    found = left.cogroup(right).applyInPandas(scan, "query_id long, vec_id long, score double")
+        asks, ids, scores = best(*(np.concatenate(x) for x in zip(*found)))
+        return pd.DataFrame({"query_id": asks, "vec_id": ids, "score": scores})
+
+    keys = ["bucket", "p", "q"]
+    sides = [side.select(*keys, "list", "id", "v").groupBy(*keys) for side in (vectors, visits)]
+    found = sides[0].cogroup(sides[1]).applyInPandas(scan, "query_id long, vec_id long, score double")
     return nearest(found.distinct(), k)
