@@ -4,7 +4,7 @@ Centroids come from a balanced hierarchical clustering of a bounded sample (SAMP
 at most SAMPLE_BYTES); every vector is indexed. Inner products are searched as distances: a component that levels all
 norms to the largest is appended. A neighbour graph over the centroids, held in memory by every task (at most MOST_LISTS
 centroids), is searched best-first for the lists of a vector. A vector near a border goes to several lists, a query to
-those lists whose distance is within a ratio of the nearest one. A task takes a bucket of neighbouring lists, or a part of a
+those lists whose distance is within a ratio of the nearest one, and to more until they hold ENOUGH times what it asks for. A task takes a bucket of neighbouring lists, or a part of a
 long one, of at most BUCKET_BYTES of vectors, and QUERIES queries, so its size is bounded whatever one list holds. Scores are inner products of the original
 vectors in double precision.
 """
@@ -27,6 +27,7 @@ LIST = 512
 MOST_LISTS = 4096
 BUCKET_BYTES = 8 << 20
 QUERIES = 1024
+ENOUGH = 4
 DEGREE = 16
 BATCH = 512
 
@@ -158,7 +159,7 @@ def search(
     sample = matrix(chosen["v"]) if len(chosen) else np.zeros((1, dim))
     index = spark.sparkContext.broadcast(build(sample, int(min(MOST_LISTS, max(1, -(-n // list_size)))), norm))
 
-    def route(width: int, factor: float, query: bool):
+    def route(width: int, factor: float, query: bool, sizes: np.ndarray | None = None):
         def task(batches):
             place = index.value
             for pdf in batches:
@@ -167,7 +168,12 @@ def search(
                     v = matrix(part["v"])
                     points = as_queries(v, place.norm) if query else leveled(v, place.norm)
                     lists, cost = graph_search(place, points, width)
-                    i, j = np.nonzero(np.isfinite(cost) & (cost <= factor * cost[:, :1] + 1e-12))
+                    near = cost <= factor * cost[:, :1] + 1e-12
+                    if query:
+                        # However near the first lists are, go on until they hold enough.
+                        held = np.cumsum(sizes[lists], axis=1) - sizes[lists]
+                        near |= held < ENOUGH * copies * k
+                    i, j = np.nonzero(np.isfinite(cost) & near)
                     yield pd.DataFrame({"list": lists[i, j].astype(np.int32), "id": part["vec_id"].to_numpy()[i], "v": part["v"].to_numpy()[i]})
 
         return task
@@ -175,11 +181,12 @@ def search(
     schema = "list int, id long, v array<double>"
     asked = base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     postings = stash(base.mapInPandas(route(copies, border, False), schema), "postings")
-    visits = stash(asked.mapInPandas(route(probes, ratio, True), schema), "visits")
+    sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = np.array([sizes.get(i, 0) for i in range(MOST_LISTS)])
+    visits = stash(asked.mapInPandas(route(probes, ratio, True, held), schema), "visits")
 
     # At most MOST_LISTS rows: neighbouring lists share a bucket of ``room`` postings, a longer list is cut into parts.
     room = max(256, BUCKET_BYTES // (8 * dim))
-    sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     places, bucket, filled = [], 0, 0
     for one in sorted(sizes):
         if filled and filled + sizes[one] > room:

@@ -399,7 +399,9 @@ def decode(rows: DataFrame, ids_col: str = "ids", carry: list[Column] = (), path
         coder = encoder(path)
         for batch in batches:
             ids = batch.column(len(names))
-            out = [None if x.as_py() is None else coder.decode(x.values.to_pylist()) for x in ids]
+            known, offsets, flat = ids.is_valid().to_pylist(), ids.offsets.to_numpy(), ids.values.to_numpy()
+            spans = zip(known, offsets[:-1].tolist(), offsets[1:].tolist())
+            out = [coder.decode(flat[a:b].tolist()) if some else None for some, a, b in spans]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(out, pa.string())], [*names, "decoded"])
 
     return narrow.mapInArrow(task, schema)
