@@ -20,8 +20,8 @@ REPEAT_BYTES = 200
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected; learns from the documents that have a ``lang``."""
     model = langid.train(docs, "doc_id", "text", "lang")
-    found = langid.identify(docs, model, "text", carry=[F.col(c) for c in docs.columns])
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    found = langid.identify(docs, model, "text", carry=[F.struct(*docs.columns).alias("__doc")])
+    return found.where(~F.col("rejected")).select("__doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +33,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes later copies of REPEAT_BYTES-byte passages (a cut character goes whole); emptied documents go."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = suffix.remove_repeats(docs, length=REPEAT_BYTES, keep_first=True, whole_chars=True, carry=others)
+    others = F.struct(F.lit(0).alias("__"), *[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
+    rows = docs.select("doc_id", "text", others.alias("__others"))
+    out = suffix.remove_repeats(rows, length=REPEAT_BYTES, keep_first=True, whole_chars=True, carry=["__others"])
     out = out.where((F.col("n_bytes") == 0) | (F.col("n_removed") < F.col("n_bytes")))
     out = out.withColumn("text", F.when(~F.col("was_null"), F.col("kept").cast("string")))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = out.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "__others.*")
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ context). Highest-order counts are frequencies, lower orders count distinct left
 counts by one estimated amount and passes the rest on to the next, down to a uniform base. All languages share sorted
 hash arrays per order, with one column per language, which tasks search for the n-grams of words they have not met.
 
-A text's measure is its cross-entropy per predicted character; the lowest wins. Rejection is calibrated on the training
-sample: a text is rejected if its excess over the language's mean, widened for short texts, is above ``margin`` times
-what all but one in a thousand of the sample show.
+A text's measure is its cross-entropy per predicted character; the lowest wins. Rejection is calibrated on a fifth of the
+sample that is kept out of the counts: a text is rejected if its excess over the language's mean, widened for short texts,
+is above ``margin`` times what all but one in a thousand of those show, and above LEAST_EXCESS nats per character in any
+case (few documents say little about the tail). A language without any rejects nothing.
 
 The classifier is fitted on a bounded sample of the labelled documents (whole texts): about ``sample`` documents in all,
 shared evenly among languages and chosen by a hash of the id, at least LEAST_DOCS for each language.
@@ -34,6 +35,7 @@ CACHE_TOKENS = 250_000
 LONG_TOKEN = 48
 SHORT_TEXT = 60.0
 CONFIDENT = 40.0
+LEAST_EXCESS = 1.4
 UNKNOWN = "und"
 
 
@@ -223,7 +225,7 @@ def _batches(texts: list, most: int = 1 << 20):
         yield start, len(texts)
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, margin: float = 2.0) -> Model | None:
+def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, margin: float = 2.5) -> Model | None:
     """Fit on a sample of documents with a language and a text (see the module's head). None without any."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -234,7 +236,8 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
         return None
     each = max(LEAST_DOCS, sample // len(sizes))
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, each / n))) for x, n in sorted(sizes.items())])
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("text", "lang")
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
+    apart = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(5)) == 0
 
     def count(batches):
         for pdf in batches:
@@ -250,7 +253,7 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
                             found[marked[i : i + ORDER]] += n
                 yield pd.DataFrame({"lang": lang, "gram": list(found), "n": list(found.values())})
 
-    counts = chosen.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = chosen.where(~apart).select("text", "lang").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model = fit(counts.orderBy("lang", "gram").toPandas())
     if model is None:
         return None
@@ -267,13 +270,13 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
                 own = pdf["lang"].iloc[a:b].map(known).to_numpy()
                 yield pd.DataFrame({"lang": own, "entropy": entropy[np.arange(b - a), own], "n": n})
 
-    seen = chosen.mapInPandas(measure, "lang int, entropy double, n double").where("n > 0").toPandas()
+    seen = chosen.where(apart).select("text", "lang").mapInPandas(measure, "lang int, entropy double, n double").where("n > 0").toPandas()
     width = len(model.languages)
     model.mean, model.limit = np.zeros(width), np.full(width, np.inf)
     for i, part in seen.groupby("lang"):
         h, n = part["entropy"].to_numpy(), part["n"].to_numpy()
         model.mean[i] = np.average(h, weights=n)
-        model.limit[i] = margin * max(np.quantile(_excess(h, model.mean[i], n), 0.999), 0.05)
+        model.limit[i] = max(margin * np.quantile(_excess(h, model.mean[i], n), 0.999), LEAST_EXCESS)
     shared.unpersist()
     return model
 
