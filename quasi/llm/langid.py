@@ -251,7 +251,8 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
                         marked = START * (ORDER - 1) + w + END
                         for i in range(len(w) + 1):
                             found[marked[i : i + ORDER]] += n
-                yield pd.DataFrame({"lang": lang, "gram": list(found), "n": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"lang": [lang] * len(found), "gram": list(found), "n": list(found.values())})
 
     counts = chosen.where(~apart).select("text", "lang").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     model = fit(counts.orderBy("lang", "gram").toPandas())
