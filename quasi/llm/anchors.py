@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quasi.llm.common import stash
+from quasi.llm.common import release, stash
 
 SLICE = 1 << 18
 GROUP = 256
-BUNDLE = 1 << 19
+BUNDLE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 POSITION = np.uint64((1 << 22) - 1)
 
@@ -162,6 +162,7 @@ def find_anchors(docs: DataFrame, shape: Shape, symbols: Callable[[bytes], np.nd
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), *ints, pa.array(h), pa.array(c)], ["key", "pos", "left", "right", "h", "c"]
                 )
+        release()
 
     return docs.select("key", "text").mapInArrow(task, ANCHORS)
 
@@ -273,6 +274,7 @@ def repeated(
                 size += len(text)
         if bundle:
             yield from emit(bundle)
+        release()
 
     def emit(bundle):
         key, a, b = compare(bundle, keep_first)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()
     return stash(rows.join(ranks, "place").select("key", "id", "text", "carry"), "keyed")
 
 
+def release():
+    """Hand a finished task's memory back: Python workers live on and would add up what each stage has left."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 class Forest:
     """Union-find over small integers; the smallest member is the root."""
 

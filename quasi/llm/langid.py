@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quasi.llm.common import release
+
 ORDER = 4
 SAMPLE = 6000
 LEAST_DOCS = 50
 START, END = "\x02", "\x03"
 OTHER = re.compile(r"[\W\d_]+")
-CACHE_TOKENS = 250_000
+CACHE_TOKENS = 120_000
 LONG_TOKEN = 48
 SHORT_TEXT = 60.0
 CONFIDENT = 40.0
@@ -317,5 +319,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str, carry: list[Co
                 columns = [part.column(i) for i in range(len(names))]
                 columns += [pa.array(pred, pa.string()), pa.array(score), pa.array(low), pa.array(no)]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
+        scorer = None
+        release()
 
     return narrow.mapInArrow(task, schema)

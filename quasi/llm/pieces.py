@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quasi.llm.anchors import mix
+from quasi.llm.common import release
 from quasi.llm.suffix import prefix_order
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = re.compile(" +[^ ]*|[^ ]+")
-NEW_CHARS = 300_000
-CACHE_UNITS = 250_000
+NEW_CHARS = 250_000
+CACHE_UNITS = 120_000
 LONG_UNIT = 64
 BATCH_CHARS = 1 << 20
 PACK = 3
@@ -73,11 +74,11 @@ class Vocabulary:
         self.real_sizes = np.array([len(p) for p in self.real], np.int64)
         # Characters of pieces are numbered from one in code order, all others are zero; PACK of them fit a word.
         alphabet = sorted(set("".join(self.real)))
-        self.letter = np.zeros(0x110000, np.int64)
+        self.letter = np.zeros(0x110000, np.int32)
         self.letter[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
         self.width = len(alphabet).bit_length()
         padded = np.array([[ord(c) for c in p.ljust(self.longest + PACK, "\0")] for p in self.real])
-        self.words = self.pack(self.letter[padded])
+        self.words = self.pack(self.letter[padded].astype(np.int64))
         self._table(1 << 18)
 
     def pack(self, numbers: np.ndarray) -> np.ndarray:
@@ -198,7 +199,7 @@ def piece_edges(vocabulary: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray,
     next word is searched from both sides, with free letters lowest and highest.
     """
     v = vocabulary
-    letters = v.letter[codes]
+    letters = v.letter[codes].astype(np.int64)
     padded = np.concatenate([letters, np.zeros(v.longest + PACK, np.int64)])
     four = np.zeros(len(letters), np.int64)
     for i in range(4):
@@ -385,6 +386,8 @@ def encode(docs: DataFrame, text_col: str = "text", carry: list[Column] = (), pa
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=null)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), ids], [*names, "ids"])
+        coder._clear()
+        release()
 
     return narrow.mapInArrow(task, schema)
 
