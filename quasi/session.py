@@ -31,7 +31,8 @@ def local_session(app: str = "quasi", cpus: str = "*", **conf: str) -> SparkSess
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is only made when the setting is absent, which is the single-machine case.
+    A temporary folder is only made when the setting is absent on a local master; a cluster needs the setting, as
+    its executors do not share local folders.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="quasi-")
     spark.sparkContext.setCheckpointDir(made)
     return made
