@@ -41,7 +41,10 @@ def score_long(df: DataFrame, key: str, features: Sequence[str], coefs: DataFram
     )
     table = coefs.where(F.col("estimate").isNotNull()).select("term", "estimate")
     intercept = coefficient_map(table.where(F.col("term") == "(Intercept)")).get("(Intercept)", 0.0)
-    joined = long.join(table.where(F.col("term") != "(Intercept)"), "term", "left")
+    terms = table.where(F.col("term") != "(Intercept)")
+    if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
+        terms = F.broadcast(terms)  # else all rows of a term would meet in one task
+    joined = long.join(terms, "term", "left")
     eta = F.coalesce(F.sum(F.col("val") * F.col("estimate")), F.lit(0.0)) + F.lit(float(intercept))
     return joined.groupBy(key).agg(eta.alias("eta")).withColumn("prob", 1.0 / (1.0 + F.exp(-F.col("eta"))))
 

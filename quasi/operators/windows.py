@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+MAX_PERIODS = 100_000
+
 
 def lag_difference(series: DataFrame, by: Sequence[str], time: str, value: str, lag: int = 1, to: str = "diff") -> DataFrame:
     w = Window.partitionBy(*by).orderBy(time)
@@ -30,4 +32,6 @@ def dense_period(df: DataFrame, period: str, to: str = "time") -> DataFrame:
     """
     ranked = df.select(F.col(period).alias("__p")).where("__p IS NOT NULL").distinct()
     ranked = ranked.withColumn(to, F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("__p")))
+    if ranked.limit(MAX_PERIODS + 1).count() <= MAX_PERIODS:
+        ranked = F.broadcast(ranked)  # periods are few and hot
     return df.join(ranked, df[period] == ranked["__p"], "left").drop("__p")

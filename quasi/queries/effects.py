@@ -19,14 +19,14 @@ from quasi.queries.registry import ORDERS_BY_CUSTOMER, orders_by_customer, query
 
 def order_cohorts(spark, sf):
     """Repeated cross-sections: single orders with rollout year and a survey-style weight."""
-    return orders_by_customer(spark, sf).where(F.year("o_orderdate") < 2001).select(
+    return orders_by_customer(spark, sf).select(
         "o_orderkey", F.col("c_nationkey").alias("unit"), F.year("o_orderdate").alias("t"), timing().alias("g"),
         F.col("o_totalprice").alias("y"), (1.0 + F.col("o_orderkey") % 5).alias("w"), "c_mktsegment", "o_orderpriority",
     )
 
 
 ROWS = f"""(SELECT o_orderkey, c_nationkey AS unit, year(o_orderdate) AS t, {TIMING} AS g, o_totalprice AS y, 1.0 + o_orderkey % 5 AS w, c_mktsegment, o_orderpriority
-      FROM {ORDERS_BY_CUSTOMER} WHERE year(o_orderdate) < 2001)"""
+      FROM {ORDERS_BY_CUSTOMER})"""
 
 
 @query(
@@ -61,7 +61,7 @@ def t1_inference(spark, sf):
     TWOWAY_SQL + """, b AS (SELECT sum(x*y) / sum(x*x) AS b, sum(x*x) AS sxx, count(*) AS n, count(DISTINCT unit) AS g FROM z),
        u AS (SELECT unit, sum(x * (y - b*x)) AS u FROM z, b GROUP BY 1)
        SELECT 'd' AS term, round(any_value(b), 4) + 0.0 AS estimate,
-              round(sqrt(sum(u*u) * any_value(g) / (any_value(g) - 1.0) * (any_value(n) - 1.0) / (any_value(n) - 1.0 - 5 )) / any_value(sxx), 4) + 0.0 AS std_error FROM u, b""",
+              round(sqrt(sum(u*u) * any_value(g) / (any_value(g) - 1.0) * (any_value(n) - 1.0) / (any_value(n) - 1.0 - (SELECT count(DISTINCT t) - 1 FROM p))) / any_value(sxx), 4) + 0.0 AS std_error FROM u, b""",
 )
 def t2(spark, sf):
     fit = T.twfe(nation_year_panel(spark, sf), "y", "d", "unit", "t")
@@ -157,7 +157,7 @@ def t5_reg(spark, sf):
 
 
 _SEGMENT_PANEL = f"""SELECT g, t, s, avg(y) AS y FROM (SELECT unit, c_mktsegment AS s, t, g, y FROM {ROWS}) GROUP BY unit, s, t, g
-    QUALIFY count(*) OVER (PARTITION BY unit, s) = 6"""
+    QUALIFY count(*) OVER (PARTITION BY unit, s) = 7"""
 
 
 @query("t5_att_gt_doubly_robust", _ADJUSTED.format(rows=_SEGMENT_PANEL))

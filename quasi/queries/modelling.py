@@ -24,7 +24,7 @@ from quasi.queries.registry import ORDERS_BY_CUSTOMER, orders_by_customer, query
 
 def nation_year_panel(spark, sf):
     """Nation by year mean order value over the complete years 1995 to 2000, with rollout and treatment."""
-    rows = orders_by_customer(spark, sf).where(F.year("o_orderdate") < 2001)
+    rows = orders_by_customer(spark, sf)
     panel = rows.groupBy(F.col("c_nationkey").alias("unit"), F.year("o_orderdate").alias("t"), timing().alias("g")).agg(
         F.avg("o_totalprice").alias("y")
     )
@@ -35,7 +35,7 @@ def nation_year_panel(spark, sf):
 
 PANEL = f"""(SELECT unit, t, g, y, CASE WHEN g <> 0 AND t >= g THEN 1 ELSE 0 END AS d FROM (
     SELECT c_nationkey AS unit, year(o_orderdate) AS t, CASE WHEN c_nationkey % 5 = 0 THEN 0 ELSE 1996 + c_nationkey % 5 END AS g, avg(o_totalprice) AS y
-    FROM {ORDERS_BY_CUSTOMER} WHERE year(o_orderdate) < 2001 GROUP BY 1, 2, 3))"""
+    FROM {ORDERS_BY_CUSTOMER} GROUP BY 1, 2, 3))"""
 
 
 def labelled_documents(spark, sf):
