@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quasi.models.design import MAX_LEVELS, Design, build_design, factor, find_levels
-from quasi.models.linear import Fit, _sources, complete_rows, gram, solve_kept
+from quasi.models.linear import Fit, _sources, array_sum, complete_rows, gram, solve_kept
 from quasi.operators.skew import null_safe
 from quasi.session import cut_lineage
 
@@ -128,13 +128,7 @@ def between_products(units: DataFrame, p: int, values: Sequence[str]) -> np.ndar
                 total += (z / part.u_w.to_numpy(dtype=float)[:, None]).T @ z
         yield pd.DataFrame({"v": [total.ravel()]})
 
-    summed = (
-        named.mapInPandas(partial, "v array<double>").select(F.posexplode("v").alias("pos", "v"))
-        .groupBy("pos").agg(F.sum("v").alias("v")).toPandas()
-    )
-    out = np.zeros((p + q) ** 2)
-    out[summed.pos.to_numpy()] = summed.v.to_numpy()
-    return out.reshape(p + q, p + q)
+    return array_sum(named.mapInPandas(partial, "v array<double>"), (p + q) ** 2).reshape(p + q, p + q)
 
 
 @dataclass
@@ -183,7 +177,7 @@ def _finish(design, k, xx, xy, yy, n, absorbed, extra) -> FixedEffectsFit:
 
 
 def _clustered(fit: FixedEffectsFit, scores: DataFrame, k: int, nested: int) -> FixedEffectsFit:
-    """Sandwich covariance from per-cluster score sums; effects nested in clusters are not counted."""
+    """Sandwich covariance from per-cluster score sums; ``nested`` absorbed effects are not counted."""
     meat = gram(scores, [*[F.col(f"s{i}") for i in range(k)], F.lit(1.0)])
     clusters = meat[-1, -1]
     inverse = fit.extra["inverse"]
@@ -196,6 +190,31 @@ def _clustered(fit: FixedEffectsFit, scores: DataFrame, k: int, nested: int) ->
     return fit
 
 
+def nested_levels(cells: DataFrame, fe: Sequence[str], cluster: str) -> int:
+    """Levels of the effects whose every level lies inside one cluster."""
+    found = 0
+    for effect in fe:
+        levels = cells.select(effect).distinct().count()
+        if effect == cluster or cells.select(effect, cluster).distinct().count() == levels:
+            found += levels
+    return found
+
+
+def connected_blocks(cells: DataFrame, a: str, b: str) -> int:
+    """Blocks of levels of two effects that no cell connects; the smallest label spreads until none changes."""
+    state = cut_lineage(cells.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(a).cast("string").alias("label")).distinct())
+    changed = 1
+    while changed:
+        old = state.withColumn("old", F.col("label"))
+        for side in ("a", "b"):
+            least = old.groupBy(F.col(side).alias("__side")).agg(F.min("label").alias("__least"))
+            old = old.join(least, F.col(side) == F.col("__side")).withColumn("label", F.col("__least")).drop("__side", "__least")
+        old = cut_lineage(old)
+        changed = old.where("label <> old").count()
+        state = old.drop("old")
+    return state.select("label").distinct().count()
+
+
 def _absorbed(cells, design, fe, levels, k, cluster):
     unit = fe[0]
     slots = [f"__slot_{i}" for i in range(len(levels))]
@@ -245,13 +264,15 @@ def _absorbed(cells, design, fe, levels, k, cluster):
                 for i in range(k)
             ]
         )
-        nested = n_units if cluster == unit else (len(kept) + 1 if cluster in fe else 0)
-        fit = _clustered(fit, scores, k, nested)
+        fit = _clustered(fit, scores, k, min(nested_levels(cells, fe, cluster), fit.stats["absorbed"]))
     return fit
 
 
 def _alternating(cells, design, fe, k, cluster, tol: float = 1e-10, max_rounds: int = 500):
-    """Alternating demeaning of cell means; every few rounds the state is checkpointed."""
+    """Alternating demeaning of cell means, checkpointed every round, until no effect moves them any more.
+
+    The effects' rank is exact for one or two of them; each further one counts its levels less one.
+    """
     w = F.col("__w")
     state = cells.select(
         *dict.fromkeys([*fe, *([cluster] if cluster else [])]), "__w", "__n",
@@ -262,28 +283,30 @@ def _alternating(cells, design, fe, k, cluster, tol: float = 1e-10, max_rounds:
         *[F.expr(f"sum({second(i, j)} - m{i} * m{j} / __w)").alias(second(i, j)) for i, j in pairs], F.sum("__n").alias("n")
     ).first()
     zs = [f"z{i}" for i in range(k + 1)]
-    for round_ in range(max_rounds):
-        worst = F.lit(0.0)
+    for _ in range(max_rounds):
+        state = state.withColumn("__step", F.lit(0.0))
         for level in fe:
             means = state.groupBy(F.col(level).alias("__g")).agg(*[(F.sum(w * F.col(z)) / F.sum(w)).alias(f"mean_{z}") for z in zs])
             joined = state.join(means, null_safe(state, means, [(level, "__g")]), "inner")
-            keep = [c for c in state.columns if c not in zs and not c.startswith("step_")]
+            keep = [c for c in state.columns if c not in zs and c != "__step"]
             state = joined.select(
                 *keep, *[(F.col(z) - F.col(f"mean_{z}")).alias(z) for z in zs],
-                *[F.col(f"mean_{z}").alias(f"step_{z}") for z in zs],
+                F.greatest("__step", *[F.abs(F.col(f"mean_{z}")) for z in zs]).alias("__step"),
             )
-            worst = F.greatest(*[F.max(F.abs(f"step_{z}")) for z in zs])
         state = cut_lineage(state)
-        moved = state.agg(worst).first()[0]
-        scale = state.agg(F.greatest(*[F.max(F.abs(F.col(z))) for z in zs])).first()[0] or 1.0
-        state = state.drop(*[f"step_{z}" for z in zs])
-        if moved < tol * max(scale, 1e-300):
+        moved, scale = state.agg(F.max("__step"), F.max(F.greatest(*[F.abs(F.col(z)) for z in zs], F.lit(0.0)))).first()
+        state = state.drop("__step")
+        if moved <= tol * (scale or 1.0):
             break
+    else:
+        raise RuntimeError(f"demeaning has not converged in {max_rounds} rounds")
     net = gram(state, [F.col(z) for z in zs], w)
     for i, j in pairs:
         net[i, j] += inside[f"q{i}_{j}"]
         net[j, i] = net[i, j]
-    absorbed = sum(cells.select(f).distinct().count() for f in fe) - (len(fe) - 1)
+    absorbed = sum(cells.select(f).distinct().count() for f in fe) - max(len(fe) - 2, 0)
+    if len(fe) > 1:
+        absorbed -= connected_blocks(cells, fe[0], fe[1])
     fit = _finish(design, k, net[:k, :k], net[:k, k], net[k, k], inside["n"], absorbed, {})
     if cluster:
         beta = np.nan_to_num(fit.coef)
@@ -299,8 +322,7 @@ def _alternating(cells, design, fe, k, cluster, tol: float = 1e-10, max_rounds:
                 for i in range(k)
             ]
         )
-        nested = cells.select(cluster).distinct().count() if cluster in fe else 0
-        fit = _clustered(fit, scores, k, nested)
+        fit = _clustered(fit, scores, k, min(nested_levels(cells, fe, cluster), absorbed))
     return fit
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quasi.models.design import Design, build_design
-from quasi.models.linear import Fit, _sources, complete_rows, compress, gram, independent_columns, solve_kept
+from quasi.models.linear import Fit, _sources, array_sum, complete_rows, compress, gram, independent_columns, solve_kept
 
 
 def _assembled(source: DataFrame, design: Design, keep: Sequence[int], extra: Sequence[Column]) -> DataFrame:
@@ -33,6 +33,8 @@ def _assembled(source: DataFrame, design: Design, keep: Sequence[int], extra: Se
 
 
 ROWS_PER_TASK = 50_000
+GLM_STEPS = 100
+MAX_COEFFICIENTS = 3000
 
 
 def compact(cells: DataFrame) -> DataFrame:
@@ -53,8 +55,10 @@ def _spark_glm(source: DataFrame, design: Design, label: Column, weight: Column,
         coef[0] = {"logit": lambda m: np.log(m / (1 - m)), "log": np.log}[link](total)
         return coef, None, kept
     model = GeneralizedLinearRegression(
-        family=family, link=link, maxIter=50, tol=1e-8, labelCol="label", weightCol="weight"
+        family=family, link=link, maxIter=GLM_STEPS, tol=1e-8, labelCol="label", weightCol="weight"
     ).fit(data)
+    if model.summary.numIterations >= GLM_STEPS:
+        raise RuntimeError(f"the {family} model has not converged in {GLM_STEPS} steps")
     coef[0] = model.intercept
     coef[kept] = model.coefficients.toArray()
     return coef, model, kept
@@ -161,6 +165,8 @@ def _inverse_link_fit(source, design, w, ybar, overall, max_iter):
         coef, previous, current = step, current, value
         if moved < 1e-10 * max(1.0, float(np.nanmax(np.abs(coef)))) or abs(previous - current) < 1e-14 * (abs(current) + 0.1):
             break
+    else:
+        raise RuntimeError(f"the gamma model has not converged in {max_iter} steps")
     return coef / overall
 
 
@@ -175,6 +181,8 @@ class Multinomial:
     design: Design
     levels: list
     coef: np.ndarray
+    #: whether the last Newton step was negligible; not so with separated levels, whose optimum is not finite
+    converged: bool = True
 
     def _predictors(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
         named = {
@@ -220,8 +228,13 @@ class Multinomial:
         return spark.createDataFrame(rows, "level string, term string, estimate double")
 
 
-def multinomial(df: DataFrame, y: str, terms: Sequence, weight: str | None = None) -> Multinomial:
-    """Unpenalised multinomial logistic regression."""
+def multinomial(
+    df: DataFrame, y: str, terms: Sequence, weight: str | None = None, max_coefficients: int = MAX_COEFFICIENTS
+) -> Multinomial:
+    """Unpenalised multinomial logistic regression, polished by Newton steps.
+
+    These keep a matrix of all coefficients squared in a task, so more than ``max_coefficients`` are refused.
+    """
     used = [y, *_sources(terms), *([weight] if weight else [])]
     rows = complete_rows(df, used)
     from quasi.models.design import find_levels
@@ -237,8 +250,11 @@ def multinomial(df: DataFrame, y: str, terms: Sequence, weight: str | None = Non
         source = source.withColumn("__w", w)
     held = source.persist()
     source = compact(held) if design.discrete else held
-    coef = np.zeros((len(levels), len(design.names)))
+    coef, converged = np.zeros((len(levels), len(design.names))), True
     kept = [i for i in independent_columns(gram(source, design.columns, F.col("__w"))) if i != 0]
+    if (len(levels) - 1) * (len(kept) + 1) > max_coefficients:
+        held.unpersist()
+        raise ValueError(f"the model has more than {max_coefficients} coefficients")
     if not kept:
         counts = {int(r[0]): r[1] for r in source.groupBy("__label").agg(F.sum("__w")).collect()}
         coef[:, 0] = [np.log(counts[i]) for i in range(len(levels))]
@@ -249,18 +265,16 @@ def multinomial(df: DataFrame, y: str, terms: Sequence, weight: str | None = Non
         ).fit(data)
         coef[:, 0] = model.interceptVector.toArray()
         coef[:, kept] = model.coefficientMatrix.toArray()
-        coef = _polish(source, design, coef - coef[0], kept)
+        coef, converged = _polish(source, design, coef - coef[0], kept)
     held.unpersist()
     coef = coef - coef[0]
-    return Multinomial(design, levels, coef)
+    return Multinomial(design, levels, coef, converged)
 
 
-def _polish(source: DataFrame, design: Design, coef: np.ndarray, kept: Sequence[int], steps: int = 3) -> np.ndarray:
-    """Newton steps from the optimiser's solution, each one pass of gradient and Hessian sums."""
+def _polish(source: DataFrame, design: Design, coef: np.ndarray, kept: Sequence[int], steps: int = 10) -> tuple[np.ndarray, bool]:
+    """Newton steps from the optimiser's solution, each one pass of gradient and Hessian sums; and if they converged."""
     used = [0, *kept]
     k, p = len(coef) - 1, len(used)
-    if k * p > 400:
-        return coef
     named = source.select("__label", "__w", *[design.columns[i].cast("double").alias(f"x{i}") for i in used])
 
     def derivatives(beta: np.ndarray):
@@ -279,13 +293,10 @@ def _polish(source: DataFrame, design: Design, coef: np.ndarray, kept: Sequence[
                         hess[a, :, b, :] += (x * curve[:, None]).T @ x
             yield pd.DataFrame({"v": [np.concatenate([grad.ravel(), hess.ravel()])]})
 
-        total = (
-            named.mapInPandas(partial, "v array<double>").select(F.posexplode("v").alias("pos", "v"))
-            .groupBy("pos").agg(F.sum("v").alias("v")).toPandas().sort_values("pos").v.to_numpy()
-        )
+        total = array_sum(named.mapInPandas(partial, "v array<double>"), k * p + (k * p) ** 2)
         return total[: k * p], total[k * p:].reshape(k * p, k * p)
 
-    beta = coef[1:, used].copy()
+    beta, converged = coef[1:, used].copy(), False
     for _ in range(steps):
         grad, hess = derivatives(beta)
         move = np.linalg.lstsq(hess, grad, rcond=1e-10)[0].reshape(k, p)
@@ -294,7 +305,8 @@ def _polish(source: DataFrame, design: Design, coef: np.ndarray, kept: Sequence[
             break
         beta = beta + move
         if np.max(np.abs(move)) < 1e-9:
+            converged = True
             break
     out = coef.copy()
     out[1:, used] = beta
-    return out
+    return out, converged

@@ -10,7 +10,7 @@ from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -68,19 +68,30 @@ def boost_grid(levels: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(names, values)) for values in product(*levels.values())]
 
 
+METRICS = {
+    "roc_auc": lambda label: BinaryClassificationEvaluator(labelCol=label),
+    "pr_auc": lambda label: BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR"),
+    **{m: lambda label, m=m: RegressionEvaluator(labelCol=label, metricName=m) for m in ("rmse", "mae", "r2")},
+    "accuracy": lambda label: MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"),
+    "f1": lambda label: MulticlassClassificationEvaluator(labelCol=label, metricName="f1"),
+    "log_loss": lambda label: MulticlassClassificationEvaluator(labelCol=label, metricName="logLoss"),
+}
+
+
 def tune_grid(
     df: DataFrame, label: str, features: Sequence[str], learner, grid: Sequence[Mapping[str, object]], fold: str, folds: int,
-    parallelism: int = 4, scale: bool = False,
+    parallelism: int = 4, scale: bool = False, metric: str = "roc_auc",
 ) -> DataFrame:
-    """Mean resampled area under the curve of each candidate, best first.
+    """Mean resampled ``metric`` of each candidate, best first: one of METRICS.
 
     ``fold`` is an integer column (a hash fold), so every candidate sees the same repeatable resamples;
     candidates are fitted ``parallelism`` at a time, each as a distributed fit.
     """
     pipeline = _pipeline(features, learner, scale)
+    evaluator = METRICS[metric](label)
     maps = [{learner.getParam(name): value for name, value in candidate.items()} for candidate in grid]
     cv = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=maps, evaluator=BinaryClassificationEvaluator(labelCol=label),
+        estimator=pipeline, estimatorParamMaps=maps, evaluator=evaluator,
         numFolds=folds, foldCol=fold, parallelism=parallelism,
     )
     model = cv.fit(df)
@@ -89,4 +100,5 @@ def tune_grid(
         for candidate, mean, sd in zip(grid, model.avgMetrics, model.stdMetrics)
     ]
     spark: SparkSession = df.sparkSession
-    return spark.createDataFrame(rows, "candidate string, roc_auc double, sd double").orderBy(F.desc("roc_auc"), "candidate")
+    best = F.desc(metric) if evaluator.isLargerBetter() else F.asc(metric)
+    return spark.createDataFrame(rows, f"candidate string, {metric} double, sd double").orderBy(best, "candidate")

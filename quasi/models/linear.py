@@ -14,6 +14,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from quasi.functions.tails import normal_quantile, normal_two_sided, t_quantile,
 from quasi.models.design import Design, build_design
 
 JVM_SUMS = 150
+MERGE_WAYS = 64
 ALIAS_TOLERANCE = 1e-9
 
 
@@ -82,16 +85,25 @@ class Fit:
 # ---------------------------------------------------------------- cross products
 
 
+def array_sum(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of the arrays in column ``v``, all of length ``size``, merged whole in two levels (zeros without any)."""
+    ways = parts.select(array_to_vector("v").alias("v"), (F.spark_partition_id() % MERGE_WAYS).alias("way"))
+    ways = ways.groupBy("way").agg(Summarizer.sum(F.col("v")).alias("v"))
+    row = ways.groupBy(F.lit(0).alias("way")).agg(Summarizer.sum(F.col("v")).alias("v")).first()
+    return np.zeros(size) if row is None else row["v"].toArray()
+
+
 def gram(df: DataFrame, columns: Sequence[Column], weight: Column | None = None) -> np.ndarray:
     """Weighted cross-product matrix of expressions.
 
-    A few columns are summed by one JVM aggregate. Wider designs go through Arrow batches: each task
-    keeps one matrix and emits it once, and the entries are summed by position.
+    Rows with a null in any of the columns or the weight are left out. A few columns are summed by one JVM
+    aggregate. Wider designs go through Arrow batches: each task keeps one matrix and emits it once.
     """
     p = len(columns)
     w = weight if weight is not None else F.lit(1.0)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     named = df.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)], w.cast("double").alias("w"))
+    named = named.where(" and ".join(f"{c} is not null" for c in named.columns))
     out = np.zeros((p, p))
     if len(pairs) <= JVM_SUMS:
         row = named.agg(*[F.expr(f"sum(x{i} * x{j} * w)").alias(f"s{i}_{j}") for i, j in pairs]).first()
@@ -104,15 +116,9 @@ def gram(df: DataFrame, columns: Sequence[Column], weight: Column | None = None)
             for batch in batches:
                 x = batch.to_numpy(dtype=float)
                 total += (x[:, :p] * x[:, p:]).T @ x[:, :p]
-            yield pd.DataFrame({"g": [total[upper]]})
+            yield pd.DataFrame({"v": [total[upper]]})
 
-        summed = (
-            named.mapInPandas(partial, "g array<double>")
-            .select(F.posexplode("g").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).collect()
-        )
-        values = [0.0] * len(pairs)
-        for r in summed:
-            values[r["pos"]] = r["v"]
+        values = array_sum(named.mapInPandas(partial, "v array<double>"), len(pairs))
     for (i, j), v in zip(pairs, values):
         out[i, j] = out[j, i] = v
     return out

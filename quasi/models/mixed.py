@@ -2,13 +2,15 @@
 
 Penalised iteratively reweighted least squares with a Laplace-type update of the intercept variance. An
 iteration is one grouped aggregate: the sums of each group are all that the fixed effects, the group
-intercepts and the variance need. With few groups the group table goes to the driver; with many it stays
-in Spark and the intercepts are joined back from a checkpointed table.
+intercepts and the variance need. The variance of the working model is solved in each iteration by secant
+steps on its logarithm. With few groups the group table goes to the driver for that; with many it stays in
+Spark, checkpointed, and the intercepts are joined back. Both take the same steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +23,8 @@ from quasi.operators.skew import null_safe
 from quasi.session import cut_lineage
 
 DRIVER_GROUPS = 2000
-INNER_STEPS = 5000
+INNER_STEPS = 200
+LEAST_VARIANCE = 1e-8
 
 
 @dataclass
@@ -32,6 +35,24 @@ class RandomIntercept:
     iterations: int
 
 
+def solve_variance(profile: Callable[[float], tuple], variance: float, tol: float) -> tuple[float, tuple]:
+    """The variance that its own update returns, and ``profile`` there; ``profile`` returns (update, ...)."""
+    floor, last = math.log(LEAST_VARIANCE), None
+    x = max(math.log(variance), floor)
+    for _ in range(INNER_STEPS):
+        found = profile(math.exp(x))
+        gap = math.log(max(found[0], LEAST_VARIANCE)) - x
+        if abs(gap) < tol or (x <= floor and gap <= 0):
+            return math.exp(x), found
+        step = gap
+        if last is not None and gap != last[1]:
+            secant = -gap * (x - last[0]) / (gap - last[1])
+            step = secant if secant * gap > 0 else gap
+        last = (x, gap)
+        x = max(x + max(-2.0, min(2.0, step)), floor)
+    raise RuntimeError(f"the variance has not converged in {INNER_STEPS} steps")
+
+
 def random_intercept_logit(
     df: DataFrame, y: str, terms: Sequence, group: str, positive: object = 1, max_iter: int = 60, tol: float = 1e-6,
     driver_groups: int = DRIVER_GROUPS,
@@ -78,7 +99,6 @@ def random_intercept_logit(
 
     used_iterations, vcov = 0, np.zeros((p, p))
     for used_iterations in range(1, max_iter + 1):
-        lam = 1.0 / variance
         if local:
             lookup = F.create_map(*[F.lit(v) for g, b in shift.items() for v in (g, float(b))])
             sums = group_sums(source, eta_of(beta, F.element_at(lookup, F.col("__gkey")))).toPandas().set_index("__gkey")
@@ -88,16 +108,14 @@ def random_intercept_logit(
             for i, j in pairs:
                 xx[i, j] = xx[j, i] = sums[f"sxx{i}_{j}"].sum()
             xz = sums[[f"sxz{i}" for i in range(p)]].sum().to_numpy()
-            # The working linear mixed model is solved to convergence before the next pass over the data.
-            new_variance = variance
-            for _ in range(INNER_STEPS):
-                lam, last = 1.0 / new_variance, new_variance
-                a = xx - (sx / (sw + lam)[:, None]).T @ sx
-                new = np.linalg.solve(a, xz - sx.T @ (sz / (sw + lam)))
-                b = (sz - sx @ new) / (sw + lam)
-                new_variance = max(float(np.mean(b * b + 1.0 / (sw + lam))), 1e-8)
-                if abs(new_variance - last) < tol * last * 1e-2:
-                    break
+
+            def profile(v: float):
+                a = xx - (sx / (sw + 1.0 / v)[:, None]).T @ sx
+                new = np.linalg.solve(a, xz - sx.T @ (sz / (sw + 1.0 / v)))
+                b = (sz - sx @ new) / (sw + 1.0 / v)
+                return float(np.mean(b * b + 1.0 / (sw + 1.0 / v))), a, new, b
+
+            new_variance, (_, a, new, b) = solve_variance(profile, variance, tol * 1e-4)
             shift = dict(zip(sums.index, b))
         else:
             if effects is None:
@@ -107,24 +125,32 @@ def random_intercept_logit(
                 state = source.join(side, null_safe(source, side, [("__gkey", "__side")]), "left")
                 offset = F.coalesce(F.col("b"), F.lit(0.0))
             sums = cut_lineage(group_sums(state, eta_of(beta, offset)))
-            precision = F.col("sw") + F.lit(lam)
-            inner = gram(sums, [*[F.col(f"sx{i}") / precision for i in range(p)], F.col("sz") / precision], precision)
             totals = sums.agg(
                 *[F.sum(f"sxx{i}_{j}").alias(f"sxx{i}_{j}") for i, j in pairs], *[F.sum(f"sxz{i}").alias(f"sxz{i}") for i in range(p)]
             ).first()
             xx = np.zeros((p, p))
             for i, j in pairs:
                 xx[i, j] = xx[j, i] = totals[f"sxx{i}_{j}"]
-            a = xx - inner[:p, :p]
-            new = np.linalg.solve(a, np.array([totals[f"sxz{i}"] for i in range(p)]) - inner[:p, p])
-            b_col = (F.col("sz") - sum((F.lit(float(v)) * F.col(f"sx{i}") for i, v in enumerate(new)), F.lit(0.0))) / precision
-            effects = sums.select("__gkey", b_col.alias("b"), (1.0 / precision).alias("s"))
-            new_variance = float(effects.agg(F.avg(F.col("b") * F.col("b") + F.col("s"))).first()[0])
+            xz = np.array([totals[f"sxz{i}"] for i in range(p)])
+
+            def profile(v: float):
+                precision = F.col("sw") + F.lit(1.0 / v)
+                inner = gram(sums, [*[F.col(f"sx{i}") / precision for i in range(p)], F.col("sz") / precision], precision)
+                a = xx - inner[:p, :p]
+                new = np.linalg.solve(a, xz - inner[:p, p])
+                b = (F.col("sz") - sum((F.lit(float(c)) * F.col(f"sx{i}") for i, c in enumerate(new)), F.lit(0.0))) / precision
+                return float(sums.agg(F.avg(b * b + 1.0 / precision)).first()[0]), a, new, b
+
+            new_variance, (_, a, new, b) = solve_variance(profile, variance, tol * 1e-4)
+            effects = sums.select("__gkey", b.alias("b"))
         moved = max(float(np.max(np.abs(new - beta))), abs(new_variance - variance) / max(variance, 1e-8))
-        beta, variance = new, max(new_variance, 1e-8)
+        beta, variance = new, new_variance
         vcov = np.linalg.inv(a)
         if moved < tol:
             break
+    else:
+        source.unpersist()
+        raise RuntimeError(f"the model has not converged in {max_iter} iterations")
     spark: SparkSession = df.sparkSession
     if local:
         effects = spark.createDataFrame([(str(g), float(b)) for g, b in shift.items()], "group string, effect double")

@@ -135,11 +135,12 @@ def histogram(
     return out.withColumn(norm, share if norm == "proportion" else share / width)
 
 
-def crosstab(df: DataFrame, a: str, b: str, weight: ColumnLike = None) -> DataFrame:
-    """Counts of each pair with the proportion inside its ``a`` row."""
+def crosstab(df: DataFrame, a: str, b: str, weight: ColumnLike = None, margin: str = "row") -> DataFrame:
+    """Counts of each pair with its proportion of the ``a`` row, the ``b`` column or the total, as ``{margin}_share``."""
+    group = {"row": a, "column": b, "total": F.lit(0)}[margin]
     w = as_col(weight) if weight is not None else F.lit(1)
     cells = df.groupBy(a, b).agg(F.sum(w).alias("n"))
-    return cells.withColumn("row_share", F.col("n") / F.sum("n").over(Window.partitionBy(a)))
+    return cells.withColumn(f"{margin}_share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
 
 
 def category_count(df: DataFrame, by: Sequence[str]) -> DataFrame:
