@@ -9,7 +9,7 @@ Cohort 0 (or null) means never treated. Cohort and time must be in the same unit
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -237,10 +237,12 @@ def att_gt(
     control: 'never' or 'notyet'. panel=True keeps units seen in every period; panel=False treats rows as
     repeated cross-sections. Without covariates, variances come from one influence vector per cluster
     (the unit, the named cluster, or the row itself), and ``draws`` adds a Rademacher multiplier
-    bootstrap. With covariates, est='reg' adjusts by outcome regression on controls and est='dr' adds
-    odds-weighted control residuals; these give point estimates, and in a panel the covariates must not
-    vary over time.
+    bootstrap. With covariates, which in a panel must not vary over time, est='reg' adjusts by outcome
+    regression on controls, with variances by the delta method from the moments of each cluster; est='dr'
+    adds odds-weighted control residuals and gives point estimates only (``draws`` is refused).
     """
+    if covariates and est == "dr" and draws:
+        raise ValueError("est='dr' has no influence vectors to draw from; use est='reg' or no covariates")
     base = df.where(F.col(y).isNotNull()).withColumn("__g", F.coalesce(F.col(cohort), F.lit(0)).cast("long")).withColumn(
         "__t", F.col(time).cast("long")
     )
@@ -270,7 +272,11 @@ def att_gt(
     table = pd.DataFrame([(g, t) for g, t, _, _ in todo], columns=["g", "t"])
     out = GroupTime(table, cells, contrast, shares, options={"control": control, "periods": periods})
     if covariates:
-        table["att"] = _adjusted(base, y, covariates, est, todo, weight, panel)
+        design = build_design(base, covariates)
+        table["att"], influence = _adjusted(base, y, design, covariates, est, todo, weight, panel)
+        if influence is not None:
+            spread = _adjusted_covariance(base, y, design, influence, len(todo), weight, cluster, draws, seed)
+            out.vcov, out.draws, out.clusters = spread
         base.unpersist()
         return out
     table["att"] = contrast @ cells["mean"].to_numpy()
@@ -321,16 +327,26 @@ def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, se
         .agg(F.collect_list(F.struct("cell", "w", "s")).alias("parts"))
         .select(F.xxhash64("c").alias("h"), F.col("parts.cell").alias("cell"), F.col("parts.w").alias("w"), F.col("parts.s").alias("s"))
     )
-    k = contrast.shape[0]
+    def effects(batch: pd.DataFrame) -> np.ndarray:
+        psi = np.zeros((len(batch), len(mean)))
+        for i, (ids, ws, ss) in enumerate(zip(batch.cell, batch.w, batch.s)):
+            at = np.asarray(ids, dtype=int)
+            psi[i, at] = (np.asarray(ss) - mean[at] * np.asarray(ws)) / total[at]
+        return psi @ contrast.T
+
+    return _influence_sums(per, effects, contrast.shape[0], draws, seed)
+
+
+def _influence_sums(per: DataFrame, effects: Callable[[pd.DataFrame], np.ndarray], k: int, draws: int, seed: int):
+    """Covariance, signed sums per draw, and count, from rows that ``effects`` turns into influence on k effects.
+
+    Column ``h`` gives the signs. Tasks add up one matrix of cross-products and one of signed sums.
+    """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cross, signed, count = np.zeros((k, k)), np.zeros((draws, k)), 0
         for batch in batches:
-            psi = np.zeros((len(batch), len(mean)))
-            for i, (ids, ws, ss) in enumerate(zip(batch.cell, batch.w, batch.s)):
-                at = np.asarray(ids, dtype=int)
-                psi[i, at] = (np.asarray(ss) - mean[at] * np.asarray(ws)) / total[at]
-            effect = psi @ contrast.T
+            effect = effects(batch)
             cross += effect.T @ effect
             count += len(batch)
             if draws:
@@ -349,16 +365,66 @@ def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, se
     return cross * count / max(count - 1, 1), boot, float(count)
 
 
-def _adjusted(base, y, covariates, est, todo, weight, panel):
-    """Covariate-adjusted effects from cell moments (and odds-weighted cell moments for 'dr')."""
-    design = build_design(base, covariates)
+def _moment_pairs(p: int) -> list[tuple[int, int]]:
+    """Places of the upper triangle of the cross-products of p regressors and the outcome."""
+    return [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+
+
+def _adjusted_covariance(base, y, design, influence, k, weight, cluster, draws, seed):
+    """Covariance of regression-adjusted effects by the delta method.
+
+    Effects are smooth functions of the cells' moment matrices. Rows shrink to (cluster, cell) moments, and a
+    cluster's influence is the sum of those times the derivatives, which have mean zero by construction.
+    Without a cluster each row is its own, and draws are normal with the covariance found.
+    """
+    p = len(design.columns)
+    pairs = _moment_pairs(p)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    z = [f"x{i}" for i in range(p + 1)]
+    named = base.select(
+        "__g", "__t", w.alias("w"), *[c.alias(n) for c, n in zip([*design.columns, F.col(y).cast("double")], z)],
+        *([F.col(cluster).alias("c")] if cluster else []),
+    )
+    products = [F.col("w") * F.col(z[i]) * F.col(z[j]) for i, j in pairs]
+    if cluster:
+        sums = named.groupBy("c", "__g", "__t").agg(*[F.sum(m).alias(f"m{q}") for q, m in enumerate(products)])
+        entry = F.struct("__g", "__t", F.array(*[f"m{q}" for q in range(len(pairs))]).alias("m"))
+        per = sums.groupBy("c").agg(F.collect_list(entry).alias("parts")).select(F.xxhash64("c").alias("h"), "parts")
+    else:
+        per = named.select(F.lit(0).cast("long").alias("h"), F.array(F.struct("__g", "__t", F.array(*products).alias("m"))).alias("parts"))
+    per = per.select(
+        "h", F.col("parts.__g").alias("g"), F.col("parts.__t").alias("t"), F.col("parts.m").alias("m")
+    )
+
+    def effects(batch: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(batch), k))
+        for i, (gs, ts, ms) in enumerate(zip(batch.g, batch.t, batch.m)):
+            for g, t, m in zip(gs, ts, ms):
+                if (g, t) in influence:
+                    ids, derivative = influence[g, t]
+                    out[i, ids] += np.asarray(m) @ derivative
+        return out
+
+    vcov, boot, count = _influence_sums(per, effects, k, draws if cluster else 0, seed)
+    if draws and not cluster:
+        values, vectors = np.linalg.eigh(vcov)
+        normal = np.random.default_rng(seed).standard_normal((draws, k))
+        boot = (normal * np.sqrt(np.maximum(values, 0.0))) @ vectors.T
+    return vcov, boot, count
+
+
+def _adjusted(base, y, design, covariates, est, todo, weight, panel):
+    """Covariate-adjusted effects from cell moments (and odds-weighted cell moments for 'dr').
+
+    For 'reg' also, per cell, the effects it enters and their derivatives by its moments (None for 'dr').
+    """
     cols = [*design.columns, F.col(y).cast("double")]
     p = len(design.columns)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
 
     def moments(rows: DataFrame, wt: Column) -> dict:
         named = rows.select("__g", "__t", wt.alias("w"), *[c.alias(f"x{i}") for i, c in enumerate(cols)])
-        pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+        pairs = _moment_pairs(p)
         grouped = named.groupBy("__g", "__t").agg(
             *[F.expr(f"sum(w * x{i} * x{j})").alias(f"s{i}_{j}") for i, j in pairs]
         )
@@ -373,9 +439,10 @@ def _adjusted(base, y, covariates, est, todo, weight, panel):
     plain = moments(base, w)
     cache: dict = {}
     effects = []
-    for g, t, b, pool in todo:
-        post, pre = (sum(plain[h, s] for h in pool) for s in (t, b))
-        beta = {s: np.nan_to_num(solve_kept(m[:p, :p], m[:p, p])[0]) for s, m in ((t, post), (b, pre))}
+    parts: dict = {}
+    for at, (g, t, b, pool) in enumerate(todo):
+        solved = {s: solve_kept(m[:p, :p], m[:p, p]) for s, m in ((s, sum(plain[h, s] for h in pool)) for s in (t, b))}
+        beta = {s: np.nan_to_num(coef) for s, (coef, _, _) in solved.items()}
 
         def residual(m, s):
             """Weighted mean of y - x'beta over the rows behind a moment matrix."""
@@ -388,6 +455,19 @@ def _adjusted(base, y, covariates, est, todo, weight, panel):
             xbar = pooled[0, :p] / pooled[0, 0]
             means = plain[g, t][0, p] / plain[g, t][0, 0] - plain[g, b][0, p] / plain[g, b][0, 0]
             effects.append(float(means - xbar @ (beta[t] - beta[b])))
+            shift = beta[t] - beta[b]
+            for s, sign in ((t, 1.0), (b, -1.0)):
+                own = np.zeros((p + 1, p + 1))
+                own[0, p] = sign / plain[g, s][0, 0]
+                own[0, 0] = -sign * plain[g, s][0, p] / plain[g, s][0, 0] ** 2 + xbar @ shift / pooled[0, 0]
+                own[0, :p] -= shift / pooled[0, 0]
+                parts.setdefault((g, s), []).append((at, own))
+                along = solved[s][1] @ xbar
+                other = np.zeros((p + 1, p + 1))
+                other[:p, p] = -sign * along
+                other[:p, :p] = sign * np.outer(along, beta[s])
+                for h in pool:
+                    parts.setdefault((h, s), []).append((at, other))
             continue
         # In a panel the covariates are fixed, so one period gives the propensity for all of them.
         key = (g, pool) if panel else (g, pool, t, b)
@@ -401,7 +481,13 @@ def _adjusted(base, y, covariates, est, todo, weight, panel):
         reweighted = cache[key]
         control = [sum(reweighted[h, s] for h in pool) for s in (t, b)]
         effects.append(float(treated - (residual(control[0], t) - residual(control[1], b))))
-    return effects
+    if est != "reg":
+        return effects, None
+    influence = {
+        cell: ([at for at, _ in found], np.array([[d[i, j] + (d[j, i] if i != j else 0.0) for i, j in _moment_pairs(p)] for _, d in found]).T)
+        for cell, found in parts.items()
+    }
+    return effects, influence
 
 
 def aggte(gt: GroupTime, kind: str = "simple") -> GroupTime:
@@ -451,7 +537,9 @@ def aggregated_frame(agg: GroupTime, spark: SparkSession, level: float = 0.95, u
 
 
 def pretrend_test(gt: GroupTime) -> dict:
-    """Wald test that every pre-treatment group-time effect is zero."""
+    """Wald test that every pre-treatment group-time effect is zero; needs effects with a covariance."""
+    if gt.vcov is None:
+        raise ValueError("the effects have no covariance (est='dr'); use est='reg' or no covariates")
     pre = np.flatnonzero((gt.table.t < gt.table.g).to_numpy())
     effects = gt.table.att.to_numpy()[pre]
     v = gt.vcov[np.ix_(pre, pre)]

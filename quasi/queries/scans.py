@@ -149,11 +149,14 @@ def s7(spark, sf):
 @query(
     "s8_column_coverage",
     """WITH a AS (SELECT 'A' AS wave, CASE WHEN l_discount > 0 THEN l_discount END AS d, l_tax AS t FROM lineitem WHERE l_returnflag = 'A'),
-            n AS (SELECT 'N' AS wave, CASE WHEN l_discount > 0 THEN l_discount END AS d FROM lineitem WHERE l_returnflag = 'N')
+            n AS (SELECT 'N' AS wave, CASE WHEN l_discount > 0 THEN l_discount END AS d FROM lineitem WHERE l_returnflag = 'N'),
+            r AS (SELECT CASE WHEN l_discount > 0 THEN l_discount END AS d, l_tax AS t FROM lineitem WHERE l_returnflag = 'R')
        SELECT 'A' AS wave, 'disc' AS "column", CAST(1 AS BIGINT) AS present, round(count(d)::DOUBLE / count(*), 6) + 0.0 AS non_null_share FROM a
        UNION ALL SELECT 'A', 'tax', 1, round(count(t)::DOUBLE / count(*), 6) + 0.0 FROM a
        UNION ALL SELECT 'N', 'disc', 1, round(count(d)::DOUBLE / count(*), 6) + 0.0 FROM n
-       UNION ALL SELECT 'N', 'tax', 0, NULL""",
+       UNION ALL SELECT 'N', 'tax', 0, NULL
+       UNION ALL SELECT 'R', 'disc', 1, round(count(d)::DOUBLE / count(*), 6) + 0.0 FROM r
+       UNION ALL SELECT 'R', 'tax', 1, round(count(t)::DOUBLE / count(*), 6) + 0.0 FROM r""",
 )
 def s8(spark, sf):
     li = table(spark, sf, "lineitem").withColumn("disc", F.when(F.col("l_discount") > 0, F.col("l_discount")))
@@ -161,6 +164,7 @@ def s8(spark, sf):
     parts = {
         "A": full.where(F.col("l_returnflag") == "A"),
         "N": full.where(F.col("l_returnflag") == "N").drop("tax"),
+        "R": full.where(F.col("l_returnflag") == "R"),
     }
     return rounded(waves.column_coverage(parts, ["disc", "tax"]))
 

@@ -25,17 +25,19 @@ def scenarios(spark, sf):
     """SELECT l_suppkey, round(avg(l_extendedprice) FILTER (l_returnflag = 'A'), 4) + 0.0 AS a_price,
               count(*) FILTER (l_returnflag = 'A') AS a_n,
               round(avg(l_extendedprice) FILTER (l_returnflag = 'N'), 4) + 0.0 AS n_price,
-              count(*) FILTER (l_returnflag = 'N') AS n_n
-       FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1""",
+              count(*) FILTER (l_returnflag = 'N') AS n_n,
+              round(avg(l_extendedprice) FILTER (l_returnflag = 'R'), 4) + 0.0 AS r_price,
+              count(*) FILTER (l_returnflag = 'R') AS r_n
+       FROM lineitem GROUP BY 1""",
 )
 def r1(spark, sf):
     long = (
-        table(spark, sf, "lineitem").where(F.col("l_returnflag").isin("A", "N"))
+        table(spark, sf, "lineitem")
         .groupBy("l_suppkey", F.lower("l_returnflag").alias("policy"))
         .agg(F.avg("l_extendedprice").alias("price"), F.count(F.lit(1)).alias("n"))
     )
-    wide = R.pivot_scenarios(long, ["l_suppkey"], "policy", ["a", "n"], ["price", "n"])
-    return rounded(wide.fillna(0, ["a_n", "n_n"]), 4)
+    wide = R.pivot_scenarios(long, ["l_suppkey"], "policy", ["a", "n", "r"], ["price", "n"])
+    return rounded(wide.fillna(0, ["a_n", "n_n", "r_n"]), 4)
 
 
 @query(

@@ -73,6 +73,45 @@ def test_adjusted_effects_recover_truth(exact, est):
     assert np.allclose(gt.table.att, np.where(gt.table.t >= gt.table.g, gt.table.t - gt.table.g + 1.0, 0.0), atol=1e-7)
 
 
+def _regression_effect(pdf, g, t, b):
+    """Effect adjusted for the factor f by regression on the never treated, from the rows themselves."""
+    x = np.column_stack([np.ones(len(pdf)), pdf.f == "b"]).astype(float)
+    y, cohort, time = pdf.y.to_numpy(), pdf.g.to_numpy(), pdf.t.to_numpy()
+    beta = {s: np.linalg.lstsq(x[(cohort == 0) & (time == s)], y[(cohort == 0) & (time == s)], rcond=None)[0] for s in (t, b)}
+    own = {s: (cohort == g) & (time == s) for s in (t, b)}
+    return y[own[t]].mean() - y[own[b]].mean() - x[own[t] | own[b]].mean(axis=0) @ (beta[t] - beta[b])
+
+
+def test_adjusted_variance_against_jackknife(spark):
+    pdf, df = panel(spark, 0.5, units=120, periods=5, timing=(0, 3, 4))
+    gt = T.att_gt(df, "y", "t", "g", "id", covariates=[factor("f")], draws=400)
+    ids = pdf.id.unique()
+    for g, t, b in ((3, 4, 2), (4, 2, 1)):
+        i = int(np.flatnonzero((gt.table.g == g) & (gt.table.t == t))[0])
+        assert gt.table.att[i] == pytest.approx(_regression_effect(pdf, g, t, b))
+        left_out = np.array([_regression_effect(pdf[pdf.id != u], g, t, b) for u in ids])
+        jackknife = (len(ids) - 1) / len(ids) * ((left_out - left_out.mean()) ** 2).sum()
+        assert gt.vcov[i, i] == pytest.approx(jackknife, rel=0.1)
+        assert gt.draws[:, i].std() == pytest.approx(np.sqrt(gt.vcov[i, i]), rel=0.15)
+    found = T.pretrend_test(gt)
+    assert found["df"] == 3 and 0.0 < found["p_value"] < 1.0
+    rows = T.att_gt(df, "y", "t", "g", panel=False, covariates=[factor("f")], draws=400)
+    i = int(np.flatnonzero((rows.table.g == 3) & (rows.table.t == 4))[0])
+    left_out = np.array([_regression_effect(pdf.drop(index=r), 3, 4, 2) for r in pdf.index])
+    jackknife = (len(pdf) - 1) / len(pdf) * ((left_out - left_out.mean()) ** 2).sum()
+    assert rows.vcov[i, i] == pytest.approx(jackknife, rel=0.1)
+    assert rows.draws[:, i].std() == pytest.approx(np.sqrt(rows.vcov[i, i]), rel=0.15)
+
+
+def test_doubly_robust_refuses_what_it_lacks(exact):
+    _, df = exact
+    gt = T.att_gt(df, "y", "t", "g", "id", covariates=[factor("f")], est="dr")
+    with pytest.raises(ValueError, match="no covariance"):
+        T.pretrend_test(gt)
+    with pytest.raises(ValueError, match="draw"):
+        T.att_gt(df, "y", "t", "g", "id", covariates=[factor("f")], est="dr", draws=10)
+
+
 def test_influence_variance_by_hand(noisy):
     pdf, df = noisy
     gt = T.att_gt(df, "y", "t", "g", "id")
