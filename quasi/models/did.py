@@ -194,7 +194,8 @@ def balanced_units(df: DataFrame, unit: str, time: str, n_periods: int) -> DataF
     return counted.where(F.col("__k") == n_periods).drop("__k")
 
 
-def _comparisons(cells: pd.DataFrame, control: str) -> tuple[list, list, set]:
+def _comparisons(cells: pd.DataFrame, control: str) -> tuple[list, list, list]:
+    """Contrasts (g, t, base, control cohorts), the periods, and what was left out as (g, t, reason)."""
     periods = sorted(int(t) for t in cells.t.unique())
     cohorts = sorted(int(g) for g in cells.g.unique())
     if 0 not in cohorts:
@@ -203,6 +204,7 @@ def _comparisons(cells: pd.DataFrame, control: str) -> tuple[list, list, set]:
         last = max(cohorts)
         periods = [t for t in periods if t < last]
     treated = [g for g in cohorts if g != 0 and periods[0] < g <= periods[-1]]
+    omitted = [(g, None, "starts outside the compared periods") for g in cohorts if g != 0 and g not in treated]
     present = {(int(r.g), int(r.t)) for r in cells.itertuples()}
     out = []
     for g in treated:
@@ -219,12 +221,14 @@ def _comparisons(cells: pd.DataFrame, control: str) -> tuple[list, list, set]:
                 pool = [0]
             else:
                 pool = [h for h in cohorts if h != g and (h == 0 or h > late)]
-            needed = [(h, s) for h in [g, *pool] for s in (t, base)]
             pool = [h for h in pool if (h, t) in present and (h, base) in present]
-            if not pool or any(c not in present for c in needed[:2]):
-                continue
-            out.append((g, t, base, tuple(pool)))
-    return out, periods, present
+            if not {(g, t), (g, base)} <= present:
+                omitted.append((g, t, "no rows of the cohort in the period or its base"))
+            elif not pool:
+                omitted.append((g, t, "no control cohort with rows in both periods"))
+            else:
+                out.append((g, t, base, tuple(pool)))
+    return out, periods, omitted
 
 
 def att_gt(
@@ -239,12 +243,13 @@ def att_gt(
     (the unit, the named cluster, or the row itself), and ``draws`` adds a Rademacher multiplier
     bootstrap. With covariates, which in a panel must not vary over time, est='reg' adjusts by outcome
     regression on controls, with variances by the delta method from the moments of each cluster; est='dr'
-    adds odds-weighted control residuals and gives point estimates only (``draws`` is refused).
+    adds odds-weighted control residuals and gives point estimates only (``draws`` is refused). Rows without
+    an outcome or a covariate take no part.
     """
     if covariates and est == "dr" and draws:
         raise ValueError("est='dr' has no influence vectors to draw from; use est='reg' or no covariates")
-    base = df.where(F.col(y).isNotNull()).withColumn("__g", F.coalesce(F.col(cohort), F.lit(0)).cast("long")).withColumn(
-        "__t", F.col(time).cast("long")
+    base = df.dropna(subset=list(dict.fromkeys([y, *_sources(covariates)]))).withColumns(
+        {"__g": F.coalesce(F.col(cohort), F.lit(0)).cast("long"), "__t": F.col(time).cast("long")}
     )
     if panel:
         if unit is None:
@@ -256,7 +261,7 @@ def att_gt(
     base = base.select("__g", "__t", *dict.fromkeys(needed)).persist()
     cells = cell_means(base, y, "__t", "__g", weight)
     check_units(cells)
-    todo, periods, _ = _comparisons(cells, control)
+    todo, periods, omitted = _comparisons(cells, control)
     index = {(int(r.g), int(r.t)): i for i, r in enumerate(cells.itertuples())}
     w = cells.w.to_numpy()
     contrast = np.zeros((len(todo), len(cells)))
@@ -270,7 +275,7 @@ def att_gt(
     weight_by_cohort = cells.groupby("g").w.sum()
     shares = {int(g): float(v / weight_by_cohort.sum()) for g, v in weight_by_cohort.items()}
     table = pd.DataFrame([(g, t) for g, t, _, _ in todo], columns=["g", "t"])
-    out = GroupTime(table, cells, contrast, shares, options={"control": control, "periods": periods})
+    out = GroupTime(table, cells, contrast, shares, options={"control": control, "periods": periods, "omitted": omitted})
     if covariates:
         design = build_design(base, covariates)
         table["att"], influence = _adjusted(base, y, design, covariates, est, todo, weight, panel)

@@ -103,6 +103,22 @@ def test_adjusted_variance_against_jackknife(spark):
     assert rows.draws[:, i].std() == pytest.approx(np.sqrt(rows.vcov[i, i]), rel=0.15)
 
 
+def test_omitted_effects_are_named(exact):
+    _, df = exact
+    gt = T.att_gt(df.where("NOT (g = 6 AND t = 8)"), "y", "t", "g", panel=False)
+    missing = [(g, t) for g, t, _ in gt.options["omitted"]]
+    assert missing == [(6, 8)] and not ((gt.table.g == 6) & (gt.table.t == 8)).any()
+    every = T.att_gt(df.where("g <> 0"), "y", "t", "g", "id", control="notyet")
+    assert [(g, t) for g, t, _ in every.options["omitted"]] == [(8, None)]
+
+
+def test_covariates_may_be_null(exact):
+    _, df = exact
+    holes = df.selectExpr("id", "t", "g", "y", "CASE WHEN id % 10 <> 9 THEN f END AS f")
+    gt = T.att_gt(holes, "y", "t", "g", "id", covariates=[factor("f")])
+    assert np.allclose(gt.table.att, np.where(gt.table.t >= gt.table.g, gt.table.t - gt.table.g + 1.0, 0.0), atol=1e-7)
+
+
 def test_doubly_robust_refuses_what_it_lacks(exact):
     _, df = exact
     gt = T.att_gt(df, "y", "t", "g", "id", covariates=[factor("f")], est="dr")
