@@ -147,6 +147,19 @@ def test_similar_duplicates(spark):
     assert got == {5: 5, 6: 5, 7: 7, 8: 8, 9: 5}
 
 
+def test_similar_duplicates_of_a_template(spark):
+    """Copies around the wanted similarity: a link that fails must not stand in for one that holds."""
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    texts = [[f"x{k}_{i}" if rnd.random() < 0.065 else w for i, w in enumerate(base)] for k in range(90)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    sets, forest = [set(t) for t in texts], common.Forest(90)
+    held = [forest.join(i, j) for i in range(90) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 20 < len(held) < 90 * 89 / 2
+    got = {r.doc_id: r.component_id for r in simhash.similar_duplicates(docs, words=1).collect()}
+    assert got == {i: forest.find(i) for i in range(90)}
+
+
 def vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
