@@ -36,6 +36,7 @@ WORDS_AT_ONCE = 1 << 13
 PAIRS_AT_ONCE = 1 << 20
 SHINGLES_AT_ONCE = 1 << 15
 HOT_BROADCAST = 50_000
+FEW = 64
 SHINGLES_PER_PART = 1 << 18
 
 
@@ -391,6 +392,20 @@ def confirmed_links(rows: DataFrame, least: float) -> DataFrame:
     return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(task, "u long, v long")
 
 
+def short_groups(sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows of ``confirmed_links``: sets that meet in every pair at ``similarity``, by the rarest of their shingles.
+
+    Two such sets share one of the first n - ceil(similarity * n) + 1 shingles of each, in any common order.
+    """
+    each = sets.select("id", F.explode("s").alias("g"))
+    often = stash(each.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "shingle_counts")
+    ranked = each.join(often, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("r"))
+    n = F.size("r")
+    ranked = ranked.select("id", F.explode(F.slice("r", F.lit(1), n - F.ceil(n * similarity - 1e-9).cast("int") + 1)).alias("r"))
+    ranked = ranked.where("r.df > 1").select("id", "r.g")
+    return ranked.join(sets, "id").select("g", F.col("id").alias("node"), F.col("id").alias("label"), "s")
+
+
 def similar_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
     lanes: int = 4, recall: float = 0.995,
@@ -398,24 +413,29 @@ def similar_duplicates(
     """``id_col`` and ``component_id`` of documents linked at a Jaccard similarity of shingle sets.
 
     Fingerprints of 64 * ``lanes`` bits propose links: the expected share of differing bits at the wanted similarity
-    gives the radius (plus two standard deviations), sampled tables give blocks. The proposed links are a forest, each
+    gives the radius (plus four standard deviations), sampled tables give blocks. The proposed links are a forest, each
     confirmed on the exact shingle sets; where one fails, all pairs of what the forest held together are compared
-    exactly (``confirmed_links``). Equal texts (by hash and fingerprint) are one node from the start. Rows of one id count as one document; a
+    exactly (``confirmed_links``). Texts of up to FEW shingles, whose fingerprints are too coarse, are compared exactly from
+    the start. Equal texts (by hash and fingerprint) are one node from the start. Rows of one id count as one document; a
     null id goes with its text.
     """
     bits = 64 * lanes
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+    radius = int(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
     names = [f"f{i}" for i in range(lanes)]
-    prints = stash(fingerprints(docs, id_col, text_col, words, lanes), "fingerprints")
+    prints = stash(fingerprints(docs, id_col, text_col, words, lanes, True), "fingerprints")
     same = ["digest", *names]
     nodes = prints.groupBy(*same).agg(F.min("id").alias("node"), F.max("n").alias("n")).where(F.col("node").isNotNull())
     nodes = stash(nodes, "nodes")
     found = links(nodes.select("node", *names), radius, sampled_tables(bits, share, recall, nodes.count()), lanes)
     found = stash(found, "proposed")
-    ids = found.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    # A partner of a text of FEW shingles has at most so many.
+    short = nodes.where(F.col("n").between(1, int(FEW / similarity + 1e-9))).select(F.col("node").alias("id"))
+    ids = found.select(F.explode(F.array("u", "v")).alias("id")).union(short).distinct()
     sets = stash(shingle_sets(docs, ids, id_col, text_col, words), "shingles")
     kept = stash(jaccard_links(found, sets, similarity), "confirmed")
+    exact = confirmed_links(stash(short_groups(sets.join(short, "id", "left_semi"), similarity), "short_groups"), similarity)
+    kept = stash(kept.union(exact), "confirmed")
     parts = stash(components(kept), "parts")
     whole = components(found).withColumnRenamed("root", "g")
     labels = whole.join(parts, "node", "left").select("g", "node", F.coalesce("root", "node").alias("label"))

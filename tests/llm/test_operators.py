@@ -160,6 +160,21 @@ def test_similar_duplicates_of_a_template(spark):
     assert got == {i: forest.find(i) for i in range(90)}
 
 
+def test_similar_duplicates_of_repeats_and_short_texts(spark):
+    rnd = random.Random(8)
+    rows = []
+    for k in range(30):
+        long = [f"a{k}_{rnd.randrange(10**9)}" for _ in range(300)]
+        short = [f"b{k}_{rnd.randrange(10**9)}" for _ in range(9)]
+        texts = [long, long[:30] * 5 + long, short, short[:8]]
+        rows += [(100 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_duplicates(docs, words=5, similarity=0.8).collect()}
+    assert [i for i in got if i % 100 == 3 and got[i] != i - 1] == []
+    got = {r.doc_id: r.component_id for r in simhash.similar_duplicates(docs, words=1, similarity=0.8).collect()}
+    assert [i for i in got if i % 100 == 1 and got[i] != i - 1] == []
+
+
 def vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
