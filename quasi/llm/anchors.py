@@ -103,7 +103,16 @@ def anchor_rows(docs, shape: Shape):
     ``left`` and ``right`` are the symbols of the context before and from the anchor on; ``h`` hashes the anchor and
     ``c`` its context. Documents longer than a slice are cut into overlapping pieces.
     """
-    pieces, size = [], 0
+    pieces, size, before = [], 0, None
+
+    def flush():
+        # Pieces of one document that come in two goes may share their outermost anchor, too.
+        nonlocal before
+        rows = _anchors(pieces, shape)
+        skip = int(before == (rows[0][0], rows[1][0]))
+        before = rows[0][-1], rows[1][-1]
+        return [x[skip:] for x in rows]
+
     for key, symbols in docs:
         n = len(symbols)
         if n < shape.window:
@@ -115,10 +124,10 @@ def anchor_rows(docs, shape: Shape):
             pieces.append((key, symbols[begin:end], begin, n, at - begin, until - begin))
             size += end - begin
             if size >= SLICE:
-                yield _anchors(pieces, shape)
+                yield flush()
                 pieces, size = [], 0
     if pieces:
-        yield _anchors(pieces, shape)
+        yield flush()
 
 
 def _anchors(pieces, shape: Shape):

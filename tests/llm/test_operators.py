@@ -175,6 +175,34 @@ def test_similar_duplicates_of_repeats_and_short_texts(spark):
     assert [i for i in got if i % 100 == 1 and got[i] != i - 1] == []
 
 
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_repeats_in_documents_longer_than_a_slice(spark, keep_first):
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (600_000, 500)]
+    texts[0] = texts[0][:400_000] + texts[0][1000:1100] + texts[0][400_000:]
+    places = collections.defaultdict(list)
+    for k, t in enumerate(texts):
+        for i in range(len(t) - 29):
+            places[t[i : i + 30]].append((k, i))
+    cover = [np.zeros(len(t), bool) for t in texts]
+    for found in places.values():
+        for k, i in (found[1:] if keep_first else found) if len(found) > 1 else []:
+            cover[k][i : i + 30] = True
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = suffix.remove_repeats(docs, length=30, keep_first=keep_first).collect()
+    want = {k: (int(c.sum()), bytes(np.frombuffer(t, np.uint8)[~c])) for k, (t, c) in enumerate(zip(texts, cover))}
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in got} == want
+
+
+def test_anchors_of_slices(monkeypatch):
+    symbols = np.random.default_rng(3).integers(0, 4, 5000).astype(np.uint8)
+    shape = anchors.Shape(30, 7)
+    whole = [np.concatenate(x) for x in zip(*anchors.anchor_rows([(1, symbols), (2, symbols)], shape))]
+    monkeypatch.setattr(anchors, "SLICE", 100)
+    cut = [np.concatenate(x) for x in zip(*anchors.anchor_rows([(1, symbols), (2, symbols)], shape))]
+    assert all((a == b).all() for a, b in zip(whole, cut))
+
+
 def vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
