@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quasi.llm import langid, mixing, pieces, simhash, suffix
-from quasi.llm.common import stash
+from quasi.llm.common import keyed, stash
 
 ORACLE_SQL = None
 MIX_FACTOR, MIX_REPEAT = 1.0, 2.0
@@ -25,10 +25,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of documents alike in five-word shingles (similarity 0.8 or more)."""
-    groups = simhash.similar_duplicates(docs, words=5, similarity=0.8)
-    gone = stash(groups.where("component_id <> doc_id").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps the first row by id (nulls last) of each group of documents alike in five-word shingles (similarity 0.8 or more)."""
+    others = F.struct(F.lit(0).alias("__"), *[c for c in docs.columns if c not in ("doc_id", "text")])
+    rows = keyed(docs.select("doc_id", "text", others.alias("__others")), "doc_id", "text", ["__others"])
+    groups = simhash.similar_duplicates(rows, "key", words=5, similarity=0.8)
+    gone = stash(groups.where("component_id <> key").select("key"), "gone")
+    out = rows.join(gone, "key", "left_anti").select(
+        F.col("id").alias("doc_id"), F.when(~F.col("carry.was_null"), F.col("text").cast("string")).alias("text"), "carry.__others.*"
+    )
+    return out.select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

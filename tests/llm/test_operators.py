@@ -175,6 +175,13 @@ def test_similar_duplicates_of_repeats_and_short_texts(spark):
     assert [i for i in got if i % 100 == 1 and got[i] != i - 1] == []
 
 
+def test_near_duplicates_of_one_id_and_of_none(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "h i j k l m n"), (None, "o p q r s t"), (None, "o p q r s t"), (3, "O P q r s t"), (None, "u")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == collections.Counter([(1, "a b c d e f g"), (2, "h i j k l m n"), (3, "O P q r s t"), (None, "u")])
+
+
 @pytest.mark.parametrize("keep_first", [True, False])
 def test_repeats_in_documents_longer_than_a_slice(spark, keep_first):
     rng = np.random.default_rng(2)
