@@ -30,6 +30,9 @@ QUERIES = 1024
 ENOUGH = 4
 DEGREE = 16
 BATCH = 512
+PROBES = 64
+RECALL = 0.95
+JUDGED = 256
 
 
 @dataclass
@@ -136,15 +139,80 @@ def graph_search(index: Index, points: np.ndarray, width: int) -> tuple[np.ndarr
     return np.take_along_axis(beam, order, axis=1), np.take_along_axis(cost, order, axis=1)
 
 
+def nearest_lists(index: Index, points: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``graph_search``; a beam that would see most centroids is replaced by all distances."""
+    if width * DEGREE < len(index.centroids):
+        return graph_search(index, points, width)
+    cost = _squares(points, index.centroids)
+    order = np.argsort(cost, axis=1, kind="stable")[:, :width]
+    return order, np.take_along_axis(cost, order, axis=1)
+
+
+def fewest_probes(ranks: np.ndarray, within: np.ndarray, lists: int) -> tuple[int, bool]:
+    """Probes, and whether the ratio may be kept, that find RECALL of the true neighbours: ``ranks`` of the nearest list of
+    each in its query's order, and ``within`` the ratio or not. At least PROBES."""
+    for keep in (True, False):
+        good = np.sort(ranks[within] if keep else ranks)
+        need = int(np.ceil(RECALL * len(ranks)))
+        if need <= len(good):
+            return min(lists, max(PROBES, int(good[need - 1]) + 1 if need else 0)), keep
+    return lists, False
+
+
+def _ranks(
+    base: DataFrame, asked: DataFrame, postings: DataFrame, index: Index, sizes: np.ndarray, k: int, ratio: float, enough: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """For ``fewest_probes``: by brute force over all rows for at most JUDGED queries."""
+    judged = asked.orderBy(F.xxhash64("vec_id"), "vec_id").limit(JUDGED).toPandas()
+    if not len(judged):
+        return np.empty(0, int), np.empty(0, bool)
+    q, asks = matrix(judged["v"]), judged["vec_id"].to_numpy()
+
+    def task(batches):
+        top, who = np.full((len(asks), 0), -np.inf), np.empty((len(asks), 0), np.int64)
+        for pdf in batches:
+            for at in range(0, len(pdf), 8 * BATCH):
+                part = pdf.iloc[at : at + 8 * BATCH]
+                ids = part["vec_id"].to_numpy()
+                scores = q @ matrix(part["v"]).T
+                scores[asks[:, None] == ids[None, :]] = -np.inf
+                top = np.concatenate([top, scores], axis=1)
+                who = np.concatenate([who, np.broadcast_to(ids, scores.shape)], axis=1)
+                best = np.argpartition(-top, min(k, top.shape[1]) - 1, axis=1)[:, :k]
+                top, who = np.take_along_axis(top, best, axis=1), np.take_along_axis(who, best, axis=1)
+        i, j = np.nonzero(np.isfinite(top))
+        yield pd.DataFrame({"query_id": asks[i], "vec_id": who[i, j], "score": top[i, j]})
+
+    true = base.mapInPandas(task, "query_id long, vec_id long, score double")
+    true = stash(nearest(true, k).select("query_id", "vec_id"), "judged")
+    wanted = F.broadcast(true.select(F.col("vec_id").alias("id")).distinct())
+    lists = postings.join(wanted, "id", "left_semi").select("id", "list").distinct().toPandas().groupby("id")["list"].agg(list).to_dict()
+    true = true.toPandas()
+    cost = _squares(as_queries(q, index.norm), index.centroids)
+    order = np.argsort(cost, axis=1, kind="stable")
+    place = np.argsort(order, axis=1, kind="stable")
+    ranked = np.take_along_axis(cost, order, axis=1)
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    near = (ranked <= ratio * ranked[:, :1] + 1e-12) | (before < enough)
+    row = {a: i for i, a in enumerate(asks.tolist())}
+    ranks, within = [], []
+    for a, b in true.itertuples(index=False):
+        rank = int(place[row[a], lists[b]].min())
+        ranks.append(rank)
+        within.append(bool(near[row[a], rank]))
+    return np.array(ranks, int), np.array(within, bool)
+
+
 def search(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20,
-    copies: int = 4, border: float = 1.1, probes: int = 64, ratio: float = 1.6, list_size: int = LIST,
+    copies: int = 4, border: float = 1.1, probes: int | None = None, ratio: float = 1.6, list_size: int = LIST,
 ) -> DataFrame:
     """For each query (id divisible by ``every``) the ``k`` nearest found by inner product, nearest first.
 
     Columns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; ties to the smaller id. A vector joins up to ``copies``
     lists within ``border`` times its least squared distance, a query visits up to ``probes`` lists within ``ratio`` times
-    its own. Vectors left out: see ``vectors.clean``; an id with several vectors asks with the least of them.
+    its own. Without ``probes`` their number is measured: the true neighbours of JUDGED queries, chosen by hash and compared
+    with all rows, say how many lists reach RECALL of them (and whether the ratio must go). Vectors left out: see ``vectors.clean``; an id with several vectors asks with the least of them.
     """
     spark = rows.sparkSession
     base = stash(clean(rows, id_col, vector_col, False), "vectors")
@@ -167,7 +235,7 @@ def search(
                     part = pdf.iloc[at : at + BATCH]
                     v = matrix(part["v"])
                     points = as_queries(v, place.norm) if query else leveled(v, place.norm)
-                    lists, cost = graph_search(place, points, width)
+                    lists, cost = nearest_lists(place, points, width)
                     near = cost <= factor * cost[:, :1] + 1e-12
                     if query:
                         # However near the first lists are, go on until they hold enough.
@@ -183,6 +251,9 @@ def search(
     postings = stash(base.mapInPandas(route(copies, border, False), schema), "postings")
     sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = np.array([sizes.get(i, 0) for i in range(MOST_LISTS)])
+    if probes is None:
+        probes, keep = fewest_probes(*_ranks(base, asked, postings, index.value, held, k, ratio, ENOUGH * copies * k), len(index.value.centroids))
+        ratio = ratio if keep else np.inf
     visits = stash(asked.mapInPandas(route(probes, ratio, True, held), schema), "visits")
 
     # At most MOST_LISTS rows: neighbouring lists share a bucket of ``room`` postings, a longer list is cut into parts.

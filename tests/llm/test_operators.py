@@ -218,6 +218,24 @@ def vectors(spark):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
+def test_fewest_probes():
+    ranks = np.arange(200)
+    assert ann.fewest_probes(ranks, np.ones(200, bool), 1000) == (190, True)
+    assert ann.fewest_probes(ranks, ranks < 150, 1000) == (190, False)
+    assert ann.fewest_probes(ranks // 10, np.ones(200, bool), 1000) == (64, True)
+
+
+def test_posting_lists_of_many_lists(spark):
+    x = np.random.default_rng(9).normal(size=(8000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    scores = x[::100].astype(float) @ x.T.astype(float)
+    scores[np.arange(80), np.arange(0, 8000, 100)] = -1
+    want = {100 * i: set(np.argsort(-s)[:10].tolist()) for i, s in enumerate(scores)}
+    hits = sum(r.vec_id in want[r.query_id] for r in ann.search(df, k=10, every=100, list_size=4).collect())
+    assert hits >= 0.9 * 800
+
+
 def test_exact_top_scores(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 64)
     monkeypatch.setattr(topk, "QUERIES", 4)
