@@ -1,7 +1,12 @@
-"""Known licence texts and notices, as published. Wording must equal the originals."""
+"""Known licence texts, as published, and one-line notices in common use. Wording must equal the originals.
+
+Long texts lie in ``licence_files``, one file per licence named by its identifier.
+"""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
 rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -109,6 +114,18 @@ LICENCES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 ]
 
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def published(text: str) -> list[str]:
+    """A text as it is found: with links by http or https, whole or up to the end of its terms (without the appendix)."""
+    at = text.find(TERMS_END)
+    cut = [text] if at < 0 else [text, text[: at + len(TERMS_END)], text[:at]]
+    return list(dict.fromkeys(y for x in cut for y in (x, x.replace("http://", "https://"), x.replace("https://", "http://"))))
+
+
+LICENCES += [(f.stem, t) for f in sorted(Path(__file__).with_name("licence_files").glob("*.txt")) for t in published(f.read_text("utf-8"))]
+
 #: Spellings taken as equal (after case and punctuation are normalised).
 EQUIVALENTS = [
     ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -333,6 +334,20 @@ def test_licences(spark):
     assert got == {0: ("MIT", None, 0), 1: (None, "CC-BY-4.0,MIT", 2), 2: (None, None, 0), 3: (None, None, 0), 4: (None, None, 0)}
 
 
+def test_licences_of_whole_texts(spark):
+    want = {}
+    for at, path in enumerate(sorted(Path(licences.__file__).with_name("licence_files").glob("*.txt"))):
+        text = path.read_text("utf-8")
+        want |= {2 * at: (path.stem, text), 2 * at + 1: (path.stem, "Copyright 2020 Someone\n" + text.upper())}
+    text = next(t for n, t in want.values() if n == "Apache-2.0")
+    want[100] = ("Apache-2.0", text[: text.index("APPENDIX")].replace("http://", "https://"))
+    want[101] = (None, text[:5000])
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in want.items()], "doc_id int, text string")
+    got = {r.doc_id: r.licence for r in licences.scan(docs, licences.known_texts(spark), carry=[F.col("doc_id")]).collect()}
+    assert got == {i: n for i, (n, _) in want.items()}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(got.values())
+
+
 def test_stages_on_odd_and_empty_tables(spark, odd_docs):
     for docs in (odd_docs, odd_docs.where("false")):
         for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
