@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quasi.llm import ann, langid, licences, mixing, phrases, pieces, simhash, suffix, topk, urlrules
+from quasi.llm import (
+    ann, langid, licences, mixing, negatives, phrases, pieces, resample, setjoin, simhash, suffix, topk, urlrules,
+)
 from quasi.llm import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +114,24 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known licences that documents are, or hold as lines."""
     docs = table(spark, sf_dir, "documents")
     return licences.scan(docs, licences.known_texts(spark), carry=[F.col("doc_id")])
+
+
+@query()
+def op11_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles have a Jaccard similarity of 0.9 or more."""
+    return setjoin.link(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query()
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five best positives of every 50th vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), every=50, positives=5, negatives=3, lower=50, upper=95, scale=256)
+
+
+@query()
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by their likeness to the benchmark in words."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, target, longest=1, buckets=10_000, percent=10, min_words=20, seed="2024")
