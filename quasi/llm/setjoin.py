@@ -32,39 +32,74 @@ MOST_COUNTER_BITS = 25
 BYTES_PER_PLACE = 128
 SEGMENT_BITS = 16
 CLASS_RATIO = 1.2
-WORDS_KEPT = 1 << 17
+BYTES_AT_ONCE = 1 << 21
+LONG_WORD = 64
+WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 PART = 1024
 SHINGLES_PER_PART = 1 << 19
 SHINGLES_AT_ONCE = 1 << 20
 SKIP = 32
 
 
-class _Words(dict):
-    """Hash of a word, kept for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(factor)
     return x ^ (x >> np.uint64(30))
 
 
-def shingle_set(text: bytes | None, words: int, known: dict) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``words`` words; of fewer words, one of the whole sequence."""
-    found = (text or b"").lower().split()
-    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    n = max(1, len(h) - words + 1) if len(h) else 0
-    width = min(words, len(h))
-    out = np.full(n, width, np.uint64)
-    for i in range(width):
-        out = mix(out + h[i : i + n])
-    return np.unique(out)
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A-Z lower-cased, and how many each text has."""
+    raw = b"\n" + b"\n".join(texts).lower() + b"\n" * 9
+    data = np.frombuffer(raw, np.uint8)
+    inside = ~WHITE[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    size = end - begin
+    # Eight bytes from every place on; words are mixed in such steps.
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+    h = mix(size.astype(np.uint64))
+    for step in range(0, LONG_WORD, 8):
+        at = np.flatnonzero(size > step)
+        if not len(at):
+            break
+        h[at] = mix(h[at] + (eight[begin[at] + step] & LOW_BYTES[np.minimum(size[at] - step, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[begin[i] : end[i]])
+    starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return h, np.diff(np.searchsorted(begin, starts))
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    return x[fresh]
+
+
+def shingle_sets(texts, words: int):
+    """Of each text (bytes or None) the sorted distinct hashes of all runs of ``words`` words; of fewer words, one of the whole
+    sequence."""
+
+    def sets(run):
+        h, counts = word_hashes(run)
+        begin = np.cumsum(counts) - counts
+        for a, n in zip(begin.tolist(), counts.tolist()):
+            width = min(words, n)
+            out = np.full(n - width + 1 if n else 0, width, np.uint64)
+            for i in range(width):
+                out = mix(out + h[a + i : a + i + len(out)])
+            yield distinct(out)
+
+    run, size = [], 0
+    for text in texts:
+        run.append(text or b"")
+        size += len(run[-1])
+        if size >= BYTES_AT_ONCE:
+            yield from sets(run)
+            run, size = [], 0
+    if run:
+        yield from sets(run)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -82,11 +117,10 @@ def _counted(docs: DataFrame, words: int, bits: int) -> DataFrame:
     names = ["key", "id", "n", "d1", "d2", "segment", "at", "n_at"]
 
     def task(batches):
-        known, counter = _Words(), np.zeros(1 << bits, np.uint32)
+        counter = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             n, digests = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64)
-            for i in range(batch.num_rows):
-                s = shingle_set(batch.column(1)[i].as_py(), words, known)
+            for i, s in enumerate(shingle_sets((t.as_py() for t in batch.column(1)), words)):
                 n[i] = len(s)
                 digests[i] = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 np.add.at(counter, (s >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
@@ -143,12 +177,11 @@ def _entries(docs: DataFrame, words: int, percent: int, bits: int, levels) -> Da
     """Prefix index: ``token``, size class ``size``, ``key``, ``n`` and ``left``, the set's shingles from the token on."""
 
     def task(batches):
-        known, level = _Words(), levels.value
+        level = levels.value
         for batch in batches:
             keys = batch.column(0).to_numpy()
             tokens, which, left, sizes = [], [], [], []
-            for i in range(batch.num_rows):
-                s = shingle_set(batch.column(1)[i].as_py(), words, known)
+            for i, s in enumerate(shingle_sets((t.as_py() for t in batch.column(1)), words)):
                 if not len(s):
                     continue
                 p = prefix_size(len(s), percent)
@@ -171,7 +204,7 @@ def _entries(docs: DataFrame, words: int, percent: int, bits: int, levels) -> Da
     return docs.select("key", F.col("text").cast("binary")).mapInArrow(task, "token long, size int, key long, n long, left long")
 
 
-def _members(entries: DataFrame, percent: int) -> DataFrame:
+def _members(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """``g`` (the leader's key), ``key`` and ``n`` of every set that shares a list with another one, after skipping."""
     lists = ["token", "size"]
     often = entries.groupBy(*lists).agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1").drop("m")
@@ -179,7 +212,8 @@ def _members(entries: DataFrame, percent: int) -> DataFrame:
     partner = F.greatest("least", F.ceil(F.col("n") * percent / F.lit(100.0)))
     need = F.ceil((F.col("n") + partner) * percent / F.lit(100.0 + percent) - 1e-6)
     kept = entries.join(often, lists).where(F.col("left") >= need).select(*lists, "key", "n")
-    kept = stash(kept, "setjoin_kept")
+    # Of equal sets one goes on; by now few entries are left.
+    kept = stash(kept.join(nodes.select(F.col("node").alias("key")), "key", "left_semi"), "setjoin_kept")
     first = F.min(F.struct(F.xxhash64("key").alias("h"), "key"))
     leaders = kept.groupBy(*lists).agg(F.count(F.lit(1)).alias("m"), first.alias("leader")).where("m > 1")
     return kept.join(leaders.select(*lists, F.col("leader.key").alias("g")), lists).select("g", "key", "n").distinct()
@@ -287,14 +321,13 @@ def _with_sets(docs: DataFrame, tiles: DataFrame, words: int) -> DataFrame:
     """``g``, ``ti``, ``tj``, ``part``, ``key`` and ``s``, the document's shingle hashes."""
     names = ["g", "ti", "tj", "part", "key", "s"]
     needs = tiles.groupBy(F.col("key").alias("need")).agg(F.collect_list(F.struct(*names[:4])).alias("visits"))
-    both = docs.select("key", F.col("text").cast("binary").alias("text")).join(needs, F.col("key") == F.col("need")).drop("need")
+    both = docs.select("key", F.col("text").cast("binary").alias("text")).join(needs.hint("shuffle_hash"), F.col("key") == F.col("need")).drop("need")
 
     def task(batches):
-        known = _Words()
         for batch in batches:
             rows, sets, size = [], [], 0
-            for i in range(batch.num_rows):
-                key, s = batch.column(0)[i].as_py(), shingle_set(batch.column(1)[i].as_py(), words, known).view(np.int64)
+            for i, s in enumerate(shingle_sets((t.as_py() for t in batch.column(1)), words)):
+                key, s = batch.column(0)[i].as_py(), s.view(np.int64)
                 for visit in batch.column(2)[i].as_py():
                     rows.append((*visit.values(), key))
                     sets.append(s)
@@ -373,9 +406,8 @@ def link(
     nodes = prints.where("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("node"), F.min("id").alias("least"))
     nodes = stash(nodes, "setjoin_nodes")
     levels = rows.sparkSession.sparkContext.broadcast(_levels(counted, bits))
-    entries = _entries(rows, words, percent, bits, levels)
-    entries = stash(entries.join(nodes.select(F.col("node").alias("key")), "key", "left_semi"), "setjoin_entries")
-    tiles = stash(_tiles(stash(_members(entries, percent), "setjoin_members")), "setjoin_tiles")
+    entries = stash(_entries(rows, words, percent, bits, levels), "setjoin_entries")
+    tiles = stash(_tiles(stash(_members(entries, nodes, percent), "setjoin_members")), "setjoin_tiles")
     found = stash(_links(_with_sets(rows, tiles, words), percent), "setjoin_links")
     named = nodes.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = named.groupBy("root").agg(F.min("least").alias("low"))
