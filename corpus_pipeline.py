@@ -13,6 +13,7 @@ from quasi.llm import langid, mixing, pieces, simhash, suffix
 from quasi.llm.common import keyed, stash
 
 ORACLE_SQL = None
+SIMHASH_WORDS, SIMHASH_RADIUS = 4, 4
 MIX_FACTOR, MIX_REPEAT = 1.0, 2.0
 REPEAT_BYTES = 200
 
@@ -25,10 +26,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first row by id (nulls last) of each group of documents alike in five-word shingles (similarity 0.8 or more)."""
+    """Keeps the first row by id (nulls last) of each group of documents whose fingerprints are SIMHASH_RADIUS bits apart at most."""
     others = F.struct(F.lit(0).alias("__"), *[c for c in docs.columns if c not in ("doc_id", "text")])
     rows = keyed(docs.select("doc_id", "text", others.alias("__others")), "doc_id", "text", ["__others"])
-    groups = simhash.similar_duplicates(rows, "key", words=5, similarity=0.8)
+    groups = simhash.near_duplicates(rows, "key", words=SIMHASH_WORDS, radius=SIMHASH_RADIUS)
     gone = stash(groups.where("component_id <> key").select("key"), "gone")
     out = rows.join(gone, "key", "left_anti").select(
         F.col("id").alias("doc_id"), F.when(~F.col("carry.was_null"), F.col("text").cast("string")).alias("text"), "carry.__others.*"
