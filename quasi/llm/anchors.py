@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quasi.llm.common import release, stash
+from quasi.llm.common import join_one, release, stash
 
 SLICE = 1 << 18
 GROUP = 256
@@ -217,8 +217,8 @@ def repeated(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "pos", "left", "right")).alias("first")
     )
     contexts = stash(contexts, f"{name}_contexts")
-    copies = contexts.where("n > 1").select("h", "c", F.col("first.key").alias("fkey"), F.col("first.pos").alias("fpos"))
-    other = some.join(copies, ["h", "c"])
+    copies = contexts.where("n > 1").select("h", "c", F.col("first.key").alias("fkey"), F.col("first.pos").alias("fpos"), "n")
+    other = join_one(some, copies, ["h", "c"], "n")
     if keep_first:
         other = other.where("key <> fkey or pos <> fpos")
     whole = F.col("left") + F.col("right") >= window
@@ -255,8 +255,8 @@ def repeated(
             F.sum("n").alias("total"), F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "pos")).alias("place"), first.alias("first")
         )
         same = stash(same, f"{name}_same")
-        many = same.where("m > 1").select("g", "c", F.col("place.key").alias("fkey"), F.col("place.pos").alias("fpos"))
-        covered = cut.select("g", "c", "key", "pos", "low", "high").join(many, ["g", "c"])
+        many = same.where("m > 1").select("g", "c", F.col("place.key").alias("fkey"), F.col("place.pos").alias("fpos"), "m")
+        covered = join_one(cut.select("g", "c", "key", "pos", "low", "high"), many, ["g", "c"], "m")
         covered = covered.where("key <> fkey or pos <> fpos").select("key", "pos", "low", "high")
         if not keep_first:
             copied = same.where("total > 1").select("place.*", "first.low", "first.high")

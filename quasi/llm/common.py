@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quasi.session import scratch_path
 
 EDGES_PER_TASK = 250_000
+HOT_KEYS = 1000
+HOT_ROWS = 1000
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +49,32 @@ def release():
     """Hand a finished task's memory back: Python workers live on and would add up what each stage has left."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def text_runs(column: pa.Array, most: int):
+    """Runs (first row, texts) of an Arrow column, of about ``most`` bytes each: a batch is never all Python strings at once."""
+    ends = np.cumsum(pc.coalesce(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most)) + 1
+        yield start, column.slice(start, stop - start).to_pylist()
+        start = stop
+
+
+def join_one(rows: DataFrame, one: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """``rows`` inner-joined with ``one``, which has at most one row per key; ``size`` is the number of its ``rows``.
+
+    The HOT_KEYS largest keys are broadcast, so their rows stay where they are; only the others are shuffled.
+    """
+    hot = stash(one.where(F.col(size) > HOT_ROWS).orderBy(F.desc(size)).limit(HOT_KEYS), "hot_keys")
+    cold = one.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").drop(size)
+    few = F.broadcast(hot.drop(size).withColumn("__hot", F.lit(True)))
+    both = rows.join(few, list(keys), "left")
+    rest = both.where(F.col("__hot").isNull()).select(*rows.columns).join(cold, list(keys))
+    return both.where("__hot").drop("__hot").unionByName(rest)
 
 
 class Forest:

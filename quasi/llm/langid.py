@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quasi.llm.common import release
+from quasi.llm.common import release, text_runs
 
 ORDER = 4
 SAMPLE = 6000
@@ -34,6 +34,7 @@ LEAST_DOCS = 50
 START, END = "\x02", "\x03"
 OTHER = re.compile(r"[\W\d_]+")
 CACHE_TOKENS = 120_000
+RUN_BYTES = 1 << 20
 LONG_TOKEN = 48
 SHORT_TEXT = 60.0
 CONFIDENT = 40.0
@@ -216,7 +217,7 @@ def _excess(entropy: np.ndarray, mean: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (entropy - mean) * np.sqrt(n / (n + SHORT_TEXT))
 
 
-def _batches(texts: list, most: int = 1 << 20):
+def _batches(texts: list, most: int = RUN_BYTES):
     start, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or "")
@@ -301,12 +302,13 @@ def identify(docs: DataFrame, model: Model | None, text_col: str, carry: list[Co
     def task(batches):
         scorer = Scorer(shared.value) if shared.value else None
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-            for a, b in _batches(texts):
+            for a, texts in text_runs(batch.column(len(names)), RUN_BYTES):
+                texts = [t or "" for t in texts]
+                b = a + len(texts)
                 pred, score, low, no = [UNKNOWN] * (b - a), np.zeros(b - a), np.full(b - a, np.nan), np.ones(b - a, bool)
                 if scorer:
                     m = scorer.model
-                    entropy, n = scorer.measure(texts[a:b])
+                    entropy, n = scorer.measure(texts)
                     best = entropy.argmin(axis=1)
                     row = np.arange(b - a)
                     ahead = np.exp((entropy[row, best][:, None] - entropy) * np.minimum(n, CONFIDENT)[:, None])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quasi.llm.anchors import mix
-from quasi.llm.common import release
+from quasi.llm.common import release, text_runs
 from quasi.llm.suffix import prefix_order
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,6 +35,8 @@ NEW_CHARS = 250_000
 CACHE_UNITS = 120_000
 LONG_UNIT = 64
 BATCH_CHARS = 1 << 20
+KEPT_PAIRS = 1 << 20
+KEPT_CHARACTERS = 1 << 16
 PACK = 3
 NORMAL, CONTROL, UNKNOWN, BYTE = 1, 3, 2, 6
 
@@ -279,6 +281,15 @@ class Encoder:
         self.places: dict[str, int] = {}
         self.tokens, self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def rest(self):
+        """Forget units, and what else has grown past its bound: the worker lives on."""
+        self._clear()
+        v = self.vocabulary
+        if v.pairs > KEPT_PAIRS or len(v.others) > KEPT_CHARACTERS:
+            v.others.clear()
+            del v.strings[len(v.pieces) :]
+            v._table(1 << 18)
+
     def _as_bytes(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers with characters outside the vocabulary written as bytes."""
         v = self.vocabulary
@@ -378,15 +389,14 @@ def encode(docs: DataFrame, text_col: str = "text", carry: list[Column] = (), pa
     def task(batches):
         coder = encoder(path)
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            for a, b in _by_size([t or "" for t in texts], BATCH_CHARS):
-                flat, per = coder.encode([t or "" for t in texts[a:b]])
+            for a, texts in text_runs(batch.column(len(names)), BATCH_CHARS):
+                flat, per = coder.encode([t or "" for t in texts])
                 offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
-                null = pa.array([t is None for t in texts[a:b]])
+                null = pa.array([t is None for t in texts])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=null)
-                part = batch.slice(a, b - a)
+                part = batch.slice(a, len(texts))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), ids], [*names, "ids"])
-        coder._clear()
+        coder.rest()
         release()
 
     return narrow.mapInArrow(task, schema)

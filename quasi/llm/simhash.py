@@ -6,8 +6,7 @@ radius are abandoned between rounds of planes. A block returns a minimum spannin
 pairs, so a group of m copies sends on at most m - 1 links per block.
 
 Blocks come from tables of bit positions. ``exact_tables`` cuts the fingerprint so that any two within the radius agree
-on a whole table entry (nothing is missed); ``sampled_tables`` draws positions at random, as many tables as the wanted
-recall at a given distance takes. The number of bits in a key follows the number of fingerprints, so a block holds
+on a whole table entry (nothing is missed). The number of bits in a key follows the number of fingerprints, so a block holds
 about BLOCK of them; larger blocks are cut into tiles and compared tile by tile.
 
 Empty and null texts have fingerprint zero. Rows of a null id keep their row and get the component of their text.
@@ -17,7 +16,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import random
 
 import numpy as np
 import pandas as pd
@@ -36,8 +34,6 @@ WORDS_AT_ONCE = 1 << 13
 PAIRS_AT_ONCE = 1 << 20
 SHINGLES_AT_ONCE = 1 << 15
 HOT_BROADCAST = 50_000
-FEW = 64
-SHINGLES_PER_PART = 1 << 18
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -80,9 +76,9 @@ def simhash(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int) -> DataFrame:
     """Columns ``id``, ``digest`` (hash of the text), ``n`` (shingles) and fingerprint words ``f0``, ``f1``, ... of whole
-    texts; with ``distinct`` a shingle counts once however often it is repeated."""
+    texts."""
     names = [f"f{i}" for i in range(lanes)]
 
     def task(batches):
@@ -91,7 +87,6 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes:
             prints, counts = np.zeros((len(texts), lanes), np.uint64), np.zeros(len(texts), np.int64)
             for i, text in enumerate(texts):
                 hashes = shingle_hashes(text.as_py(), words)
-                hashes = np.unique(hashes) if distinct else hashes
                 prints[i], counts[i] = simhash(hashes, lanes), len(hashes)
             columns = [pa.array(counts), *(pa.array(prints[:, j].view(np.int64)) for j in range(lanes))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "digest", "n", *names])
@@ -121,21 +116,6 @@ def exact_tables(bits: int, radius: int, rows: int) -> list[list[int]]:
     return tables
 
 
-def sampled_tables(bits: int, share: float, recall: float, rows: int) -> list[list[int]]:
-    """Random positions: pairs whose bits differ with probability ``share`` meet in a table with ``recall``, on average over
-    the distances that such pairs have."""
-    need = key_bits(rows)
-    if need == 0:
-        return [[]]
-    d = np.arange(bits + 1)
-    odds = np.array([math.comb(bits, int(i)) * share**int(i) * (1 - share) ** (bits - int(i)) for i in d])
-    apart, tables = 1 - (1 - d / bits) ** need, 1
-    while (odds * apart**tables).sum() > 1 - recall:
-        tables += 1
-    draw = random.Random(SEED)
-    return [sorted(draw.sample(range(bits), need)) for _ in range(tables)]
-
-
 def _csa(a, b, c):
     u = a ^ b
     return u ^ c, (a & b) | (u & c)
@@ -298,152 +278,3 @@ def near_duplicates(
     return prints.join(named, prints.f0 == named.node).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Columns ``id`` and ``s`` (distinct shingle hashes) of the documents in ``ids``."""
-
-    def task(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return texts.join(ids, "id", "left_semi").mapInArrow(task, "id long, s array<long>")
-
-
-def jaccard_links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles have at least the Jaccard similarity ``least``."""
-    a, b = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
-    both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("su", "sv")))
-    union = F.size("su") + F.size("sv") - F.col("common")
-    return both.where((union == 0) | (F.col("common") >= least * union)).select("u", "v")
-
-
-def exact_forest(sets: list[np.ndarray], labels: np.ndarray, least: float, split: int = 0) -> list[tuple[int, int]]:
-    """Links of Jaccard similarity ``least`` between sets that join what equal ``labels`` leave apart, from all pairs.
-
-    ``split`` > 0 compares only sets before it with sets from it on.
-    """
-    m = len(sets)
-    forest = Forest(m)
-    for i, first in enumerate(np.unique(labels, return_index=True)[1][np.unique(labels, return_inverse=True)[1]].tolist()):
-        forest.join(first, i)
-    sizes = np.array([len(x) for x in sets])
-    ends = np.cumsum(sizes)
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1] if ends[-1] else np.empty(0, np.int64)
-    sums, mark = np.zeros(len(flat) + 1, np.int32), np.zeros(len(flat), bool)
-    found = []
-    for i in range(split or m - 1):
-        begin = split or i + 1
-        mine = flat[ends[i] - sizes[i] : ends[i]]
-        mark[mine] = True
-        base = ends[begin] - sizes[begin]
-        np.cumsum(mark[flat[base:]], dtype=np.int32, out=sums[1 : len(flat) - base + 1])
-        mark[mine] = False
-        common = sums[ends[begin:] - base] - sums[ends[begin:] - sizes[begin:] - base]
-        for j in (np.flatnonzero(common >= least * (sizes[i] + sizes[begin:] - common)) + begin).tolist():
-            if forest.join(i, j):
-                found.append((i, j))
-    return found
-
-
-def confirmed_links(rows: DataFrame, least: float) -> DataFrame:
-    """Links (u, v) of Jaccard similarity ``least`` that, with equal ``label``, span what all pairs within a ``g`` span.
-
-    ``rows`` has ``g``, ``node``, ``label``, ``s``. Groups are compared in tiles of bounded shingles; a tile sends on a
-    forest of links that are confirmed already, so none stands in for another that fails.
-    """
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("s")).alias("total"))
-    sizes = sizes.withColumn("parts", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / SHINGLES_PER_PART)).cast("int"))
-    sizes = stash(sizes.where("parts > 1").select("g", "parts"), "hot_groups")
-    few = sizes.limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST
-    tiled = rows.join(F.broadcast(sizes) if few else sizes, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    tiled = tiled.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tiled = tiled.select("g", F.least("part", "other").alias("ti"), F.greatest("part", "other").alias("tj"), "part", "node", "label", "s")
-
-    def compare(pdf: pd.DataFrame) -> list[tuple[int, int]]:
-        i, j = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0])
-        pdf = pdf.sort_values(["part", "node"])
-        cut = int((pdf["part"] == i).sum()) if i != j else 0
-        if len(pdf) < 2 or (i != j and cut in (0, len(pdf))):
-            return []
-        node = pdf["node"].to_numpy()
-        return [(node[a], node[b]) for a, b in exact_forest(list(pdf["s"]), pdf["label"].to_numpy(), least, cut)]
-
-    def task(batches):
-        # Tiles come whole, one after the other; the last of a batch may go on in the next.
-        rest = None
-        for pdf in itertools.chain(batches, (None,)):
-            have = pd.concat([x for x in (rest, pdf) if x is not None and len(x)] or [tiled_empty], ignore_index=True)
-            if not len(have):
-                continue
-            at = have[["g", "ti", "tj"]].to_numpy()
-            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(have)]
-            last = edges[-2] if pdf is not None else len(have)
-            rest = have.iloc[last:]
-            found = [x for a, b in zip(edges, edges[1:]) if b <= last and b - a > 1 for x in compare(have.iloc[a:b])]
-            yield pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
-        release()
-
-    tiled_empty = pd.DataFrame({"g": [], "ti": [], "tj": []})
-    keys = ["g", "ti", "tj"]
-    return tiled.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(task, "u long, v long")
-
-
-def short_groups(sets: DataFrame, similarity: float) -> DataFrame:
-    """Rows of ``confirmed_links``: sets that meet in every pair at ``similarity``, by the rarest of their shingles.
-
-    Two such sets share one of the first n - ceil(similarity * n) + 1 shingles of each, in any common order.
-    """
-    each = sets.select("id", F.explode("s").alias("g"))
-    often = stash(each.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "shingle_counts")
-    ranked = each.join(often, "g").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("r"))
-    n = F.size("r")
-    ranked = ranked.select("id", F.explode(F.slice("r", F.lit(1), n - F.ceil(n * similarity - 1e-9).cast("int") + 1)).alias("r"))
-    ranked = ranked.where("r.df > 1").select("id", "r.g")
-    return ranked.join(sets, "id").select("g", F.col("id").alias("node"), F.col("id").alias("label"), "s")
-
-
-def similar_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
-    lanes: int = 4, recall: float = 0.995,
-) -> DataFrame:
-    """``id_col`` and ``component_id`` of documents linked at a Jaccard similarity of shingle sets.
-
-    Fingerprints of 64 * ``lanes`` bits propose links: the expected share of differing bits at the wanted similarity
-    gives the radius (plus four standard deviations), sampled tables give blocks. The proposed links are a forest, each
-    confirmed on the exact shingle sets; where one fails, all pairs of what the forest held together are compared
-    exactly (``confirmed_links``). Texts of up to FEW shingles, whose fingerprints are too coarse, are compared exactly from
-    the start. Equal texts (by hash and fingerprint) are one node from the start. Rows of one id count as one document; a
-    null id goes with its text.
-    """
-    bits = 64 * lanes
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(bits * share + 4 * math.sqrt(bits * share * (1 - share)))
-    names = [f"f{i}" for i in range(lanes)]
-    prints = stash(fingerprints(docs, id_col, text_col, words, lanes, True), "fingerprints")
-    same = ["digest", *names]
-    nodes = prints.groupBy(*same).agg(F.min("id").alias("node"), F.max("n").alias("n")).where(F.col("node").isNotNull())
-    nodes = stash(nodes, "nodes")
-    found = links(nodes.select("node", *names), radius, sampled_tables(bits, share, recall, nodes.count()), lanes)
-    found = stash(found, "proposed")
-    # A partner of a text of FEW shingles has at most so many.
-    short = nodes.where(F.col("n").between(1, int(FEW / similarity + 1e-9))).select(F.col("node").alias("id"))
-    ids = found.select(F.explode(F.array("u", "v")).alias("id")).union(short).distinct()
-    sets = stash(shingle_sets(docs, ids, id_col, text_col, words), "shingles")
-    kept = stash(jaccard_links(found, sets, similarity), "confirmed")
-    exact = confirmed_links(stash(short_groups(sets.join(short, "id", "left_semi"), similarity), "short_groups"), similarity)
-    kept = stash(kept.union(exact), "confirmed")
-    parts = stash(components(kept), "parts")
-    whole = components(found).withColumnRenamed("root", "g")
-    labels = whole.join(parts, "node", "left").select("g", "node", F.coalesce("root", "node").alias("label"))
-    labels = stash(labels, "labels")
-    torn = labels.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("g")
-    torn = labels.join(torn, "g", "left_semi").join(sets, F.col("node") == F.col("id")).select("g", "node", "label", "s")
-    more = confirmed_links(stash(torn, "torn"), similarity)
-    roots = components(kept.union(more))
-    named = nodes.join(roots, "node", "left").select(*same, F.coalesce("root", "node").alias("component"))
-    out = prints.join(stash(named, "components"), same, "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))

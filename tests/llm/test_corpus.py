@@ -135,47 +135,6 @@ def test_components_of_many_tasks(spark, monkeypatch):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
 
 
-def test_similar_duplicates(spark):
-    rnd = random.Random(4)
-    base = [f"w{rnd.randrange(10_000)}" for _ in range(200)]
-    near, far = base[:], base[:]
-    near[100] = "changed"
-    for i in range(0, 200, 12):
-        far[i] = "other"
-    texts = [base, near, far, [f"v{rnd.randrange(10_000)}" for _ in range(200)], base]
-    docs = spark.createDataFrame([(i + 5, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_duplicates(docs).collect()}
-    assert got == {5: 5, 6: 5, 7: 7, 8: 8, 9: 5}
-
-
-def test_similar_duplicates_of_a_template(spark):
-    """Copies around the wanted similarity: a link that fails must not stand in for one that holds."""
-    rnd = random.Random(6)
-    base = [f"w{i}" for i in range(300)]
-    texts = [[f"x{k}_{i}" if rnd.random() < 0.065 else w for i, w in enumerate(base)] for k in range(90)]
-    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
-    sets, forest = [set(t) for t in texts], common.Forest(90)
-    held = [forest.join(i, j) for i in range(90) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert 20 < len(held) < 90 * 89 / 2
-    got = {r.doc_id: r.component_id for r in simhash.similar_duplicates(docs, words=1).collect()}
-    assert got == {i: forest.find(i) for i in range(90)}
-
-
-def test_similar_duplicates_of_repeats_and_short_texts(spark):
-    rnd = random.Random(8)
-    rows = []
-    for k in range(30):
-        long = [f"a{k}_{rnd.randrange(10**9)}" for _ in range(300)]
-        short = [f"b{k}_{rnd.randrange(10**9)}" for _ in range(9)]
-        texts = [long, long[:30] * 5 + long, short, short[:8]]
-        rows += [(100 * k + i, " ".join(t)) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_duplicates(docs, words=5, similarity=0.8).collect()}
-    assert [i for i in got if i % 100 == 3 and got[i] != i - 1] == []
-    got = {r.doc_id: r.component_id for r in simhash.similar_duplicates(docs, words=1, similarity=0.8).collect()}
-    assert [i for i in got if i % 100 == 1 and got[i] != i - 1] == []
-
-
 def test_near_duplicates_of_one_id_and_of_none(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "h i j k l m n"), (None, "o p q r s t"), (None, "o p q r s t"), (3, "O P q r s t"), (None, "u")]
     docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
