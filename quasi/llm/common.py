@@ -71,10 +71,8 @@ def join_one(rows: DataFrame, one: DataFrame, keys: Sequence[str], size: str) ->
     """
     hot = stash(one.where(F.col(size) > HOT_ROWS).orderBy(F.desc(size)).limit(HOT_KEYS), "hot_keys")
     cold = one.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").drop(size)
-    few = F.broadcast(hot.drop(size).withColumn("__hot", F.lit(True)))
-    both = rows.join(few, list(keys), "left")
-    rest = both.where(F.col("__hot").isNull()).select(*rows.columns).join(cold, list(keys))
-    return both.where("__hot").drop("__hot").unionByName(rest)
+    rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(cold, list(keys))
+    return rows.join(F.broadcast(hot.drop(size)), list(keys)).unionByName(rest)
 
 
 class Forest:

@@ -56,6 +56,7 @@ def in_order(docs):
 @pytest.mark.parametrize("keep_first", [True, False])
 def test_repeats_with_hot_groups(odd_docs, monkeypatch, keep_first):
     monkeypatch.setattr(anchors, "GROUP", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
     docs = odd_docs.where("doc_id is null or doc_id <> 10")
     rows = in_order(docs)
     texts = [(r.text or "").encode() for r in rows]
