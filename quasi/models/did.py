@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -161,6 +162,9 @@ class GroupTime:
     vcov: np.ndarray | None = None
     draws: np.ndarray | None = None
     clusters: float = 0.0
+    #: of the effects and, after them, the cohort shares
+    joint_vcov: np.ndarray | None = None
+    joint_draws: np.ndarray | None = None
     options: dict = field(default_factory=dict)
 
     def frame(self, spark: SparkSession, level: float = 0.95, uniform: bool = False) -> DataFrame:
@@ -239,15 +243,13 @@ def att_gt(
     """Group-time average effects (Callaway and Sant'Anna 2021) with a varying base period.
 
     control: 'never' or 'notyet'. panel=True keeps units seen in every period; panel=False treats rows as
-    repeated cross-sections. Without covariates, variances come from one influence vector per cluster
-    (the unit, the named cluster, or the row itself), and ``draws`` adds a Rademacher multiplier
-    bootstrap. With covariates, which in a panel must not vary over time, est='reg' adjusts by outcome
-    regression on controls, with variances by the delta method from the moments of each cluster; est='dr'
-    adds odds-weighted control residuals and gives point estimates only (``draws`` is refused). Rows without
-    an outcome or a covariate take no part.
+    repeated cross-sections. Variances come from one influence vector per cluster (the unit, the named
+    cluster, or the row itself), which also holds the cohort shares, and ``draws`` adds a Rademacher
+    multiplier bootstrap. With covariates, which in a panel must not vary over time, est='reg' adjusts by
+    outcome regression on controls, with variances by the delta method from the moments of each cluster;
+    est='dr' adds odds-weighted control residuals, and its influence carries the estimated outcome
+    regressions and the estimated propensity. Rows without an outcome or a covariate take no part.
     """
-    if covariates and est == "dr" and draws:
-        raise ValueError("est='dr' has no influence vectors to draw from; use est='reg' or no covariates")
     base = df.dropna(subset=list(dict.fromkeys([y, *_sources(covariates)]))).withColumns(
         {"__g": F.coalesce(F.col(cohort), F.lit(0)).cast("long"), "__t": F.col(time).cast("long")}
     )
@@ -279,18 +281,26 @@ def att_gt(
     if covariates:
         design = build_design(base, covariates)
         table["att"], influence = _adjusted(base, y, design, covariates, est, todo, weight, panel)
-        if influence is not None:
-            spread = _adjusted_covariance(base, y, design, influence, len(todo), weight, cluster, draws, seed)
-            out.vcov, out.draws, out.clusters = spread
-        base.unpersist()
-        return out
-    table["att"] = contrast @ cells["mean"].to_numpy()
-    spread = _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, seed)
-    out.vcov, out.draws, out.clusters = spread
+        summed = _adjusted_covariance if est == "reg" else _robust_covariance
+        spread = summed(base, y, design, influence, len(todo), weight, cluster, draws, seed, shares, float(w.sum()))
+    else:
+        table["att"] = contrast @ cells["mean"].to_numpy()
+        spread = _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, seed, shares)
     base.unpersist()
+    # Effects come first, the cohort shares after them.
+    k = len(todo)
+    out.joint_vcov, out.joint_draws, out.clusters = spread
+    out.vcov = out.joint_vcov[:k, :k]
+    out.draws = None if out.joint_draws is None else out.joint_draws[:, :k]
     return out
 
 
+def _share_influence(weights: np.ndarray, shares: dict, total: float) -> np.ndarray:
+    """Influence on the cohort shares of clusters with these weights by cohort (columns in the order of ``shares``)."""
+    p = np.array(list(shares.values()))
+    return (weights - weights.sum(axis=1, keepdims=True) * p) / total
+
+
 def _mix(values: np.ndarray) -> np.ndarray:
     """A 64-bit integer mixer, for repeatable signs."""
     z = values + np.uint64(0x9E3779B97F4A7C15)
@@ -299,8 +309,8 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, seed):
-    """Covariance of the effects from per-cluster influence on the cell means.
+def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, seed, shares):
+    """Covariance of the effects and the cohort shares from per-cluster influence on the cell means.
 
     Rows shrink to (cluster, cell) sums by map-side combine. A cluster touches at most one entry per
     cell, so its influence vector is short; tasks multiply it by the contrasts and add up one small
@@ -310,21 +320,24 @@ def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, se
     keys = F.array(*[F.lit(f"{g}|{t}") for g, t in index])
     cell = F.array_position(keys, F.concat_ws("|", "__g", "__t")) - 1
     mean, total = cells["mean"].to_numpy(), cells.w.to_numpy()
+    # Which cohort a cell belongs to, one column each.
+    of_cohort = np.array([[float(g == h) for h in shares] for g in cells.g])
     if cluster is None:
         # Independent rows: cell variances in closed form, no covariance between cells.
         ww = base.groupBy(cell.alias("cell")).agg(
             F.sum(w * w).alias("s0"), F.sum(w * w * F.col(y)).alias("s1"), F.sum(w * w * F.col(y) * F.col(y)).alias("s2")
         ).collect()
-        var = np.zeros(len(cells))
+        var, both, square = np.zeros(len(cells)), np.zeros(len(cells)), np.zeros(len(cells))
         for r in ww:
             i = r["cell"]
             var[i] = (r["s2"] - 2 * mean[i] * r["s1"] + mean[i] ** 2 * r["s0"]) / total[i] ** 2
-        vcov = (contrast * var) @ contrast.T
-        boot = None
-        if draws:
-            rng = np.random.default_rng(seed)
-            boot = rng.standard_normal((draws, len(cells))) * np.sqrt(var) @ contrast.T
-        return vcov, boot, float(cells.n.sum())
+            both[i] = (r["s1"] - mean[i] * r["s0"]) / total[i]
+            square[i] = r["s0"]
+        # A row of a cell moves the shares by the same vector, times its weight.
+        moved = _share_influence(of_cohort, shares, float(total.sum()))
+        cross = (contrast * both) @ moved
+        vcov = np.block([[(contrast * var) @ contrast.T, cross], [cross.T, (moved.T * square) @ moved]])
+        return vcov, _normal_draws(vcov, draws, seed) if draws else None, float(cells.n.sum())
     per = (
         base.groupBy(F.col(cluster).alias("c"), cell.alias("cell"))
         .agg(F.sum(w).alias("w"), F.sum(w * F.col(y)).alias("s"))
@@ -333,13 +346,20 @@ def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, se
         .select(F.xxhash64("c").alias("h"), F.col("parts.cell").alias("cell"), F.col("parts.w").alias("w"), F.col("parts.s").alias("s"))
     )
     def effects(batch: pd.DataFrame) -> np.ndarray:
-        psi = np.zeros((len(batch), len(mean)))
+        psi, held = np.zeros((len(batch), len(mean))), np.zeros((len(batch), len(mean)))
         for i, (ids, ws, ss) in enumerate(zip(batch.cell, batch.w, batch.s)):
             at = np.asarray(ids, dtype=int)
+            held[i, at] = ws
             psi[i, at] = (np.asarray(ss) - mean[at] * np.asarray(ws)) / total[at]
-        return psi @ contrast.T
+        return np.hstack([psi @ contrast.T, _share_influence(held @ of_cohort, shares, float(total.sum()))])
+
+    return _influence_sums(per, effects, contrast.shape[0] + len(shares), draws, seed)
 
-    return _influence_sums(per, effects, contrast.shape[0], draws, seed)
+
+def _normal_draws(vcov: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    values, vectors = np.linalg.eigh(vcov)
+    normal = np.random.default_rng(seed).standard_normal((draws, len(vcov)))
+    return (normal * np.sqrt(np.maximum(values, 0.0))) @ vectors.T
 
 
 def _influence_sums(per: DataFrame, effects: Callable[[pd.DataFrame], np.ndarray], k: int, draws: int, seed: int):
@@ -375,7 +395,7 @@ def _moment_pairs(p: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
 
 
-def _adjusted_covariance(base, y, design, influence, k, weight, cluster, draws, seed):
+def _adjusted_covariance(base, y, design, influence, k, weight, cluster, draws, seed, shares, total):
     """Covariance of regression-adjusted effects by the delta method.
 
     Effects are smooth functions of the cells' moment matrices. Rows shrink to (cluster, cell) moments, and a
@@ -401,27 +421,114 @@ def _adjusted_covariance(base, y, design, influence, k, weight, cluster, draws,
         "h", F.col("parts.__g").alias("g"), F.col("parts.__t").alias("t"), F.col("parts.m").alias("m")
     )
 
+    place = {g: i for i, g in enumerate(shares)}
+
     def effects(batch: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(batch), k))
+        out, held = np.zeros((len(batch), k)), np.zeros((len(batch), len(shares)))
         for i, (gs, ts, ms) in enumerate(zip(batch.g, batch.t, batch.m)):
             for g, t, m in zip(gs, ts, ms):
+                held[i, place[g]] += m[0]
                 if (g, t) in influence:
                     ids, derivative = influence[g, t]
                     out[i, ids] += np.asarray(m) @ derivative
-        return out
+        return np.hstack([out, _share_influence(held, shares, total)])
 
-    vcov, boot, count = _influence_sums(per, effects, k, draws if cluster else 0, seed)
-    if draws and not cluster:
-        values, vectors = np.linalg.eigh(vcov)
-        normal = np.random.default_rng(seed).standard_normal((draws, k))
-        boot = (normal * np.sqrt(np.maximum(values, 0.0))) @ vectors.T
-    return vcov, boot, count
+    vcov, boot, count = _influence_sums(per, effects, k + len(shares), draws if cluster else 0, seed)
+    return vcov, _normal_draws(vcov, draws, seed) if draws and not cluster else boot, count
+
+
+@dataclass
+class _Treated:
+    """A treated cell's rows in effect ``at``: residuals around their mean, over the cell's weight."""
+
+    at: int
+    sign: float
+    beta: np.ndarray
+    centre: float
+    weight: float
+
+    def of(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self.sign * w * (y - x @ self.beta - self.centre) / self.weight
+
+
+@dataclass
+class _Control:
+    """A control cell's rows: odds-weighted residuals, and their pull on the outcome regression."""
+
+    at: int
+    sign: float
+    beta: np.ndarray
+    centre: float
+    weight: float
+    odds: np.ndarray
+    pull: np.ndarray
+
+    def of(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        residual = y - x @ self.beta
+        direct = np.exp(x @ self.odds) * (residual - self.centre) / self.weight
+        return self.sign * w * (residual * (x @ self.pull) - direct)
+
+
+@dataclass
+class _Score:
+    """Rows the propensity was fitted on: their scores times what the effect changes by with its coefficients."""
+
+    at: int
+    treated: bool
+    odds: np.ndarray
+    pull: np.ndarray
+
+    def of(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return w * (float(self.treated) - 1.0 / (1.0 + np.exp(-(x @ self.odds)))) * (x @ self.pull)
+
+
+def _robust_covariance(base, y, design, influence, k, weight, cluster, draws, seed, shares, total):
+    """Covariance of doubly robust effects: a row's influence follows from its cell's parts; clusters add up theirs.
+
+    Tasks add up the influence of the rows they hold by cluster before anything moves.
+    """
+    p, size = len(design.columns), k + len(shares)
+    place = {g: i for i, g in enumerate(shares)}
+    names = [f"e{i}" for i in range(size)]
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    own = F.xxhash64(cluster) if cluster else F.monotonically_increasing_id()
+    named = base.select(
+        "__g", "__t", own.alias("h"), w.alias("w"), F.col(y).cast("double").alias("y"),
+        *[c.cast("double").alias(f"x{i}") for i, c in enumerate(design.columns)],
+    )
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found, held = np.zeros((len(batch), k)), np.zeros((len(batch), len(shares)))
+            for cell, at in batch.groupby(["__g", "__t"]).indices.items():
+                part = batch.iloc[at]
+                x, outcome, weights = part[[f"x{i}" for i in range(p)]].to_numpy(), part.y.to_numpy(), part.w.to_numpy()
+                held[at, place[cell[0]]] = weights
+                for piece in influence.get(cell, ()):
+                    found[at, piece.at] += piece.of(x, outcome, weights)
+            out = pd.DataFrame(np.hstack([found, _share_influence(held, shares, total)]), columns=names)
+            out["h"] = batch.h.to_numpy()
+            yield out.groupby("h", as_index=False).sum()
+
+    each = named.mapInPandas(rows, ", ".join(f"{n} double" for n in names) + ", h long")
+    if cluster:
+        each = each.groupBy("h").agg(*[F.sum(n).alias(n) for n in names])
+    vcov, boot, count = _influence_sums(each, lambda batch: batch[names].to_numpy(), size, draws if cluster else 0, seed)
+    return vcov, _normal_draws(vcov, draws, seed) if draws and not cluster else boot, count
+
+
+def _pinned(term, levels: dict):
+    """A term with the levels of the whole table, so that a part of it is coded alike."""
+    if isinstance(term, factor):
+        return factor(term.column, tuple(term.levels) or tuple(levels[term.column]), term.ref)
+    return interaction(*[_pinned(m, levels) for m in term.members]) if isinstance(term, interaction) else term
 
 
 def _adjusted(base, y, design, covariates, est, todo, weight, panel):
     """Covariate-adjusted effects from cell moments (and odds-weighted cell moments for 'dr').
 
-    For 'reg' also, per cell, the effects it enters and their derivatives by its moments (None for 'dr').
+    Also, per cell, what its rows do to the effects: derivatives by its moments for 'reg', parts of the
+    influence of a row for 'dr'.
     """
     cols = [*design.columns, F.col(y).cast("double")]
     p = len(design.columns)
@@ -443,6 +550,9 @@ def _adjusted(base, y, design, covariates, est, todo, weight, panel):
 
     plain = moments(base, w)
     cache: dict = {}
+    # The propensity has the columns of the design: pinned factors, or else the columns themselves.
+    terms = [_pinned(c, design.levels) for c in covariates] if design.discrete else [f"__x{i}" for i in range(1, p)]
+    numeric = [] if design.discrete else [c.cast("double").alias(f"__x{i}") for i, c in enumerate(design.columns) if i]
     effects = []
     parts: dict = {}
     for at, (g, t, b, pool) in enumerate(todo):
@@ -480,14 +590,28 @@ def _adjusted(base, y, design, covariates, est, todo, weight, panel):
             rows = base.where(F.col("__g").isin(g, *pool)).withColumn("__d", (F.col("__g") == g).cast("int"))
             if not panel:
                 rows = rows.where(F.col("__t").isin(t, b))
-            score = logit(rows.where(F.col("__t") == b) if panel else rows, "__d", covariates, weight)
-            mu = score.mean()
-            cache[key] = moments(rows.where("__d = 0"), w * (mu / (1.0 - mu)))
-        reweighted = cache[key]
-        control = [sum(reweighted[h, s] for h in pool) for s in (t, b)]
-        effects.append(float(treated - (residual(control[0], t) - residual(control[1], b))))
+            fitted = rows.where(F.col("__t") == b) if panel else rows
+            score = logit(fitted.select("*", *numeric), "__d", terms, weight)
+            odds = np.nan_to_num(score.coef)
+            eta = reduce(lambda m, n: m + n, [F.lit(float(v)) * c for v, c in zip(odds, design.columns)])
+            cache[key] = moments(rows.where("__d = 0"), w * F.exp(eta)), odds, score.vcov, [b] if panel else [t, b]
+        reweighted, odds, spread, fitted_at = cache[key]
+        turn, effect = np.zeros(p), treated
+        for s, sign in ((t, 1.0), (b, -1.0)):
+            m, own = sum(reweighted[h, s] for h in pool), plain[g, s]
+            centre = residual(m, s)
+            effect -= sign * centre
+            turn -= sign * (m[:p, p] - m[:p, :p] @ beta[s] - centre * m[0, :p]) / m[0, 0]
+            pull = solved[s][1] @ (m[0, :p] / m[0, 0] - own[0, :p] / own[0, 0])
+            parts.setdefault((g, s), []).append(_Treated(at, sign, beta[s], residual(own, s), own[0, 0]))
+            for h in pool:
+                parts.setdefault((h, s), []).append(_Control(at, sign, beta[s], centre, m[0, 0], odds, pull))
+        effects.append(float(effect))
+        for h in (g, *pool):
+            for s in fitted_at:
+                parts.setdefault((h, s), []).append(_Score(at, h == g, odds, spread @ turn))
     if est != "reg":
-        return effects, None
+        return effects, parts
     influence = {
         cell: ([at for at, _ in found], np.array([[d[i, j] + (d[j, i] if i != j else 0.0) for i, j in _moment_pairs(p)] for _, d in found]).T)
         for cell, found in parts.items()
@@ -498,42 +622,56 @@ def _adjusted(base, y, design, covariates, est, todo, weight, panel):
 def aggte(gt: GroupTime, kind: str = "simple") -> GroupTime:
     """Weighted averages of group-time effects: 'simple', 'dynamic' (by t - g) or 'group'.
 
-    The last row, keyed ``overall``, averages the others as the source paper does. Variances treat the
-    cohort shares as fixed.
+    The last row, keyed ``overall``, averages the others as the source paper does. Variances carry the
+    uncertainty of the effects and of the cohort shares that weigh them.
     """
     t = gt.table
-    share = t.g.map(gt.shares).to_numpy()
+    share, att = t.g.map(gt.shares).to_numpy(), t.att.to_numpy()
     post = (t.t >= t.g).to_numpy()
-    rows, keys = [], []
+    rows, keys, turns = [], [], []
+
+    def by_shares(mask):
+        """Derivatives of the share-weighted mean of the masked effects by the shares of all cohorts."""
+        total = (share * mask).sum()
+        mean = (share * mask) @ att / total
+        return np.array([((att - mean) * mask * (t.g == g).to_numpy()).sum() / total for g in gt.shares])
 
     def normal(v):
         return v / v.sum()
 
     if kind == "simple":
         rows.append(normal(share * post))
+        turns.append(by_shares(post))
         keys.append("overall")
     elif kind == "dynamic":
         event = (t.t - t.g).to_numpy()
         for e in sorted(set(event)):
             rows.append(normal(share * (event == e)))
+            turns.append(by_shares(event == e))
             keys.append(str(e))
-        live = [r for r, e in zip(rows, sorted(set(event))) if e >= 0]
-        rows.append(np.mean(live, axis=0))
+        live = [i for i, e in enumerate(sorted(set(event))) if e >= 0]
+        rows.append(np.mean([rows[i] for i in live], axis=0))
+        turns.append(np.mean([turns[i] for i in live], axis=0))
         keys.append("overall")
     elif kind == "group":
         groups = sorted(set(t.g[post]))
         for g in groups:
             rows.append(normal(((t.g == g).to_numpy() & post).astype(float)))
+            turns.append(np.zeros(len(gt.shares)))
             keys.append(str(g))
-        p = normal(np.array([gt.shares[g] for g in groups]))
-        rows.append(p @ np.array(rows))
+        held = np.array([gt.shares[g] for g in groups])
+        means = np.array(rows) @ att
+        whole = normal(held) @ means
+        turns.append(np.array([(means[groups.index(g)] - whole) / held.sum() if g in groups else 0.0 for g in gt.shares]))
+        rows.append(normal(held) @ np.array(rows))
         keys.append("overall")
     else:
         raise ValueError(kind)
     a = np.array(rows)
-    table = pd.DataFrame({"key": pd.Series(keys, dtype=object), "att": a @ t.att.to_numpy()})
-    vcov = a @ gt.vcov @ a.T if gt.vcov is not None else None
-    draws = gt.draws @ a.T if gt.draws is not None else None
+    table = pd.DataFrame({"key": pd.Series(keys, dtype=object), "att": a @ att})
+    along = np.hstack([a, np.array(turns)])
+    vcov = along @ gt.joint_vcov @ along.T
+    draws = gt.joint_draws @ along.T if gt.joint_draws is not None else None
     return GroupTime(table, gt.cells, a @ gt.contrast, gt.shares, vcov, draws, gt.clusters, gt.options)
 
 
@@ -543,8 +681,6 @@ def aggregated_frame(agg: GroupTime, spark: SparkSession, level: float = 0.95, u
 
 def pretrend_test(gt: GroupTime) -> dict:
     """Wald test that every pre-treatment group-time effect is zero; needs effects with a covariance."""
-    if gt.vcov is None:
-        raise ValueError("the effects have no covariance (est='dr'); use est='reg' or no covariates")
     pre = np.flatnonzero((gt.table.t < gt.table.g).to_numpy())
     effects = gt.table.att.to_numpy()[pre]
     v = gt.vcov[np.ix_(pre, pre)]

@@ -2,8 +2,10 @@
 
 Rows are assigned to the nearest of a few pivots. Distances to pivots bound, by the triangle inequality,
 which cells can hold a query's k nearest neighbours, and each query is sent to those cells only. Cells
-are split into blocks of bounded size, so a cell with a large share of the rows is many small groups.
-Inside a block distances come from one matrix product; a block returns k rows per query, never all pairs.
+are split into blocks of bounded size on both sides, so a cell with a large share of the rows is many small
+groups. Queries of one cell share blocks, and a train block is copied only to the query blocks that have a
+query routed to its cell. Inside a pair of blocks distances come from one matrix product; it returns k rows
+per query within the query's bound, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from quasi.operators.skew import hash_rank
 MAX_PIVOTS = 64
 MAX_CLASSES = 1000
 BLOCK_ROWS = 2048
+BLOCK_KEYS = ["cell", "tb", "home", "qb"]
 
 
 def feature_array(columns: Sequence[str]) -> Column:
@@ -43,6 +46,30 @@ def _pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt((gap * gap).sum(-1))
 
 
+def _routed_blocks(placed: DataFrame, routed: DataFrame, sizes: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Train rows and queries keyed by BLOCK_KEYS: train block (``cell``, ``tb``) and query block (``home``, ``qb``).
+
+    A train row goes to the query blocks that hold a query routed to its cell, a query to all blocks of its
+    cells; both sides therefore have the same keys.
+    """
+    blocks = F.element_at(F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, max(1, math.ceil(n / BLOCK_ROWS)))]), F.col("cell"))
+    # Queries gather by home cell; the largest home has at most all of them.
+    homes = {r["home"]: r["n"] for r in routed.select("home", "id").distinct().groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [F.lit(v) for h, n in homes.items() for v in (h, max(1, math.ceil(n / BLOCK_ROWS)))] or [F.lit(0).cast("long"), F.lit(1)]
+    queries = routed.select(
+        F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), "cell", "home", "bound",
+        F.pmod(F.xxhash64("id", F.lit("query")), F.element_at(F.create_map(*parts), F.col("home"))).alias("qb"),
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("tb")
+    routes = queries.select("cell", "home", "qb").distinct().select("cell", "home", "qb", every)
+    left = placed.select(
+        F.col("id").alias("train_id"), F.col("vec").alias("train_vec"), "cell", F.pmod(F.xxhash64("id"), blocks.cast("long")).alias("tb")
+    ).join(routes, ["cell", "tb"])
+    # Both sides come from the queries; new names tell their columns apart.
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    return left, queries.select("*", every)
+
+
 def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = False, within: str | None = None) -> DataFrame:
     """The k nearest train rows of every query by Euclidean distance.
 
@@ -51,7 +78,7 @@ def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = Fal
     small integer column on both sides; only rows with equal values are neighbours.
     """
     wanted = k + 1 if exclude_self else k
-    n_train, n_query = train.count(), query.count()
+    n_train = train.count()
     n_pivots = max(1, min(MAX_PIVOTS, int(math.sqrt(n_train) / 8)))
     picked = train.select("vec", unit_hash("id", "pivot").alias("h")).orderBy("h").limit(n_pivots).collect()
     pivots = np.array([r["vec"] for r in picked], dtype=float)
@@ -100,22 +127,16 @@ def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = Fal
             plane = np.where(gap > 0, (dc**2 - d.min(1)[:, None] ** 2) / (2 * np.where(gap > 0, gap, 1.0)), 0.0)
             need = mine & (np.maximum(floor, plane) <= bound[:, None] * (1 + 1e-9) + slack)
             at, which = np.nonzero(need)
-            yield pd.DataFrame({"id": batch.id.to_numpy()[at], "vec": batch.vec.to_numpy()[at], "cell": np.array(cells)[which]})
+            home = batch.part.to_numpy() * n_pivots + own
+            yield pd.DataFrame(
+                {"id": batch.id.to_numpy()[at], "vec": batch.vec.to_numpy()[at], "cell": np.array(cells)[which],
+                 "home": home[at], "bound": bound[at] * (1 + 1e-9) + slack}
+            )
 
-    routed = query.select("id", "vec", part.alias("part")).mapInPandas(route, f"id {query_type}, vec array<double>, cell long")
-    blocks = {c: max(1, math.ceil(sizes[c]["n"] / BLOCK_ROWS)) for c in cells}
-    query_blocks = max(1, math.ceil(n_query / BLOCK_ROWS))
-    block_count = F.element_at(F.create_map(*[F.lit(v) for c in cells for v in (c, blocks[c])]), F.col("cell"))
-    left = placed.select(
-        F.col("id").alias("train_id"), F.col("vec").alias("train_vec"), "cell",
-        F.pmod(F.xxhash64("id"), block_count).alias("tb"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"),
-    )
-    right = routed.select(
-        F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), "cell",
-        F.explode(F.sequence(F.lit(0).cast("long"), block_count.cast("long") - 1)).alias("tb"),
-        F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("qb"),
+    routed = query.select("id", "vec", part.alias("part")).mapInPandas(
+        route, f"id {query_type}, vec array<double>, cell long, home long, bound double"
     )
+    left, right = _routed_blocks(placed, routed, {c: sizes[c]["n"] for c in cells})
 
     def search(t: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if len(t) == 0 or len(q) == 0:
@@ -125,12 +146,12 @@ def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = Fal
         keep = min(wanted, len(ids))
         # Everything within rounding of the k-th distance stays in, so that ties resolve by id.
         kth = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-        at, which = np.nonzero(d <= kth[:, None] + slack)
+        at, which = np.nonzero(d <= np.minimum(kth, q.bound.to_numpy())[:, None] + slack)
         found = pd.DataFrame({"query_id": q.query_id.to_numpy()[at], "train_id": ids[which], "dist": _pair_distances(qm[at], tm[which])})
         found = found.sort_values(["query_id", "dist", "train_id"], kind="stable")
         return found[found.groupby("query_id").cumcount() < keep]
 
-    candidates = left.groupBy("cell", "tb", "qb").cogroup(right.groupBy("cell", "tb", "qb")).applyInPandas(
+    candidates = left.groupBy(*BLOCK_KEYS).cogroup(right.groupBy(*BLOCK_KEYS)).applyInPandas(
         search, f"query_id {query_type}, train_id {id_type}, dist double"
     )
     if exclude_self:

@@ -119,13 +119,77 @@ def test_covariates_may_be_null(exact):
     assert np.allclose(gt.table.att, np.where(gt.table.t >= gt.table.g, gt.table.t - gt.table.g + 1.0, 0.0), atol=1e-7)
 
 
-def test_doubly_robust_refuses_what_it_lacks(exact):
-    _, df = exact
-    gt = T.att_gt(df, "y", "t", "g", "id", covariates=[factor("f")], est="dr")
-    with pytest.raises(ValueError, match="no covariance"):
-        T.pretrend_test(gt)
-    with pytest.raises(ValueError, match="draw"):
-        T.att_gt(df, "y", "t", "g", "id", covariates=[factor("f")], est="dr", draws=10)
+def _robust_effect(pdf, g, t, b, columns):
+    """Doubly robust effect against the never treated, propensity by Newton steps, from the rows themselves."""
+    pdf = pdf[pdf.g.isin([0, g])]
+    x = np.column_stack([np.ones(len(pdf)), *[pdf[c].astype(float) for c in columns]])
+    y, treated, time = pdf.y.to_numpy(), (pdf.g == g).to_numpy(), pdf.t.to_numpy()
+    fit, odds = time == b, np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x[fit] @ odds))
+        odds += np.linalg.solve((x[fit] * (p * (1 - p))[:, None]).T @ x[fit], x[fit].T @ (treated[fit] - p))
+    out = 0.0
+    for s, sign in ((t, 1.0), (b, -1.0)):
+        own, other = treated & (time == s), ~treated & (time == s)
+        rest = y - x @ np.linalg.lstsq(x[other], y[other], rcond=None)[0]
+        out += sign * (rest[own].mean() - np.average(rest[other], weights=np.exp(x[other] @ odds)))
+    return out
+
+
+@pytest.mark.parametrize("covariates", [[factor("f")], ["x", factor("f")]])
+def test_doubly_robust_variance_against_jackknife(spark, covariates):
+    pdf, df = panel(spark, 0.5, units=150, periods=5, timing=(0, 3, 4))
+    pdf["x"], pdf["fb"] = pdf.id * 7919 % 101 / 101.0, (pdf.f == "b").astype(float)
+    pdf["y"] += 2 * pdf.x * pdf.t
+    df = df.selectExpr("id", "t", "g", "f", "cl", "(id * 7919 % 101) / 101.0D AS x", "y + 2 * ((id * 7919 % 101) / 101.0D) * t AS y")
+    gt = T.att_gt(df, "y", "t", "g", "id", covariates=covariates, est="dr", draws=400)
+    columns = ["fb"] if len(covariates) == 1 else ["x", "fb"]
+    ids = pdf.id.unique()
+    for g, t, b in ((3, 4, 2), (4, 2, 1)):
+        i = int(np.flatnonzero((gt.table.g == g) & (gt.table.t == t))[0])
+        assert gt.table.att[i] == pytest.approx(_robust_effect(pdf, g, t, b, columns), abs=1e-6)
+        left_out = np.array([_robust_effect(pdf[pdf.id != u], g, t, b, columns) for u in ids])
+        jackknife = (len(ids) - 1) / len(ids) * ((left_out - left_out.mean()) ** 2).sum()
+        assert gt.vcov[i, i] == pytest.approx(jackknife, rel=0.12)
+        assert gt.draws[:, i].std() == pytest.approx(np.sqrt(gt.vcov[i, i]), rel=0.15)
+    assert T.pretrend_test(gt)["df"] == 3
+    band = T.aggregated_frame(T.aggte(gt, "dynamic"), spark, uniform=True).toPandas()
+    assert band.se.gt(0).all()
+    if len(covariates) == 1:
+        i = int(np.flatnonzero((gt.table.g == 3) & (gt.table.t == 4))[0])
+        rows = T.att_gt(df, "y", "t", "g", panel=False, covariates=covariates, est="dr", cluster="cl")
+        assert rows.vcov[i, i] > 0 and rows.clusters == pdf.cl.nunique()
+
+
+@pytest.mark.parametrize("kind", ["simple", "dynamic", "group"])
+def test_share_uncertainty_against_jackknife(spark, kind):
+    """Effects that differ much between cohorts, so that the shares matter."""
+    pdf, df = panel(spark, 0.3, units=90, periods=6, timing=(0, 3, 5))
+    df = df.selectExpr("id", "t", "g", "y + IF(g = 5 AND t >= 5, 6, 0) AS y")
+    pdf["y"] += 6.0 * ((pdf.g == 5) & (pdf.t >= 5))
+    agg = T.aggte(T.att_gt(df, "y", "t", "g", "id", draws=600), kind)
+
+    def overall(p):
+        wide, cohort = p.pivot(index="id", columns="t", values="y"), p.groupby("id").g.first()
+        att = {}
+        for g in (3, 5):
+            for t in range(g, 7):
+                change = wide[t] - wide[g - 1]
+                att[g, t] = change[cohort == g].mean() - change[cohort == 0].mean()
+        n = {g: (cohort == g).sum() for g in (3, 5)}
+        if kind == "simple":
+            return np.average(list(att.values()), weights=[n[g] for g, _ in att])
+        if kind == "group":
+            return np.average([np.mean([v for (h, _), v in att.items() if h == g]) for g in (3, 5)], weights=[n[3], n[5]])
+        events = sorted({t - g for g, t in att})
+        return np.mean([np.average([v for (g, t), v in att.items() if t - g == e], weights=[n[g] for g, t in att if t - g == e]) for e in events])
+
+    ids = pdf.id.unique()
+    assert agg.table.att.iloc[-1] == pytest.approx(overall(pdf))
+    left_out = np.array([overall(pdf[pdf.id != u]) for u in ids])
+    jackknife = (len(ids) - 1) / len(ids) * ((left_out - left_out.mean()) ** 2).sum()
+    assert agg.vcov[-1, -1] == pytest.approx(jackknife, rel=0.06)
+    assert agg.draws[:, -1].std() == pytest.approx(np.sqrt(agg.vcov[-1, -1]), rel=0.15)
 
 
 def test_influence_variance_by_hand(noisy):

@@ -259,6 +259,30 @@ def test_nearest_with_many_copies(spark, monkeypatch):
     assert len(votes) == 600
 
 
+def test_train_rows_go_only_to_routed_blocks(spark, monkeypatch):
+    import quasi.models.knn as K
+
+    monkeypatch.setattr(K, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 2)) * 100
+    v = np.concatenate([c + rng.normal(size=(80, 2)) for c in centres])
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id int, vec array<double>")
+    sides = []
+    plain = K._routed_blocks
+
+    def watched(*args):
+        sides.extend(plain(*args))
+        return tuple(sides)
+
+    monkeypatch.setattr(K, "_routed_blocks", watched)
+    got = nearest(df, df, 3).toPandas().sort_values(["query_id", "rank"])
+    assert (got.train_id.to_numpy().reshape(-1, 3) == brute(v, v, 3, False)).all()
+    left, right = (x.select(*K.BLOCK_KEYS).toPandas() for x in sides)
+    assert {tuple(k) for k in left.to_numpy()} <= {tuple(k) for k in right.to_numpy()}
+    # With every train row in every query block there would be 960 rows in at least 30 blocks.
+    assert len(left) < 960 * 30 / 4
+
+
 def test_oversampling(spark):
     rng = np.random.default_rng(4)
     rows = [(i, "big" if i < 100 else ("small" if i < 120 else "tiny"), [float(x) for x in rng.normal(size=2)]) for i in range(127)]
@@ -266,12 +290,16 @@ def test_oversampling(spark):
     made = smote(df, "id", "label", "vec", 0.75).toPandas()
     assert made.groupby("label").size().to_dict() == {"big": 100, "small": 75, "tiny": 75}
     source = {i: np.array(v) for i, _, v in rows}
-    members = np.array([source[i] for i in range(100, 120)])
-    for _, r in made[(made.label == "small") & (made.synthetic == 1)].iterrows():
-        on_line = [
-            np.linalg.norm(np.cross(np.append(m - source[r.id], 0), np.append(np.array(r.vec) - source[r.id], 0))) < 1e-9 for m in members
-        ]
-        assert any(on_line)
+    for label, ids in (("small", range(100, 120)), ("tiny", range(120, 127))):
+        members = np.array([source[i] for i in ids])
+        near = brute(members, members, 5, True)
+        for _, r in made[(made.label == label) & (made.synthetic == 1)].iterrows():
+            # A copy is its source, moved by one share of the way to one of the five nearest of its class.
+            gap = np.array(r.vec) - source[r.id]
+            ways = members[near[r.id - ids[0]]] - source[r.id]
+            share = (ways @ gap) / (ways * ways).sum(axis=1)
+            fits = np.linalg.norm(ways * share[:, None] - gap, axis=1) < 1e-9
+            assert (fits & (share > -1e-12) & (share < 1 + 1e-12)).any()
 
 
 def test_weighting_improves_balance(data):
