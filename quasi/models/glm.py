@@ -20,7 +20,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quasi.models.design import Design, build_design
+from quasi.models.design import Design, build_design, factor, interaction
 from quasi.models.linear import Fit, _sources, array_sum, complete_rows, compress, gram, independent_columns, solve_kept
 
 
@@ -34,9 +34,20 @@ def _assembled(source: DataFrame, design: Design, keep: Sequence[int], extra: Se
 
 ROWS_PER_TASK = 50_000
 GLM_STEPS = 100
+RECTIFIER_STEPS = 200
+RECTIFIER_WEIGHT = 1e6
+RECTIFIER_ZERO = 1e-5
 MAX_COEFFICIENTS = 3000
 
 
+class NotConverged(RuntimeError):
+    """A fit without an optimum in the allowed steps."""
+
+
+class Separated(NotConverged):
+    """A logistic model without a finite optimum: some rows' outcome is certain."""
+
+
 def compact(cells: DataFrame) -> DataFrame:
     """Persisted cells in as few partitions as their number needs, for the iterations that follow."""
     kept = cells.persist()
@@ -58,14 +69,75 @@ def _spark_glm(source: DataFrame, design: Design, label: Column, weight: Column,
         family=family, link=link, maxIter=GLM_STEPS, tol=1e-8, labelCol="label", weightCol="weight"
     ).fit(data)
     if model.summary.numIterations >= GLM_STEPS:
-        raise RuntimeError(f"the {family} model has not converged in {GLM_STEPS} steps")
+        raise NotConverged(f"the {family} model has not converged in {GLM_STEPS} steps")
     coef[0] = model.intercept
     coef[kept] = model.coefficients.toArray()
     return coef, model, kept
 
 
-def logit(df: DataFrame, y: str, terms: Sequence, weight: str | None = None, positive: object = 1) -> Fit:
-    """Logistic regression of ``y == positive``; coefficients are always for the positive level."""
+def _combinations(terms: Sequence) -> list[tuple[str, ...]]:
+    """The columns of each factor term, and of each interaction of factors."""
+    found = [t.members if isinstance(t, interaction) else (t,) for t in terms]
+    return [tuple(m.column for m in group) for group in found if all(isinstance(m, factor) for m in group)]
+
+
+def separated_levels(source: DataFrame, terms: Sequence, label: Column, weight: Column) -> list[tuple[str, Column, float]]:
+    """Levels, and combinations of levels, in which every outcome is 0 or every outcome is 1: (name, rows, outcome).
+
+    One aggregate over all terms together; the levels were counted when the design was built.
+    """
+    groups = list(dict.fromkeys(_combinations(terms)))
+    if not groups:
+        return []
+    keys = [
+        F.struct(F.lit(i).alias("i"), F.array(*[F.col(c).cast("string") for c in group]).alias("v")) for i, group in enumerate(groups)
+    ]
+    sums = source.select(F.explode(F.array(*keys)).alias("k"), label.alias("y"), weight.alias("w")).where("w > 0")
+    sums = sums.groupBy("k.i", "k.v").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    out = []
+    for r in sums.where("high = 0 OR low = 1").orderBy("i", "v").collect():
+        pairs = list(zip(groups[r["i"]], r["v"]))
+        at = reduce(lambda a, b: a & b, [F.col(c).cast("string") == F.lit(v) for c, v in pairs])
+        out.append((":".join(f"{c}_{v}" for c, v in pairs), at, float(r["low"])))
+    return out
+
+
+def separating_direction(source: DataFrame, design: Design, label: Column, weight: Column) -> np.ndarray | None:
+    """Coefficients along which the likelihood grows without bound, or None (iterative rectifier).
+
+    Such a direction is at least zero on rows that are all 1, at most zero on rows that are all 0, and zero on
+    mixed cells. Repeated least squares on its positive part find it or shrink to nothing; each step is one
+    cross-product pass.
+    """
+    sign = F.when(label == 1.0, 1.0).when(label == 0.0, -1.0).otherwise(0.0)
+    w = F.when(weight > 0, F.when(sign == 0, RECTIFIER_WEIGHT).otherwise(1.0)).otherwise(0.0)
+    wanted, p = F.lit(1.0), len(design.columns)
+    for _ in range(RECTIFIER_STEPS):
+        g = gram(source, [*design.columns, sign * wanted], w)
+        along = np.nan_to_num(solve_kept(g[:p, :p], g[:p, p])[0])
+        eta = reduce(lambda a, b: a + b, [F.lit(float(b)) * c for b, c in zip(along, design.columns)])
+        fitted = sign * eta
+        low, high = source.where(weight > 0).agg(F.min(F.when(sign != 0, fitted)), F.max(F.when(sign != 0, fitted))).first()
+        if high is None or high < RECTIFIER_ZERO:
+            return None
+        if low > -RECTIFIER_ZERO:
+            return along
+        wanted = F.greatest(fitted, F.lit(0.0))
+    return None
+
+
+def logit(
+    df: DataFrame, y: str, terms: Sequence, weight: str | None = None, positive: object = 1, separated: str = "raise"
+) -> Fit:
+    """Logistic regression of ``y == positive``; coefficients are always for the positive level.
+
+    Levels whose outcomes are all alike, and rows that a combination of terms separates, leave no finite optimum:
+    ``separated='raise'`` names them; ``'drop'`` leaves their rows out, fits the rest (whose coefficients are the
+    limits they have with those rows), reports the levels' own coefficients as null and lists them in
+    ``stats['separated']``. Predicted probabilities of left-out rows are 0 or 1.
+    """
+    if separated not in ("raise", "drop"):
+        raise ValueError(separated)
     used = [y, *_sources(terms), *([weight] if weight else [])]
     rows = complete_rows(df, used).withColumn("__y", (F.col(y) == F.lit(positive)).cast("double"))
     design = build_design(rows, terms)
@@ -77,13 +149,37 @@ def logit(df: DataFrame, y: str, terms: Sequence, weight: str | None = None, pos
         label, w = F.col("__y"), (F.col(weight).cast("double") if weight else F.lit(1.0))
     held = source.persist()
     source = compact(held) if design.discrete else held
-    coef, _, kept = _spark_glm(source, design, label, w, "binomial", "logit")
-    fit = Fit(design, design.names, coef, np.zeros((len(coef), len(coef))), 0.0, None, {}, "binomial")
-    mu = fit.mean()
-    info = gram(source, [*design.columns], w * mu * (1.0 - mu))
-    fit.vcov = _inverse(info, coef)
-    fit.n = float(source.agg(F.sum("__n" if design.discrete else F.lit(1))).first()[0])
-    held.unpersist()
+    certain: list[tuple[str, Column, float]] = []
+    try:
+        while True:
+            found = separated_levels(source, terms, label, w)
+            if not found:
+                try:
+                    coef, _, kept = _spark_glm(source, design, label, w, "binomial", "logit")
+                    break
+                except NotConverged:
+                    along = separating_direction(source, design, label, w)
+                    if along is None:
+                        raise
+                    eta = reduce(lambda a, b: a + b, [F.lit(float(b)) * c for b, c in zip(along, design.columns)])
+                    name = " + ".join(n for n, b in zip(design.names, along) if abs(b) > RECTIFIER_ZERO)
+                    found = [(name, eta > RECTIFIER_ZERO, 1.0), (name, eta < -RECTIFIER_ZERO, 0.0)]
+            if separated == "raise":
+                names = ", ".join(dict.fromkeys(n for n, _, _ in found))
+                raise Separated(f"no finite optimum, the outcome is certain by {names}; separated='drop' fits the rest")
+            certain += found
+            source = source.where(reduce(lambda a, b: a & b, [~at for _, at, _ in found]))
+            if source.isEmpty():
+                raise Separated("no finite optimum, the outcome of every row is certain")
+        stats = {"separated": list(dict.fromkeys(n for n, _, _ in certain))} if certain else {}
+        fit = Fit(design, design.names, coef, np.zeros((len(coef), len(coef))), 0.0, None, stats, "binomial")
+        fit.certain = [(at, value) for _, at, value in certain]
+        mu = fit.mean()
+        info = gram(source, [*design.columns], w * mu * (1.0 - mu))
+        fit.vcov = _inverse(info, coef)
+        fit.n = float(source.agg(F.sum("__n" if design.discrete else F.lit(1))).first()[0])
+    finally:
+        held.unpersist()
     return fit
 
 

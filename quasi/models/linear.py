@@ -40,6 +40,8 @@ class Fit:
     df_resid: float | None = None
     stats: dict = field(default_factory=dict)
     family: str = "gaussian"
+    #: rows whose mean is known without the coefficients, and that mean
+    certain: list[tuple[Column, float]] = field(default_factory=list)
 
     @property
     def se(self) -> np.ndarray:
@@ -54,12 +56,15 @@ class Fit:
 
     def mean(self) -> Column:
         eta = self.eta()
-        return {
+        out = {
             "gaussian": lambda: eta,
             "binomial": lambda: 1.0 / (1.0 + F.exp(-eta)),
             "gamma_log": lambda: F.exp(eta),
             "gamma_inverse": lambda: 1.0 / eta,
         }[self.family]()
+        for at, value in reversed(self.certain):
+            out = F.when(at, F.lit(value)).otherwise(out)
+        return out
 
     def rows(self, level: float = 0.95) -> list[tuple]:
         out = []

@@ -172,6 +172,25 @@ def t5_dr(spark, sf):
     return _effects(T.att_gt(panel, "y", "t", "g", "id", covariates=[factor("c_mktsegment")], est="dr"), spark)
 
 
+@query(
+    "t5_att_gt_dr_errors",
+    f"""WITH p AS (SELECT unit::VARCHAR || '-' || s AS id, g, t, s, y FROM (SELECT unit, {_SEGMENT_PANEL.removeprefix("SELECT ")})),
+        k AS (SELECT a.g, b.t, CASE WHEN b.t >= a.g THEN a.g - 1 ELSE b.t - 1 END AS b FROM (SELECT DISTINCT g FROM p WHERE g > 1995 AND g <= 2000) a, (SELECT DISTINCT t FROM p WHERE t > 1995) b),
+        d AS (SELECT k.g, k.t, x.g <> 0 AS own, x.s, x.y - z.y AS dy FROM k JOIN p x ON x.t = k.t AND x.g IN (0, k.g) JOIN p z ON z.id = x.id AND z.t = k.b),
+        c AS (SELECT g, t, s, avg(dy) FILTER (NOT own) AS dc, count(*) FILTER (NOT own) AS nc, count(*) FILTER (own) AS nt FROM d GROUP BY 1, 2, 3),
+        a AS (SELECT g, t, avg(dy - dc) AS att, count(*)::DOUBLE AS n FROM d JOIN c USING (g, t, s) WHERE own GROUP BY 1, 2),
+        v AS (SELECT g, t, any_value(att) AS att, sum((CASE WHEN own THEN (dy - dc - att) / n ELSE nt / n * (dy - dc) / nc END) ** 2) AS v FROM d JOIN c USING (g, t, s) JOIN a USING (g, t) GROUP BY 1, 2),
+        u AS (SELECT count(DISTINCT id)::DOUBLE AS u FROM p)
+        SELECT g::BIGINT AS g, t::BIGINT AS t, round(att, 3) + 0.0 AS att, round(sqrt(v * u / (u - 1)), 3) + 0.0 AS se FROM v, u""",
+)
+def t5_dr_errors(spark, sf):
+    """Errors of the doubly robust effects; with a saturated covariate they have the closed form of the SQL."""
+    panel = order_cohorts(spark, sf).groupBy("unit", "c_mktsegment", "t", "g").agg(F.avg("y").alias("y"))
+    panel = panel.withColumn("id", F.concat_ws("-", F.col("unit").cast("string"), "c_mktsegment"))
+    gt = T.att_gt(panel, "y", "t", "g", "id", covariates=[factor("c_mktsegment")], est="dr")
+    return rounded(gt.frame(spark).select("g", "t", "att", "se"), 3)
+
+
 _SHARES = ", s AS (SELECT g, sum(n)::DOUBLE AS p FROM m GROUP BY 1)"
 
 
@@ -203,6 +222,23 @@ def t6_group(spark, sf):
     return _aggregate(spark, sf, "group")
 
 
+@query(
+    "t6_aggte_errors",
+    f"""WITH p AS (SELECT * FROM {PANEL}), n AS (SELECT count(DISTINCT unit)::DOUBLE AS n FROM p), sh AS (SELECT g, count(DISTINCT unit) / any_value(n) AS p FROM p, n GROUP BY 1),
+        d AS (SELECT k.g, x.t, x.unit, x.g AS own, x.y - z.y AS dy FROM (SELECT DISTINCT g FROM p WHERE g > 1995 AND g <= 2000) k JOIN p x ON x.t >= k.g AND x.g IN (0, k.g) JOIN p z ON z.unit = x.unit AND z.t = k.g - 1),
+        m AS (SELECT g, t, own, avg(dy) AS m, count(*) AS k FROM d GROUP BY 1, 2, 3), att AS (SELECT g, t, sum(CASE WHEN own = 0 THEN -m ELSE m END) AS att FROM m GROUP BY 1, 2),
+        w AS (SELECT g, t, att, p / sum(p) OVER () AS w, sum(p) OVER () AS total FROM att JOIN sh USING (g)), a AS (SELECT sum(w * att) AS theta FROM w),
+        turn AS (SELECT sh.g, any_value(p) AS p, coalesce(sum((att - theta) / total), 0) AS turn FROM sh CROSS JOIN a LEFT JOIN w ON w.g = sh.g GROUP BY 1),
+        one AS (SELECT unit, sum(w * CASE WHEN d.own = 0 THEN -(dy - m) / k ELSE (dy - m) / k END) AS e FROM d JOIN m ON m.g = d.g AND m.t = d.t AND m.own = d.own JOIN w ON w.g = d.g AND w.t = d.t GROUP BY 1),
+        two AS (SELECT unit, (turn - (SELECT sum(turn * p) FROM turn)) / n AS e FROM (SELECT DISTINCT unit, g FROM p) JOIN turn USING (g), n)
+        SELECT 'overall' AS key, round(any_value(theta), 3) + 0.0 AS att, round(sqrt(sum((coalesce(one.e, 0) + two.e) ** 2) * any_value(n) / (any_value(n) - 1)), 3) + 0.0 AS se FROM two LEFT JOIN one USING (unit), a, n""",
+)
+def t6_errors(spark, sf):
+    """Error of the overall effect with the cohort shares estimated."""
+    gt = T.att_gt(nation_year_panel(spark, sf), "y", "t", "g", "unit")
+    return rounded(T.aggregated_frame(T.aggte(gt, "simple"), spark).select("key", "att", "se"), 3)
+
+
 @query("t7_bootstrap_bands")
 def t7(spark, sf):
     """Clustered multiplier bootstrap with uniform bands on event-time effects."""

@@ -106,9 +106,43 @@ def m2(spark, sf):
     return rounded(cells.select("o_orderpriority", "c_mktsegment", fit.mean().alias("p"), "n"))
 
 
-@query("m2_logit")
+_LABELLED = "(SELECT quality, ln(n_chars + 1) AS x, (lang = 'en')::INT AS e FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL AND lang IS NOT NULL)"
+_INFORMATION = "sum(v) AS a, sum(v*x) AS b, sum(v*e) AS c, sum(v*x*x) AS d, sum(v*x*e) AS f, sum(v*e*e) AS h"
+_COFACTORS = "d*h - f*f AS k00, c*f - b*h AS k01, b*f - c*d AS k02, a*h - c*c AS k11, b*c - a*f AS k12, a*d - b*b AS k22, a*(d*h - f*f) - b*(b*h - c*f) + c*(b*f - c*d) AS det"
+
+
+@query(
+    "m2_logit",
+    f"""WITH RECURSIVE r AS (SELECT quality, x, e FROM {_LABELLED}),
+        it(i, b0, b1, b2) AS (
+          SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+          SELECT i + 1, b0 + (k00*s0 + k01*s1 + k02*s2) / det, b1 + (k01*s0 + k11*s1 + k12*s2) / det, b2 + (k02*s0 + k12*s1 + k22*s2) / det FROM (
+            SELECT *, {_COFACTORS} FROM (
+              SELECT i, b0, b1, b2, {_INFORMATION}, sum(quality - p) AS s0, sum((quality - p)*x) AS s1, sum((quality - p)*e) AS s2 FROM (
+                SELECT *, p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(b0 + b1*x + b2*e))) AS p FROM it, r WHERE i < 25)) GROUP BY i, b0, b1, b2))),
+        last AS (SELECT * FROM it WHERE i = 25),
+        v AS (SELECT *, {_COFACTORS} FROM (SELECT b0, b1, b2, {_INFORMATION} FROM (
+                SELECT *, p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(b0 + b1*x + b2*e))) AS p FROM last, r)) GROUP BY b0, b1, b2))
+        SELECT unnest(['(Intercept)', 'log_chars', 'english']) AS term, unnest([round(b0, 4) + 0.0, round(b1, 4) + 0.0, round(b2, 4) + 0.0]) AS estimate,
+               unnest([round(sqrt(k00/det), 4) + 0.0, round(sqrt(k11/det), 4) + 0.0, round(sqrt(k22/det), 4) + 0.0]) AS std_error FROM v""",
+)
 def m2_general(spark, sf):
-    return rounded(logit(labelled_documents(spark, sf), "quality", ["log_chars", factor("lang"), factor("source")]).table(spark), 4)
+    """Quality by length and language; both levels of either outcome occur at every scale, so there is a finite optimum."""
+    rows = labelled_documents(spark, sf).withColumn("english", (F.col("lang") == "en").cast("int"))
+    return rounded(logit(rows, "quality", ["log_chars", "english"]).table(spark).select("term", "estimate", "std_error"), 4)
+
+
+@query(
+    "m2_logit_separated",
+    """WITH s AS (SELECT source, avg(quality) AS p FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND source IS NOT NULL GROUP BY 1)
+       SELECT source, round(p, 5) + 0.0 AS p, p IN (0, 1) AS separated FROM s""",
+)
+def m2_separated(spark, sf):
+    """Quality by source, where some sources hold one outcome only: their probabilities are certain, the others are fitted."""
+    rows = labelled_documents(spark, sf).where("source is not null")
+    fit = logit(rows, "quality", [factor("source")], separated="drop")
+    named = F.concat(F.lit("source_"), F.col("source")).isin(fit.stats.get("separated", []))
+    return rounded(rows.select("source", fit.mean().alias("p"), named.alias("separated")).distinct(), 5).distinct()
 
 
 GAMMA_SQL = """WITH g AS (SELECT event_type, avg(value) AS m, count(*) AS n FROM events GROUP BY 1),

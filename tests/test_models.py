@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quasi.models import weighting as X
 from quasi.models.design import crossed, factor, poly
 from quasi.models.fe import _alternating, fe_ols, moment_cells
-from quasi.models.glm import gamma_glm, logit, multinomial
+from quasi.models.glm import Separated, gamma_glm, logit, multinomial
 from quasi.models.knn import knn_predict, nearest, smote
 from quasi.models.linear import aliased_terms, ols, survey_glm
 from quasi.models.mixed import random_intercept_logit
@@ -259,6 +259,38 @@ def test_nearest_with_many_copies(spark, monkeypatch):
     assert len(votes) == 600
 
 
+def test_separated_levels_are_named_and_can_be_dropped(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"s{i % 5}", int(i % 5 == 1 or (i % 5 not in (1, 3) and rng.random() < 0.3 + 0.1 * (i % 5))), "uv"[i % 2], float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "s string, y int, f string, x double")
+    for terms in ([factor("s"), factor("f")], [factor("s"), "x"]):
+        with pytest.raises(Separated, match="s_s1, s_s3"):
+            logit(df, "y", terms)
+        fit, rest = logit(df, "y", terms, separated="drop"), logit(df.where("s NOT IN ('s1', 's3')"), "y", terms)
+        assert fit.stats["separated"] == ["s_s1", "s_s3"] and fit.n == 240
+        want = dict(zip(rest.names, rest.coef))
+        for name, b in zip(fit.names, fit.coef):
+            assert np.isnan(b) if name in ("s_s1", "s_s3") else b == pytest.approx(want[name], abs=1e-6)
+        p = {(r.s, r.p) for r in df.select("s", fit.mean().alias("p")).where("s IN ('s1', 's3')").collect()}
+        assert p == {("s1", 1.0), ("s3", 0.0)}
+
+
+def test_separating_combinations(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2))
+    df = spark.createDataFrame([(float(a), float(b), int(a + b > 0)) for a, b in x if abs(a + b) > 0.4], "a double, b double, y int")
+    with pytest.raises(Separated, match="a \\+ b"):
+        logit(df, "y", ["a", "b"])
+    with pytest.raises(Separated, match="every row"):
+        logit(df, "y", ["a", "b"], separated="drop")
+    # Only rows with u = 1 are certain; the others are fitted.
+    mixed = [(int(u), float(a), int(rng.random() < 0.5 + 0.2 * np.tanh(a)) if not u else int(a > 0)) for u, a in zip(rng.random(400) < 0.2, rng.normal(size=400))]
+    df = spark.createDataFrame(mixed, "u int, a double, y int").selectExpr("u", "y", "a * (1 - u) AS a", "u * IF(a > 0, 1, -1) AS v")
+    fit = logit(df, "y", ["a", "v"], separated="drop")
+    rest = logit(df.where("u = 0"), "y", ["a"])
+    assert fit.coef[:2] == pytest.approx(rest.coef, abs=1e-6) and fit.n == df.where("u = 0").count()
+
+
 def test_train_rows_go_only_to_routed_blocks(spark, monkeypatch):
     import quasi.models.knn as K
 
