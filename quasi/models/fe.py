@@ -173,7 +173,7 @@ def _finish(design, k, xx, xy, yy, n, absorbed, extra) -> FixedEffectsFit:
     dof = float(n - absorbed - len(kept))
     sigma2 = rss / dof if dof > 0 else float("nan")
     stats = {"sigma2": sigma2, "rss": rss, "r_squared_within": 1 - rss / yy if yy > 0 else float("nan"), "absorbed": absorbed}
-    return FixedEffectsFit(design, design.names, coef, inverse * sigma2, float(n), dof, stats, "gaussian", {"inverse": inverse, **extra})
+    return FixedEffectsFit(design, design.names, coef, inverse * sigma2, float(n), dof, stats, "gaussian", extra={"inverse": inverse, **extra})
 
 
 def _clustered(fit: FixedEffectsFit, scores: DataFrame, k: int, nested: int) -> FixedEffectsFit:
