@@ -11,7 +11,8 @@ is above ``margin`` times what all but one in a thousand of those show, and abov
 case (few documents say little about the tail). A language without any rejects nothing.
 
 The classifier is fitted on a bounded sample of the labelled documents (whole texts): about ``sample`` documents in all,
-shared evenly among languages and chosen by a hash of the id, at least LEAST_DOCS for each language.
+shared evenly among languages and chosen by a hash of the id (of the text, without an id), at least LEAST_DOCS for each
+language. Rows that repeat an id with its text and language count once.
 """
 
 from __future__ import annotations
@@ -239,8 +240,12 @@ def train(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
         return None
     each = max(LEAST_DOCS, sample // len(sizes))
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, each / n))) for x, n in sorted(sizes.items())])
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
-    apart = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(5)) == 0
+    # A null id would choose all its rows or none; those go by their text. Repeated rows count once.
+    key = F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("text"))
+    chosen = rows.where(F.pmod(key, F.lit(1_000_000)) < share * 1_000_000)
+    chosen = chosen.withColumn("digest", F.xxhash64("text")).dropDuplicates(["id", "digest", "lang"]).drop("digest")
+    other = F.when(F.col("id").isNotNull(), F.xxhash64("id", F.lit("calibration"))).otherwise(F.xxhash64("text", F.lit("calibration")))
+    apart = F.pmod(other, F.lit(5)) == 0
 
     def count(batches):
         for pdf in batches:

@@ -6,8 +6,8 @@ holds; the rest is filled from a pseudo-random permutation of its blocks (runs o
 moves in large strides): whole blocks in permuted order, the last one document by document, never past the budget.
 
 DataFrame functions only. Running totals go over buckets of the permutation, blocks in a bucket and documents in a block,
-so no window holds a whole source. A null source is a source of its own; a null id belongs to block -1; null texts have
-no tokens and are taken with what precedes them. Rows equal in id, source and text are one unit: each gets its copies.
+so no window holds a whole source. A null source is a source of its own; null ids are dealt to NULL_BLOCKS negative blocks by
+their number of tokens; null texts have no tokens and are taken with what precedes them. Rows equal in id, source and text are one unit: each gets its copies.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from quasi.llm.common import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_IDS = 256
+NULL_BLOCKS = 1024
 BUCKET_DIGITS = 3
 LEVELS = 3
 HALVINGS = 42
@@ -38,7 +39,9 @@ def units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
         F.xxhash64(text_col).alias("digest"), tokens(F.col(text_col)).alias("n_tokens"),
     )
     rows = rows.groupBy("id", "source", "digest").agg(F.count(F.lit(1)).alias("rows"), F.max("n_tokens").alias("n_tokens"))
-    block = F.coalesce(F.floor(F.col("id") / BLOCK_IDS), F.lit(-1)).cast("long")
+    # Below all blocks of ids, which may be negative, too.
+    unnamed = F.lit(-(2**62)) - F.col("n_tokens") % NULL_BLOCKS
+    block = F.coalesce(F.floor(F.col("id") / BLOCK_IDS), unnamed).cast("long")
     rows = rows.withColumn("block", block)
     place = F.md5(F.concat_ws(":", F.coalesce("source", F.lit("")), F.col("source").isNull().cast("string"), F.col("block").cast("string")))
     return rows.withColumn("place", place)
@@ -87,10 +90,13 @@ def plan(
 ) -> DataFrame:
     """Units (see ``units``) with ``exponent``, ``weight``, ``budget`` of their source and ``copies``.
 
-    The corpus budget is ``factor`` times its tokens. Sources without tokens get weight, budget and copies zero.
+    The corpus budget is ``factor`` times its tokens. Sources without tokens get weight, budget and copies zero. A
+    limit that no exponent meets (``factor`` above ``repeat``, ``entropy`` above that of equal shares) is refused.
     """
     if (repeat is None) == (entropy is None):
         raise ValueError("give either repeat or entropy")
+    if repeat is not None and factor > repeat:
+        raise ValueError(f"a budget of {factor} times the corpus must read some source more than {repeat} times")
     all_units = stash(units(docs, id_col, text_col, source_col), "units")
     amount = F.sum(F.col("n_tokens") * F.col("rows"))
     blocks = stash(all_units.groupBy("source", "block", "place").agg(amount.alias("tokens")), "blocks")
@@ -101,6 +107,8 @@ def plan(
     shares = stash(
         sources.where("source_tokens > 0").withColumn("share", F.col("source_tokens") / F.lit(float(max(total, 1)))), "shares"
     )
+    if entropy is not None and (n := shares.count()) and entropy > math.log(n) + 1e-9:
+        raise ValueError(f"{n} sources have an entropy of at most {math.log(n):.6f}")
     a = exponent(shares, factor, repeat, entropy)
     whole = shares.agg(F.sum(F.exp(F.log("share") * a))).first()[0] or 1.0
     weights = shares.withColumn("weight", F.exp(F.log("share") * a) / whole)

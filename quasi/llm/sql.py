@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from quasi.llm.licence_texts import EQUIVALENTS, LICENCES
 from quasi.llm.licences import COPYRIGHT_LINE, OTHER
-from quasi.llm.mixing import BLOCK_IDS, HALVINGS
+from quasi.llm.mixing import BLOCK_IDS, HALVINGS, NULL_BLOCKS
 
 
 def quoted(text: str) -> str:
@@ -37,7 +37,7 @@ def mixing(factor: float, repeat: float) -> str:
     return f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
-         coalesce(floor(doc_id / {float(BLOCK_IDS)})::BIGINT, -1) AS block
+         coalesce(floor(doc_id / {float(BLOCK_IDS)})::BIGINT, -4611686018427387904 - n_tokens % {NULL_BLOCKS}) AS block
   FROM documents
 ), p AS (
   SELECT *, md5(coalesce(source, '') || ':' || (source IS NULL)::VARCHAR || ':' || block::VARCHAR) AS place FROM d

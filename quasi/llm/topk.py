@@ -10,6 +10,9 @@ scores only.
 3. The entries visit the other segments, which add their partial scores; what reaches t is ranked.
 
 Queries travel with their cutoffs in blocks; nothing that grows with the data is broadcast or collected.
+
+Components beyond the range of a long count as its ends, and so do scores. Where norms leave room for such scores there is
+one segment only, whose tasks know the exact scores and need no sums of parts.
 """
 
 from __future__ import annotations
@@ -26,21 +29,29 @@ SEGMENTS = 2
 ROWS = 4096
 QUERIES = 1024
 EXACT = 2.0**52
+ROOM = 2.0**62
 
 VECTOR, QUERY, ENTRY = 0, 1, 2
 COLUMNS = "kind int, seg int, rb int, qb int, id long, other long, part array<long>, amount double"
 
 
 def integers(rows: DataFrame, scale: int = 64) -> DataFrame:
-    """floor(scale * x) of every component."""
-    return rows.withColumn("v", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
+    """floor(scale * x) of every component, or the nearest long."""
+    low, high = F.lit(-(2.0**63)), F.lit(float(np.nextafter(2.0**63, 0)))
+    within = F.transform("v", lambda x: F.least(F.greatest(x * F.lit(float(scale)), low), high))
+    return rows.withColumn("v", F.transform(within, lambda x: F.floor(x).cast("long")))
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer products; by floating point where that is exact."""
-    if len(q) and len(v) and float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] < EXACT:
+    """Exact integer products, or the nearest long: by floating point, by longs, or by Python integers."""
+    if not len(q) or not len(v):
+        return np.zeros((len(q), len(v)), np.int64)
+    most = float(np.abs(q.astype(np.float64)).max()) * float(np.abs(v.astype(np.float64)).max()) * q.shape[1]
+    if most < EXACT:
         return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
-    return q @ v.T
+    if most < ROOM:
+        return q @ v.T
+    return np.clip(q.astype(object) @ v.T.astype(object), -(2**63) + 1, 2**63 - 1).astype(np.int64)
 
 
 def _sides(pdf: pd.DataFrame):
@@ -79,7 +90,8 @@ def _entries(segments: int):
             return pd.DataFrame({"query_id": [], "vec_id": [], "seg": [], "score": []})
         ids, v, queries, q, cutoff, same = sides
         scores = _products(q, v)
-        hit = (scores * float(segments) >= cutoff[:, None]) & ~same
+        # A double may round a cutoff up: its neighbour below is safe.
+        hit = (scores * float(segments) >= np.nextafter(cutoff, -np.inf)[:, None]) & ~same
         i, j = np.nonzero(hit)
         out = _frame(queries[i], ids[j], scores[i, j])
         return out.assign(seg=pdf["seg"].iloc[0])
@@ -108,12 +120,15 @@ def search(
 
     Columns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (long); ties to the smaller id. Vectors left out: see
     ``vectors.clean`` (zero vectors take part). Repeated rows count once; an id with several vectors competes with each of
-    them, asks with the least of them, and never finds itself.
+    them, asks with the least of them, and never finds itself. An empty table gives no rows.
     """
     base = stash(integers(clean(rows, id_col, vector_col, True), scale).distinct(), "integers")
     n = base.count()
     size = base.select(F.size("v").alias("d")).first()
-    segments = max(1, min(segments, size.d if size else 1))
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    # A score is at most the product of two norms.
+    roomy = (base.agg(F.max(squares)).first()[0] or 0.0) < ROOM
+    segments = max(1, min(segments, size.d if size else 1)) if roomy else 1
     width = -(-(size.d if size else 1) // segments)
     segments = -(-(size.d if size else 1) // width)
     queries = base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -138,10 +153,13 @@ def search(
     keys = ["seg", "rb", "qb"]
     local = blocks(own, None).groupBy(*keys).applyInPandas(_local_lists(k), "query_id long, vec_id long, score long, seg int")
     best = Window.partitionBy("query_id", "seg").orderBy(F.desc("score"), "vec_id")
-    local = local.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("query_id", "vec_id").distinct()
+    local = local.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    scored = local.select("query_id", "vec_id", "score")
+    local = local.select("query_id", "vec_id").distinct()
     a, b = asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), own.select(F.col("id").alias("vec_id"), F.col("v").alias("vv"))
     full = F.aggregate(F.zip_with("qv", "vv", lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
-    local = stash(local, "local").join(a, "query_id").join(b, "vec_id").select("query_id", "vec_id", full.alias("score"))
+    # Scores of one segment are whole already.
+    local = stash(local, "local").join(a, "query_id").join(b, "vec_id").select("query_id", "vec_id", full.alias("score")) if segments > 1 else scored
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     cutoffs = local.withColumn("place", F.row_number().over(order)).groupBy(F.col("query_id").alias("id")).agg(
         F.min(F.when(F.col("place") == k, F.col("score"))).alias("cutoff")

@@ -7,6 +7,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -209,6 +210,75 @@ def test_exact_top_scores(spark, monkeypatch):
     assert {q: sorted(x) for q, x in got.items()} == {q: [(n, i, -s) for n, i, s in x] for q, x in want.items()}
 
 
+def test_top_scores_beyond_longs(spark):
+    """Large finite components take part; scores past a long count as its ends."""
+    values = [[1e300, 1.0], [1e17, -1e300], [3.0, 1e17], [-2.0, 5.0], [1e9, 1e9], [1e9, 1e9 + 1], [0.5, 0.25]]
+    df = spark.createDataFrame([(20 * i, v, "i", 1) for i, v in enumerate(values)], "vec_id long, embedding array<double>, id string, kind int")
+    high = float(np.nextafter(2.0**63, 0))
+    v = [[int(np.floor(min(max(64 * x, -(2.0**63)), high))) for x in row] for row in values]
+    for rows in (range(7), range(3, 7)):
+        got = collections.defaultdict(list)
+        for r in topk.search(df.where(F.col("vec_id").isin([20 * i for i in rows])), k=4).collect():
+            got[r.query_id].append((r["rank"], r.vec_id, r.score))
+        for q in rows:
+            scores = [(max(min(sum(a * b for a, b in zip(v[q], v[i])), 2**63 - 1), -(2**63) + 1), 20 * i) for i in rows if i != q]
+            want = sorted(scores, key=lambda x: (-x[0], x[1]))[:4]
+            assert sorted(got[20 * q]) == [(n + 1, i, s) for n, (s, i) in enumerate(want)]
+
+
+def test_mixtures_that_cannot_be(spark, odd_docs):
+    with pytest.raises(ValueError, match="more than 2"):
+        mixing.plan(odd_docs, factor=3.0, repeat=2.0)
+    with pytest.raises(ValueError, match="entropy"):
+        mixing.plan(odd_docs, repeat=None, entropy=5.0)
+    unnamed = spark.createDataFrame([(None, "a " * n, "s") for n in range(1, 40)], "doc_id long, text string, source string")
+    rows = mixing.plan(unnamed, factor=0.5, repeat=2.0).collect()
+    assert len({r.block for r in rows}) == 39 and sum(r.n_tokens * r.copies for r in rows) <= 39 * 40 // 4
+
+
+def test_kneser_ney_against_a_dictionary():
+    """The model's probabilities, recomputed from counts in plain dictionaries."""
+    rnd = random.Random(11)
+    marked = lambda w: langid.START * 3 + w + langid.END
+    grams = {x: collections.Counter() for x in ("aa", "bb")}
+    for lang, letters in (("aa", "abcde"), ("bb", "cdefg")):
+        for _ in range(300):
+            w = marked("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 7))))
+            grams[lang].update(w[i : i + 4] for i in range(len(w) - 3))
+    frame = pd.DataFrame([(x, g, n) for x, c in grams.items() for g, n in c.items()], columns=["lang", "gram", "n"])
+    model = langid.fit(frame)
+    alphabet = len({g[-1] for c in grams.values() for g in c}) + 1
+
+    def table(counts):
+        levels = {4: dict(counts)}
+        for order in (3, 2, 1):
+            levels[order] = collections.Counter(g[1:] for g in levels[order + 1])
+        discount = {}
+        for order, c in levels.items():
+            once, twice = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+            discount[order] = once / (once + 2 * twice) if once and twice else 0.5
+
+        def prob(gram, order=4):
+            if order == 0:
+                return 1 / alphabet
+            tail = gram[4 - order :]
+            follow = {g: n for g, n in levels[order].items() if g[:-1] == tail[:-1]}
+            if not follow:
+                return prob(gram, order - 1)
+            total = sum(follow.values())
+            left = discount[order] * len(follow) / total
+            return max(follow.get(tail, 0) - discount[order], 0) / total + left * prob(gram, order - 1)
+
+        return prob
+
+    wanted = [table(grams[x]) for x in model.languages]
+    texts = [marked(w)[i : i + 4] for w in ("abc", "gfe", "zzz", "cdcdab", "q", "eeee") for i in range(len(w) + 1)]
+    codes = np.array([[ord(c) for c in t] for t in texts])
+    got = model.log_prob(codes.astype(np.uint32))
+    for t, row in zip(texts, got):
+        assert np.exp(row) == pytest.approx([w(t) for w in wanted])
+
+
 def test_posting_lists(spark):
     rows, df = vectors(spark)
     good = {i: np.float32(v).astype(float) for i, v in rows if i is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all() and np.any(v)}
