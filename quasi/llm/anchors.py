@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quasi.llm.common import join_one, release, stash
 
 SLICE = 1 << 18
-GROUP = 256
+GROUP = 1024
 BUNDLE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 POSITION = np.uint64((1 << 22) - 1)
