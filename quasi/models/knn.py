@@ -22,6 +22,7 @@ from quasi.functions.columns import unit_hash, unit_uniform
 from quasi.operators.skew import hash_rank
 
 MAX_PIVOTS = 64
+PIVOT_SPARSITY = 8
 MAX_CLASSES = 1000
 BLOCK_ROWS = 2048
 BLOCK_KEYS = ["cell", "tb", "home", "qb"]
@@ -79,7 +80,7 @@ def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = Fal
     """
     wanted = k + 1 if exclude_self else k
     n_train = train.count()
-    n_pivots = max(1, min(MAX_PIVOTS, int(math.sqrt(n_train) / 8)))
+    n_pivots = max(1, min(MAX_PIVOTS, int(math.sqrt(n_train) / PIVOT_SPARSITY)))
     picked = train.select("vec", unit_hash("id", "pivot").alias("h")).orderBy("h").limit(n_pivots).collect()
     pivots = np.array([r["vec"] for r in picked], dtype=float)
     between = _distances(pivots, pivots)

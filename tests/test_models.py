@@ -295,6 +295,7 @@ def test_train_rows_go_only_to_routed_blocks(spark, monkeypatch):
     import quasi.models.knn as K
 
     monkeypatch.setattr(K, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(K, "PIVOT_SPARSITY", 1)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 2)) * 100
     v = np.concatenate([c + rng.normal(size=(80, 2)) for c in centres])
