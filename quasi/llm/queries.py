@@ -130,7 +130,7 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows.withColumn("label", label), every=50, positives=5, negatives=3, lower=50, upper=95, scale=256)
 
 
-@query()
+@query(S.resample(buckets=10_000, percent=10, min_words=20, seed="2024"))
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents, drawn by their likeness to the benchmark in words."""
     docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")

@@ -34,6 +34,7 @@ WORDS_AT_ONCE = 1 << 17
 LETTERS = b"0123456789abcdefghijklmnopqrstuvwxyz"
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or c in LETTERS else 32 for c in range(256))
 SPACE = np.uint32(zlib.crc32(b" "))
+POLYNOMIAL = 0xEDB88320
 
 
 def _apply(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -48,7 +49,7 @@ def _shift_tables() -> list[np.ndarray]:
     byte = np.arange(256, dtype=np.uint32)
     once = byte
     for _ in range(8):
-        once = np.where(once & 1, once >> np.uint32(1) ^ np.uint32(0xEDB88320), once >> np.uint32(1))
+        once = np.where(once & 1, once >> np.uint32(1) ^ np.uint32(POLYNOMIAL), once >> np.uint32(1))
     tables = [np.stack([once, *(byte << np.uint32(8 * lane - 8) for lane in (1, 2, 3))])]
     while len(tables) < 32:
         tables.append(np.stack([_apply(tables[-1], row) for row in tables[-1]]))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from quasi.llm.licence_texts import EQUIVALENTS, LICENCES
 from quasi.llm.licences import COPYRIGHT_LINE, OTHER
 from quasi.llm.mixing import BLOCK_IDS, HALVINGS, NULL_BLOCKS
+from quasi.llm.resample import POLYNOMIAL
 
 
 def quoted(text: str) -> str:
@@ -91,3 +92,28 @@ WITH known AS (
 )
 SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest, licence, notices, coalesce(n, 0) AS n_notices
 FROM whole LEFT JOIN known USING (form) LEFT JOIN found USING (doc_id)"""
+
+
+def resample(buckets: int, percent: int, min_words: int, seed: str) -> str:
+    """For features of single words; each distinct word's CRC is taken byte by byte."""
+    return f"""
+WITH bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {POLYNOMIAL}) ELSE c >> 1 END)) AS t),
+words AS (
+  SELECT doc_id AS id, 0 AS kind, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT item_id, 1, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark
+), vocabulary AS (SELECT DISTINCT word FROM words
+), crcs AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {buckets} AS bucket FROM vocabulary, bits
+), counts AS (SELECT bucket, sum((kind = 0)::INT)::DOUBLE AS s, sum((kind = 1)::INT)::DOUBLE AS t FROM words JOIN crcs USING (word) GROUP BY 1
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + {buckets}) / ((s + 1) * ((SELECT sum(t) FROM counts) + {buckets}))))::BIGINT AS gain FROM counts
+), weights AS (
+  SELECT id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM words JOIN crcs USING (word) JOIN gains USING (bucket) WHERE kind = 0 GROUP BY 1
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM documents LEFT JOIN weights ON id = doc_id
+), ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= {min_words})
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= {percent} * n // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
