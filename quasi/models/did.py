@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quasi.functions.tails import chi2_upper, normal_quantile, normal_two_sided
-from quasi.models.design import Design, build_design, crossed, factor, find_levels
+from quasi.models.design import Design, build_design, crossed, factor, find_levels, interaction
 from quasi.models.fe import (
     FixedEffectsFit, _total, add_level_effects, between_products, fe_ols, level_products, level_slots, unit_profiles,
     with_relative_key,
@@ -151,13 +151,13 @@ def comparison_windows(df: DataFrame, time: str, cohort: str) -> DataFrame:
 class GroupTime:
     """Group-time effects with what aggregation and inference need.
 
-    ``contrast`` maps the vector of cell means to the effects. ``vcov`` is the covariance of the effects
+    ``contrast`` maps the vector of cell means to the effects, where they are such a function. ``vcov`` is the covariance of the effects
     (None when no variance was asked for) and ``draws`` holds multiplier-bootstrap deviations.
     """
 
     table: pd.DataFrame
     cells: pd.DataFrame
-    contrast: np.ndarray
+    contrast: np.ndarray | None
     shares: dict
     vcov: np.ndarray | None = None
     draws: np.ndarray | None = None
@@ -242,8 +242,8 @@ def att_gt(
 ) -> GroupTime:
     """Group-time average effects (Callaway and Sant'Anna 2021) with a varying base period.
 
-    control: 'never' or 'notyet'. panel=True keeps units seen in every period; panel=False treats rows as
-    repeated cross-sections. Variances come from one influence vector per cluster (the unit, the named
+    control: 'never' or 'notyet'. panel=True keeps units seen in every period (``att_gt_changes`` also uses the
+    others, and covariates that vary); panel=False treats rows as repeated cross-sections. Variances come from one influence vector per cluster (the unit, the named
     cluster, or the row itself), which also holds the cohort shares, and ``draws`` adds a Rademacher
     multiplier bootstrap. With covariates, which in a panel must not vary over time, est='reg' adjusts by
     outcome regression on controls, with variances by the delta method from the moments of each cluster;
@@ -266,14 +266,17 @@ def att_gt(
     todo, periods, omitted = _comparisons(cells, control)
     index = {(int(r.g), int(r.t)): i for i, r in enumerate(cells.itertuples())}
     w = cells.w.to_numpy()
-    contrast = np.zeros((len(todo), len(cells)))
+    contrast, mixing = np.zeros((len(todo), len(cells))), np.zeros((len(todo), len(cells)))
+    mean = cells["mean"].to_numpy()
     for row, (g, t, b, pool) in enumerate(todo):
         contrast[row, index[g, t]] += 1.0
         contrast[row, index[g, b]] -= 1.0
         for at, sign in ((t, -1.0), (b, 1.0)):
-            total = sum(w[index[h, at]] for h in pool)
-            for h in pool:
-                contrast[row, index[h, at]] += sign * w[index[h, at]] / total
+            spots = [index[h, at] for h in pool]
+            total = w[spots].sum()
+            contrast[row, spots] += sign * w[spots] / total
+            # How the mean of the pooled controls moves with the weight of each of their cohorts.
+            mixing[row, spots] += sign * (mean[spots] - w[spots] @ mean[spots] / total) / total
     weight_by_cohort = cells.groupby("g").w.sum()
     shares = {int(g): float(v / weight_by_cohort.sum()) for g, v in weight_by_cohort.items()}
     table = pd.DataFrame([(g, t) for g, t, _, _ in todo], columns=["g", "t"])
@@ -284,8 +287,8 @@ def att_gt(
         summed = _adjusted_covariance if est == "reg" else _robust_covariance
         spread = summed(base, y, design, influence, len(todo), weight, cluster, draws, seed, shares, float(w.sum()))
     else:
-        table["att"] = contrast @ cells["mean"].to_numpy()
-        spread = _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, seed, shares)
+        table["att"] = contrast @ mean
+        spread = _cell_covariance(base, y, cells, index, weight, cluster, contrast, mixing, draws, seed, shares)
     base.unpersist()
     # Effects come first, the cohort shares after them.
     k = len(todo)
@@ -309,7 +312,7 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, seed, shares):
+def _cell_covariance(base, y, cells, index, weight, cluster, contrast, mixing, draws, seed, shares):
     """Covariance of the effects and the cohort shares from per-cluster influence on the cell means.
 
     Rows shrink to (cluster, cell) sums by map-side combine. A cluster touches at most one entry per
@@ -335,8 +338,10 @@ def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, se
             square[i] = r["s0"]
         # A row of a cell moves the shares by the same vector, times its weight.
         moved = _share_influence(of_cohort, shares, float(total.sum()))
-        cross = (contrast * both) @ moved
-        vcov = np.block([[(contrast * var) @ contrast.T, cross], [cross.T, (moved.T * square) @ moved]])
+        cross = (contrast * both + mixing * square) @ moved
+        mixed = (contrast * both) @ mixing.T
+        own = (contrast * var) @ contrast.T + mixed + mixed.T + (mixing * square) @ mixing.T
+        vcov = np.block([[own, cross], [cross.T, (moved.T * square) @ moved]])
         return vcov, _normal_draws(vcov, draws, seed) if draws else None, float(cells.n.sum())
     per = (
         base.groupBy(F.col(cluster).alias("c"), cell.alias("cell"))
@@ -351,7 +356,7 @@ def _cell_covariance(base, y, cells, index, weight, cluster, contrast, draws, se
             at = np.asarray(ids, dtype=int)
             held[i, at] = ws
             psi[i, at] = (np.asarray(ss) - mean[at] * np.asarray(ws)) / total[at]
-        return np.hstack([psi @ contrast.T, _share_influence(held @ of_cohort, shares, float(total.sum()))])
+        return np.hstack([psi @ contrast.T + held @ mixing.T, _share_influence(held @ of_cohort, shares, float(total.sum()))])
 
     return _influence_sums(per, effects, contrast.shape[0] + len(shares), draws, seed)
 
@@ -482,10 +487,11 @@ class _Score:
         return w * (float(self.treated) - 1.0 / (1.0 + np.exp(-(x @ self.odds)))) * (x @ self.pull)
 
 
-def _robust_covariance(base, y, design, influence, k, weight, cluster, draws, seed, shares, total):
+def _robust_covariance(base, y, design, influence, k, weight, cluster, draws, seed, shares, total, share=None):
     """Covariance of doubly robust effects: a row's influence follows from its cell's parts; clusters add up theirs.
 
-    Tasks add up the influence of the rows they hold by cluster before anything moves.
+    Tasks add up the influence of the rows they hold by cluster before anything moves. Sums of ``share`` (the weight,
+    unless named) by cohort are what the shares were taken from.
     """
     p, size = len(design.columns), k + len(shares)
     place = {g: i for i, g in enumerate(shares)}
@@ -493,7 +499,7 @@ def _robust_covariance(base, y, design, influence, k, weight, cluster, draws, se
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     own = F.xxhash64(cluster) if cluster else F.monotonically_increasing_id()
     named = base.select(
-        "__g", "__t", own.alias("h"), w.alias("w"), F.col(y).cast("double").alias("y"),
+        "__g", "__t", own.alias("h"), w.alias("w"), (F.col(share) if share else w).alias("u"), F.col(y).cast("double").alias("y"),
         *[c.cast("double").alias(f"x{i}") for i, c in enumerate(design.columns)],
     )
 
@@ -503,7 +509,7 @@ def _robust_covariance(base, y, design, influence, k, weight, cluster, draws, se
             for cell, at in batch.groupby(["__g", "__t"]).indices.items():
                 part = batch.iloc[at]
                 x, outcome, weights = part[[f"x{i}" for i in range(p)]].to_numpy(), part.y.to_numpy(), part.w.to_numpy()
-                held[at, place[cell[0]]] = weights
+                held[at, place[cell[0]]] = part.u.to_numpy()
                 for piece in influence.get(cell, ()):
                     found[at, piece.at] += piece.of(x, outcome, weights)
             out = pd.DataFrame(np.hstack([found, _share_influence(held, shares, total)]), columns=names)
@@ -672,7 +678,8 @@ def aggte(gt: GroupTime, kind: str = "simple") -> GroupTime:
     along = np.hstack([a, np.array(turns)])
     vcov = along @ gt.joint_vcov @ along.T
     draws = gt.joint_draws @ along.T if gt.joint_draws is not None else None
-    return GroupTime(table, gt.cells, a @ gt.contrast, gt.shares, vcov, draws, gt.clusters, gt.options)
+    contrast = None if gt.contrast is None else a @ gt.contrast
+    return GroupTime(table, gt.cells, contrast, gt.shares, vcov, draws, gt.clusters, options=gt.options)
 
 
 def aggregated_frame(agg: GroupTime, spark: SparkSession, level: float = 0.95, uniform: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quasi.functions.special import normal_cdf_sql
 from quasi.models import did as T
 from quasi.models import series as Z
+from quasi.models.changes import att_gt_changes
 from quasi.models.design import factor
 from quasi.models.fe import event_study_fe
 from quasi.operators.windows import dense_period
@@ -191,6 +192,55 @@ def t5_dr_errors(spark, sf):
     return rounded(gt.frame(spark).select("g", "t", "att", "se"), 3)
 
 
+_CUSTOMER_YEARS = f"""SELECT o_custkey AS id, year(o_orderdate) AS t, any_value({TIMING}) AS g, avg(o_totalprice) AS y, max((o_orderpriority = '1-URGENT')::INT) AS s
+        FROM {ORDERS_BY_CUSTOMER} GROUP BY 1, 2"""
+_CHANGES = """WITH p AS ({rows}), k AS (SELECT a.g, b.t, CASE WHEN b.t >= a.g THEN a.g - 1 ELSE b.t - 1 END AS b FROM (SELECT DISTINCT g FROM p WHERE g > 1995 AND g <= 2000) a, (SELECT DISTINCT t FROM p WHERE t > 1995) b),
+        d AS (SELECT k.g, k.t, x.g = k.g AS own, z.s, x.y - z.y AS dy FROM k JOIN p x ON x.t = k.t AND (x.g IN (0, k.g) OR {control}) JOIN p z ON z.id = x.id AND z.t = k.b),
+        u AS (SELECT count(DISTINCT id)::DOUBLE AS u FROM p)"""
+
+
+def customer_years(spark, sf):
+    """Customers by year, a panel with gaps: mean price and whether any order was urgent, which changes from year to year."""
+    return (
+        orders_by_customer(spark, sf)
+        .groupBy(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("t"), timing().alias("g"))
+        .agg(F.avg("o_totalprice").alias("y"), F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("urgent"))
+    )
+
+
+@query(
+    "t5_att_gt_unbalanced",
+    _CHANGES.format(rows=_CUSTOMER_YEARS, control="x.g > greatest(k.t, k.b)") + """,
+        m AS (SELECT g, t, own, avg(dy) AS m, var_pop(dy) / count(*) AS v FROM d GROUP BY 1, 2, 3)
+        SELECT g::BIGINT AS g, t::BIGINT AS t, round(sum(CASE WHEN own THEN m ELSE -m END), 3) + 0.0 AS att, round(sqrt(sum(v) * any_value(u) / (any_value(u) - 1)), 3) + 0.0 AS se FROM m, u GROUP BY 1, 2""",
+)
+def t5_unbalanced(spark, sf):
+    """Customers that do not order every year, against those not yet treated: each comparison uses whom it can."""
+    gt = att_gt_changes(customer_years(spark, sf), "y", "t", "g", "id", control="notyet")
+    return rounded(gt.frame(spark).select("g", "t", "att", "se"), 3)
+
+
+_BY_BASE = _CHANGES.format(rows=_CUSTOMER_YEARS, control="false") + """,
+        c AS (SELECT g, t, s, avg(dy) FILTER (NOT own) AS dc, count(*) FILTER (NOT own) AS nc, count(*) FILTER (own) AS nt FROM d GROUP BY 1, 2, 3),
+        a AS (SELECT g, t, avg(dy - dc) AS att, count(*)::DOUBLE AS n FROM d JOIN c USING (g, t, s) WHERE own GROUP BY 1, 2),
+        v AS (SELECT g, t, any_value(att) AS att, sum((CASE WHEN own THEN (dy - dc - att) / n ELSE nt / n * (dy - dc) / nc END) ** 2) AS v FROM d JOIN c USING (g, t, s) JOIN a USING (g, t) GROUP BY 1, 2)
+        SELECT g::BIGINT AS g, t::BIGINT AS t, round(att, 3) + 0.0 AS att, round(sqrt(v * u / (u - 1)), 3) + 0.0 AS se FROM v, u"""
+
+
+@query("t5_att_gt_base_covariates", _BY_BASE)
+def t5_base(spark, sf):
+    """Adjusted by regression for the covariate of the base year, in a panel with gaps."""
+    gt = att_gt_changes(customer_years(spark, sf), "y", "t", "g", "id", covariates=[factor("urgent")])
+    return rounded(gt.frame(spark).select("g", "t", "att", "se"), 3)
+
+
+@query("t5_att_gt_base_covariates_dr", _BY_BASE)
+def t5_base_dr(spark, sf):
+    """Doubly robust in the covariate of the base year; as it is saturated, effects and errors equal the regression's."""
+    gt = att_gt_changes(customer_years(spark, sf), "y", "t", "g", "id", covariates=[factor("urgent")], est="dr")
+    return rounded(gt.frame(spark).select("g", "t", "att", "se"), 3)
+
+
 _SHARES = ", s AS (SELECT g, sum(n)::DOUBLE AS p FROM m GROUP BY 1)"
 
 
