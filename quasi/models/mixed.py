@@ -2,9 +2,9 @@
 
 Penalised iteratively reweighted least squares with a Laplace-type update of the intercept variance. An
 iteration is one grouped aggregate: the sums of each group are all that the fixed effects, the group
-intercepts and the variance need. The variance of the working model is solved in each iteration by secant
-steps on its logarithm. With few groups the group table goes to the driver for that; with many it stays in
-Spark, checkpointed, and the intercepts are joined back. Both take the same steps.
+intercepts and the variance need. They stay in Spark, checkpointed, however many groups there are. The variance of
+the working model is solved in each iteration by secant steps on its logarithm, each one aggregate of the group sums
+that returns two small matrices; the intercepts are joined back to the rows.
 """
 
 from __future__ import annotations
@@ -14,15 +14,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quasi.models.design import build_design
-from quasi.models.linear import Fit, _sources, complete_rows, compress, gram
+from quasi.models.linear import Fit, _sources, complete_rows, compress
 from quasi.operators.skew import null_safe
 from quasi.session import cut_lineage
 
-DRIVER_GROUPS = 2000
 INNER_STEPS = 200
 LEAST_VARIANCE = 1e-8
 
@@ -53,10 +52,28 @@ def solve_variance(profile: Callable[[float], tuple], variance: float, tol: floa
     raise RuntimeError(f"the variance has not converged in {INNER_STEPS} steps")
 
 
+def _group_products(sums: DataFrame, p: int, variance: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Cross-products of the groups' (sx, sz) over their precision, means of those over its square, and mean 1 / precision."""
+    z = [*[f"sx{i}" for i in range(p)], "sz"]
+    places = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    share = sums.select(*z, (1.0 / (F.col("sw") + F.lit(1.0 / variance))).alias("r"))
+    found = share.agg(
+        F.avg("r"), *[F.expr(f"sum(r * {z[i]} * {z[j]})") for i, j in places], *[F.expr(f"avg(r * r * {z[i]} * {z[j]})") for i, j in places]
+    ).first()
+    once, twice = np.zeros((p + 1, p + 1)), np.zeros((p + 1, p + 1))
+    for at, (i, j) in enumerate(places):
+        once[i, j] = once[j, i] = found[1 + at]
+        twice[i, j] = twice[j, i] = found[1 + len(places) + at]
+    return once, twice, found[0]
+
+
 def random_intercept_logit(
     df: DataFrame, y: str, terms: Sequence, group: str, positive: object = 1, max_iter: int = 60, tol: float = 1e-6,
-    driver_groups: int = DRIVER_GROUPS,
 ) -> RandomIntercept:
+    """Fit fixed effects, the variance of the intercepts, and each group's intercept.
+
+    Rows with a null in a used column take no part. Raises when the fit has not settled after ``max_iter`` iterations.
+    """
     used = [y, group, *_sources(terms)]
     rows = complete_rows(df, used).withColumn("__y", (F.col(y) == F.lit(positive)).cast("double"))
     design = build_design(rows, terms)
@@ -66,14 +83,11 @@ def random_intercept_logit(
     else:
         source = rows.select(*dict.fromkeys([*design.sources, group]), F.lit(1.0).alias("__w"), F.col("__y").alias("__wy"), F.lit(1).alias("__n"))
     source = source.withColumn("__gkey", F.col(group).cast("string")).persist()
-    groups = [r[0] for r in source.select("__gkey").distinct().limit(driver_groups + 1).collect()]
-    local = len(groups) <= driver_groups
     n, total, ysum = source.agg(F.sum("__n"), F.sum("__w"), F.sum("__wy")).first()
     rate = ysum / total
     beta = np.zeros(p)
     beta[0] = np.log(rate / (1 - rate))
     variance = 0.25
-    shift = {g: 0.0 for g in groups} if local else None
     effects = None
     w, yb = F.col("__w"), F.col("__wy") / F.col("__w")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
@@ -99,50 +113,32 @@ def random_intercept_logit(
 
     used_iterations, vcov = 0, np.zeros((p, p))
     for used_iterations in range(1, max_iter + 1):
-        if local:
-            lookup = F.create_map(*[F.lit(v) for g, b in shift.items() for v in (g, float(b))])
-            sums = group_sums(source, eta_of(beta, F.element_at(lookup, F.col("__gkey")))).toPandas().set_index("__gkey")
-            sw, sz = sums.sw.to_numpy(), sums.sz.to_numpy()
-            sx = sums[[f"sx{i}" for i in range(p)]].to_numpy()
-            xx = np.zeros((p, p))
-            for i, j in pairs:
-                xx[i, j] = xx[j, i] = sums[f"sxx{i}_{j}"].sum()
-            xz = sums[[f"sxz{i}" for i in range(p)]].sum().to_numpy()
-
-            def profile(v: float):
-                a = xx - (sx / (sw + 1.0 / v)[:, None]).T @ sx
-                new = np.linalg.solve(a, xz - sx.T @ (sz / (sw + 1.0 / v)))
-                b = (sz - sx @ new) / (sw + 1.0 / v)
-                return float(np.mean(b * b + 1.0 / (sw + 1.0 / v))), a, new, b
-
-            new_variance, (_, a, new, b) = solve_variance(profile, variance, tol * 1e-4)
-            shift = dict(zip(sums.index, b))
+        if effects is None:
+            state, offset = source, F.lit(0.0)
         else:
-            if effects is None:
-                state, offset = source, F.lit(0.0)
-            else:
-                side = effects.select(F.col("__gkey").alias("__side"), "b")
-                state = source.join(side, null_safe(source, side, [("__gkey", "__side")]), "left")
-                offset = F.coalesce(F.col("b"), F.lit(0.0))
-            sums = cut_lineage(group_sums(state, eta_of(beta, offset)))
-            totals = sums.agg(
-                *[F.sum(f"sxx{i}_{j}").alias(f"sxx{i}_{j}") for i, j in pairs], *[F.sum(f"sxz{i}").alias(f"sxz{i}") for i in range(p)]
-            ).first()
-            xx = np.zeros((p, p))
-            for i, j in pairs:
-                xx[i, j] = xx[j, i] = totals[f"sxx{i}_{j}"]
-            xz = np.array([totals[f"sxz{i}"] for i in range(p)])
-
-            def profile(v: float):
-                precision = F.col("sw") + F.lit(1.0 / v)
-                inner = gram(sums, [*[F.col(f"sx{i}") / precision for i in range(p)], F.col("sz") / precision], precision)
-                a = xx - inner[:p, :p]
-                new = np.linalg.solve(a, xz - inner[:p, p])
-                b = (F.col("sz") - sum((F.lit(float(c)) * F.col(f"sx{i}") for i, c in enumerate(new)), F.lit(0.0))) / precision
-                return float(sums.agg(F.avg(b * b + 1.0 / precision)).first()[0]), a, new, b
-
-            new_variance, (_, a, new, b) = solve_variance(profile, variance, tol * 1e-4)
-            effects = sums.select("__gkey", b.alias("b"))
+            side = effects.select(F.col("__gkey").alias("__side"), "b")
+            state = source.join(side, null_safe(source, side, [("__gkey", "__side")]), "left")
+            offset = F.coalesce(F.col("b"), F.lit(0.0))
+        sums = cut_lineage(group_sums(state, eta_of(beta, offset)))
+        totals = sums.agg(
+            *[F.sum(f"sxx{i}_{j}").alias(f"sxx{i}_{j}") for i, j in pairs], *[F.sum(f"sxz{i}").alias(f"sxz{i}") for i in range(p)]
+        ).first()
+        xx = np.zeros((p, p))
+        for i, j in pairs:
+            xx[i, j] = xx[j, i] = totals[f"sxx{i}_{j}"]
+        xz = np.array([totals[f"sxz{i}"] for i in range(p)])
+
+        def profile(v: float):
+            once, twice, spread = _group_products(sums, p, v)
+            a = xx - once[:p, :p]
+            new = np.linalg.solve(a, xz - once[:p, p])
+            # The intercepts are (sz - sx'new) / precision, so their mean square is a quadratic form of the sums.
+            along = np.append(-new, 1.0)
+            return along @ twice @ along + spread, a, new
+
+        new_variance, (_, a, new) = solve_variance(profile, variance, tol * 1e-4)
+        rest = F.col("sz") - sum((F.lit(float(c)) * F.col(f"sx{i}") for i, c in enumerate(new)), F.lit(0.0))
+        effects = sums.select("__gkey", (rest / (F.col("sw") + F.lit(1.0 / new_variance))).alias("b"))
         moved = max(float(np.max(np.abs(new - beta))), abs(new_variance - variance) / max(variance, 1e-8))
         beta, variance = new, new_variance
         vcov = np.linalg.inv(a)
@@ -151,10 +147,6 @@ def random_intercept_logit(
     else:
         source.unpersist()
         raise RuntimeError(f"the model has not converged in {max_iter} iterations")
-    spark: SparkSession = df.sparkSession
-    if local:
-        effects = spark.createDataFrame([(str(g), float(b)) for g, b in shift.items()], "group string, effect double")
-    else:
-        effects = effects.select(F.col("__gkey").alias("group"), F.col("b").alias("effect"))
+    effects = effects.select(F.col("__gkey").alias("group"), F.col("b").alias("effect"))
     source.unpersist()
     return RandomIntercept(Fit(design, design.names, beta, vcov, float(n), None, {}, "binomial"), variance, effects, used_iterations)

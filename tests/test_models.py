@@ -152,24 +152,60 @@ def test_fixed_effects(data, cluster):
     assert other.coef[0] == pytest.approx(b[0])
 
 
-def test_random_intercept_paths_agree(spark):
+def _dense_random_intercept(x, y, of, groups, steps=60):
+    """Penalised weighted least squares on the whole design; the variance repeats its update until it stays."""
+    beta, b, variance = np.zeros(x.shape[1]), np.zeros(groups), 0.25
+    beta[0] = np.log(y.mean() / (1 - y.mean()))
+    z = np.eye(groups)[of]
+    both, p = np.hstack([x, z]), x.shape[1]
+    for _ in range(steps):
+        eta = x @ beta + b[of]
+        mu = 1 / (1 + np.exp(-eta))
+        curve = mu * (1 - mu)
+        work, last = eta + (y - mu) / curve, 0.0
+        gram, right = (both * curve[:, None]).T @ both, both.T @ (curve * work)
+        while abs(variance - last) > 1e-11:
+            last, full = variance, gram.copy()
+            full[p:, p:] += np.eye(groups) / variance
+            found = np.linalg.solve(full, right)
+            variance = float(np.mean(found[p:] ** 2 + 1 / (z.T @ curve + 1 / variance)))
+        beta, b = found[:p], found[p:]
+    return beta, b, variance, np.sqrt(np.diag(np.linalg.inv(full))[:p])
+
+
+@pytest.mark.parametrize("numeric", [False, True])
+def test_random_intercept_against_dense_algebra(spark, numeric):
     rng = np.random.default_rng(5)
     rows = []
     for g in range(40):
         shift = rng.normal(0, 0.8)
         for i in range(50):
-            f = "ab"[i % 2]
-            rows.append((g, f, int(rng.uniform() < 1 / (1 + np.exp(-(-0.3 + 0.7 * (f == "b") + shift))))))
-    df = spark.createDataFrame(rows, "g int, f string, y int")
-    near = random_intercept_logit(df, "y", [factor("f")], "g")
-    assert 0.3 < near.variance < 1.3 and near.fit.coef[1] == pytest.approx(0.7, abs=0.35)
-    far = random_intercept_logit(df, "y", [factor("f")], "g", driver_groups=0)
-    assert far.variance == pytest.approx(near.variance, rel=1e-6) and far.iterations == near.iterations
-    assert far.fit.coef == pytest.approx(near.fit.coef, abs=1e-6) and far.fit.se == pytest.approx(near.fit.se, rel=1e-6)
-    a, b = ({r[0]: r[1] for r in x.effects.collect()} for x in (near, far))
-    assert set(a) == set(b) and all(a[g] == pytest.approx(b[g], abs=1e-6) for g in a)
+            v = float(rng.uniform()) if numeric else float(i % 2)
+            rows.append((g, "ab"[i % 2], v, int(rng.uniform() < 1 / (1 + np.exp(-(-0.3 + 0.7 * v + shift))))))
+    df = spark.createDataFrame(rows, "g int, f string, v double, y int")
+    found = random_intercept_logit(df, "y", ["v" if numeric else factor("f")], "g")
+    x = np.array([(1.0, r[2]) for r in rows])
+    beta, b, variance, se = _dense_random_intercept(x, np.array([float(r[3]) for r in rows]), np.array([r[0] for r in rows]), 40)
+    assert found.fit.coef == pytest.approx(beta, abs=1e-5) and found.variance == pytest.approx(variance, rel=1e-4)
+    assert found.fit.se == pytest.approx(se, rel=1e-4)
+    effects = {int(r[0]): r[1] for r in found.effects.collect()}
+    assert [effects[g] for g in range(40)] == pytest.approx(list(b), abs=1e-4)
     with pytest.raises(RuntimeError, match="not converged"):
-        random_intercept_logit(df, "y", [factor("f")], "g", max_iter=1)
+        random_intercept_logit(df, "y", ["v"], "g", max_iter=1)
+
+
+def test_random_intercept_of_many_groups_is_that_of_few(spark):
+    """Every group a thousand times: fixed effects, variance and intercepts stay, errors shrink by the root."""
+    rng = np.random.default_rng(6)
+    cells = spark.createDataFrame(
+        [(g, f, int(rng.uniform() < 0.3 + 0.4 * (g % 2) + 0.1 * (f == "b"))) for g in range(50) for f in "ab" for _ in range(10)], "g int, f string, y int"
+    )
+    few = random_intercept_logit(cells, "y", [factor("f")], "g")
+    copies = cells.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(999)))).withColumn("g", F.concat_ws("-", "g", "copy"))
+    many = random_intercept_logit(copies, "y", [factor("f")], "g")
+    assert many.effects.count() == 50_000
+    assert many.fit.coef == pytest.approx(few.fit.coef, abs=1e-6) and many.variance == pytest.approx(few.variance, rel=1e-5)
+    assert many.fit.se * np.sqrt(1000) == pytest.approx(few.fit.se, rel=1e-5)
 
 
 def test_effects_of_unconnected_blocks_and_nested_clusters(spark):
