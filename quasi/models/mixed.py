@@ -3,8 +3,9 @@
 Penalised iteratively reweighted least squares with a Laplace-type update of the intercept variance. An
 iteration is one grouped aggregate: the sums of each group are all that the fixed effects, the group
 intercepts and the variance need. They stay in Spark, checkpointed, however many groups there are. The variance of
-the working model is solved in each iteration by secant steps on its logarithm, each one aggregate of the group sums
-that returns two small matrices; the intercepts are joined back to the rows.
+the working model is solved in each iteration by secant steps on its logarithm, as closely as the last iteration
+calls for. Each step is one aggregate of the group sums that returns two small matrices; the intercepts are joined
+back to the rows.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def random_intercept_logit(
             *[F.expr(f"sum(v * x{i} * x{j})").alias(f"sxx{i}_{j}") for i, j in pairs],
         )
 
-    used_iterations, vcov = 0, np.zeros((p, p))
+    used_iterations, vcov, moved = 0, np.zeros((p, p)), 1.0
     for used_iterations in range(1, max_iter + 1):
         if effects is None:
             state, offset = source, F.lit(0.0)
@@ -136,7 +137,7 @@ def random_intercept_logit(
             along = np.append(-new, 1.0)
             return along @ twice @ along + spread, a, new
 
-        new_variance, (_, a, new) = solve_variance(profile, variance, tol * 1e-4)
+        new_variance, (_, a, new) = solve_variance(profile, variance, max(tol * 0.01, min(moved, 1.0) * 0.01))
         rest = F.col("sz") - sum((F.lit(float(c)) * F.col(f"sx{i}") for i, c in enumerate(new)), F.lit(0.0))
         effects = sums.select("__gkey", (rest / (F.col("sw") + F.lit(1.0 / new_variance))).alias("b"))
         moved = max(float(np.max(np.abs(new - beta))), abs(new_variance - variance) / max(variance, 1e-8))
