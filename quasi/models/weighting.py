@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from quasi.functions.columns import cut, interval_labels
 from quasi.functions.special import log_gamma_density, log_normal_density
-from quasi.models.design import factor, find_levels
+from quasi.models.design import build_design, factor, find_levels
 from quasi.models.glm import gamma_glm, logit, multinomial
-from quasi.models.linear import _sources, ols, survey_glm
+from quasi.models.linear import _sources, gram, ols, solve_kept
 from quasi.operators.skew import exact_quantiles
 
 
@@ -221,13 +221,55 @@ def smd(df: DataFrame, strata: str, variables: Sequence[str] = (), categorical:
     return out
 
 
+def _known(df: DataFrame, column: str) -> Column:
+    held = F.col(column).isNotNull()
+    return held & ~F.isnan(column) if df.schema[column].dataType.typeName() in ("float", "double") else held
+
+
 def balance_tstats(df: DataFrame, exposure: str, covariates: Sequence, weight: str, cluster: str) -> DataFrame:
-    """t statistic of the exposure on each covariate, unweighted and weighted, with cluster variances."""
-    rows = []
-    for c in covariates:
-        terms = [c]
-        name = c if isinstance(c, str) else c.column
-        for design, w in (("unweighted", None), ("weighted", weight)):
-            fit = survey_glm(df, exposure, terms, w, cluster)
-            rows += [(name, r[0], design, r[3]) for r in fit.rows() if r[0] != "(Intercept)"]
-    return df.sparkSession.createDataFrame(rows, "variable string, term string, design string, t_val double")
+    """t statistic of the exposure on each covariate, unweighted and weighted, with cluster variances.
+
+    One model per covariate and design, all fitted together: a cross-product matrix per design holds the moments of
+    every covariate, and one aggregate by cluster the scores of all models. A model leaves out rows with a null in its
+    own columns only. Levels of a factor are those of the whole table; a term that a model cannot tell from others has
+    a null statistic.
+    """
+    used = list(dict.fromkeys([exposure, weight, cluster, *_sources(covariates)]))
+    rows = df.select(*used).dropna(subset=[exposure, cluster])
+    wanted = [c.column for c in covariates if isinstance(c, factor) and not c.levels]
+    levels = find_levels(rows, wanted)
+    pinned = [factor(c.column, tuple(levels[c.column]), c.ref) if isinstance(c, factor) and not c.levels else c for c in covariates]
+    designs = [build_design(rows, [c]) for c in pinned]
+    # Columns of a covariate are zero where it is unknown, so such rows add nothing to its block.
+    columns, blocks = [], []
+    for d in designs:
+        held = F.lit(True)
+        for name in d.sources:
+            held = held & _known(rows, name)
+        block = [F.when(held, c.cast("double")).otherwise(0.0) for c in [*d.columns, F.col(exposure)]]
+        blocks.append(slice(len(columns), len(columns) + len(block)))
+        columns += block
+    weights = {"unweighted": F.lit(1.0), "weighted": F.when(_known(rows, weight), F.col(weight).cast("double")).otherwise(0.0)}
+    present = {"unweighted": F.lit(True), "weighted": _known(rows, weight)}
+    fits, sums = [], []
+    for design, w in weights.items():
+        products = gram(rows, columns, w)
+        for block, d in zip(blocks, designs):
+            m = products[block, block]
+            coef, bread, _ = solve_kept(m[:-1, :-1], m[:-1, -1])
+            *x, y = columns[block]
+            resid = y - sum((F.lit(float(b)) * c for b, c in zip(np.nan_to_num(coef), x)), F.lit(0.0))
+            at = len(sums)
+            sums += [F.sum(w * c * resid) for c in x]
+            sums.append(F.max(F.when((x[0] > 0) & present[design], 1.0).otherwise(0.0)))
+            fits.append((design, d, coef, bread, slice(at, at + len(x)), at + len(x)))
+    scores = rows.groupBy(cluster).agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)])
+    meat = gram(scores, [F.col(f"s{i}") for i in range(len(sums))])
+    out = []
+    for design, d, coef, bread, own, counted in fits:
+        clusters, total = meat[counted, counted], meat[own, counted]
+        spread = bread @ ((meat[own, own] - np.outer(total, total) / clusters) * clusters / (clusters - 1)) @ bread
+        for name, b, v in list(zip(d.names, coef, np.diag(spread)))[1:]:
+            t = float(b / math.sqrt(v)) if v > 0 else None
+            out.append((d.sources[0], name, design, None if math.isnan(b) else t))
+    return df.sparkSession.createDataFrame(out, "variable string, term string, design string, t_val double")

@@ -383,3 +383,22 @@ def test_weight_trim(spark):
     df = spark.createDataFrame([(0.0,), (float("inf"),), (None,), (float("nan"),), (2.0,), (50.0,)], "w double")
     assert {r["status"]: r["n"] for r in X.weight_diagnostics(df, "w").collect()} == {"Zero": 1, "Infinite": 1, "Missing": 2, "Positive weight": 2}
     assert X.trim_weights(df, "w").count() == 3 and X.trim_weights(df, "w", upper=10.0).count() == 2
+
+
+def test_balance_of_all_covariates_is_that_of_single_models(spark):
+    rng = np.random.default_rng(3)
+    rows = [
+        (float(rng.normal() + (i % 3)), float(rng.normal()) if i % 7 else None, "abc"[i % 3] if i % 11 else None,
+         float(rng.uniform(0.5, 2)) if i % 13 else None, i % 20 if i % 17 else None, float("nan") if i % 19 == 0 else float(i % 5))
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(rows, "e double, x double, f string, w double, c int, z double")
+    covariates = ["x", factor("f"), "z"]
+    found = {(r["variable"], r["term"], r["design"]): r["t_val"] for r in X.balance_tstats(df, "e", covariates, "w", "c").collect()}
+    want = {}
+    for c in covariates:
+        for design, w in (("unweighted", None), ("weighted", "w")):
+            fit = survey_glm(df, "e", [c], w, "c")
+            want |= {(c if isinstance(c, str) else c.column, r[0], design): r[3] for r in fit.rows()[1:]}
+    assert found.keys() == want.keys() and len(found) == 8
+    assert all(found[k] == pytest.approx(want[k], rel=1e-8) for k in want)
