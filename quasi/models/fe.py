@@ -4,9 +4,10 @@ Rows are aggregated once, by map-side combined sums, into cells of equal fixed e
 cell keeps the first and second moments of outcome and regressors, which is all that coefficients,
 residual variance and cluster scores need; nothing afterwards reads the rows.
 
-The first fixed effect (usually the unit, with any number of levels) is swept out through its group sums.
-The others enter as level coefficients while they have at most MAX_LEVELS levels; beyond that the cells are
-demeaned by alternating projections.
+The first fixed effect (usually the unit) is swept out through its group sums. What is left is a linear system in
+the levels of the others, of any number, solved by conjugate gradients: the vectors stay in Spark, one row per
+level, and each step is one pass over the cells. The preconditioner inverts the block of the HELD heaviest levels
+and divides by the weight elsewhere, so with few levels the first step is the solution.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 from quasi.models.design import MAX_LEVELS, Design, build_design, factor, find_levels
 from quasi.models.linear import Fit, _sources, array_sum, complete_rows, gram, solve_kept
-from quasi.operators.skew import null_safe
 from quasi.session import cut_lineage
 
+HELD = MAX_LEVELS
+TOLERANCE = 1e-20
+
 
 def _total(parts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0.0))
@@ -80,16 +83,16 @@ def add_level_effects(cells: DataFrame, slots: Sequence[str], values: np.ndarray
 
 
 def level_products(cells: DataFrame, slots: Sequence[str], p: int, moments: Sequence[str]) -> np.ndarray:
-    """Cross-products of level dummies with each other and with moment columns (moment block empty)."""
+    """Cross-products of level dummies with each other and with moment columns (moment block empty); null slots are skipped."""
     q = len(moments)
     out = np.zeros((p + q, p + q))
     for i, a in enumerate(slots):
-        for r in cells.groupBy(a).agg(F.sum("__w").alias("w"), *[F.sum(m).alias(m) for m in moments]).collect():
+        for r in cells.where(F.col(a).isNotNull()).groupBy(a).agg(F.sum("__w").alias("w"), *[F.sum(m).alias(m) for m in moments]).collect():
             out[r[a], r[a]] = r["w"]
             for j, m in enumerate(moments):
                 out[r[a], p + j] = out[p + j, r[a]] = r[m]
         for b in slots[i + 1:]:
-            for r in cells.groupBy(a, b).agg(F.sum("__w").alias("w")).collect():
+            for r in cells.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.sum("__w").alias("w")).collect():
                 out[r[a], r[b]] = out[r[b], r[a]] = r["w"]
     return out
 
@@ -100,7 +103,7 @@ def unit_profiles(cells: DataFrame, unit: str, slots: Sequence[str], moments: Se
     Cells are first merged to unit and level, so a list is never longer than the level combinations.
     """
     merged = cells.groupBy(unit, *slots).agg(F.sum("__w").alias("__w"), *[F.sum(m).alias(m) for m in moments])
-    ids = F.array(*[F.col(x) for x in slots]) if slots else F.array().cast("array<int>")
+    ids = F.array_compact(F.array(*[F.col(x) for x in slots])) if slots else F.array().cast("array<int>")
     return merged.groupBy(unit).agg(
         F.sum("__w").alias("u_w"), *[F.sum(m).alias(f"u_{m}") for m in moments],
         F.collect_list(F.struct(ids.alias("ids"), F.col("__w").alias("w"))).alias("levels"),
@@ -113,7 +116,7 @@ def between_products(units: DataFrame, p: int, values: Sequence[str]) -> np.ndar
     named = units.select(
         "u_w", F.flatten(F.col("levels.ids")).alias("ids"),
         F.flatten(F.transform("levels", lambda x: F.array_repeat(x["w"], F.size(x["ids"])))).alias("ws"),
-        F.array(*[F.col(v).cast("double") for v in values]).alias("v"),
+        F.array(*[F.col(v).cast("double") for v in values]).cast("array<double>").alias("v"),
     )
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,12 +151,7 @@ def fe_ols(
     k = len(design.columns)
     keys = [*fe, *([cluster] if cluster else [])]
     cells = moment_cells(rows, keys, [*design.columns, F.col(y)], weight).persist()
-    try:
-        levels = find_levels(cells, list(fe[1:]))
-        dense = sum(len(v) for v in levels.values()) <= MAX_LEVELS
-    except ValueError:
-        dense = False
-    fitted = _absorbed(cells, design, fe, levels, k, cluster) if dense else _alternating(cells, design, fe, k, cluster)
+    fitted = _absorbed(cells, design, fe, k, cluster)
     cells.unpersist()
     return fitted
 
@@ -215,115 +213,181 @@ def connected_blocks(cells: DataFrame, a: str, b: str) -> int:
     return state.select("label").distinct().count()
 
 
-def _absorbed(cells, design, fe, levels, k, cluster):
-    unit = fe[0]
-    slots = [f"__slot_{i}" for i in range(len(levels))]
-    p = sum(len(v) for v in levels.values())
+def _at(i: int) -> str:
+    return f"__level_{i}"
+
+
+def level_sums(rows: DataFrame, effects: int, sums: Sequence[Column]) -> DataFrame:
+    """Sums by (__e, __l), effect and level, over all effects but the first."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("__e"), F.col(_at(i)).alias("__l")) for i in range(effects)])
+    return rows.withColumn("__pair", F.explode(pairs)).groupBy("__pair.__e", "__pair.__l").agg(*sums)
+
+
+def off_units(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Columns less their weighted means by the first effect."""
     w = F.col("__w")
-    moments = [f"m{i}" for i in range(k + 1)]
-    cells = cells.withColumns(dict(zip(slots, level_slots(levels).values()))) if slots else cells
-    raw = level_products(cells, slots, p, moments)
-    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-    totals = cells.agg(*[F.sum(second(i, j)).alias(second(i, j)) for i, j in pairs], F.sum("__n").alias("n")).first()
-    for i, j in pairs:
-        raw[p + i, p + j] = raw[p + j, p + i] = totals[f"q{i}_{j}"]
-    units = unit_profiles(cells, unit, slots, moments).persist()
-    within = raw - between_products(units, p, [f"u_{m}" for m in moments])
-    n_units = units.count()
-    units.unpersist()
-    # Slopes on the other effects, then the regressors with those effects taken out.
-    _, inverse, kept = solve_kept(within[:p, :p], within[:p, p]) if p else (None, np.zeros((0, 0)), [])
-    c = inverse @ within[:p, p:]
-    net = within[p:, p:] - within[p:, :p] @ c
-    scale = np.diag(raw)[p:p + k]
-    tiny = np.diag(net)[:k] < 1e-10 * np.maximum(scale, 1e-300)
-    net[:k][tiny] = 0.0
-    net[:, :k][:, tiny] = 0.0
-    fit = _finish(design, k, net[:k, :k], net[:k, k], net[k, k], totals["n"], n_units + len(kept), {})
-    if cluster:
-        beta = np.nan_to_num(fit.coef)
-        effects = [f"c{i}" for i in range(k + 1)]
-        rows = add_level_effects(cells, slots, c, effects) if slots else cells.select("*", *[F.lit(0.0).alias(e) for e in effects])
-        sides = rows.groupBy(F.col(unit).alias("__unit")).agg(
-            *[(F.sum(F.col(f"m{i}") - w * F.col(f"c{i}")) / F.sum(w)).alias(f"a{i}") for i in range(k + 1)]
-        )
-        joined = rows.join(sides, rows[unit] == sides["__unit"], "inner").select(
-            cluster, "__w", *moments, *[second(i, j) for i, j in pairs],
-            *[(F.col(f"a{i}") + F.col(f"c{i}")).alias(f"f{i}") for i in range(k + 1)],
-        )
-
-        # x-tilde times residual of a cell, from its moments and the fitted effects f.
-        joined = joined.withColumns(
-            {"fr": F.expr(combined([f"f{i}" for i in range(k + 1)], beta)), "mr": F.expr(combined(moments, beta))}
-        )
-        scores = joined.groupBy(cluster).agg(
-            *[
-                F.expr(
-                    f"sum({combined([second(i, j) for j in range(k + 1)], beta)} - fr * m{i} - f{i} * mr + f{i} * fr * __w)"
-                ).alias(f"s{i}")
-                for i in range(k)
-            ]
-        )
-        fit = _clustered(fit, scores, k, min(nested_levels(cells, fe, cluster), fit.stats["absorbed"]))
-    return fit
+    means = rows.groupBy(F.col("__u").alias("__v")).agg(*[(F.sum(w * F.col(n)) / F.sum(w)).alias(f"__mean_{n}") for n in names])
+    side = rows.join(means, F.col("__u") == F.col("__v"))
+    return side.select(*[c for c in rows.columns if c not in names], *[(F.col(n) - F.col(f"__mean_{n}")).alias(n) for n in names])
 
 
-def _alternating(cells, design, fe, k, cluster, tol: float = 1e-10, max_rounds: int = 500):
-    """Alternating demeaning of cell means, checkpointed every round, until no effect moves them any more.
+def add_levels(rows: DataFrame, effects: int, state: DataFrame, names: Sequence[str], cold: bool) -> DataFrame:
+    """Add per row the values ``names`` of its levels, summed over the effects.
 
-    The effects' rank is exact for one or two of them; each further one counts its levels less one.
+    The levels with a slot (HELD at most, the heaviest) are broadcast; only the others, if any, go by shuffle, where the
+    rows of heavy levels pass under a salt.
     """
-    w = F.col("__w")
-    state = cells.select(
-        *dict.fromkeys([*fe, *([cluster] if cluster else [])]), "__w", "__n",
-        *[(F.col(f"m{i}") / w).alias(f"z{i}") for i in range(k + 1)],
+    out = rows
+    for i in range(effects):
+        mine = state.where(F.col("__e") == i).select(F.col("__l").alias("__key"), "__slot", F.struct(*names).alias("__v"))
+        hot = mine.where("__slot IS NOT NULL").select(F.col("__key").alias("__hot_key"), F.col("__v").alias(f"__hot_{i}"))
+        out = out.join(F.broadcast(hot), F.col(_at(i)) == F.col("__hot_key"), "left").drop("__hot_key")
+        found = F.col(f"__hot_{i}")
+        if cold:
+            rest = mine.where("__slot IS NULL").select("__key", F.lit(0).alias("__zero"), F.col("__v").alias(f"__cold_{i}"))
+            out = out.withColumn("__salt", F.when(found.isNull(), 0).otherwise(1 + F.spark_partition_id()))
+            out = out.join(rest, (F.col(_at(i)) == F.col("__key")) & (F.col("__salt") == F.col("__zero")), "left").drop("__key", "__zero", "__salt")
+            found = F.coalesce(found, F.col(f"__cold_{i}"))
+        out = out.withColumn(f"__found_{i}", found)
+    sums = {n: _total([F.col(f"__found_{i}")[n] for i in range(effects)]) for n in names}
+    return out.select(*rows.columns, *[c.alias(n) for n, c in sums.items()])
+
+
+@dataclass
+class LevelSystem:
+    """Levels of all effects but the first: ``state`` has one row per level with the right sides b{i}, the solutions x{i}
+    and what the solutions leave, r{i}; ``rank`` is known where every level is held."""
+
+    state: DataFrame
+    total: int
+    rank: int | None
+    cold: bool
+
+
+def solve_levels(edges: DataFrame, effects: int, q: int, floor: Sequence[float], max_steps: int = 1000) -> LevelSystem:
+    """Conjugate gradients for ``q`` right sides at once; a side stops at its ``floor``.
+
+    ``edges`` holds __u, the levels, __w and the cell means z{i}. Raises when a side has not converged.
+    """
+    spark, w, sides = edges.sparkSession, F.col("__w"), range(q)
+    zs, rs, ps = ([f"{c}{i}" for i in sides] for c in "zrp")
+    right = level_sums(
+        off_units(edges, zs), effects, [F.sum("__w").alias("__weight"), *[F.sum(w * F.col(z)).alias(f"b{i}") for i, z in enumerate(zs)]]
+    )
+    state = cut_lineage(right)
+    held = state.orderBy(F.desc("__weight"), "__e", "__l").limit(HELD).select("__e", "__l").collect()
+    total = state.count() if len(held) == HELD else len(held)
+    slots = F.broadcast(spark.createDataFrame([(r["__e"], r["__l"], i) for i, r in enumerate(held)], "__e int, __l string, __slot int"))
+    state = state.join(slots, ["__e", "__l"], "left").withColumns({f"{c}{i}": F.col(f"b{i}") if c == "r" else F.lit(0.0) for i in sides for c in "xrp"})
+
+    # The block of the held levels.
+    cold, p, names = total > len(held), len(held), [f"__slot_{i}" for i in range(effects)]
+    placed = edges
+    for i, name in enumerate(names):
+        mine = slots.where(F.col("__e") == i).select(F.col("__l").alias("__key"), F.col("__slot").alias(name))
+        placed = placed.join(F.broadcast(mine), F.col(_at(i)) == F.col("__key"), "left").drop("__key")
+    inverse, kept = np.zeros((0, 0)), []
+    if p:
+        block = level_products(placed, names, p, []) - between_products(unit_profiles(placed, "__u", names, []), p, [])
+        _, inverse, kept = solve_kept(block, np.zeros(p))
+
+    def preconditioned(state: DataFrame) -> DataFrame:
+        """Add z{i}."""
+        rest = np.zeros((p, q))
+        for row in state.where("__slot IS NOT NULL").select("__slot", *rs).collect():
+            rest[row[0]] = row[1:]
+        rows = [(i, *map(float, v)) for i, v in enumerate(inverse @ rest)]
+        near = spark.createDataFrame(rows, "__s int, " + ", ".join(f"__n{i} double" for i in sides))
+        out = state.join(F.broadcast(near), F.col("__slot") == F.col("__s"), "left")
+        return out.select(*state.columns, *[F.coalesce(F.col(f"__n{i}"), F.col(f"r{i}") / F.col("__weight")).alias(z) for i, z in enumerate(zs)])
+
+    def products(state: DataFrame, a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+        return np.array(state.agg(*[F.sum(F.col(x) * F.col(y)) for x, y in zip(a, b)]).first(), dtype=float)
+
+    size, turn = np.zeros(q), np.zeros(q)
+    for step in range(max_steps):
+        left = np.array(state.agg(*[F.sum(F.col(r) * F.col(r) / F.col("__weight")) for r in rs]).first(), dtype=float)
+        live = left > np.asarray(floor)
+        if not live.any():
+            return LevelSystem(state.drop(*ps), total, None if cold else len(kept), cold)
+        state = preconditioned(state)
+        last, size = size, products(state, rs, zs)
+        if step:
+            turn = np.where(live, size / np.where(last > 0, last, 1.0), 0.0)
+        state = state.withColumns({n: F.col(z) + F.lit(float(t)) * F.col(n) for n, z, t in zip(ps, zs, turn)}).drop(*zs)
+        across = add_levels(edges.drop(*zs), effects, state, ps, cold)
+        image = level_sums(off_units(across, ps), effects, [F.sum(w * F.col(n)).alias(f"a{i}") for i, n in enumerate(ps)])
+        state = cut_lineage(state.join(image, ["__e", "__l"], "left"))
+        images = [f"a{i}" for i in sides]
+        along = products(state, ps, images)
+        length = np.where(live & (along > 0), size / np.where(along > 0, along, 1.0), 0.0)
+        moves = {f"x{i}": F.col(f"x{i}") + F.lit(float(length[i])) * F.col(f"p{i}") for i in sides}
+        moves |= {f"r{i}": F.col(f"r{i}") - F.lit(float(length[i])) * F.col(f"a{i}") for i in sides}
+        state = state.withColumns(moves).drop(*images)
+    raise RuntimeError(f"the levels of the effects have not converged in {max_steps} steps")
+
+
+def _absorbed(cells, design, fe, k, cluster):
+    """Slopes net of all effects from cell moments and the levels' solutions for regressors and outcome.
+
+    The effects' rank is exact where all levels are held, and for one or two effects; otherwise each further effect
+    counts its levels less one.
+    """
+    w, others, q = F.col("__w"), len(fe) - 1, k + 1
+    zs = [f"z{i}" for i in range(q)]
+    pairs = [(i, j) for i in range(q) for j in range(i, q)]
+    edges = cells.select(
+        F.col(fe[0]).alias("__u"), *[F.col(c).cast("string").alias(_at(i)) for i, c in enumerate(fe[1:])], "__w",
+        *[(F.col(f"m{i}") / w).alias(z) for i, z in enumerate(zs)],
+    )
+    units = cells.groupBy(fe[0]).agg(
+        F.sum("__w").alias("w"), F.sum("__n").alias("n"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(q)],
+        *[F.sum(second(i, j)).alias(second(i, j)) for i, j in pairs],
     )
-    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-    inside = cells.agg(
-        *[F.expr(f"sum({second(i, j)} - m{i} * m{j} / __w)").alias(second(i, j)) for i, j in pairs], F.sum("__n").alias("n")
+    facts = units.agg(
+        *[F.expr(f"sum({second(i, j)} - m{i} * m{j} / w)").alias(second(i, j)) for i, j in pairs],
+        *[F.sum(second(i, i)).alias(f"raw{i}") for i in range(q)], F.sum("n").alias("n"), F.count(F.lit(1)).alias("units"),
     ).first()
-    zs = [f"z{i}" for i in range(k + 1)]
-    for _ in range(max_rounds):
-        state = state.withColumn("__step", F.lit(0.0))
-        for level in fe:
-            means = state.groupBy(F.col(level).alias("__g")).agg(*[(F.sum(w * F.col(z)) / F.sum(w)).alias(f"mean_{z}") for z in zs])
-            joined = state.join(means, null_safe(state, means, [(level, "__g")]), "inner")
-            keep = [c for c in state.columns if c not in zs and c != "__step"]
-            state = joined.select(
-                *keep, *[(F.col(z) - F.col(f"mean_{z}")).alias(z) for z in zs],
-                F.greatest("__step", *[F.abs(F.col(f"mean_{z}")) for z in zs]).alias("__step"),
-            )
-        state = cut_lineage(state)
-        moved, scale = state.agg(F.max("__step"), F.max(F.greatest(*[F.abs(F.col(z)) for z in zs], F.lit(0.0)))).first()
-        state = state.drop("__step")
-        if moved <= tol * (scale or 1.0):
-            break
-    else:
-        raise RuntimeError(f"demeaning has not converged in {max_rounds} rounds")
-    net = gram(state, [F.col(z) for z in zs], w)
+    scale = np.array([facts[f"raw{i}"] or 0.0 for i in range(q)])
+    net = np.zeros((q, q))
     for i, j in pairs:
-        net[i, j] += inside[f"q{i}_{j}"]
-        net[j, i] = net[i, j]
-    absorbed = sum(cells.select(f).distinct().count() for f in fe) - max(len(fe) - 2, 0)
-    if len(fe) > 1:
-        absorbed -= connected_blocks(cells, fe[0], fe[1])
-    fit = _finish(design, k, net[:k, :k], net[:k, k], net[k, k], inside["n"], absorbed, {})
-    if cluster:
-        beta = np.nan_to_num(fit.coef)
-        base = cells.select(*dict.fromkeys([*fe, cluster]), *[F.expr(f"{second(i, j)} - m{i} * m{j} / __w").alias(second(i, j)) for i, j in pairs])
-        names = list(dict.fromkeys([*fe, cluster]))
-        side = base.select(*[F.col(c).alias(f"__{c}") for c in names], *[f"q{i}_{j}" for i, j in pairs])
-        joined = state.join(side, null_safe(state, side, [(c, f"__{c}") for c in names]), "inner")
-
-        joined = joined.withColumn("zr", F.expr(combined(zs, beta)))
-        scores = joined.groupBy(cluster).agg(
-            *[
-                F.expr(f"sum({combined([second(i, j) for j in range(k + 1)], beta)} + __w * z{i} * zr)").alias(f"s{i}")
-                for i in range(k)
-            ]
-        )
-        fit = _clustered(fit, scores, k, min(nested_levels(cells, fe, cluster), absorbed))
-    return fit
+        net[i, j] = net[j, i] = facts[second(i, j)] or 0.0
+    absorbed = facts["units"]
+    if others:
+        levels = solve_levels(edges, others, q, TOLERANCE * scale)
+        explained = levels.state.agg(*[F.expr(f"sum(b{i} * x{j} + x{i} * r{j})") for i, j in pairs]).first()
+        for (i, j), part in zip(pairs, explained):
+            net[i, j] = net[j, i] = net[i, j] - part
+        rank = levels.rank
+        if rank is None:
+            rank = levels.total - max(others - 1, 0) - connected_blocks(cells, fe[0], fe[1])
+        absorbed += rank
+    tiny = np.diag(net)[:k] < 1e-10 * np.maximum(scale[:k], 1e-300)
+    net[:k][tiny] = 0.0
+    net[:, :k][:, tiny] = 0.0
+    fit = _finish(design, k, net[:k, :k], net[:k, k], net[k, k], facts["n"], absorbed, {})
+    if not cluster:
+        return fit
+
+    beta, moments, cs = np.nan_to_num(fit.coef), [f"m{i}" for i in range(q)], [f"x{i}" for i in range(q)]
+    rows = cells.select(
+        F.col(cluster).alias("__cluster"), F.col(fe[0]).alias("__u"), *[F.col(c).cast("string").alias(_at(i)) for i, c in enumerate(fe[1:])],
+        "__w", *moments, *[second(i, j) for i, j in pairs],
+    )
+    rows = add_levels(rows, others, levels.state, cs, levels.cold) if others else rows.select("*", *[F.lit(0.0).alias(c) for c in cs])
+    sides = rows.groupBy(F.col("__u").alias("__v")).agg(
+        *[(F.sum(F.col(f"m{i}") - w * F.col(f"x{i}")) / F.sum(w)).alias(f"a{i}") for i in range(q)]
+    )
+    # x-tilde times residual of a cell, from its moments and the fitted effects f.
+    joined = rows.join(sides, F.col("__u") == F.col("__v")).withColumns({f"f{i}": F.col(f"a{i}") + F.col(f"x{i}") for i in range(q)})
+    joined = joined.withColumns({"fr": F.expr(combined([f"f{i}" for i in range(q)], beta)), "mr": F.expr(combined(moments, beta))})
+    scores = joined.groupBy("__cluster").agg(
+        *[
+            F.expr(f"sum({combined([second(i, j) for j in range(q)], beta)} - fr * m{i} - f{i} * mr + f{i} * fr * __w)").alias(f"s{i}")
+            for i in range(k)
+        ]
+    )
+    return _clustered(fit, scores, k, min(nested_levels(cells, fe, cluster), absorbed))
 
 
 def twoway_within(df: DataFrame, y: str, x: Sequence, unit: str, time: str, weight: str | None = None) -> FixedEffectsFit:
