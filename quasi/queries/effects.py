@@ -13,6 +13,7 @@ from quasi.models.changes import att_gt_changes
 from quasi.models.design import factor
 from quasi.models.fe import event_study_fe
 from quasi.operators.windows import dense_period
+from quasi.queries.algebra import clustered_within_sql, ols_sql, two_stage_sql
 from quasi.queries.columns import TIMING, timing
 from quasi.queries.modelling import PANEL, TWOWAY_SQL, nation_year_panel
 from quasi.queries.registry import ORDERS_BY_CUSTOMER, orders_by_customer, query, r, rounded, table
@@ -316,9 +317,10 @@ def t8(spark, sf):
     return rounded(spark.createDataFrame([(test["statistic"], test["df"], test["p_value"])], "statistic double, df long, p_value double"), 5)
 
 
-@query("t9_did2s_static")
+@query("t9_did2s_static", two_stage_sql(PANEL, "CASE WHEN d = 1 THEN 'D' END", 25, (1995, 2001)))
 def t9(spark, sf):
-    return rounded(T.did2s(nation_year_panel(spark, sf), "y", "unit", "t", "d").table(spark), 4)
+    fit = T.did2s(nation_year_panel(spark, sf), "y", "unit", "t", "d")
+    return rounded(fit.table(spark).select("term", "estimate", "std_error"), 4)
 
 
 @query("t9_did2s_rows")
@@ -328,14 +330,24 @@ def t9_rows(spark, sf):
     return rounded(T.did2s(rows, "y", "unit", "t", "d", weight="w").table(spark), 4)
 
 
-@query("t10_did2s_event_study")
+@query("t10_did2s_event_study", two_stage_sql(PANEL, "CASE WHEN g <> 0 AND t - g <> -1 THEN 'rel_' || (t - g)::INT END", 25, (1995, 2001)))
 def t10(spark, sf):
-    return rounded(T.did2s(nation_year_panel(spark, sf), "y", "unit", "t", "d", rel="rel", keep=range(-10, 11)).table(spark), 4)
+    fit = T.did2s(nation_year_panel(spark, sf), "y", "unit", "t", "d", rel="rel", keep=range(-10, 11))
+    return rounded(fit.table(spark).select("term", "estimate", "std_error"), 4)
+
 
+EVENTS = [v for v in range(-5, 5) if v != -1]
+T11_ROWS = f"""SELECT 0 AS key, unit AS u, 1.0::DOUBLE AS w, y::DOUBLE AS y, (t - 1994)::INT AS period,
+    {", ".join(f'(g <> 0 AND t - g = {v})::INT::DOUBLE AS "rel_{v}"' for v in EVENTS)} FROM {PANEL}"""
 
-@query("t11_event_study_fe")
+
+@query(
+    "t11_event_study_fe",
+    f"""SELECT term, estimate, std_error FROM ({clustered_within_sql(T11_ROWS, [f"rel_{v}" for v in EVENTS], ("period", 7), 4)})""",
+)
 def t11(spark, sf):
-    return rounded(event_study_fe(nation_year_panel(spark, sf), "y", "rel", "unit", "t").table(spark), 4)
+    fit = event_study_fe(nation_year_panel(spark, sf), "y", "rel", "unit", "t")
+    return rounded(fit.table(spark).select("term", "estimate", "std_error"), 4)
 
 
 @query(
@@ -389,9 +401,14 @@ def z1(spark, sf):
     return rounded(fit.table(spark).select("term", "estimate"), 3)
 
 
-@query("z1_segmented_regression")
+Z1_ROWS = """(SELECT o_totalprice, month(o_orderdate) AS mo, dense_rank() OVER (ORDER BY date_trunc('month', o_orderdate)) AS t FROM orders)"""
+Z1_TERMS = {"(Intercept)": "1", "time": "t", "exp": "(t >= 40)::INT", "t_exp": "greatest(0, t - 39)", **{f"month_{m}": f"(mo = {m})::INT" for m in range(2, 13)}}
+
+
+@query("z1_segmented_regression", ols_sql(Z1_ROWS, Z1_TERMS, "o_totalprice", digits=3))
 def z1_months(spark, sf):
-    return rounded(Z.segmented_regression(monthly_orders(spark, sf), "o_totalprice", "time", 40, "month").table(spark), 4)
+    fit = Z.segmented_regression(monthly_orders(spark, sf), "o_totalprice", "time", 40, "month")
+    return rounded(fit.table(spark).select("term", "estimate", "std_error"), 3)
 
 
 def _series(spark, sf):

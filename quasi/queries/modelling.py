@@ -16,6 +16,7 @@ from quasi.models.mixed import random_intercept_logit
 from quasi.models.scoring import apply_eligibility_score, predict_class, predict_clip, score_expr, score_long
 from quasi.operators.metrics import roc_auc
 from quasi.operators.sample import hash_fold
+from quasi.queries.algebra import clustered_within_sql, ols_sql
 from quasi.queries.columns import timing
 from quasi.queries.registry import ORDERS_BY_CUSTOMER, orders_by_customer, query, rounded, table
 
@@ -23,7 +24,7 @@ from quasi.queries.registry import ORDERS_BY_CUSTOMER, orders_by_customer, query
 
 
 def nation_year_panel(spark, sf):
-    """Nation by year mean order value over the complete years 1995 to 2000, with rollout and treatment."""
+    """Nation by year mean order value over the years 1995 to 2001, with rollout and treatment."""
     rows = orders_by_customer(spark, sf)
     panel = rows.groupBy(F.col("c_nationkey").alias("unit"), F.year("o_orderdate").alias("t"), timing().alias("g")).agg(
         F.avg("o_totalprice").alias("y")
@@ -87,12 +88,19 @@ def m1_saturated(spark, sf):
     return rounded(scored.groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("fitted").alias("fitted"), F.count(F.lit(1)).alias("n")), 3)
 
 
-@query("m1_ols_interactions")
+M1_TERMS = {
+    "(Intercept)": "1", "l_quantity": "l_quantity", "l_discount": "l_discount", "l_returnflag_N": "l_returnflag = 'N'", "l_returnflag_R": "l_returnflag = 'R'",
+    "l_linestatus_O": "l_linestatus = 'O'", "l_returnflag_N:l_quantity": "(l_returnflag = 'N')::INT * l_quantity",
+    "l_returnflag_R:l_quantity": "(l_returnflag = 'R')::INT * l_quantity",
+}
+
+
+@query("m1_ols_interactions", ols_sql("lineitem", {n: f"({x})::DOUBLE" for n, x in M1_TERMS.items()}, "l_extendedprice", "l_quantity", 3))
 def m1_general(spark, sf):
     """Weighted regression with factors, an interaction and numeric terms."""
     li = table(spark, sf, "lineitem")
     terms = ["l_quantity", "l_discount", factor("l_returnflag"), factor("l_linestatus")] + crossed(factor("l_returnflag"), "l_quantity")[2:]
-    return rounded(ols(li, "l_extendedprice", terms, weight="l_quantity").table(spark), 4)
+    return rounded(ols(li, "l_extendedprice", terms, weight="l_quantity").table(spark).select("term", "estimate", "std_error"), 3)
 
 
 @query(
@@ -210,7 +218,14 @@ def m6(spark, sf):
     return rounded(fit.table(spark).select("term", "estimate", "std_error"), 4)
 
 
-@query("m6_fe_ols_two_effects")
+M6_ROWS = """SELECT k.key, l_suppkey AS u, l_quantity::DOUBLE AS w, l_extendedprice::DOUBLE AS y, l_discount::DOUBLE AS l_discount, l_quantity::DOUBLE AS l_quantity,
+    ((year(l_shipdate) - 1992) * 12 + month(l_shipdate))::INT AS month FROM lineitem, (VALUES ('all'), ('F'), ('O')) k(key) WHERE k.key = 'all' OR k.key = l_linestatus"""
+
+
+@query(
+    "m6_fe_ols_two_effects",
+    f"""SELECT key AS sample, term, estimate, std_error FROM ({clustered_within_sql(M6_ROWS, ["l_discount", "l_quantity"], ("month", 120), 5)})""",
+)
 def m6_two(spark, sf):
     """Unbalanced supplier and month effects, on the whole sample and by line status."""
     li = table(spark, sf, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
