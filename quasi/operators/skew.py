@@ -44,29 +44,27 @@ def attach_totals(df: DataFrame, keys: Sequence[str], totals: Sequence[Column])
     )
     names = [c for c in grouped.columns if c not in side_keys and c != "__rows"]
     hot = grouped.orderBy(F.desc("__rows"), *side_keys).limit(HOT_GROUPS)
-    hot = hot.select(
-        *[F.col(s).alias(f"__h{s}") for s in side_keys],
-        F.struct(*names).alias("__hot"),
-    )
-    first = df.join(
-        F.broadcast(hot),
-        null_safe(df, hot, [(k, f"__h{s}") for k, s in zip(keys, side_keys)]),
-        "left",
-    ).drop(*[f"__h{s}" for s in side_keys])
-    first = first.withColumn(
+    # The always-true filter keeps both sides on the same aggregate, so its shuffle is reused.
+    return attach_groups(df, keys, side_keys, hot, grouped.where(F.col("__rows") > 0), names)
+
+
+def attach_groups(df: DataFrame, keys: Sequence[str], side_keys: Sequence[str], hot: DataFrame, cold: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Add ``names`` of its group to every row: ``hot``, the largest groups, by broadcast and ``cold`` by shuffle.
+
+    Every group of ``hot`` (HOT_GROUPS at most) is found there, with whatever values; its rows pass the shuffle join under
+    a salt. Groups may be absent from ``cold``: their rows get nulls.
+    """
+    hot = hot.select(*[F.col(s).alias(f"__h{s}") for s in side_keys], F.struct(*names).alias("__hot"))
+    first = df.join(F.broadcast(hot), null_safe(df, hot, [(k, f"__h{s}") for k, s in zip(keys, side_keys)]), "left")
+    first = first.drop(*[f"__h{s}" for s in side_keys]).withColumn(
         "__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(1 + F.spark_partition_id())
     )
-    # The always-true filter keeps both sides on the same aggregate, so its shuffle is reused.
-    cold = grouped.where(F.col("__rows") > 0).select(*side_keys, F.lit(0).alias("__cold_salt"), F.struct(*names).alias("__cold"))
+    rest = cold.select(*side_keys, F.lit(0).alias("__cold_salt"), F.struct(*names).alias("__cold"))
     joined = first.join(
-        cold,
-        null_safe(first, cold, list(zip(keys, side_keys))) & (first["__salt"] == cold["__cold_salt"]),
-        "left",
+        rest, null_safe(first, rest, list(zip(keys, side_keys))) & (first["__salt"] == rest["__cold_salt"]), "left"
     )
     picked = F.coalesce(F.col("__hot"), F.col("__cold"))
-    return joined.select(
-        *[F.col(c) for c in df.columns], *[picked[n].alias(n) for n in names]
-    )
+    return joined.select(*[F.col(c) for c in df.columns], *[picked[n].alias(n) for n in names])
 
 
 def value_buckets(df: DataFrame, column: str) -> DataFrame:
@@ -214,18 +212,25 @@ def below_cut(
 ) -> DataFrame:
     """Mark the first floor(prop * n) rows of each group in hash order (ties by key).
 
-    With few groups only the table of cuts moves.
+    With few groups only the table of cuts moves; with many, rows of the HOT_GROUPS largest ones find their cut by
+    broadcast, so no task of the join holds a hot group.
     """
     by = list(by)
     few = few_groups(df, by) if few is None else few
     cuts = hash_cut(df, key, prop, by, seed, few)
-    side = cuts.select(*[F.col(c).alias(f"__o_{c}") for c in by], "cut_hash", "cut_key")
+    owners, names = [f"__o_{c}" for c in by], ["cut_hash", "cut_key"]
+    side = cuts.select(*[F.col(c).alias(o) for c, o in zip(by, owners)], *names)
     hashed = df.withColumn("__h", unit_hash(key, seed))
-    joined = (
-        hashed.join(sized(side, few), null_safe(hashed, side, [(c, f"__o_{c}") for c in by]), "left")
-        if by
-        else hashed.join(F.broadcast(side), F.lit(True), "left")
-    )
+    if not by:
+        joined = hashed.join(F.broadcast(side), F.lit(True), "left")
+    elif few:
+        joined = hashed.join(F.broadcast(side), null_safe(hashed, side, list(zip(by, owners))), "left")
+    else:
+        sizes = df.groupBy(*[F.col(c).alias(f"__g_{c}") for c in by]).agg(F.count(F.lit(1)).alias("__rows"))
+        large = sizes.orderBy(F.desc("__rows"), *[f"__g_{c}" for c in by]).limit(HOT_GROUPS)
+        hot = large.join(side, null_safe(large, side, [(f"__g_{c}", o) for c, o in zip(by, owners)]), "left")
+        hot = hot.select(*[F.col(f"__g_{c}").alias(o) for c, o in zip(by, owners)], *names)
+        joined = attach_groups(hashed, by, owners, hot, side, names)
     h, k = F.col("__h"), F.col(key)
     flag = (h < F.col("cut_hash")) | ((h == F.col("cut_hash")) & (k <= F.col("cut_key")))
     return joined.select(*df.columns, F.coalesce(flag, F.lit(False)).alias(to))

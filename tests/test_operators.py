@@ -139,3 +139,26 @@ def test_coefficient_table_round_trip(spark, tmp_path):
     for fmt in ("parquet", "csv"):
         extracts.write_coefficients(t, str(tmp_path / fmt), fmt)
         assert [tuple(r) for r in extracts.read_coefficients(spark, str(tmp_path / fmt), fmt).collect()] == [tuple(t.first())]
+
+
+def test_cuts_of_many_groups_are_those_of_few(spark):
+    rows = [(i, "hot" if i % 2 else None if i % 4 else f"s{i % 100}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    for prop in (0.7, 0.0003):
+        few, many = ({tuple(r) for r in S.below_cut(df, "id", prop, ["s"], few=f).collect()} for f in (True, False))
+        assert few == many and len(many) == 4000
+        taken = {}
+        for _, s, below in many:
+            taken[s] = taken.get(s, 0) + below
+        sizes = {s: sum(1 for r in rows if r[1] == s) for s in taken}
+        assert taken == {s: int(prop * n) for s, n in sizes.items()}
+
+
+def test_only_the_largest_groups_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_GROUPS", 1)
+    rows = [(i, "hot" if i % 2 else f"s{i % 100}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    few, many = ({tuple(r) for r in S.below_cut(df, "id", 0.5, ["s"], few=f).collect()} for f in (True, False))
+    assert few == many
+    totals = S.attach_totals(df, ["s"], [F.count(F.lit(1)).alias("n")]).select("s", "n").distinct().collect()
+    assert {r["s"]: r["n"] for r in totals} == {s: sum(1 for x in rows if x[1] == s) for _, s in rows}
