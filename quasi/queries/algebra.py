@@ -80,8 +80,8 @@ def clustered_within_sql(rows: str, x: Sequence[str], effect: tuple[str, int], d
         FROM a JOIN f USING (key) JOIN k USING (key)"""
 
 
-def two_stage_sql(panel: str, label: str, units: int, periods: tuple[int, int], digits: int = 4) -> str:
-    """Two-stage effects by ``label`` (null: none) on a panel (unit from 0, t, d, y), errors clustered by unit, as SQL.
+def two_stage_sql(panel: str, label: str, units: int, periods: tuple[int, int], weight: str = "1.0", digits: int = 4) -> str:
+    """Two-stage effects by ``label`` (null: none) on rows (unit from 0, t, d, y), errors clustered by unit, as SQL.
 
     Unit and period dummies are fitted on untreated rows; a unit's score is the residuals of its label less what its
     untreated residuals move the dummies.
@@ -89,16 +89,16 @@ def two_stage_sql(panel: str, label: str, units: int, periods: tuple[int, int],
     first, last = periods
     size = units + last - first + 1
     dummies = f"list_concat(list_transform(range(0, {units}), lambda i: (unit = i)::INT::DOUBLE), list_transform(range({first}, {last + 1}), lambda i: (t = i)::INT::DOUBLE))"
-    return f"""WITH p AS MATERIALIZED (SELECT unit, d, y::DOUBLE AS y, {label} AS term, {dummies} AS x FROM {panel}),
-        z AS MATERIALIZED (SELECT 0 AS key, 1.0 AS w, list_append(x, y) AS v FROM p WHERE d = 0),
+    return f"""WITH p AS MATERIALIZED (SELECT unit, d, y::DOUBLE AS y, ({weight})::DOUBLE AS w, {label} AS term, {dummies} AS x FROM {panel}),
+        z AS MATERIALIZED (SELECT 0 AS key, sum(w) AS w, list_append(x, sum(w * y) / sum(w)) AS v FROM p WHERE d = 0 GROUP BY x),
         f AS MATERIALIZED (SELECT m FROM {swept_sql(products_sql("z", size + 1), size, size + 1, "key")}),
         e AS MATERIALIZED (SELECT p.*, y - list_dot_product(x, list_transform(range(1, {size + 1}), lambda i: m[i][{size + 1}])) AS e FROM p, f),
-        k AS MATERIALIZED (SELECT term, avg(e) AS b, count(*) AS n FROM e WHERE term IS NOT NULL GROUP BY 1),
-        c AS (SELECT term, i, sum(x[i]) AS s FROM e, range(1, {size + 1}) r(i) WHERE term IS NOT NULL GROUP BY 1, 2),
+        k AS MATERIALIZED (SELECT term, sum(w * e) / sum(w) AS b, sum(w) AS n FROM e WHERE term IS NOT NULL GROUP BY 1),
+        c AS (SELECT term, i, sum(w * x[i]) AS s FROM e, range(1, {size + 1}) r(i) WHERE term IS NOT NULL GROUP BY 1, 2),
         v AS (SELECT term, list(s ORDER BY i) AS v FROM c GROUP BY 1),
         h AS MATERIALIZED (SELECT term, list_transform(range(1, {size + 1}), lambda j: list_dot_product(v, list_transform(range(1, {size + 1}), lambda i: m[i][j]))) AS h FROM v, f),
         s AS (SELECT term, unit, sum(s) AS s FROM (
-            SELECT term, unit, e - b AS s FROM e JOIN k USING (term)
-            UNION ALL SELECT h.term, unit, -list_dot_product(h, x) * e FROM e, h WHERE d = 0) GROUP BY 1, 2)
+            SELECT term, unit, w * (e - b) AS s FROM e JOIN k USING (term)
+            UNION ALL SELECT h.term, unit, -list_dot_product(h, x) * w * e FROM e, h WHERE d = 0) GROUP BY 1, 2)
         SELECT term, round(any_value(b), {digits}) + 0.0 AS estimate, round(sqrt(sum(s * s)) / any_value(n), {digits}) + 0.0 AS std_error
         FROM s JOIN k USING (term) GROUP BY 1"""

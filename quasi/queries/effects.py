@@ -323,11 +323,14 @@ def t9(spark, sf):
     return rounded(fit.table(spark).select("term", "estimate", "std_error"), 4)
 
 
-@query("t9_did2s_rows")
+@query(
+    "t9_did2s_rows",
+    two_stage_sql(f"(SELECT *, CASE WHEN g <> 0 AND t >= g THEN 1 ELSE 0 END AS d FROM {ROWS})", "CASE WHEN d = 1 THEN 'D' END", 25, (1995, 2001), "w"),
+)
 def t9_rows(spark, sf):
     """Two-stage estimate on single orders, clustered by nation."""
     rows = order_cohorts(spark, sf).withColumn("d", F.when((F.col("g") != 0) & (F.col("t") >= F.col("g")), 1).otherwise(0))
-    return rounded(T.did2s(rows, "y", "unit", "t", "d", weight="w").table(spark), 4)
+    return rounded(T.did2s(rows, "y", "unit", "t", "d", weight="w").table(spark).select("term", "estimate", "std_error"), 4)
 
 
 @query("t10_did2s_event_study", two_stage_sql(PANEL, "CASE WHEN g <> 0 AND t - g <> -1 THEN 'rel_' || (t - g)::INT END", 25, (1995, 2001)))

@@ -45,7 +45,13 @@ def test_absorbed_and_two_stage_effects():
     n = len(rows)
     want = np.sqrt((scores**2).sum() * 8 / 7 * (n - 1) / (n - 5)) / (x @ x)
     assert term == "d" and b == pytest.approx(full[0], abs=1e-7) and se == pytest.approx(want, abs=1e-7)
-    ((term, b, _),) = con.execute(two_stage_sql("rows", "CASE WHEN d = 1 THEN 'D' END", 8, (1, 5), 8)).fetchall()
+    ((term, b, _),) = con.execute(two_stage_sql("rows", "CASE WHEN d = 1 THEN 'D' END", 8, (1, 5), digits=8)).fetchall()
     plain = rows.d == 0
     gap = rows.y - dummies @ np.linalg.lstsq(dummies[plain], rows.y[plain], rcond=None)[0]
     assert b == pytest.approx(gap[rows.d == 1].mean(), abs=1e-7)
+    rows["w"] = rng.uniform(0.5, 2, len(rows))
+    con.register("weighted", rows)
+    ((_, b, _),) = con.execute(two_stage_sql("weighted", "CASE WHEN d = 1 THEN 'D' END", 8, (1, 5), "w", 8)).fetchall()
+    root = np.sqrt(rows.w[plain]).to_numpy()
+    gap = rows.y - dummies @ np.linalg.lstsq(dummies[plain] * root[:, None], rows.y[plain] * root, rcond=None)[0]
+    assert b == pytest.approx(np.average(gap[rows.d == 1], weights=rows.w[rows.d == 1]), abs=1e-7)
