@@ -1,11 +1,10 @@
 """Exact nearest neighbours and minority oversampling.
 
 Rows are assigned to the nearest of a few pivots. Distances to pivots bound, by the triangle inequality,
-which cells can hold a query's k nearest neighbours, and each query is sent to those cells only. Cells
-are split into blocks of bounded size on both sides, so a cell with a large share of the rows is many small
-groups. Queries of one cell share blocks, and a train block is copied only to the query blocks that have a
-query routed to its cell. Inside a pair of blocks distances come from one matrix product; it returns k rows
-per query within the query's bound, never all pairs.
+which cells can hold a query's k nearest neighbours. Queries of one cell share blocks of bounded size, so a cell
+with a large share of the rows is many blocks; a train row is copied only to the query blocks that have a query routed
+to its cell. The train rows of a block come as a stream, cell by cell, and meet its queries in tiles of one matrix
+product each: a task holds one block, one batch and the k best rows per query so far, at any number of rows.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +24,12 @@ from quasi.operators.skew import hash_rank
 MAX_PIVOTS = 64
 PIVOT_SPARSITY = 8
 MAX_CLASSES = 1000
-BLOCK_ROWS = 2048
-BLOCK_KEYS = ["cell", "tb", "home", "qb"]
+BLOCK_ROWS = 16384
+BLOCK_KEYS = ["home", "qb"]
+TILE_QUERIES, TILE_ROWS = 1024, 2048
+TILE_PAIRS = 1 << 14
+WAITING_PAIRS = 1 << 18
+QUERY, TRAIN = 0, 1
 
 
 def feature_array(columns: Sequence[str]) -> Column:
@@ -47,28 +51,131 @@ def _pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt((gap * gap).sum(-1))
 
 
-def _routed_blocks(placed: DataFrame, routed: DataFrame, sizes: dict[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Train rows and queries keyed by BLOCK_KEYS: train block (``cell``, ``tb``) and query block (``home``, ``qb``).
+def _vectors(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    A train row goes to the query blocks that hold a query routed to its cell, a query to all blocks of its
-    cells; both sides therefore have the same keys.
+
+def _routed_blocks(placed: DataFrame, routed: DataFrame, homes: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Train rows and queries keyed by BLOCK_KEYS, a query's home cell and its block there.
+
+    A train row goes to the query blocks that hold a query routed to its cell, so both sides have the same keys.
     """
-    blocks = F.element_at(F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (c, max(1, math.ceil(n / BLOCK_ROWS)))]), F.col("cell"))
-    # Queries gather by home cell; the largest home has at most all of them.
-    homes = {r["home"]: r["n"] for r in routed.select("home", "id").distinct().groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [F.lit(v) for h, n in homes.items() for v in (h, max(1, math.ceil(n / BLOCK_ROWS)))] or [F.lit(0).cast("long"), F.lit(1)]
     queries = routed.select(
-        F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), "cell", "home", "bound",
-        F.pmod(F.xxhash64("id", F.lit("query")), F.element_at(F.create_map(*parts), F.col("home"))).alias("qb"),
+        F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), "home", "bound", "cells",
+        F.pmod(F.xxhash64("id", "vec", F.lit("query")), F.element_at(F.create_map(*parts), F.col("home"))).alias("qb"),
     )
-    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)).alias("tb")
-    routes = queries.select("cell", "home", "qb").distinct().select("cell", "home", "qb", every)
-    left = placed.select(
-        F.col("id").alias("train_id"), F.col("vec").alias("train_vec"), "cell", F.pmod(F.xxhash64("id"), blocks.cast("long")).alias("tb")
-    ).join(routes, ["cell", "tb"])
+    routes = queries.select(*BLOCK_KEYS, F.explode("cells").alias("cell")).distinct()
+    # As many routes as there are blocks times cells.
+    left = placed.select(F.col("id").alias("train_id"), F.col("vec").alias("train_vec"), "cell").join(F.broadcast(routes), "cell")
     # Both sides come from the queries; new names tell their columns apart.
-    left = left.select(*[F.col(c).alias(c) for c in left.columns])
-    return left, queries.select("*", every)
+    return left.select(*[F.col(c).alias(c) for c in left.columns]), queries
+
+
+class _Block:
+    """The queries of one block and the ``wanted`` nearest rows that each has met."""
+
+    def __init__(self, key: tuple, wanted: int):
+        self.key, self.wanted, self.parts = key, wanted, []
+
+    def add(self, part: pa.RecordBatch) -> None:
+        self.parts.append(part)
+
+    def _ready(self) -> None:
+        rows, self.parts = pa.Table.from_batches(self.parts).combine_chunks(), None
+        ids, vec, cells, bound = (rows[c].combine_chunks() for c in ("query_id", "vec", "cells", "bound"))
+        self.ids, self.vectors = ids, _vectors(vec)
+        self.square = (self.vectors * self.vectors).sum(1)
+        self.limit = bound.to_numpy() ** 2
+        flat, counts = cells.flatten().to_numpy(), cells.value_lengths().to_numpy()
+        owner = np.repeat(np.arange(len(ids)), counts)
+        order = np.argsort(flat, kind="stable")
+        names, first = np.unique(flat[order], return_index=True)
+        self.routed = dict(zip(names.tolist(), np.split(owner[order], first[1:])))
+        self.best = pd.DataFrame({"query": np.empty(0, np.int64), "dist": np.empty(0), "train_id": np.empty(0)})
+        self.waiting, self.pairs = [], 0
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray, cell: int) -> None:
+        """Compare train rows of one cell with the queries routed there."""
+        if self.parts is not None:
+            self._ready()
+        routed = self.routed.get(cell, np.empty(0, np.int64))
+        for start in range(0, len(rows), TILE_ROWS):
+            t, names = rows[start:start + TILE_ROWS], ids[start:start + TILE_ROWS]
+            tt = (t * t).sum(1)
+            for first in range(0, len(routed), TILE_QUERIES):
+                at = routed[first:first + TILE_QUERIES]
+                q, qq = self.vectors[at], self.square[at]
+                d = q @ t.T
+                d *= -2.0
+                d += qq[:, None]
+                d += tt[None, :]
+                # Everything within rounding of the k-th distance stays in, so that ties resolve by id.
+                rounding = 4.0 * np.finfo(float).eps * (t.shape[1] + 8) * (qq + tt.max())
+                limit = self.limit[at] + rounding
+                hit = d <= limit[:, None]
+                if self.wanted < len(t) and np.count_nonzero(hit) > 4 * self.wanted * len(at):
+                    kth = np.partition(d, self.wanted - 1, axis=1)[:, self.wanted - 1]
+                    hit = d <= np.minimum(limit, kth + 2.0 * rounding)[:, None]
+                i, j = np.nonzero(hit)
+                for cut in range(0, len(i), TILE_PAIRS):
+                    a, b = i[cut:cut + TILE_PAIRS], j[cut:cut + TILE_PAIRS]
+                    self.waiting.append((at[a], _pair_distances(q[a], t[b]), names[b]))
+                    self.pairs += len(a)
+                    if self.pairs >= WAITING_PAIRS:
+                        self._merge()
+        self._merge()
+
+    def _merge(self) -> None:
+        if not self.pairs:
+            return
+        new = pd.DataFrame(dict(zip(self.best.columns, (np.concatenate(x) for x in zip(*self.waiting)))))
+        self.waiting, self.pairs = [], 0
+        both = pd.concat([self.best, new], ignore_index=True) if len(self.best) else new
+        both = both.sort_values(["query", "dist", "train_id"], kind="stable")
+        place = both.groupby("query").cumcount().to_numpy()
+        self.best = both[place < self.wanted]
+        last = both[place == self.wanted - 1]
+        at = last["query"].to_numpy()
+        self.limit[at] = np.minimum(self.limit[at], last["dist"].to_numpy() ** 2)
+
+    def found(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if self.parts is not None:
+            return
+        columns = [
+            self.ids.take(pa.array(self.best["query"].to_numpy())),
+            pa.array(self.best["train_id"].to_numpy(), schema.field("train_id").type, from_pandas=True),
+            pa.array(self.best["dist"].to_numpy()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "train_id", "dist"])
+
+
+def _search(wanted: int):
+    """Nearest rows from batches sorted by block, side and cell."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(c).to_numpy() for c in (*BLOCK_KEYS, "side", "cell")])
+            cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+            ids = batch.column("train_id").to_numpy(zero_copy_only=False)
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                home, qb, side, cell = keys[lo].tolist()
+                if block is None or block.key != (home, qb):
+                    if block is not None:
+                        yield from block.found(batch.schema)
+                    block = _Block((home, qb), wanted)
+                part = batch.slice(lo, hi - lo)
+                if side == QUERY:
+                    block.add(part)
+                else:
+                    block.meet(ids[lo:hi], _vectors(part.column("vec")), cell)
+        if block is not None:
+            yield from block.found(batch.schema)
+
+    return task
 
 
 def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = False, within: str | None = None) -> DataFrame:
@@ -78,8 +185,9 @@ def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = Fal
     ties by train id. ``exclude_self`` skips a train row with the query's own id. ``within`` names a
     small integer column on both sides; only rows with equal values are neighbours.
     """
-    wanted = k + 1 if exclude_self else k
-    n_train = train.count()
+    # A query passes over all rows with its own id.
+    facts = train.groupBy("id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    n_train, wanted = facts[0] or 0, k + (facts[1] or 0) if exclude_self else k
     n_pivots = max(1, min(MAX_PIVOTS, int(math.sqrt(n_train) / PIVOT_SPARSITY)))
     picked = train.select("vec", unit_hash("id", "pivot").alias("h")).orderBy("h").limit(n_pivots).collect()
     pivots = np.array([r["vec"] for r in picked], dtype=float)
@@ -110,51 +218,46 @@ def nearest(train: DataFrame, query: DataFrame, k: int, exclude_self: bool = Fal
     slack = 1e-9 * (1.0 + float(hi.max()))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            d = _distances(_matrix(batch.vec), pivots)
-            mine = batch.part.to_numpy()[:, None] == part_of[None, :]
-            # A query's k-th distance is at most the k-th smallest of (distance to pivot + pivot to row).
-            reach = np.concatenate(
-                [np.where(mine[:, [i]], d[:, [pivot_of[i]]] + near[c][None, :], np.inf) for i, c in enumerate(cells)], axis=1
-            )
-            at_rank = min(wanted, reach.shape[1]) - 1
-            bound = np.partition(reach, at_rank, axis=1)[:, at_rank]
-            dc = d[:, pivot_of]
-            own = d.argmin(1)
-            floor = np.maximum(np.maximum(dc - hi, lo - dc), 0.0)
-            gap = between[own][:, pivot_of]
-            plane = np.where(gap > 0, (dc**2 - d.min(1)[:, None] ** 2) / (2 * np.where(gap > 0, gap, 1.0)), 0.0)
-            need = mine & (np.maximum(floor, plane) <= bound[:, None] * (1 + 1e-9) + slack)
-            at, which = np.nonzero(need)
-            home = batch.part.to_numpy() * n_pivots + own
-            yield pd.DataFrame(
-                {"id": batch.id.to_numpy()[at], "vec": batch.vec.to_numpy()[at], "cell": np.array(cells)[which],
-                 "home": home[at], "bound": bound[at] * (1 + 1e-9) + slack}
-            )
+        for whole in batches:
+            for start in range(0, len(whole), TILE_QUERIES):
+                batch = whole.iloc[start:start + TILE_QUERIES]
+                d = _distances(_matrix(batch.vec), pivots)
+                mine = batch.part.to_numpy()[:, None] == part_of[None, :]
+                # A query's k-th distance is at most the k-th smallest of (distance to pivot + pivot to row).
+                reach = np.concatenate(
+                    [np.where(mine[:, [i]], d[:, [pivot_of[i]]] + near[c][None, :], np.inf) for i, c in enumerate(cells)], axis=1
+                )
+                at_rank = min(wanted, reach.shape[1]) - 1
+                bound = np.partition(reach, at_rank, axis=1)[:, at_rank]
+                dc = d[:, pivot_of]
+                own = d.argmin(1)
+                floor = np.maximum(np.maximum(dc - hi, lo - dc), 0.0)
+                gap = between[own][:, pivot_of]
+                plane = np.where(gap > 0, (dc**2 - d.min(1)[:, None] ** 2) / (2 * np.where(gap > 0, gap, 1.0)), 0.0)
+                need = mine & (np.maximum(floor, plane) <= bound[:, None] * (1 + 1e-9) + slack)
+                names = np.array(cells)
+                yield pd.DataFrame({
+                    "id": batch.id, "vec": batch.vec, "cells": [names[row] for row in need],
+                    "home": batch.part.to_numpy() * n_pivots + own, "bound": bound * (1 + 1e-9) + slack,
+                })
 
     routed = query.select("id", "vec", part.alias("part")).mapInPandas(
-        route, f"id {query_type}, vec array<double>, cell long, home long, bound double"
+        route, f"id {query_type}, vec array<double>, cells array<long>, home long, bound double"
+    ).persist()
+    homes = {r["home"]: r["n"] for r in routed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left, right = _routed_blocks(placed, routed, homes)
+    left = left.select(
+        *BLOCK_KEYS, F.lit(TRAIN).alias("side"), "cell", F.lit(None).cast(query_type).alias("query_id"), "train_id",
+        F.col("train_vec").alias("vec"), F.lit(None).cast("array<long>").alias("cells"), F.lit(None).cast("double").alias("bound"),
     )
-    left, right = _routed_blocks(placed, routed, {c: sizes[c]["n"] for c in cells})
-
-    def search(t: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if len(t) == 0 or len(q) == 0:
-            return pd.DataFrame({"query_id": [], "train_id": [], "dist": []})
-        tm, qm, ids = _matrix(t.train_vec), _matrix(q.query_vec), t.train_id.to_numpy()
-        d = _distances(qm, tm)
-        keep = min(wanted, len(ids))
-        # Everything within rounding of the k-th distance stays in, so that ties resolve by id.
-        kth = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-        at, which = np.nonzero(d <= np.minimum(kth, q.bound.to_numpy())[:, None] + slack)
-        found = pd.DataFrame({"query_id": q.query_id.to_numpy()[at], "train_id": ids[which], "dist": _pair_distances(qm[at], tm[which])})
-        found = found.sort_values(["query_id", "dist", "train_id"], kind="stable")
-        return found[found.groupby("query_id").cumcount() < keep]
-
-    candidates = left.groupBy(*BLOCK_KEYS).cogroup(right.groupBy(*BLOCK_KEYS)).applyInPandas(
-        search, f"query_id {query_type}, train_id {id_type}, dist double"
+    right = right.select(
+        *BLOCK_KEYS, F.lit(QUERY).alias("side"), F.lit(-1).cast("long").alias("cell"), "query_id", F.lit(None).cast(id_type).alias("train_id"),
+        F.col("query_vec").alias("vec"), "cells", "bound",
     )
+    # Each block asks for a matrix product with every row of its cells, so small partitions are not merged.
+    blocks = sum(max(1, math.ceil(n / BLOCK_ROWS)) for n in homes.values())
+    dealt = left.unionByName(right).repartition(2 * max(1, blocks), *BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "side", "cell")
+    candidates = dealt.mapInArrow(_search(wanted), f"query_id {query_type}, train_id {id_type}, dist double")
     if exclude_self:
         candidates = candidates.where(F.col("query_id") != F.col("train_id"))
     best = Window.partitionBy("query_id").orderBy("dist", "train_id")

@@ -360,6 +360,41 @@ def test_train_rows_go_only_to_routed_blocks(spark, monkeypatch):
     assert len(left) < 960 * 30 / 4
 
 
+def test_neighbour_search_holds_one_block_at_a_time(spark, monkeypatch):
+    import quasi.models.knn as K
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(900, 4))
+    v[100:200] = 1e3 + v[:100]
+    v[200:300] = v[100:200]
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id int, vec array<double>")
+    monkeypatch.setattr(K, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(K, "TILE_QUERIES", 16)
+    monkeypatch.setattr(K, "TILE_ROWS", 32)
+    monkeypatch.setattr(K, "WAITING_PAIRS", 100)
+    sides = []
+    plain = K._routed_blocks
+    monkeypatch.setattr(K, "_routed_blocks", lambda *args: sides.extend(plain(*args)) or sides)
+    got = nearest(df, df, 4).toPandas().sort_values(["query_id", "rank"])
+    # Exact copies tie at zero, also far from the origin where matrix products cancel.
+    d = np.sqrt(((v[:, None, :] - v[None]) ** 2).sum(-1))
+    want = np.argsort(d, axis=1, kind="stable")[:, :4]
+    assert (got.train_id.to_numpy().reshape(900, 4) == want).all()
+    # A query is one row with its vector, whatever the number of cells it is routed to.
+    assert sides[1].count() == 900
+    assert sides[1].groupBy(*K.BLOCK_KEYS).count().agg(F.max("count")).first()[0] < 3 * 64
+
+
+def test_neighbours_pass_over_all_rows_of_their_own_id(spark):
+    rows = [(i % 30, [float(i % 30), float((i % 30) ** 2)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, vec array<double>")
+    got = nearest(df, df, 4, exclude_self=True).toPandas()
+    assert got.groupby("query_id").size().eq(4).all() and (got.query_id != got.train_id).all()
+    for q, part in got.groupby("query_id"):
+        gaps = [(np.hypot(q - t, q * q - t * t), t) for t in range(30) if t != q]
+        assert set(part.train_id) == {min(gaps)[1]}
+
+
 def test_oversampling(spark):
     rng = np.random.default_rng(4)
     rows = [(i, "big" if i < 100 else ("small" if i < 120 else "tiny"), [float(x) for x in rng.normal(size=2)]) for i in range(127)]
