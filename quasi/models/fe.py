@@ -7,12 +7,13 @@ residual variance and cluster scores need; nothing afterwards reads the rows.
 The first fixed effect (usually the unit) is swept out through its group sums. What is left is a linear system in
 the levels of the others, of any number, solved by conjugate gradients: the vectors stay in Spark, one row per
 level, and each step is one pass over the cells. The preconditioner inverts the block of the HELD heaviest levels
-and divides by the weight elsewhere, so with few levels the first step is the solution.
+and divides by the weight elsewhere. With few levels the block is the whole system, and its solution is the start:
+steps are taken only if it leaves more than the tolerance.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -26,6 +27,7 @@ from quasi.models.linear import Fit, _sources, array_sum, complete_rows, gram, s
 from quasi.session import cut_lineage
 
 HELD = MAX_LEVELS
+SPREAD = 64
 TOLERANCE = 1e-20
 
 
@@ -124,9 +126,9 @@ def between_products(units: DataFrame, p: int, values: Sequence[str]) -> np.ndar
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.iloc[start:start + 512]
-                z = np.zeros((len(part), p + q))
-                for i, (ids, ws) in enumerate(zip(part.ids, part.ws)):
-                    np.add.at(z[i], np.asarray(ids, dtype=int), np.asarray(ws, dtype=float))
+                ids, ws = (np.concatenate(x.to_numpy()) if len(x) else np.empty(0) for x in (part.ids, part.ws))
+                at = np.repeat(np.arange(len(part)) * (p + q), part.ids.str.len().to_numpy()) + ids.astype(np.int64)
+                z = np.bincount(at, ws.astype(float), len(part) * (p + q)).reshape(len(part), p + q)
                 z[:, p:] = np.vstack(part.v.to_numpy())
                 total += (z / part.u_w.to_numpy(dtype=float)[:, None]).T @ z
         yield pd.DataFrame({"v": [total.ravel()]})
@@ -148,19 +150,51 @@ def fe_ols(
     used = [y, *_sources(x), *fe, *([weight] if weight else []), *([cluster] if cluster else [])]
     rows = complete_rows(df, used)
     design = build_design(rows, x, intercept=False)
-    k = len(design.columns)
     keys = [*fe, *([cluster] if cluster else [])]
-    cells = moment_cells(rows, keys, [*design.columns, F.col(y)], weight).persist()
-    fitted = _absorbed(cells, design, fe, k, cluster)
-    cells.unpersist()
+    cells, release = _placed(moment_cells(rows, keys, [*design.columns, F.col(y)], weight), fe)
+    fitted = _absorbed(cells, design, fe, len(design.columns), cluster)
+    release()
     return fitted
 
 
-def fe_ols_split(df: DataFrame, split: str, values: Sequence, **kwargs) -> dict:
-    """The same model on the whole sample and on each value of a split column."""
-    out = {"all": fe_ols(df, **kwargs)}
+def _placed(cells: DataFrame, fe: Sequence[str]) -> tuple[DataFrame, Callable[[], None]]:
+    """Kept cells and what lets go of them.
+
+    If no unit holds a large share, the cells are dealt by unit: all later sums and means by unit find theirs in one place.
+    """
+    kept = cells.persist()
+    if len(fe) > 1:
+        units, most, total = kept.groupBy(fe[0]).agg(F.count(F.lit(1)).alias("n")).agg(F.count("n"), F.max("n"), F.sum("n")).first()
+        if units and most * SPREAD <= total:
+            dealt = kept.repartition(fe[0]).persist()
+            dealt.count()
+            kept.unpersist()
+            return dealt, dealt.unpersist
+    return kept, kept.unpersist
+
+
+def fe_ols_split(
+    df: DataFrame, split: str, values: Sequence, y: str, x: Sequence, fe: Sequence[str], weight: str | None = None, cluster: str | None = None
+) -> dict:
+    """The same model on the whole sample and on each value of a split column.
+
+    The rows are read once, into cells that also tell the values apart; a sample whose factors lack a level has
+    regressors of its own and is read again.
+    """
+    used = [y, *_sources(x), *fe, *([weight] if weight else []), *([cluster] if cluster else [])]
+    rows = df.select(*dict.fromkeys([*used, split])).dropna(subset=list(dict.fromkeys(used)))
+    design = build_design(rows, x, intercept=False)
+    k, keys = len(design.columns), [*fe, *([cluster] if cluster else [])]
+    cells, release = _placed(moment_cells(rows, [*keys, split], [*design.columns, F.col(y)], weight), fe)
+    out = {"all": _absorbed(cells, design, fe, k, cluster)}
     for v in values:
-        out[v] = fe_ols(df.where(F.col(split) == F.lit(v)), **kwargs)
+        part = rows.where(F.col(split) == F.lit(v))
+        own = build_design(part, x, intercept=False)
+        if own.names == design.names:
+            out[v] = _absorbed(cells.where(F.col(split) == F.lit(v)), own, fe, k, cluster)
+        else:
+            out[v] = fe_ols(part, y, x, fe, weight, cluster)
+    release()
     return out
 
 
@@ -192,9 +226,10 @@ def nested_levels(cells: DataFrame, fe: Sequence[str], cluster: str) -> int:
     """Levels of the effects whose every level lies inside one cluster."""
     found = 0
     for effect in fe:
-        levels = cells.select(effect).distinct().count()
-        if effect == cluster or cells.select(effect, cluster).distinct().count() == levels:
-            found += levels
+        levels = cells.groupBy(effect).agg((F.min(cluster) == F.max(cluster)).alias("nested"))
+        count, nested = levels.agg(F.count(F.lit(1)), F.min("nested")).first()
+        if effect == cluster or nested:
+            found += count
     return found
 
 
@@ -270,7 +305,7 @@ def solve_levels(edges: DataFrame, effects: int, q: int, floor: Sequence[float],
     ``edges`` holds __u, the levels, __w and the cell means z{i}. Raises when a side has not converged.
     """
     spark, w, sides = edges.sparkSession, F.col("__w"), range(q)
-    zs, rs, ps = ([f"{c}{i}" for i in sides] for c in "zrp")
+    xs, zs, rs, ps = ([f"{c}{i}" for i in sides] for c in "xzrp")
     right = level_sums(
         off_units(edges, zs), effects, [F.sum("__w").alias("__weight"), *[F.sum(w * F.col(z)).alias(f"b{i}") for i, z in enumerate(zs)]]
     )
@@ -286,21 +321,33 @@ def solve_levels(edges: DataFrame, effects: int, q: int, floor: Sequence[float],
     for i, name in enumerate(names):
         mine = slots.where(F.col("__e") == i).select(F.col("__l").alias("__key"), F.col("__slot").alias(name))
         placed = placed.join(F.broadcast(mine), F.col(_at(i)) == F.col("__key"), "left").drop("__key")
-    inverse, kept = np.zeros((0, 0)), []
+    block, inverse, kept = np.zeros((0, 0)), np.zeros((0, 0)), []
     if p:
         block = level_products(placed, names, p, []) - between_products(unit_profiles(placed, "__u", names, []), p, [])
         _, inverse, kept = solve_kept(block, np.zeros(p))
 
-    def preconditioned(state: DataFrame) -> DataFrame:
-        """Add z{i}."""
+    def held_rest(state: DataFrame) -> np.ndarray:
         rest = np.zeros((p, q))
         for row in state.where("__slot IS NOT NULL").select("__slot", *rs).collect():
             rest[row[0]] = row[1:]
-        rows = [(i, *map(float, v)) for i, v in enumerate(inverse @ rest)]
-        near = spark.createDataFrame(rows, "__s int, " + ", ".join(f"__n{i} double" for i in sides))
-        out = state.join(F.broadcast(near), F.col("__slot") == F.col("__s"), "left")
+        return rest
+
+    def with_held(state: DataFrame, found: np.ndarray, names: Sequence[str]) -> DataFrame:
+        """Add columns ``names`` of the held levels, null elsewhere."""
+        rows = [(i, *map(float, v)) for i, v in enumerate(found)]
+        near = spark.createDataFrame(rows, "__s int, " + ", ".join(f"{n} double" for n in names))
+        return state.join(F.broadcast(near), F.col("__slot") == F.col("__s"), "left").drop("__s")
+
+    def preconditioned(state: DataFrame) -> DataFrame:
+        """Add z{i}."""
+        out = with_held(state, inverse @ held_rest(state), [f"__n{i}" for i in sides])
         return out.select(*state.columns, *[F.coalesce(F.col(f"__n{i}"), F.col(f"r{i}") / F.col("__weight")).alias(z) for i, z in enumerate(zs)])
 
+    if p and not cold:
+        right = held_rest(state)
+        start = inverse @ right
+        state = cut_lineage(with_held(state.drop(*xs, *rs), np.hstack([start, right - block @ start]), [*xs, *rs]))
+
     def products(state: DataFrame, a: Sequence[str], b: Sequence[str]) -> np.ndarray:
         return np.array(state.agg(*[F.sum(F.col(x) * F.col(y)) for x, y in zip(a, b)]).first(), dtype=float)
 
@@ -336,10 +383,6 @@ def _absorbed(cells, design, fe, k, cluster):
     w, others, q = F.col("__w"), len(fe) - 1, k + 1
     zs = [f"z{i}" for i in range(q)]
     pairs = [(i, j) for i in range(q) for j in range(i, q)]
-    edges = cells.select(
-        F.col(fe[0]).alias("__u"), *[F.col(c).cast("string").alias(_at(i)) for i, c in enumerate(fe[1:])], "__w",
-        *[(F.col(f"m{i}") / w).alias(z) for i, z in enumerate(zs)],
-    )
     units = cells.groupBy(fe[0]).agg(
         F.sum("__w").alias("w"), F.sum("__n").alias("n"), *[F.sum(f"m{i}").alias(f"m{i}") for i in range(q)],
         *[F.sum(second(i, j)).alias(second(i, j)) for i, j in pairs],
@@ -348,6 +391,10 @@ def _absorbed(cells, design, fe, k, cluster):
         *[F.expr(f"sum({second(i, j)} - m{i} * m{j} / w)").alias(second(i, j)) for i, j in pairs],
         *[F.sum(second(i, i)).alias(f"raw{i}") for i in range(q)], F.sum("n").alias("n"), F.count(F.lit(1)).alias("units"),
     ).first()
+    edges = cells.select(
+        F.col(fe[0]).alias("__u"), *[F.col(c).cast("string").alias(_at(i)) for i, c in enumerate(fe[1:])], "__w",
+        *[(F.col(f"m{i}") / w).alias(z) for i, z in enumerate(zs)],
+    )
     scale = np.array([facts[f"raw{i}"] or 0.0 for i in range(q)])
     net = np.zeros((q, q))
     for i, j in pairs:

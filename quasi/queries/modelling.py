@@ -228,7 +228,7 @@ M6_ROWS = """SELECT k.key, l_suppkey AS u, l_quantity::DOUBLE AS w, l_extendedpr
 )
 def m6_two(spark, sf):
     """Unbalanced supplier and month effects, on the whole sample and by line status."""
-    li = table(spark, sf, "lineitem").withColumn("month", F.date_format("l_shipdate", "yyyy-MM"))
+    li = table(spark, sf, "lineitem").withColumn("month", F.trunc("l_shipdate", "month"))
     fits = fe_ols_split(
         li, "l_linestatus", ["F", "O"], y="l_extendedprice", x=["l_discount", "l_quantity"], fe=["l_suppkey", "month"],
         weight="l_quantity", cluster="l_suppkey",

@@ -247,6 +247,41 @@ def test_effects_of_unconnected_blocks_and_nested_clusters(spark, monkeypatch):
         fe_ols(df, "y", ["x"], ["u", "t"])
 
 
+def test_split_samples_share_cells_and_held_levels_need_no_step(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = []
+    for u in range(150):
+        for t in range(5):
+            for s in ("p", "q", None):
+                x = float(rng.normal() + t + u % 7)
+                rows.append((u, f"t{t}", u // 3, s, "ab"[(u + t) % 2] if s != "q" else "a", x, float(1.5 * x + u * 0.1 + t + rng.normal())))
+    df = spark.createDataFrame([r for r in rows if rng.random() < 0.9], "u int, t string, g int, s string, f string, x double, y double").cache()
+    calls = {"moment_cells": 0, "off_units": 0}
+
+    def counted(name, plain):
+        def call(*args):
+            calls[name] += 1
+            return plain(*args)
+
+        monkeypatch.setattr(E, name, call)
+
+    for name in calls:
+        counted(name, getattr(E, name))
+    fits = E.fe_ols_split(df, "s", ["p", "q"], y="y", x=["x"], fe=["u", "t"], cluster="g")
+    assert calls == {"moment_cells": 1, "off_units": 3}
+    # A factor that has one level in a sample has no regressor there.
+    other = E.fe_ols_split(df, "s", ["q"], y="y", x=["x", factor("f")], fe=["u", "t"])
+    assert len(other["all"].names) == 2 and other["q"].names == ["x"]
+    monkeypatch.undo()
+    for sample, part in (("all", df), ("p", df.where("s = 'p'")), ("q", df.where("s = 'q'"))):
+        alone = fe_ols(part, "y", ["x"], ["u", "t"], cluster="g")
+        pdf = part.toPandas()
+        d = np.column_stack([pdf.u.to_numpy()[:, None] == np.unique(pdf.u), pdf.t.to_numpy()[:, None] == np.unique(pdf.t)]).astype(float)
+        x, y = (v - d @ np.linalg.lstsq(d, v, rcond=None)[0] for v in (pdf.x.to_numpy(), pdf.y.to_numpy()))
+        assert fits[sample].n == len(pdf) and fits[sample].coef[0] == pytest.approx(x @ y / (x @ x), rel=1e-9)
+        assert fits[sample].se[0] == pytest.approx(alone.se[0], rel=1e-9) and fits[sample].stats["absorbed"] == alone.stats["absorbed"]
+
+
 def test_gram_leaves_out_null_rows_at_any_width(spark, monkeypatch):
     import quasi.models.linear as L
 
