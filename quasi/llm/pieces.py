@@ -148,6 +148,15 @@ class Vocabulary:
                 self.strings.append(char)
         return found
 
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """The numbers of the characters of a text."""
+        met = np.zeros(len(self.letter), bool)
+        met[codes] = True
+        found = np.zeros(len(self.letter), np.int32)
+        letters = np.flatnonzero(met)
+        found[letters] = [self.number(chr(c)) for c in letters.tolist()]
+        return found[codes]
+
     def can_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether pieces can follow others; answers are kept in an open-addressing table."""
         keys = before << 32 | piece
@@ -239,8 +248,7 @@ def relax(vocabulary: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndar
     inner[ends] = False
     starts, stops, pieces = piece_edges(vocabulary, np.where(inner, codes, 0))
     # Characters without a piece are edges of their own.
-    letters, which = np.unique(codes, return_inverse=True)
-    numbers = np.array([vocabulary.number(chr(c)) for c in letters])[which]
+    numbers = vocabulary.numbers(codes)
     lone = np.flatnonzero(inner & (numbers >= len(vocabulary.pieces)))
     starts, stops, pieces = (np.concatenate(x) for x in ((starts, lone), (stops, lone + 1), (pieces, numbers[lone])))
     offset = stops - np.repeat(begins, sizes + 1)[starts]
@@ -311,20 +319,18 @@ class Encoder:
         """Tokens of units, each given without its first space."""
         v = self.vocabulary
         for at, end in _by_size(units, NEW_CHARS):
-            part = [SPACE + u.replace(" ", SPACE) for u in units[at:end]]
-            plain = [i for i, u in enumerate(part) if not u.startswith(SPACE * 2)]
-            numbers, counts = relax(v, [part[i] for i in plain]) if plain else (np.empty(0, np.int64), np.empty(0, np.int64))
-            order = plain
-            spaced = [i for i, u in enumerate(part) if u.startswith(SPACE * 2)]
+            part = units[at:end]
+            # Spaces stand before the rest of a unit only.
+            spaced = [u for u in part if u[:1] == " "]
+            plain = [u for u in part if u[:1] != " "] if spaced else part
+            numbers, counts = relax(v, [SPACE + u for u in plain]) if plain else (np.empty(0, np.int64), np.empty(0, np.int64))
             if spaced:
-                found = [[v.number(p) for p in v.merge(part[i])] for i in spaced]
+                found = [[v.number(p) for p in v.merge(SPACE + u.replace(" ", SPACE))] for u in spaced]
                 numbers = np.concatenate([numbers, *(np.array(f, np.int64) for f in found)])
                 counts = np.concatenate([counts, [len(f) for f in found]]).astype(np.int64)
-                order = plain + spaced
             tokens, counts = self._as_bytes(numbers, counts)
             start = len(self.counts)
-            for n, i in enumerate(order):
-                self.places[units[at + i]] = start + n
+            self.places.update(zip(chain(plain, spaced), range(start, start + len(part))))
             self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
             self.tokens = np.concatenate([self.tokens, tokens])
