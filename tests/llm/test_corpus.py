@@ -72,6 +72,37 @@ def test_repeats_with_hot_groups(odd_docs, monkeypatch, keep_first):
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in got) == want
 
 
+def test_groups_stay_whole_when_a_join_becomes_a_broadcast(spark):
+    rnd = random.Random(11)
+
+    def some(n):
+        return " ".join(f"{rnd.randrange(10**5)}" for _ in range(n))
+
+    passages = [some(130) for _ in range(12)]
+    texts = [" ".join([some(70), passages[i % 12], some(70), passages[i * 7 % 12], some(rnd.randrange(80))]) for i in range(96)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8, "doc_id")
+    # Above what a group list takes when counted, below what it is guessed to take before.
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "15k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = suffix.remove_repeats(docs, length=400, keep_first=False).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    texts = [t.encode() for t in texts]
+    often = collections.Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    want = {}
+    for k, t in enumerate(texts):
+        cover = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if often[t[i : i + 400]] > 1:
+                cover[i : i + 400] = True
+        want[k] = (int(cover.sum()), bytes(np.frombuffer(t, np.uint8)[~cover]))
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in got} == want
+
+
 def test_close_pairs_and_spanning():
     rng = np.random.default_rng(1)
     for lanes, radius in ((1, 4), (4, 50)):
